@@ -51,46 +51,60 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, list[int]], tri: dict[str, list[int]], scripts: dict[str, list[int]], docs: list[int]):
         self.langs, self.prior = langs, np.log(np.array(docs, float) + 1)
-        self.words = self.logs(words, langs)
-        self.tri = self.logs(tri, langs)
-        self.scripts = {s: np.array(c, float) > 0.01 * max(1, sum(c)) for s, c in scripts.items()}
+        self.word_row, self.word_log = self.logs(words, langs)
+        self.tri_row, self.tri_log = self.logs(tri, langs)
+        names = sorted(scripts)
+        fit = np.array([scripts[n] for n in names], float).reshape(-1, len(langs))
+        fit = fit > 0.01 * np.maximum(fit.sum(1, keepdims=True), 1)
+        # the last row is for scripts that training has not seen: every language is a candidate
+        self.script_row, self.fit = {n: i for i, n in enumerate(names)}, np.concatenate([fit, np.ones((1, len(langs)), bool)])
         self.cache: dict[str, int] = {}
-        self.table: list[np.ndarray] = []
+        self.table = np.zeros((1024, len(langs)), np.float32)  # a row for each word of the cache
 
     @staticmethod
-    def logs(counts: dict[str, list[int]], langs: list[str]) -> dict[str, np.ndarray]:
-        total = np.array(list(counts.values()), float).reshape(-1, len(langs)).sum(0) + 1
-        return {w: np.log((np.array(c) + 0.5) / total).astype(np.float32) for w, c in counts.items()}
-
-    def score(self, word: str) -> np.ndarray:
-        """Of each language: log odds against the best, -inf for those without the word's script."""
-        s = self.words.get(word)
-        if s is None or s.max() - np.partition(s, -2)[-2:].min() < 0.7:
-            known = [self.tri[g] for g in grams(word) if g in self.tri]
-            t = np.sum(known, 0) * 0.5 if known else np.zeros(len(self.langs), np.float32)
-            s = t if s is None else s + t
-        s = np.maximum(s - s.max(), -8.0)
-        fit = self.scripts.get(script(word))
-        if fit is not None and fit.any():
-            s = np.where(fit, s, -40.0)
-        return s.astype(np.float32)
+    def logs(counts: dict[str, list[int]], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+        """The row of each entry, and log probabilities; row 0 is for what is not known."""
+        c = np.array(list(counts.values()), float).reshape(-1, len(langs))
+        rows = np.log((c + 0.5) / (c.sum(0) + 1)).astype(np.float32)
+        return {w: i for i, w in enumerate(counts, 1)}, np.concatenate([np.zeros((1, len(langs)), np.float32), rows])
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Of each word and language: log odds against the best, -40 for languages without the word's script."""
+        whole = self.word_log[[self.word_row.get(w, 0) for w in words]]
+        cuts = [grams(w) for w in words]
+        get = self.tri_row.get
+        rows = np.array([get(g, 0) for c in cuts for g in c], np.int64)
+        starts = np.cumsum([0, *map(len, cuts)])[:-1]
+        by_tri = np.add.reduceat(self.tri_log[rows], starts, axis=0) * 0.5
+        if len(self.langs) > 1:
+            best = np.sort(whole, axis=1)
+            sure = best[:, -1] - best[:, -2] >= 0.7  # the word itself tells; else its trigrams help
+        else:
+            sure = np.ones(len(words), bool)
+        s = np.where(sure[:, None], whole, whole + by_tri)
+        s = np.maximum(s - s.max(1, keepdims=True), -8.0)
+        fit = self.fit[[self.script_row.get(script(w), -1) for w in words]]
+        return np.where(fit | ~fit.any(1, keepdims=True), s, -40.0).astype(np.float32)
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Row of the score table of each word."""
-        new = set(words).difference(self.cache)
-        for w in new:
-            self.cache[w] = len(self.table)
-            self.table.append(self.score(w))
+        new = list(set(words).difference(self.cache))
+        if new:
+            at = len(self.cache)
+            while at + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at : at + len(new)] = self.score(new)
+            self.cache.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
 
     def viterbi(self, docs: list[list[str]], penalty: float = SWITCH) -> list[np.ndarray]:
         """The best labels of each document's words: all documents take their n-th step together."""
         if len(self.cache) > WORD_CACHE:
-            self.cache, self.table = {}, []
+            self.cache = {}
         rows = [self.ids(d) for d in docs]
-        if not self.table:
+        if not self.cache:
             return [np.zeros(0, np.int8) for _ in docs]
-        table, L = np.array(self.table), len(self.langs)
+        table, L = self.table, len(self.langs)
         order = np.argsort([-len(r) for r in rows], kind="stable")
         size = np.array([len(rows[i]) for i in order])
         most = int(size[0]) if len(size) else 0

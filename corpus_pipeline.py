@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import exactdedup, langid, packing, pii, simhash
+from corvid.llm import exactdedup, langid, packing, pii, similar
 from corvid.llm.common import cut
 from corvid.llm.queries import WORD_BPE
 from corvid.session import ship
@@ -31,9 +31,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (SimHash over five words), the row with the smallest doc_id stays."""
+    """Of near duplicates (SimHash over five words, similarity 0.8 or more), the row with the smallest doc_id stays."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,15 +26,16 @@ CENTER, TYPICAL = 0.012, 0.035  # fixed values of the centered normaliser
 
 
 def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, term, tf, len): term frequencies, with the length of the document beside them.
+    """(doc_id, term, tf, len): term frequencies, with the length of the document beside them. An index to keep."""
+    t = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    return t.groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "len")
 
-    Counted within the row, so that only distinct terms leave it: no shuffle.
-    """
-    t = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("t")).withColumn("len", F.size("t"))
-    runs = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))
-    short = t.where("len <= 512").select("doc_id", "len", F.explode(runs).alias("p")).select("doc_id", "p.term", F.col("p.tf").cast("long").alias("tf"), "len")
-    long = t.where("len > 512").select("doc_id", "len", F.explode("t").alias("term")).groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
-    return short.unionByName(long.select("doc_id", "term", "tf", "len"))
+
+def search_index(index: DataFrame, terms: DataFrame, top: int, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+    """bm25 over kept postings; documents without a word are not in them, and so not in the mean length."""
+    sizes = index.select("doc_id", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
+    tf = index.join(terms.select("term").distinct(), "term", "left_semi")
+    return _scored(tf, terms, sizes, top, k1, b, digits)
 
 
 def query_terms(queries: DataFrame, tokens: Column, id_col: str = "query_id") -> DataFrame:
@@ -54,6 +55,10 @@ def bm25(queries: DataFrame, docs: DataFrame, q_tokens: Column, d_tokens: Column
     wanted = terms.select("term").distinct()
     exploded = docs.select(F.col(d_id).alias("doc_id"), d_tokens.alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
     tf = exploded.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
+    return _scored(tf, terms, sizes, top, k1, b, digits)
+
+
+def _scored(tf: DataFrame, terms: DataFrame, sizes: DataFrame, top: int, k1: float, b: float, digits: int) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term").crossJoin(F.broadcast(sizes))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -172,7 +172,7 @@ def x30(t):
     return t.pages.select("page_id", X.host(F.col("url")).alias("host"))
 
 
-@query("x31_reply_fields", "SELECT doc_id, 'entailed' AS level, least(100.0, doc_id % 150 + 0.5) AS confidence, 'see ' || source AS rationale FROM documents")
+@query("x31_reply_fields", "SELECT doc_id, 'entailed' AS level, CAST(least(100.0, doc_id % 150 + 0.5) AS DOUBLE) AS confidence, 'see ' || source AS rationale FROM documents")
 def x31(t):
     reply = F.concat(F.lit("VERIFICATION: ENTAILED\nCONFIDENCE: "), F.col("doc_id") % 150, F.lit(".5\nRATIONALE: see "), F.col("source"), F.lit("\n"))
     return t.documents.select("doc_id", V.parse_reply(reply).alias("r")).select("doc_id", "r.level", "r.confidence", "r.rationale")
@@ -200,7 +200,7 @@ def x34(t):
     return t.documents.select("doc_id", F.split(n, "/")[1].cast("long").alias("year"), F.split(n, "/")[0].alias("number"))
 
 
-@query("x35_word_estimate", "SELECT doc_id, len(string_split_regex(trim(text, ' '), '\\s+')) AS words, round(len(string_split_regex(trim(text, ' '), '\\s+')) * 1.3, 4) AS tokens FROM documents WHERE trim(text, ' ') <> ''")
+@query("x35_word_estimate", "SELECT doc_id, len(string_split_regex(trim(text, ' '), '\\s+')) AS words, round(CAST(len(string_split_regex(trim(text, ' '), '\\s+')) AS DOUBLE) * 1.3, 4) AS tokens FROM documents WHERE trim(text, ' ') <> ''")
 def x35(t):
     w = F.col("text")
     return t.documents.where(F.trim("text") != "").select("doc_id", X.word_count(w).cast("long").alias("words"), F.round(X.token_estimate(w), 4).alias("tokens"))

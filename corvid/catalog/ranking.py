@@ -64,12 +64,12 @@ def fusion(t):
     return best.join(t.documents.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), F.substring("text", 1, 100).alias("preview"))
 
 
-@query("m2_phrase_boost", "SELECT p_partkey, round(CASE WHEN contains(lower(p_name), 'a') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(p_type), 'standard') THEN 1.5 ELSE 0 END, 6) AS boost FROM part")
+@query("m2_phrase_boost", "SELECT p_partkey, CAST(CASE WHEN contains(lower(p_name), 'a') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(p_type), 'standard') THEN 1.5 ELSE 0 END AS DOUBLE) AS boost FROM part")
 def m2(t):
     return t.part.select("p_partkey", F.round(R.phrase_boost(F.col("p_name"), F.lit("A"), 2.0) + R.phrase_boost(F.col("p_type"), F.lit("standard"), 1.5), 6).alias("boost"))
 
 
-@query("m1_two_fields", "SELECT o_orderkey, round(greatest(1.5 * (o_orderkey % 17), o_custkey % 23) + 0.3 * least(1.5 * (o_orderkey % 17), o_custkey % 23), 6) AS score FROM orders")
+@query("m1_two_fields", "SELECT o_orderkey, CAST(greatest(1.5 * (o_orderkey % 17), o_custkey % 23) + 0.3 * least(1.5 * (o_orderkey % 17), o_custkey % 23) AS DOUBLE) AS score FROM orders")
 def m1b(t):
     return t.orders.select("o_orderkey", F.round(R.two_fields((F.col("o_orderkey") % 17).cast("double"), (F.col("o_custkey") % 23).cast("double")), 6).alias("score"))
 
@@ -119,8 +119,8 @@ def j6(t):
     "m6_adaptive_parameters",
     """WITH q AS (SELECT item_id, len(string_split_regex(trim(text, ' '), '\\s+')) AS w, item_id % 3 AS k FROM benchmark)
        SELECT item_id, CASE WHEN w < 15 AND k = 0 THEN 30 WHEN w > 50 OR k = 1 THEN 80 WHEN k = 2 THEN 40 ELSE 60 END AS k,
-              CASE WHEN w < 15 AND k = 0 THEN 0.6 WHEN w > 50 OR k = 1 THEN 1.2 WHEN k = 2 THEN 1.0 ELSE 1.2 END AS w_lexical,
-              CASE WHEN w < 15 AND k = 0 THEN 1.0 WHEN w > 50 OR k = 1 THEN 0.8 WHEN k = 2 THEN 0.6 ELSE 1.0 END AS w_dense FROM q""",
+              CAST(CASE WHEN w < 15 AND k = 0 THEN 0.6 WHEN w > 50 OR k = 1 THEN 1.2 WHEN k = 2 THEN 1.0 ELSE 1.2 END AS DOUBLE) AS w_lexical,
+              CAST(CASE WHEN w < 15 AND k = 0 THEN 1.0 WHEN w > 50 OR k = 1 THEN 0.8 WHEN k = 2 THEN 0.6 ELSE 1.0 END AS DOUBLE) AS w_dense FROM q""",
 )
 def m6(t):
     k = F.col("item_id") % 3
@@ -147,7 +147,7 @@ def m11(t):
     return R.boost_related(h, h.where("doc_id % 5 = 0").select("query_id", "doc_id")).select("query_id", "doc_id", "original", F.round("score", 4).alias("score"))
 
 
-@query("m12_risk_map", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk, CASE p_size % 4 WHEN 0 THEN 95.0 WHEN 1 THEN 85.0 WHEN 2 THEN 75.0 ELSE 45.0 END AS confidence FROM part")
+@query("m12_risk_map", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk, CAST(CASE p_size % 4 WHEN 0 THEN 95.0 WHEN 1 THEN 85.0 WHEN 2 THEN 75.0 ELSE 45.0 END AS DOUBLE) AS confidence FROM part")
 def m12(t):
     k = F.col("p_size") % 4
     level = F.when(k == 0, "entailed").when(k == 1, "contradicted").when(k == 2, "partially_supported").otherwise("no_reference")

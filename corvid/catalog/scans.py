@@ -122,8 +122,8 @@ def k2(t):
 )
 def k3(t):
     j = etl.merge_json(F.col("props"), kind=F.col("event_type"), owner=F.col("user_id"))
-    x = t.events.select("event_id", etl.parse_json(j, "k bigint, kind string, owner string").alias("p"))
-    return x.select("event_id", "p.k", "p.kind", F.col("p.owner").cast("long").alias("owner"))
+    x = t.events.select("event_id", etl.parse_json(j, "k string, kind string, owner string").alias("p"))
+    return x.select("event_id", F.col("p.k").cast("long").alias("k"), "p.kind", F.col("p.owner").cast("long").alias("owner"))
 
 
 @query("k4_partitioned_write", "SELECT label, count(*) AS n FROM embeddings WHERE label < 5 GROUP BY 1")
@@ -264,7 +264,7 @@ def f16(t):
 
 @query("d_dates", "SELECT event_id, year(ts) AS y, strftime(ts, '%Y-%m-%d') AS day, CAST(ts AS DATE) = DATE '2024-01-15' AS mid FROM events")
 def dates(t):
-    return t.events.select("event_id", F.year("ts").alias("y"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.to_date("ts") == F.lit("2024-01-15").cast("date")).alias("mid"))
+    return t.events.select("event_id", F.year("ts").cast("long").alias("y"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.to_date("ts") == F.lit("2024-01-15").cast("date")).alias("mid"))
 
 
 @query("c_json_get", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -202,7 +202,7 @@ def normalized(hits: DataFrame, method: str = "min-max", low: float = 0.0, high:
     lo, hi = F.min(s).over(w), F.max(s).over(w)
     mean, dev = F.avg(s).over(w), F.stddev_pop(s).over(w)
     x = hits.withColumns({"lo_": lo, "hi_": hi, "mean_": mean, "dev_": dev})
-    z = (s - F.col("mean_")) / F.col("dev_")
+    z = (s - F.col("mean_")) / F.nullif(F.col("dev_"), F.lit(0.0))
     span = F.col("hi_") - F.col("lo_")
     if method == "min-max":
         value = F.when(span < eps, (low + high) / 2).otherwise(low + (s - F.col("lo_")) / span * (high - low))

@@ -29,7 +29,7 @@ def aliased(df: DataFrame, names: Mapping[str, Sequence[str]], most: int | None
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files; bytes that are no UTF-8 become the replacement character."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.decode(F.col("content"), "UTF-8").alias("text"))
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def in_memory(spark: SparkSession, rows: Sequence[Mapping], schema: str) -> DataFrame:
@@ -111,5 +111,5 @@ class Checkpoint:
         return self.load().withColumn("r_", F.row_number().over(w)).where("r_ = 1").select("id", "state")
 
     def todo(self, rows: DataFrame, key: str) -> DataFrame:
-        done = self.load().where("state = 'processed'").select("id").distinct()
-        return rows.join(done, F.col(key).cast("string") == F.col("id"), "left_anti")
+        done = self.load().where("state = 'processed'").select(F.col("id").alias("done_")).distinct()
+        return rows.join(done, F.col(key).cast("string") == F.col("done_"), "left_anti")

@@ -54,7 +54,7 @@ class Model:
         self.word_row, self.word_log = self.logs(words, langs)
         self.tri_row, self.tri_log = self.logs(tri, langs)
         names = sorted(scripts)
-        fit = np.array([scripts[n] for n in names], float).reshape(-1, len(langs))
+        fit = np.array([scripts[n] for n in names], float).reshape(len(names), len(langs))
         fit = fit > 0.01 * np.maximum(fit.sum(1, keepdims=True), 1)
         # the last row is for scripts that training has not seen: every language is a candidate
         self.script_row, self.fit = {n: i for i, n in enumerate(names)}, np.concatenate([fit, np.ones((1, len(langs)), bool)])
@@ -64,7 +64,7 @@ class Model:
     @staticmethod
     def logs(counts: dict[str, list[int]], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
         """The row of each entry, and log probabilities; row 0 is for what is not known."""
-        c = np.array(list(counts.values()), float).reshape(-1, len(langs))
+        c = np.array(list(counts.values()), float).reshape(len(counts), len(langs))
         rows = np.log((c + 0.5) / (c.sum(0) + 1)).astype(np.float32)
         return {w: i for i, w in enumerate(counts, 1)}, np.concatenate([np.zeros((1, len(langs)), np.float32), rows])
 
@@ -151,10 +151,12 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, share of letters that carry its label) of each text."""
+        if not self.langs:
+            return [(UND, 0.0)] * len(texts)
         docs = [WORDS.findall(t.lower()) for t in texts]
         out = []
         for words, labels in zip(docs, self.viterbi(docs), strict=True):
-            if not self.langs or not any(c.isalpha() for w in words for c in w):  # \w has numerals besides letters and digits
+            if not any(c.isalpha() for w in words for c in w):  # \w has numerals besides letters and digits
                 out.append((UND, 0.0))
                 continue
             weight = np.bincount(labels, np.fromiter(map(len, words), float, len(words)), len(self.langs))

@@ -33,6 +33,7 @@ AGREE = 0.85  # share of bits in which texts of Jaccard similarity 0.8 agree
 MISS = 0.01  # of such pairs, the share that may meet in no bucket
 PIVOTS = 8
 LAG, LEADERS = 128, 32  # rows of a bucket that each row is compared with: those next to it, and the first
+TASK = 250_000  # rows of buckets that a task takes, on average
 HOT = 20_000  # rows of a bucket that one task takes; larger buckets are dealt into parts
 
 
@@ -115,7 +116,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     marked = cut(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(prints, f"`{id_col}` {kind}, fp binary"), "wide")
     distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("low")).withColumn("node", F.monotonically_increasing_id()), "wide-fp")
-    chosen = tables_for(distinct.count())
+    n = distinct.count()
+    chosen = tables_for(n)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(chosen) / TASK))
     most = math.floor(64 * WIDE * (1 - similarity))
     pivots = np.frombuffer(b"".join(xxhash.xxh64_digest(b"pivot %d" % i, SEED) for i in range(PIVOTS * WIDE)), np.uint64).reshape(PIVOTS, WIDE)
     weights = [np.left_shift(np.int64(1), np.arange(len(t), dtype=np.int64)) for t in chosen]
@@ -140,7 +143,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         salt = F.coalesce(F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / HOT)).cast("int"), F.lit(0))
     else:
         salt = F.lit(0)
-    dealt = rows.select(F.xxhash64("t", "key", salt).alias("bucket"), "t", "key", "node", "fp").repartition("bucket").sortWithinPartitions("bucket", "t", "key")
+    dealt = rows.select(F.xxhash64("t", "key", salt).alias("bucket"), "t", "key", "node", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket", "t", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None

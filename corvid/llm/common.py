@@ -44,7 +44,11 @@ def uncut(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
-def ascii_lower(c):
-    """Lower-case A-Z only. Pure ASCII text takes the fast built-in."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
+MOST_BROADCAST_IDS = 1_000_000  # ids that are sent to all executors, at most
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``ids`` (one column, null for null). Texts stay where they are if a count shows the ids few."""
+    gone = cut(ids.toDF("gone_").distinct(), "gone")
+    few = gone.count() <= MOST_BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[key].eqNullSafe(gone["gone_"]), "left_anti")

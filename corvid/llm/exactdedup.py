@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import cut, without_ids
 
 SHARD = 60_000  # digests in a shard, on average
+BROADCAST_DIGESTS = 5_000_000  # digests whose filter (about 6 MB) is sent to all executors, at most
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,6 +138,35 @@ def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 # --- the operator
 
 
+def members(rows: DataFrame, digests_: DataFrame) -> DataFrame:
+    """(doc_id, digest, norm): rows of ``rows`` (doc_id, text) with one of the digests, and their normalised texts.
+
+    A filter over the digests, sent to all executors if a count shows it small,
+    screens the texts where they are read; what passes joins the exact digests.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    n = digests_.count()
+    sent = None
+    if 0 < n <= BROADCAST_DIGESTS:
+        build = lambda it: (pd.DataFrame({"filter": [build_filter(np.unique(np.concatenate([keys_of(p["digest"]) for p in it])))]}) for _ in range(1))
+        sent = rows.sparkSession.sparkContext.broadcast(bytes(digests_.coalesce(1).mapInPandas(build, "filter binary").first()["filter"]))
+
+    def screen_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            norm = [(t or b"").lower() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            digest = [hashlib.sha256(t).digest() for t in norm]
+            ok = np.ones(len(norm), bool)
+            if sent is not None and norm:
+                ok = maybe_in(sent.value, np.frombuffer(b"".join(d[:8] for d in digest), ">u8").astype(np.uint64))
+            at = np.flatnonzero(ok).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array([digest[i] for i in at], pa.binary()), pa.array([norm[i].decode() for i in at], pa.string())], names=["doc_id", "digest", "norm"]
+            )
+
+    found = rows.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(screen_texts, f"doc_id {kind}, digest binary, norm string")
+    return found.join(digests_, "digest", "left_semi")
+
+
 def against_snapshot(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     """(digest, keep_id, n) over both sides, each (doc_id, digest).
 
@@ -175,12 +205,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = cut(against_snapshot(keyed.where(side == 0), keyed.where(side == 1)), "groups")
     many = groups.where("n > 1").select("digest")
     # the bytes behind each digest that more than one row has: distinct texts, partly aggregated before they move
-    members = keyed.join(many, "digest", "left_semi").select("doc_id", "digest").distinct()
-    texts = (
-        rows.join(members, rows.doc_id.eqNullSafe(members.doc_id))
-        .select("digest", rows.doc_id, ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
-        .where(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
-    )
+    texts = members(rows, cut(many, "shared-digests"))
     apart = cut(texts.groupBy("digest", "norm").agg(F.count("*").alias("c")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "apart")
     out = keyed.join(groups, "digest").select(
         F.col("doc_id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "digest"
@@ -197,5 +222,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that exact_dedup keeps."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(id_col).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    marks = cut(exact_dedup(docs, id_col, text_col).select(id_col, "kept"), "kept")
+    ids = marks.groupBy(id_col).agg(F.bool_or("kept").alias("kept"))
+    return without_ids(docs, ids.where("not kept").select(id_col), id_col)

@@ -19,9 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null text, or no letter in it. ``lang`` stays as it was."""
     ship(spark)
     model = langid.train(docs)
-    found = langid.predict(spark, docs, model)
-    named = found.where(F.col("lang_pred") != langid.UND).select("doc_id").distinct()
-    return docs.join(named, docs.doc_id.eqNullSafe(named.doc_id), "left_semi")
+    return langid.with_language(spark, docs, model, out="lang_found").where(F.col("lang_found") != langid.UND).drop("lang_found")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 TRAIN_DOCS = 20_000  # labelled documents that the model is fitted on, at most
@@ -242,3 +243,18 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", spans array<struct<start: long, end: long, lang: string>>" if spans else ""
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double{more}")
+
+
+def with_language(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_pred") -> DataFrame:
+    """``docs`` with the predicted language as a further column; rows pass through where they are."""
+    sent = spark.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                s = b.slice(at, 1024)
+                found = sent.value.predict([t or "" for t in s.column(place).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array([f[0] for f in found], pa.string())], names=[*s.schema.names, out])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))

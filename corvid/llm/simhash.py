@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without_ids
 from .graph import components
 
 BITS, RADIUS, BLOCKS, PIVOTS, TILE = 64, 3, 5, 16, 512
@@ -187,6 +187,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that have the smallest id of their component."""
-    marks = near_duplicates(docs, shingle, id_col, text_col)
-    keep = marks.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(id_col).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep[id_col]), "left_semi")
+    marks = cut(near_duplicates(docs, shingle, id_col, text_col), "components")
+    kept = F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))
+    return without_ids(docs, marks.where(~kept).select(id_col), id_col)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without_ids
 from .graph import components
 from .simhash import SEED, WORD, forest
 
@@ -179,6 +179,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that have the smallest id of their component."""
-    marks = near_duplicates(docs, similarity, shingle, id_col, text_col)
-    keep = marks.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["kept_id"]), "left_semi")
+    marks = cut(near_duplicates(docs, similarity, shingle, id_col, text_col), "components")
+    kept = F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))
+    return without_ids(docs, marks.where(~kept).select(id_col), id_col)

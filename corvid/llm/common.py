@@ -44,6 +44,13 @@ def uncut(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in smaller ones, so that few texts are held as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 MOST_BROADCAST_IDS = 1_000_000  # ids that are sent to all executors, at most
 
 

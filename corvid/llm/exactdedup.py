@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without_ids
+from .common import cut, slices, without_ids
 
 SHARD = 60_000  # digests in a shard, on average
 BROADCAST_DIGESTS = 5_000_000  # digests whose filter (about 6 MB) is sent to all executors, at most
@@ -30,7 +30,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, digest): SHA-256 of the text in UTF-8, A-Z lower-cased; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             d = [hashlib.sha256((t or b"").lower()).digest() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.binary())], names=[id_col, "digest"])
 
@@ -152,7 +152,7 @@ def members(rows: DataFrame, digests_: DataFrame) -> DataFrame:
         sent = rows.sparkSession.sparkContext.broadcast(bytes(digests_.coalesce(1).mapInPandas(build, "filter binary").first()["filter"]))
 
     def screen_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             norm = [(t or b"").lower() for t in b.column(1).cast(pa.binary()).to_pylist()]
             digest = [hashlib.sha256(t).digest() for t in norm]
             ok = np.ones(len(norm), bool)

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 TRAIN_DOCS = 20_000  # labelled documents that the model is fitted on, at most
 TOP = 20_000  # words, and trigrams, kept of each language
 SWITCH = 6.0  # penalty for a change of language, in nats
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 UND = "und"
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without_ids
+from .common import cut, slices, without_ids
 from .graph import components
 from .simhash import SEED, WORD, forest
 
@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     kind = docs.schema[id_col].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = [wide_fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], names=[id_col, "fp"])
 

@@ -108,12 +108,13 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each row the smallest row it is linked with, over any number of links."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        keep = label[a] != label[b]
-        a, b = a[keep], b[keep]
+        # labels are roots here: each root hangs itself on the smallest root it is linked with, and all rows with it
+        x, y = label[a], label[b]
+        keep = x != y
+        a, b, x, y = a[keep], b[keep], x[keep], y[keep]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
     return label
 
 

@@ -119,6 +119,31 @@ def test_similar_documents(spark):
     assert similar.near_duplicates(docs.limit(0)).count() == 0
 
 
+def joined(n, pairs):
+    """Smallest row reachable from each, by a plain union of sets."""
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return np.array([top(i) for i in range(n)])
+
+
+def test_forest_loses_no_link():
+    pairs = [(1, 3), (3, 9), (9, 0), (5, 6)]
+    assert simhash.forest(10, *np.array(pairs).T).tolist() == [0, 0, 2, 0, 4, 5, 5, 7, 8, 0]
+    rnd = np.random.default_rng(0)
+    for n in (2, 10, 100, 1000):
+        for m in (1, n // 2, n, 2 * n):
+            pairs = rnd.integers(0, n, (m, 2))
+            assert (simhash.forest(n, *pairs.T) == joined(n, pairs.tolist())).all()
+
+
 def test_windows_and_leaders_hold_large_buckets(spark):
     rnd = np.random.default_rng(1)
     base = rnd.integers(0, 2**63, similar.WIDE).astype(np.uint64)

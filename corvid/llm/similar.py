@@ -8,8 +8,11 @@ give or take 3 %.
 
 At that radius no tables of blocks that hold every pair are small enough, so
 pairs come from hash tables over chosen bits, enough of them to bring a pair of
-Jaccard similarity 0.8 into one bucket with probability .99. In a bucket,
-distances to pivots discard pairs, and the rest are verified on all bits.
+Jaccard similarity 0.8 into one bucket with probability .99. Within a bucket
+the links are those of a comparison of all pairs: distances to pivots discard
+pairs, and the rest are verified on all bits. In a large bucket the pivots are
+rows of its own (:func:`ball_links`). Buckets of more than HOT rows are dealt
+as pairs of tiles, so that none is a single task and no pair is left out.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ WIDE, SHINGLE, SIMILARITY = 4, 5, 0.8  # words of 64 bits, words in a shingle, s
 AGREE = 0.85  # share of bits in which texts of Jaccard similarity 0.8 agree
 MISS = 0.01  # of such pairs, the share that may meet in no bucket
 PIVOTS = 8
-LAG, LEADERS = 128, 32  # rows of a bucket that each row is compared with: those next to it, and the first
+SMALL = 128  # rows of a bucket up to which all pairs are listed
+CHUNK = 1 << 20  # pairs that are verified at once
 TASK = 250_000  # rows of buckets that a task takes, on average
-HOT = 20_000  # rows of a bucket that one task takes; larger buckets are dealt into parts
+HOT = 20_000  # rows of a tile; buckets of more rows are dealt as pairs of tiles
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -70,35 +74,69 @@ def tables_for(n: int) -> list[np.ndarray]:
     return [rnd.choice(64 * WIDE, min(k, 62), replace=False) for _ in range(tables)]
 
 
-def near_pairs(fp: np.ndarray, group: np.ndarray, most: int, table: np.ndarray, lag: int = LAG, leaders: int = LEADERS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group within ``most`` bits. Rows are sorted by group; large groups are compared by window and leaders."""
-    dist = np.stack([np.bitwise_count(fp ^ p[None, :]).sum(1) for p in table], axis=1).astype(np.int16)
-    left, right = [], []
+def ball_links(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the rows of one bucket as all pairs within ``most`` bits do.
 
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
+    The first row left is a pivot; the rows within ``most`` of it are its ball,
+    and linked to it. A row outside can be linked to one of the ball only if
+    their distances to the pivot differ by ``most`` at most, so only the shell
+    up to twice that is compared with the ball, each row until it has a link.
+    Then the ball is done with, as nothing further out can be linked to it.
+    """
+    left, right = [], []
+    rows = np.arange(len(fp))
+    while len(rows) > 1:
+        d = np.bitwise_count(fp[rows] ^ fp[rows[0]]).sum(1).astype(np.int64)
+        near = d <= most
+        ball, far = rows[near], rows[~near]
+        left.append(np.full(len(ball) - 1, ball[0]))
+        right.append(ball[1:])
+        d_ball, d_far = d[near], d[~near]
+        at = d_far <= d_ball.max() + most
+        shell, d_shell = far[at], d_far[at]
+        begin = 1  # the pivot itself has no link outside
+        while begin < len(ball) and len(shell):
+            step = max(1, CHUNK // len(shell))
+            b, d_b = ball[begin : begin + step], d_ball[begin : begin + step]
+            x, y = np.nonzero(np.abs(d_b[:, None] - d_shell[None, :]) <= most)
+            ok = np.bitwise_count(fp[b[x]] ^ fp[shell[y]]).sum(1) <= most
+            x, y = x[ok], y[ok]
+            y, first = np.unique(y, return_index=True)
+            left.append(b[x[first]])
+            right.append(shell[y])
+            shell, d_shell = np.delete(shell, y), np.delete(d_shell, y)
+            begin += step
+        rows = far
+    return (np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])
+
+
+def near_pairs(fp: np.ndarray, group: np.ndarray, most: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group within ``most`` bits: all of a small group, enough to connect it of a large one. Rows are sorted by group."""
+    left, right = [], []
+    starts = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    sizes = np.diff(np.append(starts, len(group)))
+    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        a, b = ball_links(fp[s : s + n], most)
+        left.append(a + s)
+        right.append(b + s)
+    small = np.repeat(sizes <= SMALL, sizes)
+    i = np.flatnonzero(small)
+    dist = np.zeros((len(fp), len(table)), np.int16)
+    dist[i] = np.stack([np.bitwise_count(fp[i] ^ p[None, :]).sum(1) for p in table], axis=1)
+    for lag in range(1, SMALL):
+        i = i[i + lag < len(fp)]
+        i = i[group[i] == group[i + lag]]
+        if not len(i):
+            break
+        a, b = i, i + lag
         for p in range(dist.shape[1]):
             ok = np.abs(dist[a, p] - dist[b, p]) <= most
-            if not ok.all():
-                a, b = a[ok], b[ok]
+            a, b = a[ok], b[ok]
         ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= most
         left.append(a[ok])
         right.append(b[ok])
-
-    i = np.arange(len(fp) - 1)
-    for d in range(1, lag + 1):
-        i = i[i + d < len(fp)]
-        i = i[group[i] == group[i + d]]
-        if not len(i):
-            break
-        keep(i, i + d)
-    first = np.searchsorted(group, group)  # where each row's group starts
-    deep = np.arange(len(fp)) - first
-    for k in range(leaders):
-        b = np.flatnonzero(deep > lag + k)
-        if not len(b):
-            break
-        keep(first[b] + k, b)
-    return (np.concatenate(left), np.concatenate(right)) if left else (i, i)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*left, none]), np.concatenate([*right, none])
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,12 +176,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     counts = distinct.select("fp", "node").mapInArrow(lambda it: keyed(it, False), "t int, key long").groupBy("t", "key").agg(F.count("*").alias("n"))
     hot = cut(counts.where(F.col("n") > HOT), "hot-buckets")
     some = hot.count()
+    i = j = F.lit(0)
     if some:
         rows = rows.join(F.broadcast(hot) if some <= 10_000 else hot, ["t", "key"], "left")
-        salt = F.coalesce(F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / HOT)).cast("int"), F.lit(0))
-    else:
-        salt = F.lit(0)
-    dealt = rows.select(F.xxhash64("t", "key", salt).alias("bucket"), "t", "key", "node", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket", "t", "key")
+        rows = rows.withColumn("k", F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int")).withColumn("c", F.pmod(F.xxhash64("node", "t"), F.col("k")).cast("int"))
+        # a tile meets each other tile; two rows of one tile meet there too
+        rows = rows.withColumn("other", F.explode(F.expr("if(k = 1, array(0), filter(sequence(0, k - 1), x -> x <> c))")))
+        i, j = F.least("c", "other"), F.greatest("c", "other")
+    dealt = rows.select(F.xxhash64("t", "key", i, j).alias("bucket"), "t", "key", "node", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket", "t", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
@@ -162,14 +202,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
             now["fp"] = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
             if rest is not None:
                 now = {k: np.concatenate([rest[k], v]) for k, v in now.items()}
-            same = np.ones(len(now["node"]), bool)
+            same = np.ones(len(now["node"]), bool)  # rows of the last bucket, which may go on
             for c in ("bucket", "t", "key"):
                 same &= now[c] == now[c][-1:]
-            yield solve(now)
-            # of a bucket that goes on, its leaders and last rows stay
-            at = np.flatnonzero(same)
-            at = np.unique(np.concatenate([at[:LEADERS], at[-LAG:]]))
-            rest = {k: v[at] for k, v in now.items()}
+            if not same.all():
+                yield solve({k: v[~same] for k, v in now.items()})
+            rest = {k: v[same] for k, v in now.items()}
+        if rest is not None and len(rest["node"]):
+            yield solve(rest)
 
     roots = components(dealt.mapInArrow(run, "u long, v long"))
     owned = distinct.join(roots, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))

@@ -144,14 +144,43 @@ def test_forest_loses_no_link():
             assert (simhash.forest(n, *pairs.T) == joined(n, pairs.tolist())).all()
 
 
-def test_windows_and_leaders_hold_large_buckets(spark):
-    rnd = np.random.default_rng(1)
-    base = rnd.integers(0, 2**63, similar.WIDE).astype(np.uint64)
-    fp = np.repeat(base[None, :], 900, axis=0)
-    for i in range(900):
-        fp[i, rnd.integers(similar.WIDE)] ^= np.uint64(1) << np.uint64(rnd.integers(64))
-    a, b = similar.near_pairs(fp, np.zeros(900, np.int64), 51, fp[:2], lag=4, leaders=2)
-    assert set(simhash.forest(900, a, b)) == {0}
+def plain_components(fp, most):
+    d = np.bitwise_count(fp[:, None, :] ^ fp[None, :, :]).sum(2)
+    return joined(len(fp), np.argwhere(np.triu(d <= most, 1)).tolist())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_large_buckets_are_compared_in_full(seed, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", 1000)
+    rnd = np.random.default_rng(seed)
+    flips = (20, 40, 60, 75, 90, 120)[seed]  # copies near their origin, chains of copies, and unrelated rows
+    fp = [rnd.integers(0, 2**63, similar.WIDE).astype(np.uint64) for _ in range(5)]
+    for _ in range(495):
+        bits = np.unpackbits(fp[rnd.integers(len(fp))].view(np.uint8))
+        bits[rnd.choice(256, rnd.integers(flips), replace=False)] ^= 1
+        fp.append(np.packbits(bits).view(np.uint64))
+    fp = np.stack(fp)[rnd.permutation(500)]
+    assert (simhash.forest(500, *similar.ball_links(fp, 51)) == plain_components(fp, 51)).all()
+    group = np.sort(rnd.integers(0, 12, 500) ** 2 // 20)  # large and small buckets
+    got = simhash.forest(500, *similar.near_pairs(fp, group, 51, fp[:2]))
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        assert (got[at] - at[0] == plain_components(fp[at], 51)).all()
+
+
+def test_hot_buckets_are_dealt_as_tiles(spark, monkeypatch):
+    """A chain of copies, each a few words from the one before, lies in few buckets; tiles of 16 rows leave no link out."""
+    rnd = random.Random(5)
+    text = [rnd.choice("abcdefgh") * 3 + str(i) for i in range(300)]
+    rows = []
+    for i in range(150):
+        text[rnd.randrange(300)] = f"new{i}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    monkeypatch.setattr(similar, "HOT", 16)
+    tiled = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    assert tiled == plain and set(plain.values()) == {0}
 
 
 def test_filter_has_no_false_negative():

@@ -47,6 +47,18 @@ def x7(t):
     return t.events.select("event_id", X.iso_dates(F.date_format("ts", "dd/MM/yyyy")).alias("day"))
 
 
+@query("x8_citation_case", "SELECT doc_id, 'Luật số ' || doc_id || ', Điều ' || doc_id AS citation FROM documents")
+def x8(t):
+    made = F.concat(F.lit("luật  số "), F.col("doc_id"), F.lit(",\tđiều "), F.col("doc_id"), F.lit(" "))
+    return t.documents.select("doc_id", X.title_case_citation(made).alias("citation"))
+
+
+@query("x9_legal_normal")
+def x9(t):
+    """Normal form, white space and short forms in one; look-around is not in the SQL's expressions."""
+    return t.documents.select("doc_id", F.md5(X.normalize_legal(F.col("text"), LATIN)).alias("digest"))
+
+
 @query("d1_first_date", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def d1(t):
     return t.events.select("event_id", X.first_date(F.concat(F.lit("am "), F.date_format("ts", "d/M/yyyy"), F.lit(" und 1/1/1999"))).cast("string").alias("day"))
@@ -92,6 +104,16 @@ def x15(t):
     return P.references(t.documents.select("doc_id", made.alias("text")))
 
 
+@query(
+    "x16_whole_document",
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'luat' END AS doc_type, doc_id || '/2020/QH14' AS document_number, strftime(DATE '2020-06-17', '%Y-%m-%d') AS publish_date, '1 2' AS article_nos FROM documents""",
+)
+def x16(t):
+    made = F.concat(F.lit("Luật số "), F.col("doc_id"), F.lit("/2020/QH14\nNgày 17 tháng 6 năm 2020\nĐiều 1. A\n1. x\nĐiều 2. B\n"), F.col("source"))
+    d = P.documents(t.documents.select("doc_id", "source", made.alias("text")), {"doc_type": F.when(F.col("doc_id") % 2 == 0, F.col("source"))})
+    return d.select("doc_id", "doc_type", "document_number", F.col("publish_date").cast("string").alias("publish_date"), F.concat_ws(" ", F.transform("articles", lambda a: a["number"])).alias("article_nos"))
+
+
 @query("x17_clauses", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN len(p) > 1 THEN p ELSE [text] END) AS c FROM (SELECT doc_id, text, string_split_regex(text, '\\n\\s*\\n') AS p FROM documents)) WHERE length(trim(regexp_replace(c, '\\s+', ' ', 'g'))) >= 20 GROUP BY 1")
 def x17(t):
     return P.clauses(t.documents).groupBy("doc_id").agg(F.count("*").alias("n"))

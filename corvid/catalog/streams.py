@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans import retrieval as R
 from ..sources import tables as S
 from ..streaming import ingest as I
 from .base import query
@@ -44,3 +45,14 @@ def r4(t):
 def r7(t):
     w = I.latency_windows(t.events)
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+def letters(texts: list[str]) -> list[list[int]]:
+    return [[s.count(c) for c in "aeiou"] for s in texts]
+
+
+@query("r6_vector_stream", "SELECT doc_id, array_to_string([length(text) - length(replace(text, c, '')) FOR c IN ['a', 'e', 'i', 'o', 'u']], ' ') AS vector FROM documents")
+def r6(t):
+    """Vectors in batches as texts stream by; a count of letters stands for the model."""
+    v = R.vectors(t.documents, letters)
+    return v.select("doc_id", F.concat_ws(" ", F.transform("vector", lambda x: x.cast("long").cast("string"))).alias("vector"))

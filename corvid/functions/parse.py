@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,6 +129,17 @@ def metadata(c: Column) -> Column:
     )
 
 
+def documents(docs: DataFrame, overrides: Mapping[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, content, one column for each field of :func:`metadata`, articles): whole documents, parsed.
+
+    A value of ``overrides`` (by field) goes before what the text says; a null one does not.
+    """
+    m = docs.withColumn("m_", metadata(F.col(text_col)))
+    known = overrides or {}
+    fields = [F.coalesce(known[f].cast(kind), F.col(f"m_.{f}")).alias(f) if f in known else F.col(f"m_.{f}") for f, kind in ((x.name, x.dataType) for x in m.schema["m_"].dataType)]
+    return m.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"), *fields, articles(F.col(text_col)).alias("articles"))
+
+
 def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(src, rel, needle): documents that a text amends, cites or refers to, by number."""
     number = r"\d+/\d{4}/[\p{Lu}\d]+(?:-[\p{Lu}\d]+)*"

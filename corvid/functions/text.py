@@ -106,6 +106,11 @@ def expand(c: Column, words: Mapping[str, str] | None = None) -> Column:
     return c
 
 
+def normalize_legal(c: Column, words: Mapping[str, str] | None = None) -> Column:
+    """Normal form C, then white space, then short forms, as texts are stored."""
+    return expand(normalize_space(nfc(c)), words)
+
+
 def lacks_marks(c: Column, share: float = 0.5) -> Column:
     """Whether most words of the first 2000 characters that usually carry marks have none."""
     plain = F.size(F.regexp_extract_all(F.substring(F.lower(c), 1, 2000), F.lit(r"(?U)\b(?:khong|duoc|nguoi|luat|dieu|quyen|hop|dong|cua|trong)\b"), F.lit(0)))

@@ -8,7 +8,7 @@ doc_id, so that results do not depend on how rows are dealt.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -280,3 +280,20 @@ def boost_related(hits: DataFrame, related: DataFrame, factor: float = 1.2) -> D
     x = hits.withColumnRenamed("score", "original").join(r, ["query_id", "doc_id"], "left")
     x = x.withColumn("score", F.col("original") * F.when(F.col("rel_"), factor).otherwise(1.0)).drop("rel_", "rank")
     return ranked(x)
+
+
+def vectors(docs: DataFrame, model: Callable[[list[str]], Sequence[Sequence[float]]], batch: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, vector): what ``model`` makes of each text, in batches of ``batch`` texts, as the rows stream by.
+
+    Null counts as empty. No more than one batch of vectors is held at a time.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                made = model([t or "" for t in part[text_col]])
+                yield pd.DataFrame({id_col: part[id_col], "vector": [[float(x) for x in v] for v in made]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, vector array<double>")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import functions as F
 
 from ..plans import retrieval as R
 from ..sources import tables as S
 from ..streaming import ingest as I
+from ..streaming.tasks import Tasks
 from .base import query
 from .scans import scratch
 
@@ -47,6 +50,19 @@ def r7(t):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
+@query("r5_task_states", "SELECT * FROM (VALUES (0, 'count', 'completed'), (1, 'broken', 'failed'), (2, 'late', 'cancelled')) AS v (task_id, name, state)")
+def r5(t):
+    """One task at a time: one that ends, one that fails, and one that is cancelled before its turn."""
+    tasks, go = Tasks(t.spark), threading.Event()
+    tasks.submit("count", lambda: (go.wait(60), t.documents.count())[1])
+    tasks.submit("broken", lambda: t.documents.select("no such column").count())
+    tasks.cancel(tasks.submit("late", t.documents.count))
+    go.set()
+    tasks.wait()
+    tasks.close()
+    return tasks.states().select("task_id", "name", "state")
+
+
 def letters(texts: list[str]) -> list[list[int]]:
     return [[s.count(c) for c in "aeiou"] for s in texts]
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import math
+import threading
+import time
 import unicodedata
 
 import pytest
@@ -17,6 +19,7 @@ from corvid.plans import retrieval as R
 from corvid.plans import review as V
 from corvid.sources import tables as S
 from corvid.streaming import ingest as I
+from corvid.streaming.tasks import Tasks
 
 
 def one(spark, make, text):
@@ -259,3 +262,41 @@ def test_streamed_windows_with_late_data(spark, tmp_path):
 def test_approximate_distinct_count_is_close(spark):
     r = spark.range(100_000).agg(F.approx_count_distinct("id", 0.01).alias("n")).first()
     assert abs(r["n"] - 100_000) < 3000
+
+
+def test_running_task_is_cancelled(spark):
+    tasks, began = Tasks(spark), threading.Event()
+
+    def long():
+        began.set()
+        return spark.range(8, numPartitions=8).select(F.expr("java_method('java.lang.Thread', 'sleep', 60000L + id)")).collect()
+
+    first, second = tasks.submit("long", long), tasks.submit("short", lambda: spark.range(3).count())
+    assert began.wait(30)
+    start = time.time()  # its Spark job may not have started yet
+    assert tasks.cancel(first) and not tasks.cancel(first)
+    tasks.wait(30)
+    assert time.time() - start < 30
+    assert [(r["name"], r["state"]) for r in tasks.states().orderBy("task_id").collect()] == [("long", "cancelled"), ("short", "completed")]
+    assert tasks.tasks[second]["result"] == 3 and not tasks.cancel(second)
+    tasks.close()
+
+
+def test_documents_with_overrides(spark):
+    df = spark.createDataFrame([(1, "Nghị định số 5/2021/NĐ-CP\nĐiều 1. A\nx", "khac"), (2, "Nghị định", None), (3, None, None)], "doc_id long, text string, kind string")
+    got = {r["doc_id"]: r for r in P.documents(df, {"doc_type": F.col("kind")}).collect()}
+    assert [got[i]["doc_type"] for i in (1, 2, 3)] == ["khac", "nghi_dinh", "other"]
+    assert got[1]["document_number"] == "5/2021/NĐ-CP" and got[2]["document_number"] is None
+    assert [len(got[i]["articles"]) for i in (1, 2, 3)] == [1, 0, 0]
+
+
+def test_vectors_come_in_batches(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(10)], "doc_id long, text string").coalesce(1)
+
+    def model(texts):
+        assert len(texts) <= 4
+        return [[len(t)] for t in texts]
+
+    got = {r["doc_id"]: r["vector"] for r in R.vectors(df, model, batch=4).collect()}
+    assert got == {i: [0.0 if i == 3 else float(i)] for i in range(10)}
+    assert R.vectors(df.limit(0), model).count() == 0

@@ -10,6 +10,7 @@ from ..plans import review as V
 from .base import query
 
 TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+WORDS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')"
 LATIN = {"the": "THE", "of": "THE of", "and": "&"}
 
 
@@ -20,7 +21,7 @@ def x1(t):
 
 @query(
     "x2_space",
-    """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents""",
+    """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '(?m)^ +| +$', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents""",
 )
 def x2(t):
     return t.documents.select("doc_id", F.md5(X.normalize_space(F.col("text"))).alias("digest"))
@@ -37,6 +38,13 @@ def x4(t):
     return t.documents.select("doc_id", F.md5(X.expand(F.lower("text"), LATIN)).alias("digest"))
 
 
+@query("x5_query_abbreviations", "SELECT doc_id, 'theo Bộ luật Dân sự và Nghị định Chính phủ số ' || doc_id AS q FROM documents")
+def x5(t):
+    """Short forms in a query in normal form, the longest first."""
+    made = F.concat(F.lit("Theo  BLDS và NĐ-CP số "), F.col("doc_id"))
+    return t.documents.select("doc_id", X.expand(X.normalize_query(made)).alias("q"))
+
+
 @query("x6_missing_marks")
 def x6(t):
     return t.documents.groupBy("lang").agg(F.count_if(X.lacks_marks(F.col("text"))).alias("n"))
@@ -47,10 +55,10 @@ def x7(t):
     return t.events.select("event_id", X.iso_dates(F.date_format("ts", "dd/MM/yyyy")).alias("day"))
 
 
-@query("x8_citation_case", "SELECT doc_id, 'Luật số ' || doc_id || ', Điều ' || doc_id AS citation FROM documents")
+@query("x8_citation_case", "SELECT doc_id, 'Điều ' || doc_id || ' Luật số ' || doc_id || ', Nghị Định ' || doc_id AS citation FROM documents")
 def x8(t):
-    made = F.concat(F.lit("luật  số "), F.col("doc_id"), F.lit(",\tđiều "), F.col("doc_id"), F.lit(" "))
-    return t.documents.select("doc_id", X.title_case_citation(made).alias("citation"))
+    made = F.concat(F.lit("điều "), F.col("doc_id"), F.lit(" luật  số "), F.col("doc_id"), F.lit(",\tnghị định "), F.col("doc_id"), F.lit(" "))
+    return t.documents.select("doc_id", X.normalize_citation(made).alias("citation"))
 
 
 @query("x9_legal_normal")
@@ -104,6 +112,12 @@ def x15(t):
     return P.references(t.documents.select("doc_id", made.alias("text")))
 
 
+@query("x15_reference_strings", "SELECT doc_id, 'Luật 2013' AS amends, 'Điều ' || doc_id || ' Nghị định 2021' AS cites FROM documents")
+def x15b(t):
+    made = F.concat(F.lit("Sửa đổi một số điều của Luật Đất đai 2013. Theo Điều "), F.col("doc_id"), F.lit(" của Nghị định số 4/2021"))
+    return t.documents.select("doc_id", F.concat_ws("|", P.amendment_refs(made)).alias("amends"), F.concat_ws("|", P.citation_refs(made)).alias("cites"))
+
+
 @query(
     "x16_whole_document",
     """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'luat' END AS doc_type, doc_id || '/2020/QH14' AS document_number, strftime(DATE '2020-06-17', '%Y-%m-%d') AS publish_date, '1 2' AS article_nos FROM documents""",
@@ -121,7 +135,7 @@ def x17(t):
 
 @query("x18_variants", "SELECT item_id, 1 + CASE WHEN contains(lower(text), 'the') THEN 2 ELSE 0 END AS n FROM benchmark")
 def x18(t):
-    return t.benchmark.select("item_id", F.size(X.variants(F.col("text"), {"the": ["~1~", "~2~"]})).alias("n"))
+    return t.benchmark.select("item_id", F.size(X.variants(F.lower("text"), {}, {"the": ["~1~", "~2~"]})).alias("n"))
 
 
 @query("x19_negation")
@@ -129,9 +143,9 @@ def x19(t):
     return t.documents.select("doc_id", X.has_negation(F.col("text"), ("the", "und")).alias("neg"), X.negation_scope(F.col("text"), ("the", "und")).alias("scope"))
 
 
-@query("x20_citations")
+@query("x20_citations", "SELECT doc_id, 'Điều ' || doc_id || '|Luật Đất đai năm 2013|Thông tư 59/2020/TT-BTC|Khoản 2' AS cites FROM documents")
 def x20(t):
-    made = F.concat(F.lit("Điều "), F.col("doc_id"), F.lit(" khoản 2 và điều "), F.col("doc_id"), F.lit(" của 59/2020/QH14"))
+    made = F.concat(F.lit("Điều "), F.col("doc_id"), F.lit(" khoản 2 và điều "), F.col("doc_id"), F.lit(" của luật Đất đai  năm 2013, thông tư 59/2020/TT-BTC"))
     return t.documents.select("doc_id", F.concat_ws("|", X.citations(made)).alias("cites"))
 
 
@@ -177,13 +191,13 @@ def x28(t):
     return t.documents.select("doc_id", F.concat_ws(",", F.array_sort(V.ascii_numbers(F.col("text")))).alias("numbers"))
 
 
-@query("x28_quantities")
+@query("x28_quantities", "SELECT doc_id, doc_id || ' ngày|5 %|' || n_chars || ' đồng' AS q FROM documents")
 def x28b(t):
     made = F.concat(F.lit("trong "), F.col("doc_id"), F.lit(" ngày, phạt 5 % và "), F.col("n_chars"), F.lit(" đồng"))
     return t.documents.select("doc_id", F.concat_ws("|", X.quantities(made)).alias("q"))
 
 
-@query("x29_jaccard", f"SELECT doc_id, round(len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b))), 6) AS j FROM (SELECT doc_id, {TOKENS} AS a, (SELECT {TOKENS} FROM documents WHERE doc_id = 0) AS b FROM documents)")
+@query("x29_jaccard", f"SELECT doc_id, coalesce(round(len(list_intersect(list_distinct(a), list_distinct(b))) / nullif(len(list_distinct(list_concat(a, b))), 0), 6), 0) AS j FROM (SELECT doc_id, {WORDS} AS a, (SELECT {WORDS} FROM documents WHERE doc_id = 0) AS b FROM documents)")
 def x29(t):
     one = t.documents.where("doc_id = 0").select(F.col("text").alias("other"))
     return t.documents.crossJoin(F.broadcast(one)).select("doc_id", F.round(X.jaccard(F.col("text"), F.col("other")), 6).alias("j"))  # one row

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import etl
 from ..operators import graph as G
 from .base import query
@@ -106,6 +107,24 @@ def k7(t):
     return G.upsert_edges(edges(t), new, t.documents.select(F.col("doc_id").alias("id")))
 
 
+@query("k8_typed_edges", f"WITH {EDGES} SELECT src, dst, rel FROM e UNION SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'RELATES_TO' ELSE o_orderpriority END FROM orders WHERE o_orderkey IN (SELECT doc_id FROM documents) AND o_custkey IN (SELECT doc_id FROM documents)")
+def k8(t):
+    """Edges whose type is a value of the row, and RELATES_TO where that is empty."""
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderpriority"))
+    new = t.orders.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), X.or_default(kind, "RELATES_TO").alias("rel"))
+    return G.upsert_edges(edges(t), new, t.documents.select(F.col("doc_id").alias("id")))
+
+
+@query("t7_depth_order", f"WITH {BFS} SELECT seed, id, distance FROM r ORDER BY distance, seed, id LIMIT 10")
+def t7(t):
+    return G.distances(seeds(t), edges(t), 2).orderBy("distance", "seed", "id").limit(10).select("seed", "id", "distance")
+
+
+@query("a16_shortest_by_node", f"WITH {BFS} SELECT id, min(distance) AS distance, count(DISTINCT seed) AS seeds FROM r GROUP BY 1")
+def a16(t):
+    return G.distances(seeds(t), edges(t), 2).groupBy("id").agg(F.min("distance").alias("distance"), F.countDistinct("seed").alias("seeds"))
+
+
 @query("g11_graph_counts", f"WITH {EDGES} SELECT rel, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY 1")
 def g11(t):
     return edges(t).groupBy("rel").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))

@@ -201,6 +201,36 @@ def qd(t):
     return R.position_decay(h).where("rank <= 10").select("query_id", "doc_id")
 
 
+def nearest_length(queries, passages):
+    """A stand-in for a model that scores pairs of texts."""
+    return [-abs(len(q) - len(p)) for q, p in zip(queries, passages, strict=True)]
+
+
+@query(
+    "m10_pair_model",
+    f"""WITH {HITS}, n AS (SELECT query_id, doc_id, score / 1000000 AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS pos, count(*) OVER (PARTITION BY query_id) AS n FROM h),
+       d AS (SELECT query_id, doc_id, n, round(0.5 * score + 0.5 * CASE WHEN n <= 1 THEN 1 ELSE 1 - pos / (n - 1) END, 9) AS decayed FROM n),
+       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY decayed DESC, doc_id) AS rank FROM d),
+       s AS (SELECT query_id, doc_id, CAST(-abs(length(query_id::VARCHAR) + 3 - length(doc_id::VARCHAR)) AS DOUBLE) AS score FROM r WHERE rank <= greatest(1, n // 2))
+       SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
+)
+def m10(t):
+    """The second stage of reranking by a model of pairs."""
+    h = hits(t).withColumn("score", F.col("score") / 1000000)
+    return R.rerank(h.withColumns({"query": F.concat(F.col("query_id").cast("string"), F.lit("???")), "passage": F.col("doc_id").cast("string")}), nearest_length, 10)
+
+
+@query("t6_boosted_order", f"WITH {HITS}, s AS (SELECT query_id, doc_id, score * CASE WHEN doc_id % 5 = 0 THEN 1.2 ELSE 1 END AS score FROM h) SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
+def t6(t):
+    h = hits(t)
+    return R.boost_related(h, h.where("doc_id % 5 = 0").select("query_id", "doc_id")).where("rank <= 5").select("query_id", "doc_id", "rank")
+
+
+@query("t2_dense_top_n", COSINE + " SELECT query_id, doc_id FROM r WHERE rank <= 7")
+def t2(t):
+    return dense_hits(t, 7).select("query_id", "doc_id")
+
+
 @query("t3_fused_top_n", LISTS + " SELECT query_id, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(s), 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM a WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM b WHERE rank <= 50) GROUP BY 1, 2) WHERE rank <= 20")
 def t3(t):
     return R.rrf(lists(t), top=20).select("query_id", "doc_id")

@@ -133,6 +133,28 @@ def k4(t):
     return t.spark.read.parquet(path).where("label < 5").groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("k5_postings_write", "SELECT term, count(DISTINCT item_id) AS docs, count(*) AS n FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY 1")
+def k5(t):
+    """The postings of a text index, written by blocks of terms and read back."""
+    from ..plans import retrieval as R
+
+    path = scratch(t.spark)
+    index = R.postings(t.benchmark, X.tokens(F.col("text")), "item_id")
+    S.write_parquet(index.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(4))), path, by=["block"])
+    return t.spark.read.parquet(path).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").cast("long").alias("n"))
+
+
+@query("k10_recreate_table", "SELECT label, count(*) AS n FROM embeddings WHERE label % 2 = 1 GROUP BY 1")
+def k10(t):
+    """A table that is made, dropped and made anew with other rows."""
+    path = scratch(t.spark)
+    rows = t.embeddings.select("vec_id", "label")
+    S.write_parquet(rows.where("label % 2 = 0"), path)
+    S.drop(t.spark, path)
+    S.write_parquet(rows.where("label % 2 = 1"), path, mode="errorifexists")
+    return t.spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("k9_delete_ids", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def k9(t):
     return etl.delete_ids(t.documents.select("doc_id"), t.labels, "doc_id")

@@ -17,9 +17,13 @@ WORDS_PER_CHUNK = int(400 / 1.3)  # 400 tokens at 1.3 a word
 OVERLAP = 0.5
 LEAST_TOKENS = 100
 SENTENCE = re.compile(r"(?<=[.;\n])\s+")
-ARTICLE = re.compile(r"^\s*(?:Điều|ĐIỀU|Article)\s+(\d+)\s*[.:]?\s*(.*)$", re.M)
-SUBSECTION = re.compile(r"^\s*(\d+)\.\s+", re.M)
-POINT = re.compile(r"^\s*([a-zđ])\)\s+", re.M)
+# Headings of articles, subsections and lettered clauses, and references in sentences.
+ARTICLE = re.compile(r"^\s*(?:Điều|Article)\s+(\d+)\s*(?:[.:-]\s*(.*)|\s*$)", re.M | re.I)
+SUBSECTION = re.compile(r"^\s*(\d+)\.\s+(.*)", re.M)
+POINT = re.compile(r"^\s*([a-zđ])\)\s+(.*)", re.M)
+KINDS = r"(Luật|Nghị\s+định|Thông\s+tư|Quyết\s+định)"
+AMENDMENT = rf"sửa\s+đổi.*?{KINDS}.*?(\d{{4}}|\d+/[\w-]+|số\s+\d+)"
+CITATION = rf"Điều\s+(\d+).*?{KINDS}.*?(\d{{4}})"
 
 
 def rows_of(**fields: DataType) -> ArrayType:
@@ -29,7 +33,8 @@ def rows_of(**fields: DataType) -> ArrayType:
 CHUNKS = rows_of(chunk_index=IntegerType(), start_char=IntegerType(), end_char=IntegerType(), content=StringType())
 ARTICLES = rows_of(
     number=StringType(), title=StringType(), content=StringType(),
-    subsections=rows_of(number=StringType(), text=StringType(), clauses=rows_of(letter=StringType(), text=StringType())),
+    subsections=rows_of(number=StringType(), text=StringType(), content=StringType(), clauses=rows_of(letter=StringType(), text=StringType())),
+    clauses=rows_of(letter=StringType(), text=StringType()),
 )
 
 
@@ -79,19 +84,20 @@ def chunks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def articles_of(text: str) -> list[dict]:
-    """Articles with their subsections and lettered clauses, from one heading to the next."""
+    """Articles with their subsections and lettered clauses. Content goes from one heading to the next; clauses
+    belong to the article itself only where it has no subsections."""
 
     def cut(pattern: re.Pattern, body: str) -> list[tuple[re.Match, str]]:
         found = list(pattern.finditer(body))
         return [(m, body[m.end() : n.start() if n else len(body)].strip()) for m, n in zip(found, [*found[1:], None][: len(found)], strict=True)]
 
+    def lettered(body: str) -> list[dict]:
+        return [{"letter": p[1], "text": p[2].strip()} for p in POINT.finditer(body)]
+
     out = []
     for m, body in cut(ARTICLE, text):
-        subs = []
-        for s, inner in cut(SUBSECTION, body):
-            clauses = [{"letter": p[1], "text": t} for p, t in cut(POINT, inner)]
-            subs.append({"number": s[1], "text": inner, "clauses": clauses})
-        out.append({"number": m[1], "title": m[2].strip(), "content": body, "subsections": subs})
+        subs = [{"number": s[1], "text": s[2].strip(), "content": inner, "clauses": lettered(inner)} for s, inner in cut(SUBSECTION, body)]
+        out.append({"number": m[1], "title": (m[2] or "").strip(), "content": body, "subsections": subs, "clauses": [] if subs else lettered(body)})
     return out
 
 
@@ -102,9 +108,9 @@ def articles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def exploded_articles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, article_no, title, content, subsections), one row an article."""
+    """(doc_id, article_no, title, content, subsections, clauses), one row an article."""
     a = docs.select(F.col(id_col).alias("doc_id"), F.explode(articles(F.col(text_col))).alias("a"))
-    return a.select("doc_id", F.col("a.number").alias("article_no"), "a.title", "a.content", "a.subsections")
+    return a.select("doc_id", F.col("a.number").alias("article_no"), "a.title", "a.content", "a.subsections", "a.clauses")
 
 
 def clauses(contracts: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
@@ -119,25 +125,37 @@ def clauses(contracts: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def metadata(c: Column) -> Column:
-    """What the head of a document says of it."""
+    """What a document says of itself: its kind in the first 500 characters, its number, dates in words, and who issued it."""
+    number = X.document_number(c)
     return F.struct(
-        X.doc_type(c).alias("doc_type"),
-        X.document_number(c).alias("document_number"),
-        X.first_date(c, 1).alias("publish_date"),
-        X.first_date(c, 2).alias("effective_date"),
+        X.doc_type(F.substring(c, 1, 500)).alias("doc_type"),
+        number.alias("document_number"),
+        X.law_id(number).alias("law_id"),
+        X.date_in_words(c, 1).alias("publish_date"),
+        X.date_in_words(c, 2).alias("effective_date"),
         X.issuer(c).alias("issuing_body"),
     )
 
 
+def amendment_refs(c: Column) -> Column:
+    """What a text amends, as kind and number or year."""
+    return X.rewritten(c, "{1} {2}", AMENDMENT)
+
+
+def citation_refs(c: Column) -> Column:
+    """Articles of other documents that a text cites, as article, kind and year."""
+    return X.rewritten(c, "Điều {1} {2} {3}", CITATION)
+
+
 def documents(docs: DataFrame, overrides: Mapping[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, content, one column for each field of :func:`metadata`, articles): whole documents, parsed.
+    """(doc_id, content, one column for each field of :func:`metadata`, articles, amendment_refs, citation_refs): whole documents, parsed.
 
     A value of ``overrides`` (by field) goes before what the text says; a null one does not.
     """
     m = docs.withColumn("m_", metadata(F.col(text_col)))
     known = overrides or {}
     fields = [F.coalesce(known[f].cast(kind), F.col(f"m_.{f}")).alias(f) if f in known else F.col(f"m_.{f}") for f, kind in ((x.name, x.dataType) for x in m.schema["m_"].dataType)]
-    return m.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"), *fields, articles(F.col(text_col)).alias("articles"))
+    return m.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"), *fields, articles(F.col(text_col)).alias("articles"), amendment_refs(F.col(text_col)).alias("amendment_refs"), citation_refs(F.col(text_col)).alias("citation_refs"))
 
 
 def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,6 +171,6 @@ def plan(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("original"))
     q = q.withColumn("normalized", X.normalize_query(X.nfc("original")))
     q = q.withColumn("expanded", X.expand(F.col("normalized")))
-    q = q.withColumns({"variants": X.variants(F.col("expanded")), "has_negation": X.has_negation(F.col("expanded")), "negation_scope": X.negation_scope(F.col("expanded")), "citations": X.citations(F.col("original"))})
+    q = q.withColumns({"variants": X.variants(F.col("expanded")), "has_negation": X.has_negation(F.col("expanded")), "negation_scope": X.negation_scope(F.col("expanded")), "citations": X.citations(F.col("expanded"))})
     strategy = F.when(F.size("citations") > 0, "citation").when(F.col("has_negation"), "negation").otherwise("semantic")
     return q.withColumn("strategy", strategy)

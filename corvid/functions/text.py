@@ -7,6 +7,7 @@ have no built-in expression, and go through Arrow.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -54,22 +55,52 @@ SYNONYMS: dict[str, list[str]] = {
     "pay": ["remit"],
 }
 
-# Words of negation, in the order they are looked for.
-NEGATIONS: list[str] = ["không được", "không phải", "không có", "cấm", "nghiêm cấm", "không", "chưa", "chẳng", "trừ khi", "ngoại trừ", "not", "never", "without"]
-
-# Document kinds and the prefixes they are recognised by.
-DOC_TYPES: dict[str, str] = {
-    "hiến pháp": "hien_phap",
-    "bộ luật": "luat",
-    "luật": "luat",
-    "nghị định": "nghi_dinh",
-    "thông tư": "thong_tu",
-    "quyết định": "quyet_dinh",
-    "nghị quyết": "nghi_quyet",
+# Other forms of verbs, and narrower terms of broad ones; both replace parts of words too.
+FORMS: dict[str, list[str]] = {
+    "quản lý": ["được quản lý", "việc quản lý"],
+    "thành lập": ["được thành lập", "việc thành lập"],
+    "đăng ký": ["được đăng ký", "thủ tục đăng ký"],
+    "sử dụng": ["được sử dụng", "quyền sử dụng"],
+    "xử phạt": ["xử phạt vi phạm", "chế tài"],
+    "đất đai": ["quyền sử dụng đất", "đất nông nghiệp"],
+    "môi trường": ["bảo vệ môi trường", "ô nhiễm"],
 }
 
-# Bodies that issue documents, most specific first.
-ISSUERS: list[str] = ["Ủy ban thường vụ Quốc hội", "Quốc hội", "Chính phủ", "Thủ tướng Chính phủ", "Bộ Tài chính", "Bộ Tư pháp", "Tòa án nhân dân tối cao"]
+# Phrases of negation in queries, in the order they are looked for.
+NEGATIONS: list[str] = [
+    "không được phép", "không được", "nghiêm cấm", "cấm", "không cho phép", "không có quyền", "không thể", "không được quyền",
+    "không nên", "không được phép để", "không bao gồm", "không áp dụng", "không có hiệu lực", "vô hiệu",
+]
+
+# Kinds of documents, and the words that a text names each by.
+KIND_WORDS: dict[str, list[str]] = {
+    "luat": ["luật", "bộ luật"],
+    "nghi_dinh": ["nghị định", "nđ-cp"],
+    "thong_tu": ["thông tư", "tt", "tt-btc", "tt-btp"],
+    "quyet_dinh": ["quyết định", "qđ"],
+    "nghi_quyet": ["nghị quyết", "nq"],
+}
+
+# Names of document types in data sets, by the kind that they count as. All others are "other".
+KIND_NAMES: dict[str, list[str]] = {
+    "luat": ["luật", "bộ luật", "hiến pháp", "sắc luật"],
+    "nghi_dinh": ["nghị định", "nghị định thư"],
+    "thong_tu": ["thông tư", "thông tư liên tịch", "thông tư liên bộ"],
+    "quyet_dinh": ["quyết định", "sắc lệnh", "lệnh", "pháp lệnh", "chỉ thị"],
+    "nghi_quyet": ["nghị quyết", "nghị quyết liên tịch"],
+}
+DOC_TYPES: dict[str, str] = {name: kind for kind, names in KIND_NAMES.items() for name in names}
+
+# Patterns of the bodies that issue documents, the first that occurs counts.
+ISSUERS: list[str] = [
+    r"Quốc\s+hội", r"Chính\s+phủ", r"Thủ\s+tướng", r"Bộ\s+(?:Tư\s+pháp|Tài\s+chính|Công\s+thương|Lao\s+động)", r"Ngân\s+hàng\s+Nhà\s+nước", r"UBND\s+(?:tỉnh|thành\s+phố)",
+]
+
+# Common words that carry marks, one count each.
+MARKED_WORDS: list[str] = (
+    "ngày tháng năm điều khoản điểm luật nghị định thông tư quyết định bộ pháp hình sự dân chính phủ quốc hội thành phố tỉnh huyện "
+    "công ty trách nhiệm hữu hạn cổ phần hợp đồng lao động thương mại dịch vụ bảo hiểm xã hội y tế giáo dục"
+).split()
 
 
 @pandas_udf(StringType())
@@ -85,11 +116,11 @@ def or_default(c: Column, default: str) -> Column:
 
 
 def normalize_space(c: Column) -> Column:
-    """Tabs to spaces, runs of spaces to one, CRLF to LF, three or more LF to two, each line trimmed."""
-    c = F.regexp_replace(c, r"\r\n?", "\n")
+    """Tabs to spaces, runs of spaces to one, CRLF to LF, three or more LF to two, then each line trimmed."""
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r"(?m)^ +| +$", "")
-    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    c = F.regexp_replace(c, r"\r\n?", "\n")
+    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(c, r"(?m)^ +| +$", ""), r"^\s+|\s+$", "")
 
 
 def normalize_query(c: Column) -> Column:
@@ -111,18 +142,29 @@ def normalize_legal(c: Column, words: Mapping[str, str] | None = None) -> Column
     return expand(normalize_space(nfc(c)), words)
 
 
-def lacks_marks(c: Column, share: float = 0.5) -> Column:
-    """Whether most words of the first 2000 characters that usually carry marks have none."""
-    plain = F.size(F.regexp_extract_all(F.substring(F.lower(c), 1, 2000), F.lit(r"(?U)\b(?:khong|duoc|nguoi|luat|dieu|quyen|hop|dong|cua|trong)\b"), F.lit(0)))
-    marked = F.size(F.regexp_extract_all(F.substring(F.lower(c), 1, 2000), F.lit(r"(?U)\b(?:không|được|người|luật|điều|quyền|hợp|đồng|của)\b"), F.lit(0)))
-    return (plain + marked > 0) & (plain > share * (plain + marked))
+def lacks_marks(c: Column, share: float = 0.5, words: Sequence[str] = tuple(MARKED_WORDS)) -> Column:
+    """Whether, of the listed words that the first 2000 characters hold without marks, more than ``share`` nowhere have them."""
+    head = F.substring(F.lower(c), 1, 2000)
+    plain = ["".join(ch for ch in unicodedata.normalize("NFD", w) if unicodedata.category(ch) != "Mn") for w in words]
+    seen = [F.coalesce(head.rlike(rf"(?U)(?<!\w){p}(?!\w)"), F.lit(False)) for p in plain]
+    total = sum((x.cast("int") for x in seen), F.lit(0))
+    bare = sum(((x & ~head.contains(w)).cast("int") for x, w in zip(seen, words, strict=True)), F.lit(0))
+    return (total > 0) & (bare > share * total)
 
 
 def iso_dates(c: Column) -> Column:
-    """Dates in words or d/m/y to y-m-d, without padding."""
+    """Dates in words, d/m/y or y/m/d (also with dashes) to y-m-d, without padding."""
     c = F.regexp_replace(c, r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})", "$3-$2-$1")
-    c = F.regexp_replace(c, r"(?<!\d)(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3-$2-$1")
-    return F.regexp_replace(c, r"(?<!\d)(\d{1,2})-(\d{1,2})-(\d{4})(?!\d)", "$3-$2-$1")
+    c = F.regexp_replace(c, r"(?<!\d)(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d)", "$3-$2-$1")
+    return F.regexp_replace(c, r"(?<!\d)(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?!\d)", "$1-$2-$3")
+
+
+def date_in_words(c: Column, n: int = 1) -> Column:
+    """The n-th date written in words (day, month, year), or null; null too if there is no such day."""
+    pattern = r"(?iuU)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+    found = F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(n))
+    part = lambda i: F.lpad(F.regexp_extract(found, pattern, i), 2 if i < 3 else 4, "0")
+    return F.try_to_date(F.concat_ws("-", part(3), part(2), part(1)))
 
 
 def first_date(c: Column, n: int = 1) -> Column:
@@ -176,59 +218,82 @@ def cut_at_word(c: Column, most: int = 350) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Share of common words of two texts; 0 if both are empty."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+    """Share of common words, between white space and in lower case, of two texts; 0 if one has none."""
+    x, y = (F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")) for t in (a, b))
     union = F.size(F.array_union(x, y))
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
 
 
+def phrase(words: str) -> str:
+    """A pattern of whole words with any white space between them."""
+    return rf"(?<!\w){words.replace(' ', r'\s+')}(?!\w)"
+
+
 def has_negation(c: Column, words: Sequence[str] = tuple(NEGATIONS)) -> Column:
-    return F.lower(c).rlike(r"(?U)(?<!\w)(?:" + "|".join(words) + r")(?!\w)")
+    return c.rlike("(?iuU)" + "|".join(map(phrase, words)))
 
 
 def negation_scope(c: Column, words: Sequence[str] = tuple(NEGATIONS)) -> Column:
-    """From the first listed word that occurs to the next mark of punctuation, 100 characters at most."""
-    scopes = [F.nullif(F.regexp_extract(c, rf"(?iuU)(?<!\w){w}(?!\w)([^,.;!?]{{0,100}})", 0), F.lit("")) for w in words]
-    return F.trim(F.coalesce(*scopes))
+    """What follows the first listed phrase that occurs, up to punctuation; 100 characters where that comes at once. Null without one."""
+    rest = F.coalesce(*(F.when(c.rlike(f"(?iuU){phrase(w)}"), F.regexp_extract(c, rf"(?iusU){phrase(w)}\s*(.*)$", 1)) for w in words))
+    return F.trim(F.coalesce(F.nullif(F.regexp_extract(rest, r"^[^,.;!?]+", 0), F.lit("")), F.substring(rest, 1, 100)))
+
+
+# Patterns of numbers with what they count, in the order of the result.
+QUANTITIES: list[str] = [
+    r"\d+\s*(?:năm|tháng|ngày|giờ|phút)", r"\d+[\d\s]*(?:triệu|tỷ|nghìn|ngàn|đồng|VNĐ|\$|%)", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"\d{2}/\d{2}/\d{4}", r"\d+\.\d+", r"\d+%",
+]
 
 
 def quantities(c: Column) -> Column:
-    """Numbers with what they count: percentages, money, days, months, years, plain."""
-    pats = [r"\d+(?:[.,]\d+)?\s*%", r"(?iu)\d+(?:[.,]\d+)*\s*(?:đồng|vnd|usd|eur|\$)", r"(?iu)\d+\s*(?:ngày|days?)", r"(?iu)\d+\s*(?:tháng|months?)", r"(?iu)\d+\s*(?:năm|years?)", r"\d+"]
-    return F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))) for p in pats)))
+    """Times, money and shares, dates, decimals, percentages: all matches, pattern by pattern."""
+    return F.concat(*(F.regexp_extract_all(c, F.lit(f"(?iuU){p}"), F.lit(0)) for p in QUANTITIES))
 
 
+# How citations are written out, and the patterns they are found by, in the order of the result.
 CITATIONS: list[tuple[str, str]] = [
-    ("article", r"(?iu)điều\s+\d+"),
-    ("clause", r"(?iu)khoản\s+\d+"),
-    ("point", r"(?iu)điểm\s+[a-zđ]\b"),
-    ("law", r"(?iu)(?:bộ\s+)?luật\s+\p{Lu}[\p{L}\s]{2,40}?\s+(?:năm\s+)?\d{4}"),
-    ("decree", r"(?iu)nghị\s+định\s+(?:số\s+)?\d+/\d{4}/NĐ-CP"),
-    ("circular", r"(?iu)thông\s+tư\s+(?:số\s+)?\d+/\d{4}/TT-\p{L}+"),
-    ("number", r"\d+/\d{4}/[\p{Lu}\d-]+"),
+    ("Điều {1}", r"Điều\s+(\d+[a-zA-Z]?(?:\.\d+)?)"),
+    ("Luật {1} năm {2}", r"Luật\s+(.+?)\s+năm\s+(\d{4})"),
+    ("Nghị định {1}", r"Nghị\s+định\s+(\d+/\d{4}/NĐ-CP)"),
+    ("Thông tư {1}", r"Thông\s+tư\s+(\d+/\d{4}/TT-\w+)"),
+    ("Khoản {1}", r"Khoản\s+(\d+[a-zA-Z]?(?:\.\d+)?)"),
+    ("Điểm {1}", r"Điểm\s+([a-zA-Z]\d?)"),
+    ("Chương {1}", r"Chương\s+(\d+|[IVX]+)"),
 ]
 
 
+def rewritten(c: Column, form: str, pattern: str) -> Column:
+    """All matches of a pattern, each written as ``form`` with its groups."""
+    pattern = f"(?iuU){pattern}"
+    bits = re.split(r"\{(\d)\}", form)  # text, group, text, ...
+
+    def one(m: Column) -> Column:
+        return F.concat(*(F.lit(x) if i % 2 == 0 else F.trim(F.regexp_extract(m, pattern, int(x))) for i, x in enumerate(bits)))
+
+    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one)
+
+
 def citations(c: Column) -> Column:
-    """Citations kind by kind, in the order of the text within a kind, each once."""
-    return F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", " ")) for _, p in CITATIONS)))
+    """Citations in one form, kind by kind, in the order of the text within a kind, each once."""
+    return F.array_distinct(F.concat(*(rewritten(c, form, p) for form, p in CITATIONS)))
 
 
-def variants(c: Column, synonyms: Mapping[str, Sequence[str]] | None = None, most: int = 10) -> Column:
-    """The text itself, then each replacement of a word by one of its group, sorted; ``most`` at most."""
-    table = SYNONYMS if synonyms is None else synonyms
-    low = F.lower(c)
-    made = [F.when(low.contains(w), F.replace(low, F.lit(w), F.lit(v))) for w, vs in table.items() for v in vs]
-    others = F.array_sort(F.array_except(F.array_compact(F.array(*made)), F.array(low)))
-    return F.slice(F.concat(F.array(low), F.array_distinct(others)), 1, most)
+def variants(c: Column, synonyms: Mapping[str, Sequence[str]] | None = None, forms: Mapping[str, Sequence[str]] | None = None, most: int = 10) -> Column:
+    """The text itself, then, sorted, what replacing whole words by their synonyms and parts by other forms gives; ``most`` at most."""
+    whole, parts = SYNONYMS if synonyms is None else synonyms, FORMS if forms is None else forms
+    made = [F.when(c.rlike(f"(?iuU){phrase(w)}"), F.regexp_replace(c, f"(?iuU){phrase(w)}", v.replace("$", r"\$"))) for w, vs in whole.items() for v in vs]
+    made += [F.when(c.contains(w), F.replace(c, F.lit(w), F.lit(v))) for w, vs in parts.items() for v in vs]
+    if not made:
+        return F.array(c)
+    others = F.array_sort(F.array_except(F.array_compact(F.array(*made)), F.array(c)))
+    return F.slice(F.concat(F.array(c), others), 1, most)
 
 
 def doc_type(c: Column, default: str = "other") -> Column:
-    """The kind whose name occurs first in the text."""
-    low = F.lower(c)
-    places = [F.struct(F.nullif(F.instr(low, w), F.lit(0)).alias("at"), F.lit(-len(w)).alias("n"), F.lit(t).alias("t")) for w, t in DOC_TYPES.items()]
-    found = F.array_sort(F.filter(F.array(*places), lambda s: s["at"].isNotNull()))
-    return F.coalesce(F.try_element_at(found, F.lit(1))["t"], F.lit(default))
+    """The kind that is named first in the text."""
+    at = [F.regexp_instr(c, F.lit("(?iuU)(?:" + "|".join(map(phrase, words)) + ")")) for words in KIND_WORDS.values()]
+    first = F.array_min(F.filter(F.array(*at), lambda x: x > 0))
+    return F.coalesce(*(F.when(x == first, F.lit(kind)) for x, kind in zip(at, KIND_WORDS, strict=True)), F.lit(default))
 
 
 def map_type(c: Column, table: Mapping[str, str] | None = None, default: str = "other") -> Column:
@@ -239,13 +304,26 @@ def map_type(c: Column, table: Mapping[str, str] | None = None, default: str = "
 
 
 def document_number(c: Column) -> Column:
-    """The number of a document, as in 59/2020/QH14."""
-    return F.nullif(F.regexp_extract(c, r"(?iu)(?:số[:\s]*)?(\d+/\d{4}/[\p{Lu}\d]+(?:-[\p{Lu}\d]+)*)", 1), F.lit(""))
+    """The number of a document, as in 59/2020/QH14: after the word for number, else the first of its head.
+
+    Parts go up to the first that is a word: one with a small letter with a mark, or neither capital nor with a digit or dash.
+    """
+    named = F.nullif(F.regexp_extract(c, r"(?iuU)số\s*[:\s]\s*(\d+/[\w-]+(?:/[\w-]+)*)", 1), F.lit(""))
+    head = F.nullif(F.regexp_extract(F.substring(c, 1, 300), r"(?U)(\d+/\d*/?[\w-]*)", 1), F.lit(""))
+    parts = F.split(F.coalesce(named, head), "/")
+    word = F.transform(parts, lambda p: p.rlike("[à-ỹđ&&[^A-Za-z]&&\\p{Ll}]") | ~(p.rlike(r"[\d-]") | (p.rlike(r"\p{L}") & (F.upper(p) == p))))
+    stop = F.array_position(word, F.lit(True)).cast("int")
+    return F.array_join(F.when(stop > 0, F.slice(parts, F.lit(1), stop - 1)).otherwise(parts), "/")
+
+
+def law_id(number: Column) -> Column:
+    """A document number that has more than its first part."""
+    return F.when(number.rlike(r"^\d+/"), number)
 
 
 def issuer(c: Column) -> Column:
-    """The first body of the list that the text names."""
-    return F.coalesce(*(F.when(c.contains(n), F.lit(n)) for n in ISSUERS))
+    """The text's name of the first body of the list that it names."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(c, f"(?iuU){p}", 0), F.lit("")) for p in ISSUERS))
 
 
 def root_id(c: Column) -> Column:
@@ -258,11 +336,12 @@ def host(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), r"^www\.", "")
 
 
-def title_case_citation(c: Column) -> Column:
-    """A citation with its kind in capitals: ``luật`` to ``Luật``, ``điều`` to ``Điều``."""
-    for word in ("bộ luật", "luật", "nghị định", "thông tư", "quyết định", "điều", "khoản", "điểm"):
-        c = F.regexp_replace(c, rf"(?iuU)(?<!\w){word}(?!\w)", word[0].upper() + word[1:])
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+def normalize_citation(c: Column, words: Mapping[str, str] | None = None) -> Column:
+    """A citation in normal form, with the words of document kinds capitalised, and an article at its start."""
+    c = normalize_legal(c, words)
+    for kind in ("luật", "nghị định", "thông tư", "quyết định"):
+        c = F.regexp_replace(c, f"(?iuU){phrase(kind)}", kind.title())
+    return F.trim(F.regexp_replace(c, r"(?iuU)^điều(?!\w)", "Điều"))
 
 
 def ground(text: Column, known: Column) -> Column:

@@ -274,6 +274,29 @@ def position_decay(hits: DataFrame, alpha: float = 0.5) -> DataFrame:
     return x.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n_") / 2))).drop("pos_", "n_")
 
 
+def rerank(pairs: DataFrame, model: Callable[[list[str], list[str]], Sequence[float]] | None = None, top: int | None = None, batch: int = 64) -> DataFrame:
+    """(query_id, doc_id, score, rank) of pairs (query_id, doc_id, score, query, passage) in two stages.
+
+    First the better half by :func:`position_decay`. Then ``model`` scores what
+    is left, from batches of queries and passages; null texts count as empty.
+    Without a model, the first stage decides alone.
+    """
+    half = position_decay(pairs)
+    if model is None:
+        return ranked(half.select("query_id", "doc_id", F.col("decayed").alias("score")), top)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                made = model([t or "" for t in part["query"]], [t or "" for t in part["passage"]])
+                yield pd.DataFrame({"query_id": part["query_id"], "doc_id": part["doc_id"], "score": [float(x) for x in made]})
+
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "doc_id")}
+    scored = half.select("query_id", "doc_id", "query", "passage").mapInPandas(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+    return ranked(scored, top)
+
+
 def boost_related(hits: DataFrame, related: DataFrame, factor: float = 1.2) -> DataFrame:
     """Scores of documents that are related (query_id, doc_id), multiplied; ``original`` has the old score."""
     r = related.select("query_id", "doc_id", F.lit(True).alias("rel_")).distinct()

@@ -15,6 +15,14 @@ RISK = {"entailed": "none", "contradicted": "high", "partially_supported": "medi
 CONFIDENCE = {"entailed": 95.0, "contradicted": 85.0, "partially_supported": 75.0, "no_reference": 45.0}
 RISK_LEVELS = ["high", "medium", "low", "none"]
 
+# Words that make a clause or passage negative, wherever they occur in it.
+NEGATIVE = ["không", "cấm", "nghiêm cấm", "không được", "không thể", "không bao giờ", "chưa", "chẳng", "đừng"]
+
+
+def negative(c: Column) -> Column:
+    low = F.lower(c)
+    return F.array_contains(F.array(*(low.contains(w) for w in NEGATIVE)), True)
+
 
 def lookup(c: Column, table: dict) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c)
@@ -29,7 +37,7 @@ def ascii_numbers(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"[0-9]+"), F.lit(0)))
 
 
-def rule_level(clause: Column, passage: Column, negated=X.has_negation, numbers=ascii_numbers, least: int = 20) -> Column:
+def rule_level(clause: Column, passage: Column, negated=negative, numbers=X.quantities, least: int = 20) -> Column:
     """(level, confidence) by the first rule that holds, else null.
 
     A phrase of the clause in the passage: entailed, .9. Negation on one side
@@ -39,7 +47,7 @@ def rule_level(clause: Column, passage: Column, negated=X.has_negation, numbers=
     overlap = X.jaccard(clause, passage)
     low = F.lower(passage)
     phrase = F.exists(key_phrases(F.lower(clause)), lambda p: (F.length(p) > least) & low.contains(p))
-    a, b = numbers(clause), numbers(passage)
+    a, b = numbers(F.lower(clause)), numbers(F.lower(passage))
     apart = (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
     res = lambda level, conf: F.struct(F.lit(level).alias("level"), F.lit(conf).alias("confidence"))
     return (
@@ -50,13 +58,13 @@ def rule_level(clause: Column, passage: Column, negated=X.has_negation, numbers=
     )
 
 
-def verified(pairs: DataFrame, model=None, negated=X.has_negation) -> DataFrame:
+def verified(pairs: DataFrame, model=None, negated=negative, numbers=X.quantities) -> DataFrame:
     """pairs (query_id, clause, passage) with level, confidence and decided_by.
 
     Pairs that no rule decides go to ``model``, a function of such a frame; it
     sees no other rows. Without a model they have no reference, confidence 0.
     """
-    ruled = pairs.withColumn("v_", rule_level(F.col("clause"), F.col("passage"), negated))
+    ruled = pairs.withColumn("v_", rule_level(F.col("clause"), F.col("passage"), negated, numbers))
     done = ruled.where("v_ is not null").select(*pairs.columns, "v_.level", "v_.confidence", F.lit("rule").alias("decided_by"))
     rest = ruled.where("v_ is null").select(*pairs.columns)
     if model is None:

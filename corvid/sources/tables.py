@@ -72,6 +72,12 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = (), mode: str =
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table's files; one that is not there stays so."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -127,9 +127,11 @@ def test_dates(spark):
     assert one(spark, lambda c: X.first_date(c), "Luật Doanh nghiệp\nNgày 17 tháng 6 năm 2020") == datetime.date(2020, 6, 17)
     assert one(spark, lambda c: X.first_date(c, 2), "Ngày 17 tháng 6 năm 2020") is None
     assert one(spark, X.iso_dates, "ngày 1 tháng 2 năm 2020") == "2020-2-1"
+    assert one(spark, X.iso_dates, "3-4-2021, 2022/5/6, 112/4/2026") == "2021-4-3, 2022-5-6, 112/4/2026"
+    assert one(spark, X.date_in_words, "ngày 30 tháng 2 năm 2020") is None and one(spark, X.date_in_words, "1/2/2020") is None
 
 
-@pytest.mark.parametrize(("text", "number"), [("Số: 99/2020/NĐ-CP", "99/2020/NĐ-CP"), ("Số 13/2020/TT-BTC", "13/2020/TT-BTC"), ("none", None)])
+@pytest.mark.parametrize(("text", "number"), [("Số: 99/2020/NĐ-CP", "99/2020/NĐ-CP"), ("Số 13/2020/TT-BTC", "13/2020/TT-BTC"), ("none", None), ("số 103/SL", "103/SL"), ("36/1999/Chính", "36/1999"), ("x 7/QĐ/abc", "7/QĐ"), (None, None)])
 def test_document_number(spark, text, number):
     assert one(spark, X.document_number, text) == number
 
@@ -153,15 +155,62 @@ def test_fold(spark):
 
 
 def test_citations_kind_by_kind(spark):
-    assert one(spark, X.citations, "khoản 2 Điều 5, điều 5; theo 59/2020/QH14") == ["Điều 5", "điều 5", "khoản 2", "59/2020/QH14"]
+    assert one(spark, X.citations, "khoản 2 Điều 5a.1, điều 5; điểm b Chương IV; Luật  Nhà ở năm 2014, điều 5") == ["Điều 5a.1", "Điều 5", "Luật Nhà ở năm 2014", "Khoản 2", "Điểm b", "Chương IV"]
+    assert one(spark, X.citations, "") == [] and one(spark, X.citations, None) is None
 
 
 def test_negation(spark):
-    assert one(spark, X.has_negation, "Bên A không được chuyển nhượng") is True
-    assert one(spark, X.negation_scope, "Bên A không được chuyển nhượng, trừ khi có lý do") == "không được chuyển nhượng"
+    assert one(spark, X.has_negation, "Bên A không  được chuyển nhượng") is True
+    assert one(spark, X.negation_scope, "Bên A không được chuyển nhượng, trừ khi có lý do") == "chuyển nhượng"
+    assert one(spark, X.negation_scope, "bị cấm; không được bán") == "bán"  # by the order of the list
+    assert one(spark, X.negation_scope, "bị cấm; bán") == "; bán"
+    assert one(spark, X.negation_scope, "được bán") is None
     assert one(spark, X.has_negation, "knot") is False
 
 
+def test_types_by_first_name(spark):
+    assert one(spark, X.doc_type, "Căn cứ Nghị định và Luật") == "nghi_dinh"
+    assert one(spark, X.doc_type, "Bộ luật và QĐ") == "luat"
+    assert one(spark, X.doc_type, "số 5/TT-BTC") == "thong_tu"
+    assert one(spark, X.doc_type, "bức thư") == "other"
+    assert one(spark, X.map_type, " Sắc luật ") == "luat" and one(spark, X.map_type, "công văn") == "other"
+
+
+def test_issuer_by_list(spark):
+    assert one(spark, X.issuer, "Chính phủ trình quốc  hội") == "quốc  hội"
+    assert one(spark, X.issuer, "Bộ Y tế") is None
+
+
+def test_missing_marks(spark):
+    assert one(spark, X.lacks_marks, "hop dong lao dong thang nam") is True
+    assert one(spark, X.lacks_marks, "hợp đồng lao động tháng năm") is False
+    assert one(spark, X.lacks_marks, "") is False and one(spark, X.lacks_marks, None) is False
+
+
+def test_quantities_pattern_by_pattern(spark):
+    assert one(spark, X.quantities, "5% trong 3 tháng, 2.5 và 10 000 đồng ngày 1/2/2020") == ["3 tháng", "5%", "10 000 đồng", "1/2/2020", "2.5", "5%"]
+
+
+def test_variants_whole_words_and_parts(spark):
+    got = one(spark, lambda c: X.variants(c, {"a b": ["x"]}, {"cd": ["e"]}), "a b cab cdd")
+    assert got == ["a b cab cdd", "a b cab ed", "x cab cdd"]
+    assert one(spark, lambda c: X.variants(c, {}, {}), "q") == ["q"]
+
+
+def test_normal_citation(spark):
+    assert one(spark, X.normalize_citation, " điều 5  nghị  định 3, điều 2 của luật") == "Điều 5 Nghị Định 3, điều 2 của Luật"
+
+
+def test_jaccard_by_white_space(spark):
+    df = spark.createDataFrame([("Bên A, bên B", "bên a b"), ("", "x")], "a string, b string")
+    assert [r["j"] for r in df.select(X.jaccard(F.col("a"), F.col("b")).alias("j")).collect()] == [0.5, 0.0]
+
+
+def test_reference_strings(spark):
+    assert one(spark, P.amendment_refs, "Sửa đổi Luật Đầu tư số 61/2020/QH14\nsửa đổi thông tư số 5") == ["Luật số 61", "thông tư số 5"]
+    assert one(spark, P.citation_refs, "theo Điều 3 của Luật 2014") == ["Điều 3 Luật 2014"]
+
+
 def test_grounding(spark):
     df = spark.createDataFrame([("see [1] and [7] .", [1])], "t string, k array<int>")
     assert df.select(X.ground(F.col("t"), F.col("k")).alias("x")).first()["x"] == "see [1] and."
@@ -173,7 +222,9 @@ def test_articles():
     assert [a["number"] for a in got] == ["1", "46"]
     assert [s["number"] for s in got[1]["subsections"]] == ["1", "2"]
     assert [c["letter"] for c in got[1]["subsections"][0]["clauses"]] == ["a", "b"]
-    assert P.articles_of("") == []
+    assert got[1]["subsections"][0]["text"] == "Một" and got[1]["subsections"][0]["content"] == "a) x\nb) y" and got[1]["clauses"] == []
+    assert P.articles_of("Điều 1:\na) x\nb) y")[0]["clauses"][-1] == {"letter": "b", "text": "y"}
+    assert P.articles_of("Điều 5 của Luật") == [] and P.articles_of("") == []
 
 
 def test_chunks_cover_all_sentences():
@@ -188,8 +239,9 @@ def test_chunks_cover_all_sentences():
 def test_rules_in_order(spark):
     rows = [
         ("the employee shall receive the full wage.", "It holds that the employee shall receive the full wage.", "entailed"),
-        ("pay is not due on day one now here", "pay is due on day one now here", "contradicted"),
-        ("pay 5 on the day of the end", "pay 7 on the day of the end", "contradicted"),
+        ("pay is không due on day one now here", "pay is due on day one now here", "contradicted"),
+        ("pay 5 ngày from the day of the end", "pay 7 ngày from the day of the end", "contradicted"),
+        ("pay no 5 on the day of the end", "pay no 7 on the day of the end", None),
         ("apples", "oranges", None),
         ("", "x", None),
     ]

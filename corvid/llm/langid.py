@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .common import cut
+
 TRAIN_DOCS = 20_000  # labelled documents that the model is fitted on, at most
 TOP = 20_000  # words, and trigrams, kept of each language
 SWITCH = 6.0  # penalty for a change of language, in nats
@@ -170,6 +172,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str =
     """Fit on at most ``most`` labelled rows (those with the smallest hashes of their id), each whole.
 
     What reaches the driver is bounded: ``top`` words and trigrams a language.
+    Entries of one count are kept or left together, so that ties need no order.
     Null or empty labels and texts take no part.
     """
     rows = docs.where(F.col(text_col).isNotNull() & (F.coalesce(F.trim(F.col(lang_col)), F.lit("")) != "")).select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -206,9 +209,12 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str =
         if seen:
             yield flush()
 
-    counts = sample.select("text", "lang").mapInArrow(run, "kind string, lang string, gram string, c long").groupBy("kind", "lang", "gram").agg(F.sum("c").alias("c"))
-    by = Window.partitionBy("kind", "lang").orderBy(F.desc("c"), "gram")
-    kept = counts.withColumn("r", F.row_number().over(by)).where(F.col("r") <= top).drop("r").collect()
+    counts = cut(sample.select("text", "lang").mapInArrow(run, "kind string, lang string, gram string, c long").groupBy("kind", "lang", "gram").agg(F.sum("c").alias("c")), "gram-counts")
+    # how many entries have each count tells from which count on ``top`` are kept, so that no language is sorted in one task
+    so_far = F.sum("n").over(Window.partitionBy("kind", "lang").orderBy(F.desc("c")))
+    levels = counts.groupBy("kind", "lang", "c").agg(F.count("*").alias("n")).withColumn("n", so_far)
+    least = levels.where(F.col("n") <= top).groupBy("kind", "lang").agg(F.min("c").alias("least"))
+    kept = counts.join(F.broadcast(least), ["kind", "lang"]).where("c >= least").drop("least").collect()  # a row of ``least`` for each label, of which the model holds a table
     langs = sorted({r["lang"] for r in kept})
     place = {x: i for i, x in enumerate(langs)}
     tables: dict[str, dict[str, list[int]]] = {"w": {}, "t": {}, "s": {}, "d": {}}

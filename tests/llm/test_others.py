@@ -269,3 +269,11 @@ def test_pipeline(spark, tmp_path):
     assert "bob@mail" not in seen["pii"][6] and seen["pii"][7] == rows[6][1]
     out = C.run(spark, f"file://{tmp_path}").collect()
     assert {r["doc_id"] for r in out} == {4, 6, 7, 8}
+
+
+def test_kept_words_go_by_levels_of_counts(spark):
+    df = spark.createDataFrame([(1, "aa aa aa bb bb cc dd", "en"), (2, "ee", "de")], "doc_id long, text string, lang string")
+    words = lambda top: set(langid.train(df, top=top).word_row)
+    assert words(10) == {"aa", "bb", "cc", "dd", "ee"}
+    assert words(3) == {"aa", "bb", "ee"}  # cc and dd tie past the third place
+    assert words(1) == {"aa", "ee"}

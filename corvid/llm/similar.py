@@ -6,13 +6,11 @@ bits. Here fingerprints have 256 bits, and two texts are near duplicates if
 they agree in a share of ``similarity`` of them. Unrelated texts agree in half,
 give or take 3 %.
 
-At that radius no tables of blocks that hold every pair are small enough, so
-pairs come from hash tables over chosen bits, enough of them to bring a pair of
-Jaccard similarity 0.8 into one bucket with probability .99. Within a bucket
-the links are those of a comparison of all pairs: distances to pivots discard
-pairs, and the rest are verified on all bits. In a large bucket the pivots are
-rows of its own (:func:`ball_links`). Buckets of more than HOT rows are dealt
-as pairs of tiles, so that none is a single task and no pair is left out.
+At that radius neither blocks, pivots nor hash tables hold every pair without
+holding nearly all pairs. So all pairs are compared: distinct fingerprints are
+dealt into tiles, each two tiles meet in a task (:func:`tile_links`), and only
+a spanning forest leaves it. No link is left out, at any number of documents;
+the price is a time that grows with the square of the distinct fingerprints.
 """
 
 from __future__ import annotations
@@ -32,13 +30,11 @@ from .graph import components
 from .simhash import SEED, WORD, forest
 
 WIDE, SHINGLE, SIMILARITY = 4, 5, 0.8  # words of 64 bits, words in a shingle, share of equal bits
-AGREE = 0.85  # share of bits in which texts of Jaccard similarity 0.8 agree
-MISS = 0.01  # of such pairs, the share that may meet in no bucket
-PIVOTS = 8
 SMALL = 128  # rows of a bucket up to which all pairs are listed
 CHUNK = 1 << 20  # pairs that are verified at once
-TASK = 250_000  # rows of buckets that a task takes, on average
-HOT = 20_000  # rows of a tile; buckets of more rows are dealt as pairs of tiles
+HOT = 250_000  # rows of a tile, at most
+TILES, FEW = 16, 4096  # tiles at least, so that tasks are many; rows up to which one will do
+BLOCK = 32, 1024  # rows of either tile that are compared at once
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -66,12 +62,38 @@ def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, words: int = WI
     return np.packbits((ones * 2 > len(h)) | ((ones * 2 == len(h)) & tie), bitorder="little").tobytes()
 
 
-def tables_for(n: int) -> list[np.ndarray]:
-    """The bits of each hash table for ``n`` fingerprints: buckets stay small, and MISS stays the same, at any n."""
-    k = max(8, math.ceil(math.log2(max(n, 2))) - 1)
-    tables = math.ceil(math.log(MISS) / math.log1p(-(AGREE**k)))
-    rnd = np.random.default_rng(SEED)
-    return [rnd.choice(64 * WIDE, min(k, 62), replace=False) for _ in range(tables)]
+def tile_links(fp: np.ndarray, first: int, most: int) -> np.ndarray:
+    """For each row a row it is joined with, over all links within ``most`` bits of the first ``first`` rows with the others, or of all rows if ``first`` is all.
+
+    All words but the last tell that a block has no pair, as nearly all have none.
+    """
+    n, last = len(fp), max(1, fp.shape[1] - 1)
+    cols = np.ascontiguousarray(fp.T)
+    label, held, size = np.arange(n), [], 0
+
+    def joined() -> np.ndarray:
+        old = np.flatnonzero(label != np.arange(n))
+        return forest(n, np.concatenate([old, *(x for x, _ in held)]), np.concatenate([label[old], *(y for _, y in held)]))
+
+    for r in range(0, first, BLOCK[0]):
+        top = min(r + BLOCK[0], first)
+        for c in range(r if first == n else first, n, BLOCK[1]):
+            d = np.bitwise_count(cols[0, r:top, None] ^ cols[0, None, c : c + BLOCK[1]])
+            for w in range(1, last):
+                d += np.bitwise_count(cols[w, r:top, None] ^ cols[w, None, c : c + BLOCK[1]])
+            if d.min() > most:
+                continue
+            at = np.flatnonzero(d <= most)
+            x, y = at // d.shape[1] + r, at % d.shape[1] + c
+            new = (x < y) & (label[x] != label[y])
+            at, x, y = at[new], x[new], y[new]
+            near = np.bitwise_count(fp[x, last:] ^ fp[y, last:]).sum(1) + d.ravel()[at] <= most
+            if near.any():
+                held.append((x[near], y[near]))
+                size += int(near.sum())
+                if size >= CHUNK:
+                    label, held, size = joined(), [], 0
+    return joined()
 
 
 def ball_links(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,63 +177,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     marked = cut(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(prints, f"`{id_col}` {kind}, fp binary"), "wide")
     distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("low")).withColumn("node", F.monotonically_increasing_id()), "wide-fp")
     n = distinct.count()
-    chosen = tables_for(n)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(chosen) / TASK))
     most = math.floor(64 * WIDE * (1 - similarity))
-    pivots = np.frombuffer(b"".join(xxhash.xxh64_digest(b"pivot %d" % i, SEED) for i in range(PIVOTS * WIDE)), np.uint64).reshape(PIVOTS, WIDE)
-    weights = [np.left_shift(np.int64(1), np.arange(len(t), dtype=np.int64)) for t in chosen]
-
-    def keyed(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-            bits = np.unpackbits(fp, axis=1, bitorder="little").astype(np.int64)
-            for t, (places, w) in enumerate(zip(chosen, weights, strict=True)):
-                key = bits[:, places] @ w
-                cols, names = [pa.array(np.full(len(fp), t, np.int32)), pa.array(key)], ["t", "key"]
-                if whole:
-                    cols, names = [*cols, b.column(1), b.column(0)], [*names, "node", "fp"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    rows = distinct.select("fp", "node").mapInArrow(lambda it: keyed(it, True), "t int, key long, node long, fp binary")
-    counts = distinct.select("fp", "node").mapInArrow(lambda it: keyed(it, False), "t int, key long").groupBy("t", "key").agg(F.count("*").alias("n"))
-    hot = cut(counts.where(F.col("n") > HOT), "hot-buckets")
-    some = hot.count()
-    i = j = F.lit(0)
-    if some:
-        rows = rows.join(F.broadcast(hot) if some <= 10_000 else hot, ["t", "key"], "left")
-        rows = rows.withColumn("k", F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int")).withColumn("c", F.pmod(F.xxhash64("node", "t"), F.col("k")).cast("int"))
-        # a tile meets each other tile; two rows of one tile meet there too
-        rows = rows.withColumn("other", F.explode(F.expr("if(k = 1, array(0), filter(sequence(0, k - 1), x -> x <> c))")))
-        i, j = F.least("c", "other"), F.greatest("c", "other")
-    dealt = rows.select(F.xxhash64("t", "key", i, j).alias("bucket"), "t", "key", "node", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket", "t", "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
-
-        def solve(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-            new = np.zeros(len(x["node"]), bool)
-            for c in ("bucket", "t", "key"):
-                new[1:] |= x[c][1:] != x[c][:-1]
-            a, b = near_pairs(x["fp"], np.cumsum(new), most, pivots)
-            label = forest(len(new), a, b)
-            at = np.flatnonzero(label != np.arange(len(new)))
-            return pa.RecordBatch.from_arrays([pa.array(x["node"][at]), pa.array(x["node"][label[at]])], names=["u", "v"])
-
-        for batch in batches:
-            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "t", "key", "node")}
-            now["fp"] = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-            if rest is not None:
-                now = {k: np.concatenate([rest[k], v]) for k, v in now.items()}
-            same = np.ones(len(now["node"]), bool)  # rows of the last bucket, which may go on
-            for c in ("bucket", "t", "key"):
-                same &= now[c] == now[c][-1:]
-            if not same.all():
-                yield solve({k: v[~same] for k, v in now.items()})
-            rest = {k: v[same] for k, v in now.items()}
-        if rest is not None and len(rest["node"]):
-            yield solve(rest)
-
-    roots = components(dealt.mapInArrow(run, "u long, v long"))
+    k = max(math.ceil(n / HOT), TILES if n > FEW else 1)
+    rows = distinct.select("fp", "node").withColumn("c", F.pmod(F.xxhash64("node"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    dealt = rows.select(F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "fp").repartition(k * (k + 1) // 2, "i", "j")
+
+    def run(tiles: pa.Table) -> pa.Table:
+        i, c, node = (tiles.column(x).to_numpy() for x in ("i", "c", "node"))
+        fp = np.frombuffer(b"".join(tiles.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+        order = np.argsort(c != i, kind="stable")  # rows of the first tile, then those of the second
+        node, fp = node[order], fp[order]
+        label = tile_links(fp, int((c == i).sum()), most)
+        at = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"u": node[at], "v": node[label[at]]})
+
+    roots = components(dealt.groupBy("i", "j").applyInArrow(run, "u long, v long"))
     owned = distinct.join(roots, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     lows = owned.groupBy("root").agg(F.min("low").alias("component_id"))
     return marked.join(owned.join(lows, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corvid.llm import similar, simhash
+from corvid.llm import pii, similar, simhash
 
 
 @pytest.mark.parametrize("tile", [10_000, 700])
@@ -40,3 +44,43 @@ def test_tiles_are_compared_in_full(flips, monkeypatch):
     assert (similar.tile_links(fp, 300, 51) == simhash.forest(300, *np.nonzero(near))).all()
     near[:110, :110] = near[110:, 110:] = False
     assert (similar.tile_links(fp, 110, 51) == simhash.forest(300, *np.nonzero(near))).all()
+
+
+PRIVATE = {
+    "phone": ["+49 30 12 34 56", "+47 22 12 34 56", "+45 32 12 34 56", "+39 06 698 123", "+1 (555) 123 456", "(555) 123-4567", "555.123.4567"],
+    "iban": ["GB82 WEST ABCD EFGH", "DE89 3704 0044 0532 0130 00", "XX12ABCDEFGHIJKL"],
+    "email": ["a@b.co"],
+    "ip": ["1.2.3.4", "10.20.30.40"],
+    "ssn": ["123-45-6789"],
+    "card": ["4111 1111 1111 1111", "4111111111111111"],
+    "secret": ["token=abcdefghijklmnop", "API_KEY: 'abcd-efgh_ijkl-mnop", "password = " + "aB3-" * 50, "secret=" + "x7" * 5000],
+    "name": ["Mr. Ab", "Frau Müller", "Госпожа Иванова", "Señora López Ruiz"],
+}
+
+
+def test_every_match_has_the_hint(spark):
+    rows = [(kind, f"see {text} there") for kind, texts in PRIVATE.items() for text in texts]
+    for m in pii.MALE.split("|") + pii.FEMALE.split("|"):
+        rows.append(("name", f"{m.replace('.?', '').replace(chr(92), '')} Ab"))
+    rnd = random.Random(3)
+    for _ in range(2000):  # phones of all groups of digits and separators
+        number = "+" + "1" * rnd.randint(1, 3) + rnd.choice([" ", ".", "-", ""]) + rnd.choice(["(" + "2" * rnd.randint(1, 4) + ")", "2" * rnd.randint(2, 4)])
+        rows.append(("phone", number + "".join(rnd.choice([" ", ".", "-", ""]) + "3" * rnd.randint(2, 4) for _ in range(rnd.randint(2, 3)))))
+        rows.append(("iban", "".join(rnd.choices("ABXZ", k=2)) + "12" + "".join(rnd.choice([" ", ""]) + "".join(rnd.choices("ABC7", k=4)) for _ in range(rnd.randint(3, 7)))))
+    df = spark.createDataFrame(rows, "kind string, text string").select("*", F.col("text").rlike(f"(?:{pii.ANY})").alias("hit"), F.col("text").rlike(pii.HINT).alias("hint"))
+    assert df.where("hit").select("kind").distinct().count() == len(PRIVATE)
+    assert [r["text"] for r in df.where("hit and not hint").collect()] == []
+    assert [r["text"][:40] for r in df.limit(sum(map(len, PRIVATE.values()))).where("not hit").collect()] == []
+
+
+def test_numbers_alone_and_long_secrets_are_replaced(spark):
+    long = "token=" + "".join(random.Random(4).choices("abcdefXYZ0189_-", k=3000))
+    texts = [f"call {p} now" for p in PRIVATE["phone"]] + [long + " end", "password: " + "k9" * 600_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace(docs)[0].collect()}
+    for i, p in enumerate(PRIVATE["phone"]):
+        assert p not in got[i] and re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", texts[i])
+    for i in (len(texts) - 2, len(texts) - 1):
+        assert len(got[i]) == len(texts[i])
+        same = sum(a == b for a, b in zip(got[i][-1000:-4], texts[i][-1000:-4], strict=True))
+        assert same < 400  # the tail is replaced as the head is; characters agree by chance only

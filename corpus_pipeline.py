@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null text, or no letter in it. ``lang`` stays as it was."""
     ship(spark)
     model = langid.train(docs)
-    return langid.with_language(spark, docs, model, out="lang_found").where(F.col("lang_found") != langid.UND).drop("lang_found")
+    return langid.with_language(spark, docs, model, out="lang_found", letters="has_letter").where("has_letter").drop("lang_found", "has_letter")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

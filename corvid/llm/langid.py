@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import cut
@@ -168,6 +168,10 @@ class Model:
         return out
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most ``most`` labelled rows (those with the smallest hashes of their id), each whole.
 
@@ -251,8 +255,11 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double{more}")
 
 
-def with_language(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_pred") -> DataFrame:
-    """``docs`` with the predicted language as a further column; rows pass through where they are."""
+def with_language(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_pred", letters: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language as a further column; rows pass through where they are.
+
+    ``letters`` names one more column that tells whether the text has a letter, whatever the model has learned.
+    """
     sent = spark.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
@@ -260,7 +267,12 @@ def with_language(spark: SparkSession, docs: DataFrame, model: Model, text_col:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 s = b.slice(at, 1024)
-                found = sent.value.predict([t or "" for t in s.column(place).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array([f[0] for f in found], pa.string())], names=[*s.schema.names, out])
+                texts = [t or "" for t in s.column(place).to_pylist()]
+                found = sent.value.predict(texts)
+                cols, names = [*s.columns, pa.array([f[0] for f in found], pa.string())], [*s.schema.names, out]
+                if letters:
+                    cols, names = [*cols, pa.array([has_letter(t) for t in texts], pa.bool_())], [*names, letters]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))
+    more = [StructField(letters, BooleanType())] if letters else []
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType()), *more]))

@@ -84,3 +84,13 @@ def test_numbers_alone_and_long_secrets_are_replaced(spark):
         assert len(got[i]) == len(texts[i])
         same = sum(a == b for a, b in zip(got[i][-1000:-4], texts[i][-1000:-4], strict=True))
         assert same < 400  # the tail is replaced as the head is; characters agree by chance only
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "the cat sat", None), (2, None, None), (3, "12 !", None), (4, "²½Ⅷ", None), (5, "ну", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in C.language(spark, docs, "").collect()) == [1, 5]
+    labelled = docs.withColumn("lang", F.lit("und"))  # a label like the mark of no language
+    assert sorted(r["doc_id"] for r in C.language(spark, labelled, "").collect()) == [1, 5]

@@ -48,7 +48,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", packed)]
 
-# SQL expresses neither language, SimHash components nor packing: tests/llm holds run() against brute force.
+# SQL expresses neither language, SimHash components nor packing; tests/llm compares the stages with fixed ids on a few rows, not run() with brute force.
 ORACLE_SQL = None
 
 

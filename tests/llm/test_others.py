@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -173,7 +174,62 @@ def test_odd_html(text):
 
 def test_simple_tree_matching():
     a, b = html.parse("<ul><li>1</li></ul><p>x</p><div><p>y</p></div>"), html.parse("<p>x</p><div><p>z</p></div>")
-    assert html.match(a, b)[0] == 4
+    assert html.weight(html.Unit(a), html.Unit(b)) == 4
+    assert html.match(html.units(a), html.units(b)) == [(1, 0), (2, 1)]
+
+
+def scrambled(h):
+    """A page without marks: no article or main, and classes that say nothing."""
+    return re.sub('class="[^"]*"', 'class="zq"', re.sub("<(/?)(?:article|main)>", r"<\1div>", h))
+
+
+def by_host(pages):
+    hosts = {}
+    for r in pages:
+        hosts.setdefault(re.sub("^https?://([^/?#:]*).*", r"\1", r["url"]), []).append(r["html"])
+    return [hs[at : at + 32] for hs in hosts.values() for at in range(0, len(hs), 32)]
+
+
+def test_alignment_finds_the_article_without_marks(spark, sf_dir, monkeypatch):
+    groups = by_host(spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").collect())
+    assert sum(map(len, groups)) > 100
+    marked = [html.extract_group(g) for g in groups]
+    assert [html.extract_group([scrambled(h) for h in g]) for g in groups] == marked
+    monkeypatch.setattr(html, "region", lambda root: (root, set()))  # without the region, adverts come through
+    assert [html.extract_group([scrambled(h) for h in g]) for g in groups] != marked
+
+
+def test_constant_blocks_late_in_a_list_are_template(monkeypatch):
+    story = lambda i: "".join(f"<p>Part {n} of story {i}</p>" for n in range(1 + i % 4))
+    pages = [f"<body><div>{story(i)}<p>Read our rules</p></div><div>Ad {i}</div></body>" for i in range(8)]
+    got = html.extract_group(pages)
+    assert got == ["\n\n".join(f"Part {n} of story {i}" for n in range(1 + i % 4)) for i in range(8)]
+    monkeypatch.setattr(html, "induce", lambda trees, real=html.induce: clear(real(trees)))
+    assert all("Read our rules" in t for t in html.extract_group(pages))
+
+
+def clear(induced):
+    for s in html.walk(induced[0]):
+        s.constant = set()
+    return induced
+
+
+def test_slots_that_the_first_page_lacks_are_found():
+    pages = [f"<body>{'<div><p>Follow us</p><p>Always</p></div>' if i else ''}<div><h1>T{i}</h1>{'<p>words of %d</p>' % i * (1 + i % 3)}</div></body>" for i in range(9)]
+    assert html.extract_group(pages) == ["\n\n".join([f"T{i}", *[f"words of {i}"] * (1 + i % 3)]) for i in range(9)]
+
+
+@pytest.mark.parametrize(
+    "text", ["<div>" * 1500 + "x", "<a x " * 800_000, "<div>" * 30_000 + "x" + "</section>" * 30_000, '<a x="' * 300_000, "<!--" * 300_000, "<p " * 500_000 + ">", "<i class=ad>" * 50_000 + "</b>" * 50_000, "<div><p>a</p>" * 2000]
+)
+def test_deep_and_malformed_pages_end(text):
+    start = time.time()
+    assert all(isinstance(t, str) for t in html.extract_group([text, text + "a<p>", text + "b", "<p>c"]))
+    assert time.time() - start < 20
+
+
+def test_quotes_in_tags():
+    assert html.extract_group(["<p title=it's>a</p><p title='x > y'>b</p><p title=\"'\">c"]) == ["a\n\nb\n\nc"]
 
 
 def test_page_rows(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+OFTEN, MOST_HOT = 1000, 10_000  # rows from which a key is hot, at least, and how many hot keys there can be
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``, or set on the context. Without one there is no folder that all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
+    if not named and re.match(r"local(\[|$)", spark.sparkContext.master):  # one process, as in tests
         named = "file://" + os.path.join(tempfile.gettempdir(), f"corvid-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(named)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -44,6 +50,23 @@ def uncut(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """``rows`` inner-joined with ``table``, which has each key once, and in ``n`` how many rows have it.
+
+    Keys that very many rows have are few (at most MOST_HOT, as each has more than
+    a MOST_HOT-th of the rows), and are joined where the rows are; none of them
+    is all in one task.
+    """
+    found = table.agg(F.sum(n), F.max(n)).first()
+    often = max(OFTEN, (found[0] or 0) // MOST_HOT)
+    if (found[1] or 0) <= often:
+        return rows.join(table.drop(n), keys)
+    hot = table.where(F.col(n) > often).drop(n)
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    rest = marked.where("`__hot` is null").select(*rows.columns).join(table.where(F.col(n) <= often).drop(n), keys)
+    return marked.where("`__hot`").drop("__hot").unionByName(rest)
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in smaller ones, so that few texts are held as Python objects at once."""
     for b in batches:

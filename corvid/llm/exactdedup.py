@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, without_ids
+from .common import cut, lookup, slices, without_ids
 
 SHARD = 60_000  # digests in a shard, on average
 BROADCAST_DIGESTS = 5_000_000  # digests whose filter (about 6 MB) is sent to all executors, at most
@@ -139,10 +139,11 @@ def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 
 def members(rows: DataFrame, digests_: DataFrame) -> DataFrame:
-    """(doc_id, digest, norm): rows of ``rows`` (doc_id, text) with one of the digests, and their normalised texts.
+    """(doc_id, digest, norm): rows of ``rows`` (doc_id, text) that may have one of the digests, and their normalised texts.
 
     A filter over the digests, sent to all executors if a count shows it small,
-    screens the texts where they are read; what passes joins the exact digests.
+    screens the texts where they are read, and nothing moves. Few pass that have
+    none of the digests; the caller joins.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
     n = digests_.count()
@@ -163,8 +164,7 @@ def members(rows: DataFrame, digests_: DataFrame) -> DataFrame:
                 [b.column(0).take(pa.array(at, pa.int64())), pa.array([digest[i] for i in at], pa.binary()), pa.array([norm[i].decode() for i in at], pa.string())], names=["doc_id", "digest", "norm"]
             )
 
-    found = rows.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(screen_texts, f"doc_id {kind}, digest binary, norm string")
-    return found.join(digests_, "digest", "left_semi")
+    return rows.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(screen_texts, f"doc_id {kind}, digest binary, norm string")
 
 
 def against_snapshot(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
@@ -204,10 +204,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     side = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     groups = cut(against_snapshot(keyed.where(side == 0), keyed.where(side == 1)), "groups")
     many = groups.where("n > 1").select("digest")
-    # the bytes behind each digest that more than one row has: distinct texts, partly aggregated before they move
+    # the bytes behind each digest that more than one row has: copies in one task become one row before they move
     texts = members(rows, cut(many, "shared-digests"))
     apart = cut(texts.groupBy("digest", "norm").agg(F.count("*").alias("c")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "apart")
-    out = keyed.join(groups, "digest").select(
+    out = lookup(keyed, groups.withColumn("rows", F.col("n")), ["digest"], "rows").select(
         F.col("doc_id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "digest"
     )
     if not apart.isEmpty():  # two texts of one SHA-256: group these by their bytes

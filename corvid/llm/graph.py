@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, uncut
+from .common import cut, lookup, uncut
 
 
 def _hang(directed: DataFrame, keep_self: bool) -> DataFrame:
     """Hang the neighbours of each node on the smallest of them (and of itself)."""
-    low = directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    out = directed.join(low, "u")
+    low = cut(directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    out = lookup(directed, low, ["u"])
     if keep_self:  # small star: the node itself too
         out = out.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
     else:  # large star: larger neighbours only
@@ -24,8 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two long columns u, v; loops and nulls are ignored. The
     number of rounds grows with the logarithm of the longest chain. Minima are
-    partly aggregated before the shuffle, so a node with very many edges costs
-    no task more than the others; each round is cut into a table.
+    partly aggregated before the shuffle and joined where the edges are, so a
+    node with very many edges costs no task more than the others; each round is
+    cut into a table.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 

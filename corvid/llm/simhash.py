@@ -6,9 +6,11 @@ pivot differ by at most RADIUS. Each fingerprint carries a table of its
 distances to ``PIVOTS`` fixed reference fingerprints; a pair of which any
 coordinate differs by more is discarded, and only what is left is compared.
 
-Where the tables are compared: two words within RADIUS agree in at least
-``BLOCKS - RADIUS`` of BLOCKS blocks of bits, so every linked pair meets in a
-bucket of equal blocks, and no other pairs of the corpus are looked at. Buckets
+Where the tables are compared: two words within RADIUS agree in all but RADIUS
+of any blocks of bits, so every linked pair meets in a bucket of equal blocks,
+and no other pairs of the corpus are looked at. This is the main step; blocks
+become more, and the bits that must agree with them, as the table grows, so that
+buckets of unrelated words stay at about ``BUCKET`` (:func:`blocks_for`). Buckets
 are sorted by the first pivot's distance, so that a scan ends where that
 coordinate alone discards the rest. A bucket of more than TILE fingerprints is
 dealt out as pairs of tiles, none of it to one task. Of the links within a
@@ -28,10 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, without_ids
+from .common import cut, lookup, slices, without_ids
 from .graph import components
 
-BITS, RADIUS, BLOCKS, PIVOTS, TILE = 64, 3, 5, 16, 512
+BITS, RADIUS, PIVOTS, TILE = 64, 3, 16, 512
+BUCKET = 64  # unrelated fingerprints in a bucket, at most, as long as blocks can be more
 SEED = 42
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -68,8 +71,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def masks(blocks: int = BLOCKS, agree: int = BLOCKS - RADIUS) -> list[int]:
-    """The bits of each choice of ``agree`` blocks."""
+def blocks_for(n: int) -> int:
+    """How many blocks, for ``n`` distinct fingerprints: 5, 6 or 7, with 10, 20 or 35 keys of 25, 32 or 36 bits."""
+    return next((b for b in (5, 6) if n >> (BITS * (b - RADIUS) // b) <= BUCKET), 7)
+
+
+def masks(blocks: int = 5) -> list[int]:
+    """The bits of each choice of blocks that two linked words can agree in."""
+    agree = blocks - RADIUS
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
     block = [sum(1 << b for b in range(cuts[i], cuts[i + 1])) for i in range(blocks)]
     return [sum(block[i] for i in c) for c in combinations(range(blocks), agree)]
@@ -120,7 +129,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): edges that join the same distinct fingerprints (column fp) as all links within RADIUS do."""
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks()))))
+    chosen = masks(blocks_for(distinct.count()))
+    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(chosen))))
     rows = distinct.select("fp", keys.alias("k")).select("fp", "k.t", "k.key")
     full = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     first = int(pivots(1)[0])
@@ -178,12 +188,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     empty table gives none.
     """
     prints = cut(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "simhash-fp")
+    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "simhash-fp")
     roots = components(links(distinct.select("fp")))
-    owned = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = owned.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = owned.join(lows, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    owned = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    lows = cut(owned.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m")), "simhash-lows")
+    classes = cut(lookup(owned.select("fp", "n", "root"), lows, ["root"], "m").select("fp", "n", "component_id"), "simhash-classes")
+    return lookup(prints, classes, ["fp"]).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

@@ -6,11 +6,20 @@ bits. Here fingerprints have 256 bits, and two texts are near duplicates if
 they agree in a share of ``similarity`` of them. Unrelated texts agree in half,
 give or take 3 %.
 
-At that radius neither blocks, pivots nor hash tables hold every pair without
-holding nearly all pairs. So all pairs are compared: distinct fingerprints are
-dealt into tiles, each two tiles meet in a task (:func:`tile_links`), and only
-a spanning forest leaves it. No link is left out, at any number of documents;
-the price is a time that grows with the square of the distinct fingerprints.
+At that radius neither blocks nor pivots keep pairs of unrelated fingerprints
+apart, and comparing all pairs grows with the square of the table. So only
+texts that share a key are compared. Keys are those shingles of a text that
+come first in one order of all shingles, rare ones before frequent ones: of m
+distinct shingles, a share of 1 - ``similarity`` and one more. Two texts of
+which each has a share of ``similarity`` of the other's shingles have a key in
+common, whatever the order is: of the shingles they share, the first in the
+order is preceded in either text by those alone that the other one lacks. That
+holds for every pair with a Jaccard similarity of ``similarity``. So no link
+between such texts is left out, at any number of documents.
+
+How frequent a shingle is, is counted over all texts, in a table of bounded size
+that shingles share; a wrong count costs time, not links. In a bucket of texts
+with one key, distances to pivots discard pairs, and the rest is verified.
 """
 
 from __future__ import annotations
@@ -25,16 +34,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, without_ids
+from .common import cut, lookup, slices, without_ids
 from .graph import components
 from .simhash import SEED, WORD, forest
 
 WIDE, SHINGLE, SIMILARITY = 4, 5, 0.8  # words of 64 bits, words in a shingle, share of equal bits
+PIVOTS = 8
 SMALL = 128  # rows of a bucket up to which all pairs are listed
 CHUNK = 1 << 20  # pairs that are verified at once
-HOT = 250_000  # rows of a tile, at most
-TILES, FEW = 16, 4096  # tiles at least, so that tasks are many; rows up to which one will do
-BLOCK = 32, 1024  # rows of either tile that are compared at once
+HOT = 1 << 16  # rows of a bucket that is dealt as one; larger ones are dealt as pairs of tiles
+TASK = 1 << 20  # keys in a task, about
+SLOTS = 12, 20  # bits of the table of counts, at least and at most: about one slot a document between them
+PART = 1 << 12  # slots that are summed as one row
+FAN = 256  # tables of counts that are added in one task
+LEVEL = 58  # bits of a key below its level of frequency
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -45,13 +58,19 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, words: int = WIDE) -> bytes:
-    """Majority of each bit over the hashes of distinct shingles; ties go by the smallest hash. Zero for no word."""
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles; of fewer words, of the whole sequence; none for no word."""
     found = WORD.findall((text or b"").lower())
     if not found:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     grams = set(map(b" ".join, zip(*(found[i:] for i in range(shingle))))) if len(found) >= shingle else {b" ".join(found)}  # noqa: B905
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64, len(grams))
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64, len(grams))
+
+
+def wide_fingerprint(h: np.ndarray, words: int = WIDE) -> bytes:
+    """Majority of each bit over the hashes of distinct shingles; ties go by the smallest hash. Zero for no word."""
+    if not len(h):
+        return bytes(8 * words)
     ones = np.zeros(64 * words, np.int64)
     for at in range(0, len(h), 1 << 14):
         part = h[at : at + (1 << 14)]
@@ -62,38 +81,42 @@ def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE, words: int = WI
     return np.packbits((ones * 2 > len(h)) | ((ones * 2 == len(h)) & tie), bitorder="little").tobytes()
 
 
-def tile_links(fp: np.ndarray, first: int, most: int) -> np.ndarray:
-    """For each row a row it is joined with, over all links within ``most`` bits of the first ``first`` rows with the others, or of all rows if ``first`` is all.
+def keys_of(h: np.ndarray, levels: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in the order of all, by level of frequency, then hash; one key zero for no word."""
+    if not len(h):
+        return np.zeros(1, np.int64)
+    bits = int(len(levels)).bit_length() - 1
+    order = (levels[h >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(LEVEL)) | (h >> np.uint64(64 - LEVEL))
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    return (np.partition(order, n - 1)[:n] if n < len(order) else order).view(np.int64)
 
-    All words but the last tell that a block has no pair, as nearly all have none.
-    """
-    n, last = len(fp), max(1, fp.shape[1] - 1)
-    cols = np.ascontiguousarray(fp.T)
-    label, held, size = np.arange(n), [], 0
-
-    def joined() -> np.ndarray:
-        old = np.flatnonzero(label != np.arange(n))
-        return forest(n, np.concatenate([old, *(x for x, _ in held)]), np.concatenate([label[old], *(y for _, y in held)]))
-
-    for r in range(0, first, BLOCK[0]):
-        top = min(r + BLOCK[0], first)
-        for c in range(r if first == n else first, n, BLOCK[1]):
-            d = np.bitwise_count(cols[0, r:top, None] ^ cols[0, None, c : c + BLOCK[1]])
-            for w in range(1, last):
-                d += np.bitwise_count(cols[w, r:top, None] ^ cols[w, None, c : c + BLOCK[1]])
-            if d.min() > most:
-                continue
-            at = np.flatnonzero(d <= most)
-            x, y = at // d.shape[1] + r, at % d.shape[1] + c
-            new = (x < y) & (label[x] != label[y])
-            at, x, y = at[new], x[new], y[new]
-            near = np.bitwise_count(fp[x, last:] ^ fp[y, last:]).sum(1) + d.ravel()[at] <= most
-            if near.any():
-                held.append((x[near], y[near]))
-                size += int(near.sum())
-                if size >= CHUNK:
-                    label, held, size = joined(), [], 0
-    return joined()
+
+def frequencies(docs: DataFrame, shingle: int, n: int) -> np.ndarray:
+    """A level for each slot of hashes: bits of the number of texts that have a shingle of the slot. ``docs``: the texts alone, ``n`` of them."""
+    bits = min(max(SLOTS[0], math.ceil(math.log2(max(n, 1)))), SLOTS[1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, np.int64)
+        for b in slices(batches):
+            found = [shingles(t, shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            seen += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(seen)) if found else 0
+        rows = [seen[at : at + PART].tobytes() for at in range(0, len(seen), PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["part", "seen"])
+
+    def add(tables: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in tables.column("seen").to_pylist())
+        return pa.table({"part": pa.array([tables.column("part")[0].as_py()], pa.int32()), "seen": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, seen binary"
+    tables = cut(docs.mapInArrow(count, schema).withColumn("task", F.spark_partition_id()), "shingle-counts")
+    left = (tables.agg(F.max("task")).first()[0] or 0) + 1
+    while left > FAN:  # a row of each task is too much for one group
+        left = math.ceil(left / FAN)
+        tables = tables.withColumn("task", F.pmod("task", F.lit(left)).cast("int"))
+        tables = cut(tables.groupBy("part", "task").applyInArrow(lambda t: add(t).append_column("task", t.column("task").slice(0, 1)), schema + ", task int"), "shingle-counts")
+    rows = dict(map(tuple, tables.groupBy("part").applyInArrow(add, schema).collect()))  # 2^20 counts at most
+    seen = np.concatenate([np.frombuffer(rows[i], np.int64) for i in range(len(rows))]) if rows else np.zeros(1 << bits, np.int64)
+    return np.ceil(np.log2(seen + 1)).astype(np.uint8)
 
 
 def ball_links(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +164,10 @@ def near_pairs(fp: np.ndarray, group: np.ndarray, most: int, table: np.ndarray)
         a, b = ball_links(fp[s : s + n], most)
         left.append(a + s)
         right.append(b + s)
-    small = np.repeat(sizes <= SMALL, sizes)
-    i = np.flatnonzero(small)
+    i = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
     dist = np.zeros((len(fp), len(table)), np.int16)
-    dist[i] = np.stack([np.bitwise_count(fp[i] ^ p[None, :]).sum(1) for p in table], axis=1)
+    if len(i):
+        dist[i] = np.stack([np.bitwise_count(fp[i] ^ p[None, :]).sum(1) for p in table], axis=1)
     for lag in range(1, SMALL):
         i = i[i + lag < len(fp)]
         i = i[group[i] == group[i + lag]]
@@ -161,40 +184,81 @@ def near_pairs(fp: np.ndarray, group: np.ndarray, most: int, table: np.ndarray)
     return np.concatenate([*left, none]), np.concatenate([*right, none])
 
 
+def links(distinct: DataFrame, most: int) -> DataFrame:
+    """(u, v): edges that join the nodes (node, fp, keys) as all pairs with a common key within ``most`` bits do."""
+    spark = distinct.sparkSession
+    total = distinct.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK))
+    pivots = np.frombuffer(b"".join(xxhash.xxh64_digest(b"pivot %d" % i, SEED) for i in range(PIVOTS * WIDE)), np.uint64).reshape(PIVOTS, WIDE)
+    rows = distinct.select("node", "fp", F.explode("keys").alias("key"))
+    # counts of slots are no less than those of their keys, so that only keys of the levels of hot ones need counting
+    level = F.shiftrightunsigned("key", LEVEL)
+    often = rows.where(level >= math.ceil(math.log2(HOT + 1))).groupBy("key").agg(F.count("*").alias("n"))
+    hot = cut(often.where(F.col("n") > HOT), "hot-keys")
+    some = hot.count()
+    i = j = F.lit(0)
+    if some:
+        rows = rows.join(F.broadcast(hot) if some <= 100_000 else hot, "key", "left")
+        rows = rows.withColumn("k", F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1)).cast("int")).withColumn("c", F.pmod(F.xxhash64("node", "key"), F.col("k")).cast("int"))
+        # a tile meets each other tile; two rows of one tile meet there too
+        rows = rows.withColumn("other", F.explode(F.expr("if(k = 1, array(0), filter(sequence(0, k - 1), x -> x <> c))")))
+        i, j = F.least("c", "other"), F.greatest("c", "other")
+    dealt = rows.select(F.xxhash64("key", i, j).alias("bucket"), "key", "node", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+
+        def solve(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+            new = np.zeros(len(x["node"]), bool)
+            for c in ("bucket", "key"):
+                new[1:] |= x[c][1:] != x[c][:-1]
+            a, b = near_pairs(x["fp"], np.cumsum(new), most, pivots)
+            label = forest(len(new), a, b)
+            at = np.flatnonzero(label != np.arange(len(new)))
+            return pa.RecordBatch.from_arrays([pa.array(x["node"][at]), pa.array(x["node"][label[at]])], names=["u", "v"])
+
+        for batch in batches:
+            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "key", "node")}
+            now["fp"] = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+            if rest is not None:
+                now = {k: np.concatenate([rest[k], v]) for k, v in now.items()}
+            same = (now["bucket"] == now["bucket"][-1:]) & (now["key"] == now["key"][-1:])  # rows of the last bucket, which may go on
+            if not same.all():
+                yield solve({k: v[~same] for k, v in now.items()})
+            rest = {k: v[same] for k, v in now.items()}
+        if rest is not None and len(rest["node"]):
+            yield solve(rest)
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row: the smallest id reachable over near duplicates.
 
     Null text counts as empty, and texts without a word are duplicates of each
     other. Rows with a null id stay and do not lower component_id.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    sent = spark.sparkContext.broadcast(frequencies(texts.select(text_col), shingle, docs.count()))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = [wide_fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], names=[id_col, "fp"])
-
-    marked = cut(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(prints, f"`{id_col}` {kind}, fp binary"), "wide")
-    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("low")).withColumn("node", F.monotonically_increasing_id()), "wide-fp")
-    n = distinct.count()
-    most = math.floor(64 * WIDE * (1 - similarity))
-    k = max(math.ceil(n / HOT), TILES if n > FEW else 1)
-    rows = distinct.select("fp", "node").withColumn("c", F.pmod(F.xxhash64("node"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    dealt = rows.select(F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "fp").repartition(k * (k + 1) // 2, "i", "j")
-
-    def run(tiles: pa.Table) -> pa.Table:
-        i, c, node = (tiles.column(x).to_numpy() for x in ("i", "c", "node"))
-        fp = np.frombuffer(b"".join(tiles.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        order = np.argsort(c != i, kind="stable")  # rows of the first tile, then those of the second
-        node, fp = node[order], fp[order]
-        label = tile_links(fp, int((c == i).sum()), most)
-        at = np.flatnonzero(label != np.arange(len(node)))
-        return pa.table({"u": node[at], "v": node[label[at]]})
-
-    roots = components(dealt.groupBy("i", "j").applyInArrow(run, "u long, v long"))
-    owned = distinct.join(roots, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
-    lows = owned.groupBy("root").agg(F.min("low").alias("component_id"))
-    return marked.join(owned.join(lows, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
+            h = [shingles(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fp, keys = [wide_fingerprint(x) for x in h], [np.sort(keys_of(x, sent.value, similarity)) for x in h]
+            sig = [xxhash.xxh3_128_digest(f + k.tobytes()) for f, k in zip(fp, keys, strict=True)]
+            flat = pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary()), pa.array(fp, pa.binary()), lists], names=[id_col, "sig", "fp", "keys"])
+
+    marked = cut(texts.mapInArrow(prints, f"`{id_col}` {kind}, sig binary, fp binary, keys array<long>"), "wide")
+    grouped = marked.groupBy("sig", "fp", "keys").agg(F.min(id_col).alias("low"), F.count("*").alias("n"))
+    distinct = cut(grouped.withColumn("node", F.monotonically_increasing_id()), "wide-fp")
+    roots = components(links(distinct, math.floor(64 * WIDE * (1 - similarity))))
+    owned = cut(distinct.join(roots, "node", "left").select("sig", "n", "low", F.coalesce("root", "node").alias("root")), "wide-roots")
+    lows = cut(owned.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m")), "wide-lows")
+    classes = cut(lookup(owned.select("sig", "n", "root"), lows, ["root"], "m").select("sig", "n", "component_id"), "wide-classes")
+    return lookup(marked.select(id_col, "sig"), classes, ["sig"]).select(id_col, "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

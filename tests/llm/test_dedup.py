@@ -75,6 +75,17 @@ def test_links_find_every_close_pair(spark):
     assert got == exp
 
 
+def test_every_number_of_blocks_keeps_every_link():
+    rnd = random.Random(1)
+    assert [simhash.blocks_for(n) for n in (0, 10**9, 10**10, 10**12)] == [5, 5, 6, 7]
+    for blocks in (5, 6, 7):
+        for _ in range(300):
+            x = 0
+            for bit in rnd.sample(range(64), 3):
+                x |= 1 << bit
+            assert any(x & m == 0 for m in simhash.masks(blocks))
+
+
 ROWS = [
     (1, "The quick brown fox jumps over the lazy dog", "s"), (2, "the QUICK brown fox jumps over the lazy dog", "s"), (3, None, None), (4, "", "s"), (5, " \n", "s"),
     (6, "Ä b c", "s"), (7, "ä b c", "s"), (7, "ä b c", "s"), (None, "ä b c", "s"), (8, "entirely different words stand in this one", "s"),
@@ -215,3 +226,16 @@ def test_queries_return_every_document(spark, sf_dir, name):
     from corvid.llm.queries import QUERIES
 
     assert QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_hot_keys_are_joined_where_the_rows_are(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corvid.llm import common
+
+    monkeypatch.setattr(common, "OFTEN", 5)
+    rows = spark.createDataFrame([(i, i % 4 if i < 40 else 100 + i) for i in range(60)], "id long, k long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    got = {r["id"]: r["most"] for r in common.lookup(rows, table, ["k"]).collect()}
+    assert got == {i: 36 + i % 4 if i < 40 else i for i in range(60)}
+    assert exactdedup.exact_dedup(spark.createDataFrame([(i, "same") for i in range(50)], "doc_id long, text string")).where("keep_id = 49 and group_size = 50").count() == 50

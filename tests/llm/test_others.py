@@ -135,13 +135,13 @@ def test_collisions_are_drawn_again(spark):
 
 
 def test_pii_plan_has_no_python(spark):
-    out, _ = pii.replace(spark.createDataFrame([(1, "a@b.example.com")], "doc_id long, text string"))
+    out, _ = pii.replace(spark.createDataFrame([(1, "a@b.example.com")], "doc_id long, text string"), "k")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_pii_empty_table(spark):
-    out, table = pii.replace(spark.createDataFrame([], "doc_id long, text string"))
+    out, table = pii.replace(spark.createDataFrame([], "doc_id long, text string"), "k")
     assert out.count() == 0 and table.count() == 0
 
 

@@ -7,43 +7,81 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvid.llm import pii, similar, simhash
 
 
-@pytest.mark.parametrize("tile", [10_000, 700])
-def test_pairs_at_the_radius_are_all_linked(spark, monkeypatch, tile):
-    """Pairs exactly 51 bits apart, of which hash tables brought only a part together."""
-    rnd = np.random.default_rng(8)
-    fps = []
-    for _ in range(1500):
-        a = rnd.integers(0, 2, 256, dtype=np.uint8)
-        b = a.copy()
-        b[rnd.choice(256, 51, replace=False)] ^= 1
-        fps += [np.packbits(a).tobytes(), np.packbits(b).tobytes()]
-    monkeypatch.setattr(similar, "wide_fingerprint", lambda text, shingle: fps[int(text)])
-    monkeypatch.setattr(similar, "HOT", tile)
-    docs = spark.createDataFrame([(i, str(i)) for i in range(len(fps))], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
-    assert got == {i: i - i % 2 for i in range(len(fps))}
-
-
-@pytest.mark.parametrize("flips", [20, 60, 75, 120])
-def test_tiles_are_compared_in_full(flips, monkeypatch):
-    monkeypatch.setattr(similar, "CHUNK", 100)
-    monkeypatch.setattr(similar, "BLOCK", (7, 30))
-    rnd = np.random.default_rng(flips)
-    fp = [rnd.integers(0, 2**63, similar.WIDE).astype(np.uint64) for _ in range(5)]
-    for _ in range(295):
-        bits = np.unpackbits(fp[rnd.integers(len(fp))].view(np.uint8))
-        bits[rnd.choice(256, rnd.integers(flips), replace=False)] ^= 1
-        fp.append(np.packbits(bits).view(np.uint64))
-    fp = np.stack(fp)[rnd.permutation(300)]
-    near = np.triu(np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= 51, 1)
-    assert (similar.tile_links(fp, 300, 51) == simhash.forest(300, *np.nonzero(near))).all()
-    near[:110, :110] = near[110:, 110:] = False
-    assert (similar.tile_links(fp, 110, 51) == simhash.forest(300, *np.nonzero(near))).all()
+WORDS = [f"w{i}" for i in range(4000)]
+
+
+def varied(seed, groups=40, copies=5, words=120):
+    """Texts in groups of copies with a word in ten changed at most, a passage that many share, and texts of that passage alone."""
+    rnd = random.Random(seed)
+    passage = [rnd.choice(WORDS) for _ in range(60)]
+    out = []
+    for g in range(groups):
+        base = [rnd.choice(WORDS) for _ in range(words)] + passage * (g % 2)
+        for c in range(copies):
+            t = list(base)
+            for _ in range(c):
+                t[rnd.randrange(len(t))] = rnd.choice(WORDS)
+            out.append(" ".join(t))
+    for c in range(60):
+        t = list(passage)
+        t[rnd.randrange(60)] = f"own{c}"
+        out.append(" ".join(t))
+    return out + ["", None, "a b", "a b", "A B c", " ".join(passage).upper()]
+
+
+def grams(text):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 9])
+def test_no_near_copy_is_left_out(spark, monkeypatch, hot):
+    """Against all pairs: those whose fingerprints agree and of which each has four fifths of the other's shingles."""
+    monkeypatch.setattr(similar, "HOT", hot)
+    texts = varied(3)
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [grams(t) for t in texts]
+    fp = np.stack([np.frombuffer(similar.wide_fingerprint(similar.shingles((t or "").encode())), np.uint64) for t in texts])
+    alike = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= 51
+    must, may = [], []
+    for i, j in np.argwhere(np.triu(alike, 1)).tolist():
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * max(len(sets[i]), len(sets[j])):
+            must.append((i, j))
+        may.append((i, j))
+    assert len(must) > 300 and len({i for p in must for i in p}) > 250
+    assert all(got[i] == got[j] for i, j in must)
+    label = simhash.forest(len(texts), *np.array(may).T)  # and nothing is joined but by fingerprints that agree
+    assert all(label[i] == label[c] and c <= i for i, c in got.items())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 300), min_size=1, max_size=60), st.sets(st.integers(0, 300), max_size=8), st.integers(0, 14), st.integers(0, 10**6))
+def test_similar_sets_share_a_key(a, more, less, seed):
+    rnd = np.random.default_rng(seed)
+    hashes = rnd.integers(0, 2**64, 301, dtype=np.uint64)
+    levels = rnd.integers(0, 3, 1 << 12).astype(np.uint8)
+    b = (set(rnd.permutation(sorted(a)).tolist()[less:]) | more) or a
+    if len(a & b) >= 0.8 * max(len(a), len(b)):
+        k = [set(similar.keys_of(hashes[sorted(x)], levels).tolist()) for x in (a, b)]
+        assert k[0] & k[1]
+
+
+def test_frequencies_count_every_text(spark, monkeypatch):
+    monkeypatch.setattr(similar, "FAN", 2)  # more than one round of sums
+    texts = ["a b c d e"] * 40 + ["f g h i j", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    levels = similar.frequencies(df, 5, len(texts))
+    slot = lambda t: int(similar.shingles(t)[0] >> np.uint64(64 - 12))
+    assert levels[slot(b"a b c d e")] == 6 and levels[slot(b"f g h i j")] == 1 and levels.astype(bool).sum() == 2
+    assert not similar.frequencies(df.limit(0), 5, 0).any()
 
 
 PRIVATE = {
@@ -77,7 +115,7 @@ def test_numbers_alone_and_long_secrets_are_replaced(spark):
     long = "token=" + "".join(random.Random(4).choices("abcdefXYZ0189_-", k=3000))
     texts = [f"call {p} now" for p in PRIVATE["phone"]] + [long + " end", "password: " + "k9" * 600_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.replace(docs)[0].collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.replace(docs, "k")[0].collect()}
     for i, p in enumerate(PRIVATE["phone"]):
         assert p not in got[i] and re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", texts[i])
     for i in (len(texts) - 2, len(texts) - 1):

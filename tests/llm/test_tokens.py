@@ -118,7 +118,7 @@ def test_packing_is_whole(spark):
 def test_local_search_never_adds_bins(lengths):
     n = np.array(lengths)
     first = packing.best_fit(n, 100)
-    better = packing.local_search([list(b) for b in first], n, 100, underfull=1.0)
+    better = packing.local_search([list(b) for b in first], n, 100)
     assert sorted(i for b in better for i in b) == list(range(len(n)))
     assert all(n[b].sum() <= 100 for b in better)
     assert -(-n.sum() // 100) <= len(better) <= len(first)
@@ -129,10 +129,43 @@ def test_local_search_never_adds_bins(lengths):
 def test_local_search_empties_bins():
     n = np.array([60, 40, 50, 50, 70, 30])
     bad = [[0, 5], [1, 2], [3], [4]]  # fills 90, 90, 50, 70
-    assert len(packing.local_search(bad, n, 100, underfull=1.0)) == 3
+    assert len(packing.local_search(bad, n, 100)) == 3
 
 
 def test_packing_quality(spark, sf_dir):
     rows = packing.best_fit_pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORD_BPE)
     r = rows.agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("t")).first()
     assert r["n"] <= -(-r["t"] // packing.CAPACITY) + 2
+
+
+def test_the_search_does_the_packing():
+    rnd = np.random.default_rng(1)
+    n = np.minimum(rnd.geometric(1 / 500, 6000), 4095)
+    plain = packing.next_fit(n)
+    least = -(-int(n.sum()) // packing.CAPACITY)
+    assert len(plain) > 1.1 * least
+    assert len(packing.pack(n)) == len(packing.local_search(plain, n)) == least
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
+def test_few_pieces_need_no_more_bins_than_any_way_but_one(lengths):
+    def fewest(left, rooms):  # every way to deal the pieces
+        if not left:
+            return len(rooms)
+        n, rest = left[0], left[1:]
+        ways = [fewest(rest, rooms[:i] + [r - n] + rooms[i + 1 :]) for i, r in enumerate(rooms) if r >= n and r not in rooms[:i]]
+        return min([fewest(rest, [*rooms, 12 - n]), *ways])
+
+    bins = packing.pack(np.array(lengths), 12)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert len(bins) <= fewest(sorted(lengths, reverse=True), []) + 1
+
+
+def test_rounds_bring_underfull_bins_together(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (200 + 37 * i % 3000)) for i in range(300)], "doc_id long, text string")
+    rows = packing.best_fit_pack(docs, WORD_BPE, group=20).collect()  # about 15 groups at first
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) >= 300
+    groups = [[r["length"] for r in rows[at : at + 20]] for at in range(0, len(rows), 20)]
+    apart, together = sum(len(packing.pack(np.array(g))) for g in groups), len(packing.pack(np.array(sum(groups, []))))
+    assert together <= len({r["sequence_id"] for r in rows}) < apart

@@ -23,7 +23,10 @@ from pyspark.sql.window import Window
 from .common import cut
 
 TRAIN_DOCS = 20_000  # labelled documents that the model is fitted on, at most
-TOP = 20_000  # words, and trigrams, kept of each language
+TOP = 20_000  # words, and trigrams, kept of each language, about
+LABELS = 256  # labels that are learned, at most: those of most documents
+CELLS = 50_000_000  # numbers in the tables of a model, about; of many labels, fewer words are kept
+STEP_CELLS = 1 << 24  # words times labels that are labelled at once, unless one text has more
 SWITCH = 6.0  # penalty for a change of language, in nats
 WORD_CACHE = 150_000
 UND = "und"
@@ -58,7 +61,7 @@ class Model:
         self.tri_row, self.tri_log = self.logs(tri, langs)
         names = sorted(scripts)
         fit = np.array([scripts[n] for n in names], float).reshape(len(names), len(langs))
-        fit = fit > 0.01 * np.maximum(fit.sum(1, keepdims=True), 1)
+        fit = fit > 0.01 * np.maximum(fit.sum(0), 1)  # scripts of a hundredth of a language's words at least
         # the last row is for scripts that training has not seen: every language is a candidate
         self.script_row, self.fit = {n: i for i, n in enumerate(names)}, np.concatenate([fit, np.ones((1, len(langs)), bool)])
         self.cache: dict[str, int] = {}
@@ -102,11 +105,12 @@ class Model:
 
     def viterbi(self, docs: list[list[str]], penalty: float = SWITCH) -> list[np.ndarray]:
         """The best labels of each document's words: all documents take their n-th step together."""
-        if len(self.cache) > WORD_CACHE:
+        if len(self.cache) * max(len(self.langs), 8) > WORD_CACHE * 8:
             self.cache = {}
+            self.table = self.table[:1024].copy()
         rows = [self.ids(d) for d in docs]
         if not self.cache:
-            return [np.zeros(0, np.int8) for _ in docs]
+            return [np.zeros(0, np.int32) for _ in docs]
         table, L = self.table, len(self.langs)
         order = np.argsort([-len(r) for r in rows], kind="stable")
         size = np.array([len(rows[i]) for i in order])
@@ -117,7 +121,8 @@ class Model:
         for d, i in enumerate(order):
             flat[starts[: size[d]] + d] = rows[i]
         v = np.zeros((len(docs), L), np.float32) + (self.prior - self.prior.max()).astype(np.float32)
-        back = np.zeros((len(flat), L), np.int8)
+        # a word's label before it is its own, or the best of all: a bit of each label tells which
+        stays, tops = np.zeros((len(flat), (L + 7) // 8), np.uint8), np.zeros(len(flat), np.int32)
         last = np.zeros((len(docs), L), np.float32)
         for t in range(most):
             n, at = live[t], starts[t]
@@ -125,16 +130,18 @@ class Model:
             top = cur.argmax(1)
             jump = np.take_along_axis(cur, top[:, None], 1) - penalty
             stay = cur >= jump
-            back[at : at + n] = np.where(stay, np.arange(L, dtype=np.int8), top[:, None])
+            stays[at : at + n] = np.packbits(stay, axis=1, bitorder="little")
+            tops[at : at + n] = top
             v[:n] = np.where(stay, cur, jump) + table[flat[at : at + n]]
             last[:n] = v[:n]
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(docs)
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(docs)
         state = last.argmax(1)
-        labels = np.zeros(len(flat), np.int8)
+        labels = np.zeros(len(flat), np.int32)
         for t in range(most - 1, -1, -1):
             n, at = live[t], starts[t]
             labels[at : at + n] = state[:n]
-            state[:n] = back[at + np.arange(n), state[:n]]
+            stay = stays[at + np.arange(n), state[:n] >> 3] >> (state[:n] & 7) & 1
+            state[:n] = np.where(stay, state[:n], tops[at : at + n])
         for d, i in enumerate(order):
             out[i] = labels[starts[: size[d]] + d]
         return out
@@ -157,8 +164,17 @@ class Model:
         if not self.langs:
             return [(UND, 0.0)] * len(texts)
         docs = [WORDS.findall(t.lower()) for t in texts]
+        paths: list[np.ndarray] = []
+        at = 0
+        while at < len(docs):  # as many texts together as the bound on cells lets
+            end, cells = at, 0
+            while end < len(docs) and (end == at or cells + len(docs[end]) * len(self.langs) <= STEP_CELLS):
+                cells += len(docs[end]) * len(self.langs)
+                end += 1
+            paths += self.viterbi(docs[at:end])
+            at = end
         out = []
-        for words, labels in zip(docs, self.viterbi(docs), strict=True):
+        for words, labels in zip(docs, paths, strict=True):
             if not any(c.isalpha() for w in words for c in w):  # \w has numerals besides letters and digits
                 out.append((UND, 0.0))
                 continue
@@ -175,9 +191,11 @@ def has_letter(text: str) -> bool:
 def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most ``most`` labelled rows (those with the smallest hashes of their id), each whole.
 
-    What reaches the driver is bounded: ``top`` words and trigrams a language.
-    Entries of one count are kept or left together, so that ties need no order.
-    Null or empty labels and texts take no part.
+    What reaches the driver is bounded: the LABELS labels of most rows (ties by
+    name), and about ``top`` words and trigrams a language, fewer if the labels
+    are so many that the tables would have more than CELLS numbers. The entries
+    of highest counts are kept, and of the count that not all have place of,
+    those with the smallest hashes. Null or empty labels and texts take no part.
     """
     rows = docs.where(F.col(text_col).isNotNull() & (F.coalesce(F.trim(F.col(lang_col)), F.lit("")) != "")).select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     # a threshold on the hash, from the count, leaves little to sort
@@ -190,6 +208,12 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str =
         edge = sample.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
         sample = sample.where(F.col("h") <= edge)
 
+    labels = [r["lang"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS + 1).collect()]
+    if len(labels) > LABELS:
+        labels.pop()
+        sample = sample.where(F.col("lang").isin(labels))
+    top = max(1, min(top, CELLS // (2 * max(1, len(labels)) ** 2)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -214,11 +238,11 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str =
             yield flush()
 
     counts = cut(sample.select("text", "lang").mapInArrow(run, "kind string, lang string, gram string, c long").groupBy("kind", "lang", "gram").agg(F.sum("c").alias("c")), "gram-counts")
-    # how many entries have each count tells from which count on ``top`` are kept, so that no language is sorted in one task
+    # how many entries have each count tells which share of them has place, so that no language is sorted in one task
     so_far = F.sum("n").over(Window.partitionBy("kind", "lang").orderBy(F.desc("c")))
-    levels = counts.groupBy("kind", "lang", "c").agg(F.count("*").alias("n")).withColumn("n", so_far)
-    least = levels.where(F.col("n") <= top).groupBy("kind", "lang").agg(F.min("c").alias("least"))
-    kept = counts.join(F.broadcast(least), ["kind", "lang"]).where("c >= least").drop("least").collect()  # a row of ``least`` for each label, of which the model holds a table
+    levels = counts.groupBy("kind", "lang", "c").agg(F.count("*").alias("n")).withColumn("share", (F.lit(top) - so_far + F.col("n")) / F.col("n")).where("share > 0").drop("n")
+    place_of = F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) / 1_000_000
+    kept = counts.join(F.broadcast(levels), ["kind", "lang", "c"]).where(place_of < F.col("share")).collect()  # the model, of CELLS numbers at most
     langs = sorted({r["lang"] for r in kept})
     place = {x: i for i, x in enumerate(langs)}
     tables: dict[str, dict[str, list[int]]] = {"w": {}, "t": {}, "s": {}, "d": {}}

@@ -42,7 +42,7 @@ FEMALE = r"Mrs\.?|Ms\.?|Miss|Lady|Frau|Madame|Mme|Señora|Sra\.|г-жа|Госп
 EITHER = r"Dr\.?|Doctor|Prof\.?|Professor"
 TITLE = rf"(?:{MALE}|{FEMALE}|{EITHER})"
 PARTICLE = r"(?:de|da|di|du|del|della|la|le|van|von|der|den|ter|zu|bin|ibn|al|el)"
-NAME_WORD = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}'’-]+|\p{Lo}[\p{L}\p{M}]*)"
+NAME_WORD = rf"(?!{TITLE} )(?:\p{{Lu}}\.|(?:\p{{L}}['’])?\p{{Lu}}[\p{{L}}\p{{M}}'’-]+|\p{{Lo}}[\p{{L}}\p{{M}}]*)"
 NAME = rf"(?<!\w){TITLE} (?:{TITLE} )?{NAME_WORD}(?: (?:{PARTICLE} ){{0,3}}{NAME_WORD}){{0,15}}"
 ANY = "|".join((EMAIL, PHONE, IP, IPV6, SSN, CARD, IBAN, SECRET, TOKEN, NAME))
 # cheap, and true of every text that ANY is found in: phones begin with + and a digit or end in four digits, IBANs begin with two letters and two digits
@@ -167,18 +167,22 @@ def at(alphabet: str, v: Column) -> Column:
     return F.substring(F.lit(alphabet), F.pmod(v, F.lit(len(alphabet))) + 1, F.lit(1))
 
 
-def alike(text: Column, v: Column, skip: int = 0, hexadecimal: Column | None = None) -> Column:
+def alike(text: Column, v: Column, skip: int = 0) -> Column:
     """Each digit and letter of ``text`` from the stream, by class; the first ``skip`` characters stay."""
-    like_hex = hexadecimal if hexadecimal is not None else F.lit(False)
 
     def one(x: Column, i: Column) -> Column:
         n = F.get(v, i)
-        new = F.when(like_hex, at(HEX, n)).when(x.between("0", "9"), at(DIGITS, n)).when(x.between("a", "z"), at(LOWER, n)).when(x.between("A", "Z"), at(UPPER, n)).when(x.rlike(r"\p{L}"), at(LOWER, n)).when(x.rlike(r"\p{Nd}"), at(DIGITS, n)).otherwise(x)
+        new = F.when(x.between("0", "9"), at(DIGITS, n)).when(x.between("a", "z"), at(LOWER, n)).when(x.between("A", "Z"), at(UPPER, n)).when(x.rlike(r"\p{L}"), at(LOWER, n)).when(x.rlike(r"\p{Nd}"), at(DIGITS, n)).otherwise(x)
         return F.when(i < skip, x).otherwise(new)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def alike_hex(text: Column, v: Column) -> Column:
+    """As many hexadecimal digits as ``text`` has."""
+    return F.array_join(F.transform(F.split(text, ""), lambda x, i: at(HEX, F.get(v, i))), "")
+
+
 def surrogate(kind: Column, c: Column, attempt: int, key: str, v: Column) -> Column:
     """The surrogate, in canonical form."""
     longer = growth(attempt)
@@ -198,7 +202,6 @@ def surrogate(kind: Column, c: Column, attempt: int, key: str, v: Column) -> Col
     check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
     octet = lambda i, base, n: (F.lit(base) + F.pmod(F.get(v, F.lit(i)), F.lit(n))).cast("string")
     hextets = [F.lower(F.hex(F.get(v, F.lit(i)))) for i in range(6)]
-    hexadecimal = c.rlike("^[0-9a-f]+$")
     return (
         F.when(kind == "email", mail)
         .when(kind == "card", F.concat(body, check.cast("string")))
@@ -206,7 +209,8 @@ def surrogate(kind: Column, c: Column, attempt: int, key: str, v: Column) -> Col
         .when(kind.isin("ip", "ipv6"), F.concat_ws(":", F.lit("2001"), F.lit("db8"), *hextets))  # once no address of the shorter kind is left
         .when(kind == "phone", F.concat(alike(c, v, skip=1), more(DIGITS)))
         .when(kind == "iban", F.concat(alike(c, v, skip=2), more(DIGITS)))
-        .when(kind == "secret", F.concat(alike(c, v, hexadecimal=hexadecimal), more("0123456789abcdef")))
+        .when((kind == "secret") & c.rlike("^[0-9a-f]+$"), F.concat(alike_hex(c, v), more(HEX)))
+        .when(kind == "secret", F.concat(alike(c, v), more(HEX)))
         .when(kind == "ssn", F.concat(alike(c, v), more(DIGITS)))
         .otherwise(name)
     )

@@ -124,6 +124,94 @@ def test_numbers_alone_and_long_secrets_are_replaced(spark):
         assert same < 400  # the tail is replaced as the head is; characters agree by chance only
 
 
+def test_short_formats_never_run_out_of_surrogates(spark):
+    mails = [f"{a}@{b}.co" for a in range(10) for b in range(10)]
+    out, table = pii.replace(spark.createDataFrame([(i, f"to {m} now") for i, m in enumerate(mails)], "doc_id long, text string"), "k")
+    new = [r["text"] for r in out.collect()]
+    assert len(set(new)) == 100 and all(re.fullmatch(r"to \w+@\w+\.co now", t) for t in new)
+    assert not {r["sur"] for r in table.collect()} & set(mails)
+
+
+def test_names_of_any_length_and_script(spark):
+    texts = [
+        "Mr John Ronald Tolkien met Tolkien; TOLKIEN and tolkienish", "Mr. Jean-Luc de la Tour d'Auvergne", "Dr. Jane Roe, and Roe", "Prof. Li Wei Mr 王伟, 王伟",
+        "mail john@mail.bigcorp.com", "x" * 100 + "@b.co", "at 2001:db8::1 and fe80::1:2, at 12:30:45", "Mr. O'Neil \\E O'Neil", "clean Roe and Tour and Li",
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k")[0].collect()}
+    for i, gone in enumerate(["John Ronald Tolkien TOLKIEN", "Jean Luc Tour Auvergne", "Jane Roe", "Li Wei 王伟", "john mail. bigcorp", "xxx", "2001:db8::1 fe80", "Neil"]):
+        words = re.findall(r"[\w:.]+", got[i])
+        assert not [g for g in gone.split() if g in words or (i != 0 and g in got[i])], got[i]
+    a, b, c = re.match(r"Mr \w+ \w+ (\w+) met (\w+); (\w+) and tolkienish$", got[0]).groups()
+    assert a == b and a.upper() == c
+    assert "12:30:45" in got[6] and got[8] == texts[8]
+    assert re.fullmatch(r"Prof\. \w+ \w+ Mr (\w+), \1", got[3]), got[3]
+
+
+def test_a_key_is_required(spark):
+    with pytest.raises(ValueError, match="key"):
+        pii.replace(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
+
+
+def plain_replacement(text, table):
+    """The text with each match replaced from the table, one at a time."""
+    import regex
+
+    def checks(d):
+        d = [int(c) for c in d][::-1]
+        return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+    def put(kind, canon, mention):
+        new = table[kind, canon]
+        if kind in ("phone", "card", "ssn"):
+            left = iter(new)
+            return "".join(next(left) if c.isdigit() else c for c in mention) + "".join(left)
+        if kind == "iban":
+            left = list(new)
+            return "".join(" " if c == " " else left.pop(0) for c in mention) + "".join(left)
+        return new.upper() if kind == "email" and mention.upper() == mention else new
+
+    def one(m):
+        t = m[0]
+        lead = regex.match(pii.SECRET_LEAD, t)
+        if "@" in t:
+            return put("email", t.lower(), t)
+        if lead:
+            return lead[0] + put("secret", t[lead.end() :], t[lead.end() :])
+        if lead := regex.match(pii.TOKEN_LEAD, t):
+            return lead[0] + put("secret", t[lead.end() :], t[lead.end() :])
+        if regex.fullmatch(pii.IP, t):
+            return put("ip", t, t)
+        digits = "".join(c for c in t if c.isdigit())
+        if regex.fullmatch(r"\d{3}-\d{2}-\d{4}", t):
+            return put("ssn", digits, t)
+        if regex.fullmatch(pii.CARD, t):
+            return put("card", digits, t) if checks(digits) else t
+        if regex.match("[A-Z]{2}[0-9]{2}", t):
+            return put("iban", t.replace(" ", ""), t)
+        return put("phone", digits, t)
+
+    return regex.sub("|".join((pii.EMAIL, pii.PHONE, pii.IP, pii.SSN, pii.CARD, pii.IBAN, pii.SECRET, pii.TOKEN)), one, text)
+
+
+def test_replacement_against_a_plain_one(spark, sf_dir):
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(300):
+        found = [rnd.choice(texts_) for kind, texts_ in PRIVATE.items() if kind != "name" for _ in range(rnd.randint(0, 2))]
+        rnd.shuffle(found)
+        texts.append(" ".join(x for f in found for x in (rnd.choice(["see", "(", "über", "a,"]), f, rnd.choice(["ok", ")", "!"]))))
+    docs = spark.createDataFrame([(-i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out, table = pii.replace(docs, "k")
+    new = {(r["kind"], r["canon"]): r["sur"] for r in table.collect()}
+    assert len(set(new.values())) == len(new) > 25
+    was = {r["doc_id"]: r["text"] for r in docs.collect()}
+    changed = 0
+    for r in out.collect():
+        assert r["text"] == plain_replacement(was[r["doc_id"]], new)
+        changed += r["text"] != was[r["doc_id"]]
+    assert changed > 250
+
+
 def test_language_stage_without_labels(spark):
     import corpus_pipeline as C
 

@@ -64,14 +64,53 @@ def test_top_k(spark, high):
     rows = [(i, [float(x) for x in rnd.normal(size=8) * rnd.choice([0.1, 1, 5])]) for i in range(400)]
     rows += [(1000, rows[0][1]), (1100, [0.0] * 8), (7000, None), (7001, [float("nan")] * 8), (7002, [None] * 8), (1200, rows[5][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    bucket, topk.BUCKET = topk.BUCKET, 64
     block, topk.BLOCK = topk.BLOCK, 3
     try:
         got = topk.top_k(df, df.where("vec_id % 100 = 0"), 10, high=high)
         assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 10)
         assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     finally:
-        topk.BUCKET, topk.BLOCK = bucket, block
+        topk.BLOCK = block
+
+
+def test_pairs_of_block_and_bucket_are_pruned(spark, monkeypatch):
+    """Most vectors are short: no pair of theirs with a block moves. The rest is pruned by coordinates or length."""
+    rnd = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rnd.normal(size=16) * (5 if i % 8 == 0 else 0.1)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pairs, real = [], topk.cut
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "cut", lambda d, name: pairs.append((name, real(d, name))) or pairs[-1][1])
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), 10).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(rows, 10)
+    seeds, later = [d.count() for name, d in pairs if name == "pairs"]
+    assert seeds == 4 and later < 0.5 * 4 * 15  # of 4 blocks and 16 buckets
+
+
+def test_products_are_pruned(monkeypatch):
+    rnd = np.random.default_rng(9)
+    centres = rnd.normal(size=(20, 32))
+    p = np.floor(1024 * (centres[rnd.integers(0, 20, 4000)] + 0.1 * rnd.normal(size=(4000, 32)))).astype(np.int64)
+    q = p[:50]
+    ids = np.arange(4000)
+    scores = p[:50] @ p.T
+    scores[np.arange(50), np.arange(50)] = np.iinfo(np.int64).min
+    floor = np.sort(scores, 1)[:, -10].astype(float)
+    done, real = [], topk.product
+    monkeypatch.setattr(topk, "product", lambda a, b: done.append(len(a) * (1 if b.ndim == 1 else b.shape[1])) or real(a, b))
+    a, b, s = topk.local_top(ids[:50], q, floor, ids, p, 10)
+    for i in range(50):
+        best = sorted((-int(x), int(j)) for j, x in enumerate(scores[i]) if j != i)[:10]
+        assert sorted((-int(x), int(j)) for k, j, x in zip(a, b, s, strict=True) if k == i)[:10] == best
+    assert sum(done) < 0.2 * 50 * 4000
+
+
+def test_components_that_do_not_fit_are_an_error(spark):
+    big = spark.createDataFrame([(0, [1e17, 1e17]), (1, [1e17, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2\\^52"):
+        topk.top_k(big, big).collect()
+    with pytest.raises(OverflowError):
+        topk.product(np.array([[2**40, 2**40]]), np.array([2**40, 2**40]))
 
 
 def test_products_of_large_components():

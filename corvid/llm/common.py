@@ -67,6 +67,14 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") ->
     return marked.where("`__hot`").drop("__hot").unionByName(rest)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in smaller ones, so that few texts are held as Python objects at once."""
     for b in batches:
@@ -79,6 +87,7 @@ MOST_BROADCAST_IDS = 1_000_000  # ids that are sent to all executors, at most
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose key is not in ``ids`` (one column, null for null). Texts stay where they are if a count shows the ids few."""
-    gone = cut(ids.toDF("gone_").distinct(), "gone")
+    name = free(docs, "gone_")
+    gone = cut(ids.toDF(name).distinct(), "gone")
     few = gone.count() <= MOST_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[key].eqNullSafe(gone["gone_"]), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[key].eqNullSafe(gone[name]), "left_anti")

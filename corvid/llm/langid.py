@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import cut
@@ -279,10 +278,11 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double{more}")
 
 
-def with_language(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text", out: str = "lang_pred", letters: str | None = None) -> DataFrame:
-    """``docs`` with the predicted language as a further column; rows pass through where they are.
+def with_letters(spark: SparkSession, docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that have a language: a predicted one, or any letter. Rows pass through where they are.
 
-    ``letters`` names one more column that tells whether the text has a letter, whatever the model has learned.
+    Null text, and text without a letter, has none, whatever the model has
+    learned; a letter is enough where the model has no label to give.
     """
     sent = spark.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
@@ -293,10 +293,6 @@ def with_language(spark: SparkSession, docs: DataFrame, model: Model, text_col:
                 s = b.slice(at, 1024)
                 texts = [t or "" for t in s.column(place).to_pylist()]
                 found = sent.value.predict(texts)
-                cols, names = [*s.columns, pa.array([f[0] for f in found], pa.string())], [*s.schema.names, out]
-                if letters:
-                    cols, names = [*cols, pa.array([has_letter(t) for t in texts], pa.bool_())], [*names, letters]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield s.filter(pa.array([f[0] != UND or has_letter(t) for f, t in zip(found, texts, strict=True)], pa.bool_()))
 
-    more = [StructField(letters, BooleanType())] if letters else []
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType()), *more]))
+    return docs.mapInArrow(run, docs.schema)

@@ -88,8 +88,8 @@ def a12(t):
 
 @query(
     "a13_law_aggregation",
-    """WITH h AS (SELECT l_orderkey % 50 AS query_id, l_orderkey * 10 + l_linenumber AS doc_id, CAST(l_suppkey % 7 AS VARCHAR) AS law_id, l_linenumber > 1 AS is_article, l_linenumber AS article_no,
-                       max(l_extendedprice) AS score FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1, 2, 3, 4, 5),
+    """WITH h AS (SELECT l_orderkey // 100 AS query_id, l_orderkey * 10 + l_linenumber AS doc_id, CAST(l_suppkey % 7 AS VARCHAR) AS law_id, l_linenumber > 1 AS is_article, l_linenumber AS article_no,
+                       max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2, 3, 4, 5),
        a AS (SELECT *, list(score) OVER (PARTITION BY query_id) AS l0 FROM h),
        b AS (SELECT *, list_reverse_sort(l0) AS l FROM a),
        c AS (SELECT *, l[greatest(1, len(l) // 3)] AS fl, l[len(l) // 2 + 1] AS med, sum(CASE WHEN is_article THEN score END) OVER g AS s, count(CASE WHEN is_article THEN 1 END) OVER g AS n_articles,
@@ -101,8 +101,8 @@ def a12(t):
        SELECT query_id, doc_id, law_id, is_article, score, round(CASE WHEN n_articles > 0 AND wins AND doc_id = best_id AND is_article THEN s END, 2) AS agg_score, n_articles, array_to_string(nums[1:5], ',') AS article_numbers FROM f""",
 )
 def a13(t):
-    h = t.lineitem.where("l_orderkey <= 400").groupBy(
-        (F.col("l_orderkey") % 50).alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), (F.col("l_suppkey") % 7).cast("string").alias("law_id"),
+    h = t.lineitem.groupBy(
+        F.expr("l_orderkey div 100").alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), (F.col("l_suppkey") % 7).cast("string").alias("law_id"),
         (F.col("l_linenumber") > 1).alias("is_article"), F.col("l_linenumber").alias("article_no"),
     ).agg(F.max("l_extendedprice").alias("score"))
     return R.aggregate_laws(h).drop("rank").withColumn("agg_score", F.round("agg_score", 2))
@@ -154,12 +154,12 @@ def a20(t):
 
 @query(
     "a21_unique_references",
-    """WITH c AS (SELECT l_orderkey AS query_id, l_linenumber AS place, l_suppkey AS ref_id FROM lineitem WHERE l_orderkey < 100),
+    """WITH c AS (SELECT l_orderkey AS query_id, l_linenumber AS place, l_suppkey AS ref_id FROM lineitem),
        f AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY query_id, place) AS r FROM c)
        SELECT ref_id, query_id, place, CAST(row_number() OVER (ORDER BY query_id, place, ref_id) AS INTEGER) AS n FROM f WHERE r = 1""",
 )
 def a21(t):
-    return V.unique_references(t.lineitem.where("l_orderkey < 100").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("place"), F.col("l_suppkey").alias("ref_id")))
+    return V.unique_references(t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("place"), F.col("l_suppkey").alias("ref_id")))
 
 
 @query("a25_match_rate", "SELECT count(*) AS total, count(l.doc_id) AS matched, round(100.0 * count(l.doc_id) / count(*), 4) AS pct FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -166,10 +166,10 @@ def qn(t):
     return arts.unionByName(rest)
 
 
-@query("g9_context_injection", """WITH h AS (SELECT l_orderkey AS query_id, l_partkey AS id FROM lineitem WHERE l_orderkey < 300)
+@query("g9_context_injection", """WITH h AS (SELECT l_orderkey AS query_id, l_partkey AS id FROM lineitem)
        SELECT query_id, id, CASE min(p) WHEN 0 THEN 'parent' WHEN 1 THEN 'sibling' ELSE 'related' END AS source FROM (SELECT query_id, id, 0 AS p FROM h UNION ALL SELECT query_id, id + 1, 1 FROM h UNION ALL SELECT query_id, id + 2, 2 FROM h) GROUP BY 1, 2""")
 def g9(t):
-    h = t.lineitem.where("l_orderkey < 300").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"))
+    h = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"))
     more = lambda n: h.select("query_id", (F.col("id") + n).alias("id"))
     return G.injected([("parent", h), ("sibling", more(1)), ("related", more(2))]).select("query_id", "id", "source")
 

@@ -34,15 +34,15 @@ def x3(t):
 
 @query("x4_abbreviations")
 def x4(t):
-    """Cascading whole-word expansion; look-around is not in the SQL's expressions."""
-    return t.documents.select("doc_id", F.md5(X.expand(F.lower("text"), LATIN)).alias("digest"))
+    """Cascading whole-word expansion by the whole table of short forms; look-around is not in the SQL's expressions."""
+    return t.documents.select("doc_id", F.md5(X.expand(F.concat(F.lit("Theo BLDS, NĐ-CP và TT-BTC: "), F.col("text")))).alias("digest"))
 
 
-@query("x5_query_abbreviations", "SELECT doc_id, 'theo Bộ luật Dân sự và Nghị định Chính phủ số ' || doc_id AS q FROM documents")
+@query("x5_query_abbreviations", "SELECT doc_id, 'theo Bộ Luật Dân Sự và Nghị Định Chính Phủ số ' || doc_id || ', Tái Thẩm' AS q FROM documents")
 def x5(t):
-    """Short forms in a query in normal form, the longest first."""
-    made = F.concat(F.lit("Theo  BLDS và NĐ-CP số "), F.col("doc_id"))
-    return t.documents.select("doc_id", X.expand(X.normalize_query(made)).alias("q"))
+    """Short forms in a query in normal form, by their own table and in its order."""
+    made = F.concat(F.lit("Theo  BLDS và NĐ-CP số "), F.col("doc_id"), F.lit(", TT"))
+    return t.documents.select("doc_id", X.expand_query(X.normalize_query(made)).alias("q"))
 
 
 @query("x6_missing_marks")
@@ -87,11 +87,16 @@ def x11(t):
     return t.pages.select("page_id", F.length(F.trim(F.regexp_replace("html", "<[^>]+>", ""))).alias("n"))
 
 
-@query("x12_earliest_type", "SELECT doc_id, CASE WHEN a > 0 AND (b = 0 OR a < b) THEN 'the' WHEN b > 0 THEN 'und' ELSE 'other' END AS kind FROM (SELECT doc_id, instr(lower(text), ' the ') AS a, instr(lower(text), ' und ') AS b FROM documents)")
+@query("x10_parsed")
+def x10b(t):
+    """Text by a parser; tests hold it against the parts of the pages."""
+    return t.pages.select("page_id", F.md5(X.parsed_text("html")).alias("digest"))
+
+
+@query("x12_earliest_type", "SELECT doc_id, coalesce(nullif(regexp_extract(lower(text), '(?:^|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}])(the|und|les|los)(?:$|[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}])', 1), ''), 'other') AS kind FROM documents")
 def x12(t):
-    low = F.lower("text")
-    a, b = F.instr(low, " the "), F.instr(low, " und ")
-    return t.documents.select("doc_id", F.when((a > 0) & ((b == 0) | (a < b)), "the").when(b > 0, "und").otherwise("other").alias("kind"))
+    """The kind named first, by words that these texts have."""
+    return t.documents.select("doc_id", X.doc_type(F.col("text"), kinds={w: [w] for w in ("the", "und", "les", "los")}).alias("kind"))
 
 
 @query("x13_metadata")
@@ -102,7 +107,7 @@ def x13(t):
 
 @query("x14_articles")
 def x14(t):
-    made = F.concat(F.lit("Điều 1. A\n1. "), F.substring("text", 1, 100), F.lit("\na) x\nĐiều 2. B\n"), F.col("source"))
+    made = F.concat(F.lit("Điều 1. A\n1. "), F.col("text"), F.lit("\na) x\nĐiều 2. B\n"), F.col("source"))
     return P.exploded_articles(t.documents.select("doc_id", made.alias("text"))).select("doc_id", "article_no", "title", F.size("subsections").alias("n"))
 
 
@@ -133,9 +138,9 @@ def x17(t):
     return P.clauses(t.documents).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("x18_variants", "SELECT item_id, 1 + CASE WHEN contains(lower(text), 'the') THEN 2 ELSE 0 END AS n FROM benchmark")
+@query("x18_variants", "SELECT doc_id, 'đền bù ' || doc_id || '|bồi thường ' || doc_id || '|bồi thường thiệt hại ' || doc_id AS variants FROM documents")
 def x18(t):
-    return t.benchmark.select("item_id", F.size(X.variants(F.lower("text"), {}, {"the": ["~1~", "~2~"]})).alias("n"))
+    return t.documents.select("doc_id", F.concat_ws("|", X.variants(F.concat(F.lit("đền bù "), F.col("doc_id")))).alias("variants"))
 
 
 @query("x19_negation")
@@ -149,9 +154,12 @@ def x20(t):
     return t.documents.select("doc_id", F.concat_ws("|", X.citations(made)).alias("cites"))
 
 
-@query("x21_strategy", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'citation' WHEN contains(lower(source), '1') THEN 'negation' ELSE 'semantic' END AS strategy FROM documents")
+@query("x21_strategy", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'citation' WHEN 1 THEN 'negation' ELSE 'semantic' END AS strategy FROM documents")
 def x21(t):
-    return t.documents.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "citation").when(F.lower("source").contains("1"), "negation").otherwise("semantic").alias("strategy"))
+    """Strategies of plans: citations go before negation, negation before the rest."""
+    k = F.col("doc_id") % 3
+    made = F.concat(F.when(k == 0, "Điều 5 không được ").when(k == 1, "Nghiêm  cấm ").otherwise("Quyền "), F.col("source"))
+    return P.plan(t.documents.select("doc_id", made.alias("text")), "doc_id").select(F.col("query_id").alias("doc_id"), "strategy")
 
 
 @query("x22_plan")
@@ -180,10 +188,9 @@ def x26(t):
     return t.documents.select("doc_id", F.size(V.key_phrases(F.col("text"), 20)).alias("n"))
 
 
-@query("x27_negation_words", "SELECT doc_id, contains(lower(text), ' not ') OR contains(lower(text), ' nicht ') AS neg FROM documents")
+@query("x27_negation_words", "SELECT doc_id, contains(lower(text), ' not ') OR contains(lower(text), ' nicht ') OR contains(lower(source), 'không') AS neg FROM documents")
 def x27(t):
-    low = F.lower("text")
-    return t.documents.select("doc_id", (low.contains(" not ") | low.contains(" nicht ")).alias("neg"))
+    return t.documents.select("doc_id", (V.negative(F.col("text"), (" not ", " nicht ")) | V.negative(F.col("source"))).alias("neg"))
 
 
 @query("x28_numbers", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))), ',') AS numbers FROM documents")

@@ -143,7 +143,7 @@ def g12(t):
 
 @query(
     "k6_node_upsert",
-    """WITH c AS (SELECT l_partkey AS id, l_returnflag AS state, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS rank FROM lineitem WHERE l_orderkey % 10 = 0)
+    """WITH c AS (SELECT l_partkey AS id, l_returnflag AS state, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS rank FROM lineitem)
        SELECT 'Article' AS label, p_partkey AS id, coalesce(state, p_brand) AS state FROM part LEFT JOIN c ON id = p_partkey AND rank = 1
        UNION ALL SELECT 'Article', id, state FROM c WHERE rank = 1 AND id NOT IN (SELECT p_partkey FROM part)
        UNION ALL SELECT 'Document', s_suppkey, s_name FROM supplier""",
@@ -152,5 +152,5 @@ def k6(t):
     """Nodes of two labels by (label, id): the latest change of each is set, new ones are added."""
     nodes = t.part.select(F.lit("Article").alias("label"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("state"))
     nodes = nodes.unionByName(t.supplier.select(F.lit("Document").alias("label"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("state")))
-    changes = t.lineitem.where("l_orderkey % 10 = 0").select(F.lit("Article").alias("label"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("state"), F.struct("l_orderkey", "l_linenumber").alias("version"))
+    changes = t.lineitem.select(F.lit("Article").alias("label"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("state"), F.struct("l_orderkey", "l_linenumber").alias("version"))
     return etl.upsert(nodes, changes, ["label", "id"], "version")

@@ -11,11 +11,11 @@ from ..plans import retrieval as R
 from ..plans import review as V
 from .base import query
 
-HITS = """h AS (SELECT o_custkey % 50 AS query_id, o_orderkey AS doc_id, o_totalprice AS score FROM orders WHERE o_custkey % 7 = 0)"""
+HITS = """h AS (SELECT o_custkey % 50 AS query_id, o_orderkey AS doc_id, o_totalprice AS score FROM orders)"""
 
 
 def hits(t):
-    return t.orders.where("o_custkey % 7 = 0").select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
+    return t.orders.select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
 
 
 @query("w1_rank", f"WITH {HITS} SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM h")

@@ -170,7 +170,7 @@ def plan(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -
     """(query_id, original, normalized, expanded, variants, has_negation, negation_scope, citations, strategy)."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("original"))
     q = q.withColumn("normalized", X.normalize_query(X.nfc("original")))
-    q = q.withColumn("expanded", X.expand(F.col("normalized")))
+    q = q.withColumn("expanded", X.expand_query(F.col("normalized")))
     q = q.withColumns({"variants": X.variants(F.col("expanded")), "has_negation": X.has_negation(F.col("expanded")), "negation_scope": X.negation_scope(F.col("expanded")), "citations": X.citations(F.col("expanded"))})
     strategy = F.when(F.size("citations") > 0, "citation").when(F.col("has_negation"), "negation").otherwise("semantic")
     return q.withColumn("strategy", strategy)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,54 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# Short forms in Vietnamese legal text and what they stand for.
-ABBREVIATIONS: dict[str, str] = {
-    "NĐ-CP": "Nghị định Chính phủ",
-    "TT-BTC": "Thông tư Bộ Tài chính",
-    "BLDS": "Bộ luật Dân sự",
-    "BLHS": "Bộ luật Hình sự",
-    "BLLĐ": "Bộ luật Lao động",
-    "UBND": "Ủy ban nhân dân",
-    "HĐND": "Hội đồng nhân dân",
-    "TAND": "Tòa án nhân dân",
-    "VKSND": "Viện kiểm sát nhân dân",
-    "HĐLĐ": "Hợp đồng lao động",
-    "NLĐ": "Người lao động",
-    "NSDLĐ": "Người sử dụng lao động",
-    "BHXH": "Bảo hiểm xã hội",
-    "BHYT": "Bảo hiểm y tế",
-    "QSDĐ": "Quyền sử dụng đất",
-    "TNHH": "Trách nhiệm hữu hạn",
-    "NĐ": "Nghị định",
-    "TT": "Thông tư",
-    "QĐ": "Quyết định",
-    "QH": "Quốc hội",
-}
-
-# Groups of words that queries use for one another.
-SYNONYMS: dict[str, list[str]] = {
-    "chấm dứt": ["hủy bỏ", "kết thúc"],
-    "hợp đồng": ["thỏa thuận", "giao kèo"],
-    "bồi thường": ["đền bù"],
-    "nghĩa vụ": ["trách nhiệm"],
-    "vi phạm": ["làm trái"],
-    "người lao động": ["công nhân", "nhân viên"],
-    "thanh toán": ["chi trả"],
-    "contract": ["agreement"],
-    "terminate": ["cancel", "end"],
-    "pay": ["remit"],
-}
-
-# Other forms of verbs, and narrower terms of broad ones; both replace parts of words too.
-FORMS: dict[str, list[str]] = {
-    "quản lý": ["được quản lý", "việc quản lý"],
-    "thành lập": ["được thành lập", "việc thành lập"],
-    "đăng ký": ["được đăng ký", "thủ tục đăng ký"],
-    "sử dụng": ["được sử dụng", "quyền sử dụng"],
-    "xử phạt": ["xử phạt vi phạm", "chế tài"],
-    "đất đai": ["quyền sử dụng đất", "đất nông nghiệp"],
-    "môi trường": ["bảo vệ môi trường", "ô nhiễm"],
-}
+from .lexicons import ABBREVIATIONS, CONCEPTS, QUERY_ABBREVIATIONS, SYNONYMS, VERBS
 
 # Phrases of negation in queries, in the order they are looked for.
 NEGATIONS: list[str] = [
@@ -81,26 +35,26 @@ KIND_WORDS: dict[str, list[str]] = {
     "nghi_quyet": ["nghị quyết", "nq"],
 }
 
-# Names of document types in data sets, by the kind that they count as. All others are "other".
-KIND_NAMES: dict[str, list[str]] = {
-    "luat": ["luật", "bộ luật", "hiến pháp", "sắc luật"],
-    "nghi_dinh": ["nghị định", "nghị định thư"],
-    "thong_tu": ["thông tư", "thông tư liên tịch", "thông tư liên bộ"],
-    "quyet_dinh": ["quyết định", "sắc lệnh", "lệnh", "pháp lệnh", "chỉ thị"],
-    "nghi_quyet": ["nghị quyết", "nghị quyết liên tịch"],
-}
-DOC_TYPES: dict[str, str] = {name: kind for kind, names in KIND_NAMES.items() for name in names}
+# The kind that each name of a document type in data sets counts as. All others are "other".
+DOC_TYPES: dict[str, str] = {
+    "luật": "luat", "bộ luật": "luat", "hiến pháp": "luat", "sắc luật": "luat",
+    "nghị định": "nghi_dinh", "nghị định thư": "nghi_dinh",
+    "thông tư": "thong_tu", "thông tư liên tịch": "thong_tu", "thông tư liên bộ": "thong_tu",
+    "quyết định": "quyet_dinh", "sắc lệnh": "quyet_dinh", "lệnh": "quyet_dinh", "pháp lệnh": "quyet_dinh", "chỉ thị": "quyet_dinh",
+    "nghị quyết": "nghi_quyet", "nghị quyết liên tịch": "nghi_quyet",
+}
 
 # Patterns of the bodies that issue documents, the first that occurs counts.
 ISSUERS: list[str] = [
     r"Quốc\s+hội", r"Chính\s+phủ", r"Thủ\s+tướng", r"Bộ\s+(?:Tư\s+pháp|Tài\s+chính|Công\s+thương|Lao\s+động)", r"Ngân\s+hàng\s+Nhà\s+nước", r"UBND\s+(?:tỉnh|thành\s+phố)",
 ]
 
-# Common words that carry marks, one count each.
-MARKED_WORDS: list[str] = (
-    "ngày tháng năm điều khoản điểm luật nghị định thông tư quyết định bộ pháp hình sự dân chính phủ quốc hội thành phố tỉnh huyện "
-    "công ty trách nhiệm hữu hạn cổ phần hợp đồng lao động thương mại dịch vụ bảo hiểm xã hội y tế giáo dục"
-).split()
+# Common words that carry marks. Those named twice count twice.
+MARKED_WORDS: list[str] = [
+    "ngày", "tháng", "năm", "điều", "khoản", "điểm", "luật", "nghị", "định", "thông", "tư", "quyết", "định", "bộ", "pháp", "hình", "sự", "dân",
+    "chính", "phủ", "quốc", "hội", "thành", "phố", "tỉnh", "huyện", "công", "ty", "trách", "nhiệm", "hữu", "hạn", "cổ", "phần",
+    "hợp", "đồng", "lao", "động", "thương", "mại", "dịch", "vụ", "bảo", "hiểm", "xã", "hội", "y", "tế", "giáo", "dục",
+]
 
 
 @pandas_udf(StringType())
@@ -128,28 +82,38 @@ def normalize_query(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
-def expand(c: Column, words: Mapping[str, str] | None = None) -> Column:
-    """Whole-word replacement of short forms, longest first; what one writes, the next may expand."""
+def expand(c: Column, words: Mapping[str, str] | None = None, longest_first: bool = True) -> Column:
+    """Whole-word replacement of short forms; what one writes, the next may expand. Those of one length, or all, in the order of the table."""
     words = ABBREVIATIONS if words is None else words
-    for short in sorted(words, key=lambda w: (-len(w), w)):
+    for short in sorted(words, key=len, reverse=True) if longest_first else words:
         quoted = "".join("\\" + ch if not ch.isalnum() else ch for ch in short)
         c = F.regexp_replace(c, rf"(?iuU)(?<!\w){quoted}(?!\w)", words[short].replace("$", r"\$"))
     return c
 
 
+def expand_query(c: Column, words: Mapping[str, str] | None = None) -> Column:
+    """Short forms of queries, in the order of their own table."""
+    return expand(c, QUERY_ABBREVIATIONS if words is None else words, longest_first=False)
+
+
 def normalize_legal(c: Column, words: Mapping[str, str] | None = None) -> Column:
     """Normal form C, then white space, then short forms, as texts are stored."""
     return expand(normalize_space(nfc(c)), words)
 
 
+def unmarked(word: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFD", word) if unicodedata.category(ch) != "Mn")
+
+
 def lacks_marks(c: Column, share: float = 0.5, words: Sequence[str] = tuple(MARKED_WORDS)) -> Column:
-    """Whether, of the listed words that the first 2000 characters hold without marks, more than ``share`` nowhere have them."""
+    """Whether more than ``share`` of the listed words that the first 2000 characters hold without marks are nowhere there with them.
+
+    A word listed twice counts twice.
+    """
     head = F.substring(F.lower(c), 1, 2000)
-    plain = ["".join(ch for ch in unicodedata.normalize("NFD", w) if unicodedata.category(ch) != "Mn") for w in words]
-    seen = [F.coalesce(head.rlike(rf"(?U)(?<!\w){p}(?!\w)"), F.lit(False)) for p in plain]
-    total = sum((x.cast("int") for x in seen), F.lit(0))
-    bare = sum(((x & ~head.contains(w)).cast("int") for x, w in zip(seen, words, strict=True)), F.lit(0))
-    return (total > 0) & (bare > share * total)
+    listed = F.array(*(F.struct(head.rlike(rf"(?U)(?<!\w){unmarked(w)}(?!\w)").alias("plain"), head.contains(w).alias("marked")) for w in words))
+    found = F.filter(listed, lambda w: w["plain"])
+    return F.coalesce((F.size(found) > 0) & (F.size(F.filter(found, lambda w: ~w["marked"])) > share * F.size(found)), F.lit(False))
 
 
 def iso_dates(c: Column) -> Column:
@@ -176,7 +140,7 @@ def first_date(c: Column, n: int = 1) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    """Markup to text: scripts, styles and comments go, tags become line breaks, common references are decoded."""
+    """Markup to text by patterns alone: scripts, styles and comments go, tags become line breaks, common references are decoded."""
     c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
     c = F.regexp_replace(c, r"<[^>]+>", "\n")
     for name, ch in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
@@ -184,6 +148,43 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[ \t]*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
+class _Texts(HTMLParser):
+    """The runs of text of a page, without scripts and styles; all references decoded."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.runs: list[str] = []
+        self.hidden = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style") and not self.hidden:
+            self.hidden = tag
+
+    def handle_endtag(self, tag):
+        if tag == self.hidden:
+            self.hidden = ""
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.runs.append(data)
+
+
+def page_text(markup: str | None) -> str:
+    """A page's text: each run of text trimmed and on lines of its own, no blank ones. Null and empty give the empty text."""
+    parser = _Texts()
+    parser.feed(markup or "")
+    parser.close()
+    lines = (line.strip() for run in parser.runs for line in run.splitlines())
+    return "\n".join(line for line in lines if line)
+
+
+@pandas_udf(StringType())
+def parsed_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Markup to text by a parser, in batches."""
+    for s in pages:
+        yield s.map(page_text)
+
+
 def tokens(c: Column) -> Column:
     """Lower-case ASCII words; no empty ones."""
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
@@ -280,20 +281,22 @@ def citations(c: Column) -> Column:
 
 def variants(c: Column, synonyms: Mapping[str, Sequence[str]] | None = None, forms: Mapping[str, Sequence[str]] | None = None, most: int = 10) -> Column:
     """The text itself, then, sorted, what replacing whole words by their synonyms and parts by other forms gives; ``most`` at most."""
-    whole, parts = SYNONYMS if synonyms is None else synonyms, FORMS if forms is None else forms
-    made = [F.when(c.rlike(f"(?iuU){phrase(w)}"), F.regexp_replace(c, f"(?iuU){phrase(w)}", v.replace("$", r"\$"))) for w, vs in whole.items() for v in vs]
-    made += [F.when(c.contains(w), F.replace(c, F.lit(w), F.lit(v))) for w, vs in parts.items() for v in vs]
+    whole = SYNONYMS if synonyms is None else synonyms
+    parts = [*VERBS.items(), *CONCEPTS.items()] if forms is None else forms.items()
+    made = [F.when(c.rlike(f"(?iuU){phrase(w)}"), F.regexp_replace(c, rf"(?iuU)(?<!\w){w}(?!\w)", v.replace("$", r"\$"))) for w, vs in whole.items() for v in vs]
+    made += [F.when(c.contains(w), F.replace(c, F.lit(w), F.lit(v))) for w, vs in parts for v in vs]
     if not made:
         return F.array(c)
     others = F.array_sort(F.array_except(F.array_compact(F.array(*made)), F.array(c)))
     return F.slice(F.concat(F.array(c), others), 1, most)
 
 
-def doc_type(c: Column, default: str = "other") -> Column:
+def doc_type(c: Column, default: str = "other", kinds: Mapping[str, Sequence[str]] | None = None) -> Column:
     """The kind that is named first in the text."""
-    at = [F.regexp_instr(c, F.lit("(?iuU)(?:" + "|".join(map(phrase, words)) + ")")) for words in KIND_WORDS.values()]
+    kinds = KIND_WORDS if kinds is None else kinds
+    at = [F.regexp_instr(c, F.lit("(?iuU)(?:" + "|".join(map(phrase, words)) + ")")) for words in kinds.values()]
     first = F.array_min(F.filter(F.array(*at), lambda x: x > 0))
-    return F.coalesce(*(F.when(x == first, F.lit(kind)) for x, kind in zip(at, KIND_WORDS, strict=True)), F.lit(default))
+    return F.coalesce(*(F.when(x == first, F.lit(kind)) for x, kind in zip(at, kinds, strict=True)), F.lit(default))
 
 
 def map_type(c: Column, table: Mapping[str, str] | None = None, default: str = "other") -> Column:

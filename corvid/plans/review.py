@@ -19,9 +19,9 @@ RISK_LEVELS = ["high", "medium", "low", "none"]
 NEGATIVE = ["không", "cấm", "nghiêm cấm", "không được", "không thể", "không bao giờ", "chưa", "chẳng", "đừng"]
 
 
-def negative(c: Column) -> Column:
+def negative(c: Column, words: Sequence[str] = tuple(NEGATIVE)) -> Column:
     low = F.lower(c)
-    return F.array_contains(F.array(*(low.contains(w) for w in NEGATIVE)), True)
+    return F.array_contains(F.array(*(low.contains(w) for w in words)), True)
 
 
 def lookup(c: Column, table: dict) -> Column:
@@ -88,7 +88,7 @@ def risk_summary(found: DataFrame) -> DataFrame:
 
 def by_severity(found: DataFrame, top: int = 10) -> DataFrame:
     order = F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).when(F.col("risk") == "low", 2).otherwise(3)
-    return found.withColumn("severity", order).orderBy("severity", "query_id").limit(top)
+    return found.withColumn("severity", order).orderBy("severity", "query_id", *(["doc_id"] if "doc_id" in found.columns else [])).limit(top)
 
 
 def unique_references(cited: DataFrame) -> DataFrame:

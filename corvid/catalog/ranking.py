@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import parse as P
 from ..functions import text as X
 from ..plans import retrieval as R
+from ..plans import search as S
 from ..plans import review as V
 from .base import query
 from .joins import COSINE, dense_hits
@@ -29,6 +31,15 @@ OVERLAP = f"""
     r2 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o)"""
 
 
+WORDS = "list_filter(string_split_regex(strip_accents(lower(replace({c}, 'ß', 's'))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+PART = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+NORM = "1.2 * (1 - 0.75 + 0.75 * len / avglen)"
+
+def fields(c="text"):
+    """Titles are the heads of texts here."""
+    return {"title": X.analyze(F.substring(c, 1, 80)), "content": X.analyze(F.col(c))}
+
+
 def lexical(t, top=20):
     tok = X.tokens(F.col("text"))
     return R.bm25(t.benchmark, t.documents, tok, tok, top, q_id="item_id")
@@ -64,21 +75,22 @@ def fusion(t):
     return best.join(t.documents.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), F.substring("text", 1, 100).alias("preview"))
 
 
-@query("m2_phrase_boost", "SELECT p_partkey, CAST(CASE WHEN contains(lower(p_name), 'a') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(p_type), 'standard') THEN 1.5 ELSE 0 END AS DOUBLE) AS boost FROM part")
-def m2(t):
-    return t.part.select("p_partkey", F.round(R.phrase_boost(F.col("p_name"), F.lit("A"), 2.0) + R.phrase_boost(F.col("p_type"), F.lit("standard"), 1.5), 6).alias("boost"))
-
-
-@query("m1_two_fields", "SELECT o_orderkey, CAST(greatest(1.5 * (o_orderkey % 17), o_custkey % 23) + 0.3 * least(1.5 * (o_orderkey % 17), o_custkey % 23) AS DOUBLE) AS score FROM orders")
-def m1b(t):
-    return t.orders.select("o_orderkey", F.round(R.two_fields((F.col("o_orderkey") % 17).cast("double"), (F.col("o_custkey") % 23).cast("double")), 6).alias("score"))
+def _times(column, between):
+    """SQL: how often the phrase stands with exactly so many words between."""
+    return f"len(regexp_extract_all({column}, ' the {' [^ ]+ ' * between} erth '))"
 
 
-@query("m3_expansion_boost", BM25 + " SELECT query_id, doc_id, round(sum(w), 4) AS score FROM (SELECT query_id, doc_id, score AS w FROM r WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 0.7 * score FROM r WHERE rank <= 10) GROUP BY 1, 2")
-def m3(t):
-    h = lexical(t)
-    both = h.select("query_id", "doc_id", F.col("score").alias("w")).unionByName(h.where("rank <= 10").select("query_id", "doc_id", (0.7 * F.col("score")).alias("w")))
-    return both.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 4).alias("score"))
+@query(
+    "m2_phrase_boost",
+    f"""SELECT doc_id, round(2.0 * ({_times("t", 0)} + {_times("t", 1)} / 2) + 1.5 * ({_times("c", 0)} + {_times("c", 1)} / 2 + {_times("c", 2)} / 3), 6) AS boost
+        FROM (SELECT doc_id, replace(' ' || array_to_string({WORDS.format(c="substr(text, 1, 80)")}, ' ') || ' ', ' ', '  ') AS t, replace(' ' || array_to_string({WORDS.format(c="text")}, ' ') || ' ', ' ', '  ') AS c FROM documents)""",
+)
+def m2(t):
+    """A phrase in titles with one word between at most, and in texts with two; closer words count more."""
+    f, words = fields(), F.array(F.lit("the"), F.lit("erth"))
+    tokens = t.documents.select("doc_id", *(c.alias(name) for name, c in f.items()))
+    n = lambda name, slop: S.phrase_frequency(F.col(name), words, slop)
+    return tokens.select("doc_id", F.round(2.0 * n("title", 1) + 1.5 * n("content", 2), 6).alias("boost"))
 
 
 @query("m4_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -165,15 +177,95 @@ def m15(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", (o * 10000 + n).alias("article"), (o * 100000 + n).alias("chunk"))
 
 
-@query("qa_hybrid_search")
-def qa(t):
-    """Lexical and dense lists of the queries both have, fused, normalised, ordered for reading.
+FIELDED = f"""
+    WITH f AS (SELECT doc_id, 'title' AS field, {WORDS.format(c="substr(text, 1, 80)")} AS w FROM documents UNION ALL SELECT doc_id, 'content', {WORDS.format(c="text")} FROM documents),
+    c AS (SELECT field, count(*) AS n, avg(len(w)) AS avglen FROM f GROUP BY 1),
+    qw AS (SELECT item_id AS query_id, {WORDS.format(c="text")} AS w FROM benchmark),
+    q AS (SELECT DISTINCT 0 AS variant, query_id, unnest(w) AS term FROM qw UNION ALL SELECT DISTINCT 1, query_id, unnest(flatten(list_transform(w, lambda x: CASE WHEN x = 'the' THEN ['der', 'die'] ELSE [x] END))) FROM qw),
+    tf AS (SELECT field, doc_id, len, term, count(*) AS tf FROM (SELECT field, doc_id, len(w) AS len, unnest(w) AS term FROM f) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3, 4),
+    df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY 1, 2),
+    sv AS (SELECT variant, query_id, doc_id, field, sum({PART} * tf * 2.2 / (tf + {NORM})) AS s, sum({PART}) AS idf, count(*) AS k, any_value(len) AS len, any_value(avglen) AS avglen
+          FROM tf JOIN df USING (field, term) JOIN c USING (field) JOIN q USING (term) GROUP BY 1, 2, 3, 4),
+    s AS (SELECT * FROM sv WHERE variant = 0),
+    b AS (SELECT query_id, doc_id, max(s * CASE field WHEN 'title' THEN 1.5 ELSE 1 END) * 0.7 + 0.3 * sum(s * CASE field WHEN 'title' THEN 1.5 ELSE 1 END) AS s FROM s GROUP BY 1, 2),
+    x AS (SELECT query_id, doc_id, 0.7 * max(sv.s * CASE field WHEN 'title' THEN 2 ELSE 0.5 END) AS s FROM sv JOIN b USING (query_id, doc_id) WHERE variant = 1 GROUP BY 1, 2),
+    p0 AS (SELECT s.*, ' ' || array_to_string(f.w, ' ') || ' ' AS d, ' ' || array_to_string(qw.w, ' ') || ' ' AS p FROM s JOIN qw USING (query_id) JOIN f ON f.doc_id = s.doc_id AND f.field = s.field WHERE k = len(list_distinct(qw.w))),
+    p AS (SELECT query_id, doc_id, CASE field WHEN 'title' THEN 2.0 ELSE 1.5 END * idf * fr * 2.2 / (fr + {NORM}) AS s FROM (SELECT *, (length(d) - length(replace(d, p, ''))) / length(p) AS fr FROM p0) WHERE fr > 0),
+    hits AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM x UNION ALL SELECT * FROM p) GROUP BY 1, 2),
+    r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits)"""
+
+
+def searched(t, top):
+    """Plans of the benchmark texts, and their hits over two fields with phrases and variants."""
+    plans = P.plan(t.benchmark, "item_id", short_forms={"the": "der die"})
+    queries = plans.select("query_id", X.analyze(F.col("original")).alias("words"), F.transform("variants", X.analyze).alias("variants"))
+    return plans, S.lexical(S.index(t.documents, fields()), queries, top, t.documents, fields())
+
 
-    Its parts have SQL of their own: m1, j10, a10, w5 and w8.
-    """
-    fused = R.rrf([lexical(t, 50), dense_hits(t, 50)], [1.2, 1.0], top=20)
-    n = R.normalized(fused, "centered")
-    return R.sandwich(n.where("rank <= 10")).select("query_id", "doc_id", F.round("norm", 6).alias("norm"), "place")
+@query("m1_fielded_search", FIELDED + " SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
+def m1c(t):
+    """BM25 over two fields with an analyzer for all scripts, phrases with slop, and expansions."""
+    return searched(t, 20)[1].select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@query("m1_two_fields", FIELDED + " SELECT query_id, doc_id, round(s, 6) AS score FROM b")
+def m1b(t):
+    """The better field's score and a share of the other's, of all documents that have a word of the query."""
+    terms = R.query_terms(t.benchmark, X.analyze(F.col("text")), "item_id")
+    return S.best_fields(S.matches(S.index(t.documents, fields()), terms), S.FIELDS, S.TIE).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("m3_expansion_boost", FIELDED + " SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM x) GROUP BY 1, 2")
+def m3(t):
+    """Hits of the words of a query, raised by those of its variants, which find none of their own."""
+    plans = P.plan(t.benchmark, "item_id", short_forms={"the": "der die"})
+    queries = plans.select("query_id", X.analyze(F.col("original")).alias("words"), F.transform("variants", X.analyze).alias("variants"))
+    n = t.documents.count()
+    return S.lexical(S.index(t.documents, fields()), queries, n).select("query_id", "doc_id", "score")
+
+
+HYBRID = (
+    FIELDED
+    + """, v AS (SELECT item_id AS query_id, doc_id, round(score, 6) AS score FROM (SELECT b.item_id, e.vec_id AS doc_id,
+             list_dot_product(CAST(o.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(o.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS score
+             FROM benchmark b JOIN embeddings o ON o.vec_id = b.item_id, embeddings e)),
+    vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v),
+    n AS (SELECT item_id AS query_id, len(string_split_regex(trim(text, ' '), '\\s+')) AS words FROM benchmark),
+    rf AS (SELECT query_id, doc_id, round(sum(w / (CASE WHEN words >= 0 THEN 80 END + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank, 1.2 AS w FROM r WHERE rank <= 100 UNION ALL SELECT query_id, doc_id, rank, 0.8 FROM vr WHERE rank <= 100) JOIN n USING (query_id) GROUP BY 1, 2),
+    tp AS (SELECT * FROM rf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
+    nm AS (SELECT query_id, doc_id, round(greatest(0, least(100, 10 + (score - 0.012) * 100 / greatest(0.023, max(score) OVER g - min(score) OVER g))), 6) AS score FROM tp WINDOW g AS (PARTITION BY query_id)),
+    h AS (SELECT query_id, doc_id, source AS law_id, doc_id % 4 <> 0 AS is_article, doc_id AS article_no, score FROM nm JOIN documents USING (doc_id)),
+    la AS (SELECT *, list_reverse_sort(list(score) OVER (PARTITION BY query_id)) AS l FROM h),
+    lc AS (SELECT *, l[greatest(1, len(l) // 3)] AS fl, l[len(l) // 2 + 1] AS med, sum(CASE WHEN is_article THEN score END) OVER g AS su, count(CASE WHEN is_article THEN 1 END) OVER g AS n_articles,
+              max(CASE WHEN is_article THEN score END) OVER g AS best, max(CASE WHEN NOT is_article THEN doc_id END) OVER g AS root_id,
+              list_sort(list_distinct(list(CASE WHEN is_article THEN article_no END) OVER g)) AS nums FROM la WINDOW g AS (PARTITION BY query_id, law_id)),
+    ld AS (SELECT *, max(CASE WHEN doc_id = root_id AND NOT is_article THEN score END) OVER g AS root_score, min(CASE WHEN is_article AND score = best THEN doc_id END) OVER g AS best_id FROM lc WINDOW g AS (PARTITION BY query_id, law_id)),
+    le AS (SELECT *, (root_id IS NULL OR su > root_score OR best >= fl) AS wins FROM ld),
+    lf AS (SELECT query_id, doc_id, round(CASE WHEN n_articles > 0 AND wins AND is_article THEN su ELSE score END, 6) AS score, array_to_string(nums[1:5], ',') AS article_numbers FROM le
+           WHERE CASE WHEN n_articles = 0 THEN doc_id = root_id WHEN wins THEN is_article AND doc_id = best_id ELSE (NOT is_article AND doc_id = root_id) OR (is_article AND score >= med) END),
+    lk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS i FROM lf QUALIFY i < 5),
+    sw AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS m FROM lk)"""
+)
+
+
+def planned(t, top_k=5):
+    plans, lex = searched(t, 100)
+    ids = t.benchmark.select(F.col("item_id").alias("vec_id"))
+    asked = t.embeddings.join(F.broadcast(ids) if ids.count() <= 4096 else ids, "vec_id", "left_semi")
+    dense = R.dense(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 100)
+    nodes = t.documents.select("doc_id", F.col("doc_id").alias("root_id"), F.col("source").alias("law_id"), (F.col("doc_id") % 4 != 0).alias("is_article"), F.col("doc_id").alias("article_no"))
+    return S.hybrid(plans, lex, dense, nodes, top_k)
+
+
+@query(
+    "qa_hybrid_search",
+    HYBRID
+    + """ SELECT sw.query_id, sw.doc_id, sw.score, r.score AS lexical, vr.score AS dense, article_numbers, CAST(CASE WHEN m <= 2 THEN i WHEN i % 2 = 0 THEN i // 2 ELSE m - 1 - i // 2 END AS INTEGER) AS place
+       FROM sw LEFT JOIN (SELECT * FROM r WHERE rank <= 100) r ON r.query_id = sw.query_id AND r.doc_id = sw.doc_id LEFT JOIN (SELECT * FROM vr WHERE rank <= 100) vr ON vr.query_id = sw.query_id AND vr.doc_id = sw.doc_id""",
+)
+def qa(t):
+    """Plan, fielded lexical and dense lists, adaptive fusion, normal scores, laws, the first five, reading order."""
+    return planned(t).select("query_id", "doc_id", "score", "lexical", "dense", "article_numbers", "place")
 
 
 @query(

@@ -166,11 +166,11 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("src"), F.explode(F.array_distinct(F.concat(*found))).alias("r")).select("src", "r.rel", "r.needle")
 
 
-def plan(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, original, normalized, expanded, variants, has_negation, negation_scope, citations, strategy)."""
+def plan(queries: DataFrame, id_col: str = "query_id", text_col: str = "text", short_forms: Mapping[str, str] | None = None, synonyms: Mapping[str, list[str]] | None = None, forms: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """(query_id, original, normalized, expanded, variants, has_negation, negation_scope, citations, strategy). Tables of words that are not given are those of the lexicons."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("original"))
     q = q.withColumn("normalized", X.normalize_query(X.nfc("original")))
-    q = q.withColumn("expanded", X.expand_query(F.col("normalized")))
-    q = q.withColumns({"variants": X.variants(F.col("expanded")), "has_negation": X.has_negation(F.col("expanded")), "negation_scope": X.negation_scope(F.col("expanded")), "citations": X.citations(F.col("expanded"))})
+    q = q.withColumn("expanded", X.expand_query(F.col("normalized"), short_forms))
+    q = q.withColumns({"variants": X.variants(F.col("expanded"), synonyms, forms), "has_negation": X.has_negation(F.col("expanded")), "negation_scope": X.negation_scope(F.col("expanded")), "citations": X.citations(F.col("expanded"))})
     strategy = F.when(F.size("citations") > 0, "citation").when(F.col("has_negation"), "negation").otherwise("semantic")
     return q.withColumn("strategy", strategy)

@@ -11,9 +11,10 @@ from ..operators import graph as G
 from ..plans import retrieval as R
 from ..plans import review as V
 from .base import query
-from .graphs import edges
-from .ranking import BM25, lexical
+from .graphs import BOTH, EDGES, edges
+from .ranking import BM25, WORDS, lexical
 
+ONLY_EDGES = EDGES.split(", s AS")[0]
 NEG = "(' ' || lower({c}) || ' ') LIKE '% not %'"
 TOK = "list_distinct(list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> ''))"
 
@@ -60,53 +61,126 @@ def qe(t):
     return V.verified(pairs(t), supported, plain_negation, V.ascii_numbers).select("query_id", "doc_id", "level", "decided_by")
 
 
+# of ten hits the better half by score and place, as retrieval.position_decay keeps it
+HALF = BM25 + """, h10 AS (SELECT query_id, doc_id, score, rank - 1 AS pos, count(*) OVER (PARTITION BY query_id) AS n FROM r WHERE rank <= 10),
+    h5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * score + 0.5 * CASE WHEN n <= 1 THEN 1 ELSE 1 - pos / (n - 1) END, 9) DESC, doc_id) AS place FROM h10) WHERE place <= greatest(1, n // 2))"""
+REVIEW = HALF + ", p AS (SELECT query_id, h5.doc_id, place, b.text AS clause, d.text AS passage FROM h5 JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = h5.doc_id)," + LEVEL
+
+
 @query(
     "qf_review",
-    PAIRS + "," + LEVEL + ", f AS (SELECT query_id, doc_id, level, CASE level WHEN 'entailed' THEN 'none' WHEN 'contradicted' THEN 'high' ELSE 'low' END AS risk FROM z) SELECT d.risk, count(f.risk) AS n FROM (VALUES ('high'), ('medium'), ('low'), ('none')) d(risk) LEFT JOIN f USING (risk) GROUP BY 1",
+    REVIEW
+    + """, o AS (SELECT query_id, min(CASE level WHEN 'contradicted' THEN 0 WHEN 'no_reference' THEN 2 ELSE 3 END) AS s FROM z GROUP BY 1)
+       SELECT 'risk' AS part, d.risk AS name, count(o.s) AS n FROM (VALUES ('high', 0), ('medium', 1), ('low', 2), ('none', 3)) d(risk, s) LEFT JOIN o USING (s) GROUP BY 1, 2
+       UNION ALL SELECT 'references', 'unique', count(DISTINCT doc_id) FROM z UNION ALL SELECT 'context', source, count(*) FROM (
+         SELECT query_id, id, CASE min(p) WHEN 0 THEN 'amendment' ELSE 'related' END AS source FROM (
+           SELECT query_id, CASE WHEN e.src = doc_id THEN e.dst ELSE e.src END AS id, place * 10 + 1 AS k, 1 AS p FROM h5 JOIN (SELECT doc_id AS src, doc_id * 3 % 1000 AS dst, lang AS rel FROM documents) e ON (e.src = doc_id OR e.dst = doc_id) WHERE rel <> 'de' AND place <= 3
+         ) GROUP BY 1, 2) GROUP BY 2""",
 )
 def qf(t):
-    """Clauses reviewed against their best passages, and the risks counted."""
-    return V.risk_summary(V.findings(V.verified(pairs(t), negated=plain_negation, numbers=V.ascii_numbers)))
+    """Contracts cut into clauses, planned, searched, reranked, put in context, verified by rules; the worst finding of each clause, the references and the context counted."""
+    clauses = P.clauses(t.benchmark, "item_id")
+    contracts = P.plan(clauses.where("clause_index = 0").select(F.col("doc_id").alias("item_id"), F.col("clause").alias("text")), "item_id")
+    hits = lexical(t, 10).join(contracts.select("query_id"), "query_id", "left_semi")
+    half = R.position_decay(hits.drop("rank")).select("query_id", "doc_id", "rank")
+    found = V.verified(
+        half.join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("clause")), "query_id").join(t.documents.select("doc_id", F.col("text").alias("passage")), "doc_id").select("query_id", "doc_id", "clause", "passage"),
+        negated=plain_negation, numbers=V.ascii_numbers,
+    )
+    found = V.findings(found)
+    worst = found.groupBy("query_id").agg(F.min(F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).when(F.col("risk") == "low", 2).otherwise(3)).alias("s"))
+    risks = V.risk_summary(worst.select(F.get(F.array(*map(F.lit, V.RISK_LEVELS)), F.col("s")).alias("risk"))).select(F.lit("risk").alias("part"), F.col("risk").alias("name"), "n")
+    refs = V.unique_references(found.select("query_id", F.lit(1).alias("place"), F.col("doc_id").alias("ref_id"))).agg(F.lit("references").alias("part"), F.lit("unique").alias("name"), F.count("*").alias("n"))
+    e = edges(t).where("rel <> 'de'").select("src", "dst", F.lit("REFERENCES").alias("rel"))
+    around = G.context(half.select("query_id", F.col("doc_id").alias("id"), "rank"), e, e.limit(0), top_k=3)
+    return risks.unionByName(refs).unionByName(around.groupBy(F.lit("context").alias("part"), F.col("source").alias("name")).agg(F.count("*").alias("n")))
+
+
+TREE = "CASE WHEN doc_id % 2 = 0 THEN 'AMENDED_BY' ELSE 'CITES' END"
+AROUND = f"""tree AS (SELECT doc_id // 4 AS src, doc_id AS dst FROM documents WHERE doc_id // 4 <> doc_id), refs AS (SELECT doc_id AS src, doc_id * 3 % 1000 AS dst, {TREE} AS rel FROM documents),
+    st AS (SELECT src_ AS src, dst_ AS dst FROM (SELECT doc_id AS src_, doc_id * 7 % 1000 AS dst_ FROM documents)),
+    near AS (SELECT query_id, rank, src AS id, 0 AS p FROM k0 JOIN tree ON tree.dst = k0.id UNION ALL SELECT query_id, rank, b.dst, 1 FROM k0 JOIN tree ON tree.dst = k0.id JOIN tree b ON b.src = tree.src WHERE b.dst <> k0.id
+          UNION ALL SELECT query_id, rank, dst, 2 FROM k0 JOIN refs ON src = id WHERE rel = 'AMENDED_BY' UNION ALL SELECT query_id, rank, dst, 3 FROM k0 JOIN refs ON src = id WHERE rel = 'CITES' UNION ALL SELECT query_id, rank, src, 3 FROM k0 JOIN refs ON dst = id WHERE rel = 'CITES'
+          UNION ALL SELECT query_id, rank, dst, 4 FROM k0 JOIN st ON src = id UNION ALL SELECT query_id, rank, src, 4 FROM k0 JOIN st ON dst = id),
+    k1 AS (SELECT query_id, id, min(rank * 10 + p) AS f FROM near GROUP BY 1, 2),
+    around AS (SELECT query_id, id, ['parent', 'sibling', 'amendment', 'related', 'stored'][f % 10 + 1] AS source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, id) AS INTEGER) AS place FROM k1)"""
+
+
+def around(t, hits, top_k=5):
+    """The context of hits in a tree of documents, with amendments, citations and stored relationships."""
+    d, i = t.documents, F.col("doc_id")
+    tree = d.select(F.expr("doc_id div 4").alias("src"), i.alias("dst"), F.lit("CONTAINS").alias("rel")).where("src <> dst")
+    cites = d.select(i.alias("src"), (i * 3 % 1000).alias("dst"), F.expr(TREE).alias("rel"))
+    return G.context(hits, tree.unionByName(cites), d.select(i.alias("src"), (i * 7 % 1000).alias("dst")), top_k=top_k)
+
+
+@query("g9_context_injection", f"WITH k0 AS (SELECT item_id AS query_id, item_id AS id, 1 AS rank FROM benchmark UNION ALL SELECT item_id, item_id + 5, 2 FROM benchmark), {AROUND} SELECT * FROM around")
+def g9(t):
+    """What stands around two hits of each query in the graph."""
+    b, i = t.benchmark, F.col("item_id")
+    return around(t, b.select(i.alias("query_id"), i.alias("id"), F.lit(1).alias("rank")).unionByName(b.select(i.alias("query_id"), (i + 5).alias("id"), F.lit(2).alias("rank"))))
 
 
-@query(
-    "qg_chat_context",
-    BM25 + ", k AS (SELECT query_id, doc_id AS id, 'retrieved' AS source, 0 AS p FROM r WHERE rank <= 5 UNION ALL SELECT query_id, doc_id * 3 % 1000, 'related', 1 FROM r WHERE rank <= 5) SELECT query_id, id, CASE min(p) WHEN 0 THEN 'retrieved' ELSE 'related' END AS source FROM k GROUP BY 1, 2",
-)
+@query("qg_chat_context", BM25 + f", k0 AS (SELECT query_id, doc_id AS id, rank FROM r WHERE rank <= 5), {AROUND} SELECT query_id, id, 'retrieved' AS source, CAST(rank AS INTEGER) AS place FROM k0 UNION ALL SELECT query_id, id, source, 5 + place FROM around WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM k0)")
 def qg(t):
-    h = lexical(t, 5)
-    e = edges(t)
-    related = h.join(e, F.col("doc_id") == F.col("src")).select("query_id", F.col("dst").alias("id"))
-    return G.injected([("retrieved", h.select("query_id", F.col("doc_id").alias("id"))), ("related", related)]).select("query_id", "id", "source")
+    """A chat's context: the hits of its text without a plan, then what stands around them."""
+    h = lexical(t, 5).select("query_id", F.col("doc_id").alias("id"), "rank")
+    more = around(t, h).join(h.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return h.select("query_id", "id", F.lit("retrieved").alias("source"), F.col("rank").cast("int").alias("place")).unionByName(more.select("query_id", "id", "source", (F.col("place") + 5).cast("int").alias("place")))
 
 
-@query("qh_chat_citations", BM25 + " SELECT query_id, CAST(rank AS INTEGER) AS n, doc_id, source FROM r JOIN documents USING (doc_id) WHERE rank <= 3")
+@query(
+    "qh_chat_citations",
+    BM25
+    + f""", {ONLY_EDGES}, k AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 3),
+       l AS (SELECT DISTINCT query_id, doc_id, rank, dst AS related, rel, 'outgoing' AS d FROM k JOIN e ON src = doc_id UNION SELECT query_id, doc_id, rank, src, rel, 'incoming' FROM k JOIN e ON dst = doc_id),
+       m AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY d DESC, related, rel) AS n FROM l),
+       u AS (SELECT query_id, doc_id, rank * 10 AS f, NULL AS via FROM k UNION ALL SELECT query_id, related, rank * 10 + n, doc_id FROM m WHERE n <= 2),
+       v AS (SELECT query_id, doc_id, min(f) AS f, arg_min(coalesce(via, -1), f) AS via FROM u GROUP BY 1, 2)
+       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, doc_id) AS INTEGER) AS n, doc_id, nullif(via, -1) AS via FROM v""",
+)
 def qh(t):
+    """Citations of a chat: the hits, each with up to two related documents, none twice."""
     h = lexical(t, 3)
-    m = V.citation_map(h).select("query_id", F.explode("citations").alias("n", "c"))
-    return m.select("query_id", "n", "c.doc_id").join(t.documents.select("doc_id", "source"), "doc_id").select("query_id", "n", "doc_id", "source")
+    return V.cited_with_related(h, V.related_for_hits(h.select("query_id", "doc_id"), edges(t), 2))
 
 
 @query(
     "qb_search_with_relationships",
     BM25
-    + """, h AS (SELECT query_id, doc_id, score FROM r WHERE rank <= 10), o AS (SELECT query_id, doc_id, round(score * CASE WHEN doc_id % 3 = 0 THEN 1.2 ELSE 1 END, 6) AS score FROM h)
-       SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o) WHERE rank <= 5""",
+    + f""", {ONLY_EDGES}, {BOTH.replace("FROM e", "FROM e WHERE rel IN ('en', 'fr')")}, g AS (SELECT DISTINCT item_id AS query_id, dst AS doc_id, TRUE AS related FROM benchmark JOIN u ON item_id = src),
+       o AS (SELECT query_id, doc_id, round(score * CASE WHEN related THEN 1.2 ELSE 1 END, 6) AS score FROM r LEFT JOIN g USING (query_id, doc_id) WHERE rank <= 10),
+       p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS i FROM o QUALIFY i < 5), w AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS m FROM p)
+       SELECT query_id, doc_id, score, CAST(CASE WHEN m <= 2 THEN i WHEN i % 2 = 0 THEN i // 2 ELSE m - 1 - i // 2 END AS INTEGER) AS place FROM w""",
 )
 def qb(t):
-    h = lexical(t, 10)
-    b = R.boost_related(h, h.where("doc_id % 3 = 0").select("query_id", "doc_id")).withColumn("score", F.round("score", 6)).drop("rank")
-    return R.ranked(b, 5).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"))
+    """Twice as many hits as asked for, those raised that a typed edge joins with the query's own document, cut, in reading order."""
+    near = G.neighbours(t.benchmark.select(F.col("item_id").alias("id")), edges(t), ["en", "fr"]).select(F.col("seed").alias("query_id"), F.col("id").alias("doc_id"))
+    b = R.boost_related(lexical(t, 10), near).withColumn("score", F.round("score", 6)).drop("rank", "original")
+    return R.sandwich(R.ranked(b, 5).drop("rank")).select("query_id", "doc_id", "score", "place")
 
 
 @query(
     "qi_ingest_batch",
-    """SELECT CASE WHEN length(trim(text, ' ')) < 50 THEN 'rejected' ELSE 'stored' END AS state, count(*) AS n FROM documents GROUP BY 1""",
+    f"""WITH d AS (SELECT doc_id, text, length(trim(text, ' ')) >= 50 AS ok FROM documents), w AS (SELECT doc_id, {WORDS.format(c="text")} AS w FROM d WHERE ok)
+       SELECT 'rejected' AS store, count(*) AS n FROM d WHERE NOT ok UNION ALL SELECT 'documents', count(DISTINCT doc_id) FROM d WHERE ok UNION ALL SELECT 'articles', 2 * count(*) FROM d WHERE ok
+       UNION ALL SELECT 'edges', count(*) FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.ok AND b.ok UNION ALL SELECT 'chunked', count(*) FROM d WHERE ok AND len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) * 1.3 >= 100
+       UNION ALL SELECT 'postings', CAST(sum(len(list_distinct(w))) AS BIGINT) FROM w""",
 )
 def qi(t):
+    """A batch: validated, normalised, parsed, stored by id, its references resolved to edges, cut into chunks, indexed; what each store gets."""
     good, bad = etl.validated(t.documents.select("doc_id", X.nfc("text").alias("text")), {"length": etl.long_enough(F.col("text"))})
-    n = lambda df, s: df.agg(F.lit(s).alias("state"), F.count("*").alias("n"))
-    return n(good, "stored").unionByName(n(bad, "rejected")).where("n > 0")
+    i = F.col("doc_id")
+    made = good.withColumn("law", F.concat(F.lit("Luật số "), i, F.lit("/2020/QH14. Căn cứ "), i + 1, F.lit("/2020/QH14.\nĐiều 1. A\nx\nĐiều 2. B\ny")))
+    parsed = P.documents(made.select("doc_id", F.col("law").alias("text")))
+    stored = etl.upsert(parsed.limit(0).select("doc_id", "document_number"), parsed.select("doc_id", "document_number", F.lit(0).alias("v")), ["doc_id"], "v")
+    numbers = stored.select(F.col("doc_id").alias("dst"), F.col("document_number").alias("needle"))
+    refs = P.references(made.select("doc_id", F.col("law").alias("text"))).where("rel = 'CITES'").join(numbers, "needle").select("src", "dst", "rel")
+    chunked = good.select("doc_id", P.chunks("text").alias("c")).where(F.size("c") > 0)
+    n = lambda name, df: df.agg(F.lit(name).alias("store"), F.count("*").alias("n"))
+    articles = parsed.agg(F.lit("articles").alias("store"), F.coalesce(F.sum(F.size("articles")), F.lit(0)).cast("long").alias("n"))
+    out = n("rejected", bad).unionByName(n("documents", stored)).unionByName(articles).unionByName(n("edges", G.dedup_edges(refs, ["src", "dst", "rel"], ["src"])))
+    return out.unionByName(n("chunked", chunked)).unionByName(n("postings", R.postings(good, X.analyze(F.col("text")))))
 
 
 @query(
@@ -115,22 +189,44 @@ def qi(t):
        (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) d JOIN labels l ON l.doc_id = d.doc_id WHERE r = 1 AND length(trim(text, ' ')) >= 50""",
 )
 def qj(t):
-    first = etl.keep_first(t.documents, ["text"], ["doc_id"])
-    p = etl.prepare(t.labels, first, "doc_id", "text", ["doc_id"])
+    # the first row of each text, by digest: whole texts move only for these
+    first = etl.keep_first(t.documents.select("doc_id", F.sha2("text", 256).alias("h")), ["h"], ["doc_id"]).select("doc_id")
+    p = etl.prepare(t.labels, t.documents.join(first, "doc_id", "left_semi"), "doc_id", "text", ["doc_id"])
     return p.select("doc_id", "quality", X.map_type(F.col("lang"), {"en": "english", "de": "german"}).alias("kind"))
 
 
 @query(
     "qk_quality_report",
-    """SELECT 'documents' AS name, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'duplicate_texts', CAST(count(*) AS DOUBLE) FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)
-       UNION ALL SELECT 'unlabelled', CAST(count(*) AS DOUBLE) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'short', CAST(count(*) AS DOUBLE) FROM documents WHERE n_chars < 50""",
+    f"""WITH {EDGES}, g AS (SELECT count(*) AS c FROM documents GROUP BY text HAVING count(*) > 1)
+       SELECT 'documents' AS name, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'empty', CAST(count(*) AS DOUBLE) FROM documents WHERE trim(coalesce(text, '')) = ''
+       UNION ALL SELECT 'short', CAST(count(*) AS DOUBLE) FROM documents WHERE n_chars < 50 UNION ALL SELECT 'long', CAST(count(*) AS DOUBLE) FROM documents WHERE n_chars >= 10000
+       UNION ALL SELECT 'mean_length', round(avg(length(text)), 4) FROM documents UNION ALL SELECT 'longest', CAST(max(length(text)) AS DOUBLE) FROM documents
+       UNION ALL SELECT 'duplicate_texts', CAST(count(*) AS DOUBLE) FROM g UNION ALL SELECT 'copies', CAST(coalesce(sum(c - 1), 0) AS DOUBLE) FROM g UNION ALL SELECT 'largest_group', CAST(coalesce(max(c), 0) AS DOUBLE) FROM g
+       UNION ALL SELECT 'edges', CAST(count(*) AS DOUBLE) FROM e UNION ALL SELECT 'orphan_edges', CAST(count(*) AS DOUBLE) FROM e WHERE dst NOT IN (SELECT doc_id FROM documents)
+       UNION ALL SELECT 'isolated', CAST(count(*) AS DOUBLE) FROM documents WHERE doc_id NOT IN (SELECT src FROM e WHERE src <> dst UNION SELECT dst FROM e WHERE src <> dst)
+       UNION ALL SELECT 'unlabelled', CAST(count(*) AS DOUBLE) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'labels_without_text', CAST(count(*) AS DOUBLE) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+       UNION ALL SELECT 'length_mismatch', CAST(count(*) AS DOUBLE) FROM documents WHERE n_chars <> length(text)""",
 )
 def qk(t):
-    d = t.documents
+    """Content, duplicates, relationships, and metadata against content."""
+    d, e = t.documents, edges(t)
     n = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").cast("double").alias("value"))
-    # duplicates by digest: whole texts do not move
-    dup = etl.duplicate_keys(d.select(F.sha2("text", 256).alias("h")), "h")
-    parts = [n("documents", d.select("doc_id")), n("duplicate_texts", dup), n("unlabelled", d.select("doc_id").join(t.labels, "doc_id", "left_anti")), n("short", d.where("n_chars < 50").select("doc_id"))]
+    # one pass for what rows tell by themselves; duplicates by digest: whole texts do not move
+    length = F.length("text")
+    own = {
+        "documents": F.count("*"), "empty": F.count_if(etl.blank(F.col("text"))), "short": F.count_if(F.col("n_chars") < 50), "long": F.count_if(F.col("n_chars") >= 10000),
+        "mean_length": F.round(F.avg(length), 4), "longest": F.max(length), "length_mismatch": F.count_if(F.col("n_chars") != length),
+    }
+    one = d.agg(*(v.cast("double").alias(k) for k, v in own.items()))
+    groups = etl.duplicate_keys(d.select(F.sha2("text", 256).alias("h")), "h").agg(
+        F.count("*").cast("double").alias("duplicate_texts"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("double").alias("copies"), F.coalesce(F.max("n"), F.lit(0)).cast("double").alias("largest_group")
+    )
+    rows = lambda df: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in df.columns))))
+    ids, labels = d.select("doc_id"), t.labels.select("doc_id")
+    parts = [
+        rows(one), rows(groups), n("edges", e), n("orphan_edges", etl.orphan_edges(e, ids, "doc_id")), n("isolated", G.isolated(ids.select(F.col("doc_id").alias("id")), e.where("src <> dst"))),
+        n("unlabelled", ids.join(labels, "doc_id", "left_anti")), n("labels_without_text", labels.join(ids, "doc_id", "left_anti")),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -156,25 +252,22 @@ def ql(t):
     return V.recall(exp, lexical(t, 20))
 
 
-@query("qn_reindex_articles")
+@query(
+    "qn_reindex_articles",
+    """SELECT doc_id, '1' AS article_no, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS digest FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '2', md5(source) FROM documents WHERE doc_id % 2 = 0
+       UNION ALL SELECT doc_id, '0', md5(text) FROM documents WHERE doc_id % 2 <> 0""",
+)
 def qn(t):
-    """Documents in order, cut into articles; those without are their own."""
-    made = F.concat(F.lit("Article 1. One\n"), F.substring("text", 1, 80), F.lit("\nArticle 2. Two\n"), F.col("source"))
-    d = t.documents.orderBy("doc_id").limit(500).select("doc_id", F.when(F.col("doc_id") % 2 == 0, made).otherwise(F.col("source")).alias("text"))
-    arts = P.exploded_articles(d).select("doc_id", "article_no", F.md5("content").alias("digest"))
-    rest = d.join(arts.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("0").alias("article_no"), F.md5("text").alias("digest"))
-    return arts.unionByName(rest)
-
-
-@query("g9_context_injection", """WITH h AS (SELECT l_orderkey AS query_id, l_partkey AS id FROM lineitem)
-       SELECT query_id, id, CASE min(p) WHEN 0 THEN 'parent' WHEN 1 THEN 'sibling' ELSE 'related' END AS source FROM (SELECT query_id, id, 0 AS p FROM h UNION ALL SELECT query_id, id + 1, 1 FROM h UNION ALL SELECT query_id, id + 2, 2 FROM h) GROUP BY 1, 2""")
-def g9(t):
-    h = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"))
-    more = lambda n: h.select("query_id", (F.col("id") + n).alias("id"))
-    return G.injected([("parent", h), ("sibling", more(1)), ("related", more(2))]).select("query_id", "id", "source")
+    """All documents, cut into articles; those without are their own."""
+    made = F.concat(F.lit("Article 1. One\n"), F.col("text"), F.lit("\nArticle 2. Two\n"), F.col("source"))
+    d = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, made).otherwise(F.col("text")).alias("text"))
+    parts = d.select("doc_id", "text", P.articles("text").alias("a"))
+    whole = F.array(F.struct(F.lit("0").alias("number"), F.col("text").alias("content")))
+    cut = F.when(F.size("a") > 0, F.transform("a", lambda x: F.struct(x["number"].alias("number"), x["content"].alias("content")))).otherwise(whole)
+    return parts.select("doc_id", F.explode(cut).alias("p")).select("doc_id", F.col("p.number").alias("article_no"), F.md5("p.content").alias("digest"))
 
 
-@query("g10_extracted_edges")
+@query("g10_extracted_edges", "SELECT a.p_partkey AS src, b.p_partkey AS dst, CASE b.p_partkey - a.p_partkey WHEN 1 THEN 'CITES' ELSE 'AMENDED_BY' END AS rel FROM part a JOIN part b ON b.p_partkey - a.p_partkey IN (1, 2)")
 def g10(t):
     made = F.concat(F.lit("Căn cứ "), F.col("p_partkey") + 1, F.lit("/2020/QH14. Sửa đổi "), F.col("p_partkey") + 2, F.lit("/2020/QH14."))
     docs = t.part.select(F.col("p_partkey").alias("doc_id"), made.alias("text"))

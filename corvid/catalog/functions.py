@@ -111,7 +111,7 @@ def x14(t):
     return P.exploded_articles(t.documents.select("doc_id", made.alias("text"))).select("doc_id", "article_no", "title", F.size("subsections").alias("n"))
 
 
-@query("x15_references")
+@query("x15_references", "SELECT doc_id AS src, 'CITES' AS rel, doc_id || '/2020/QH14' AS needle FROM documents UNION ALL SELECT doc_id, 'REFERENCES', doc_id || '/2021/NĐ-CP' FROM documents")
 def x15(t):
     made = F.concat(F.lit("Căn cứ Luật số "), F.col("doc_id"), F.lit("/2020/QH14; theo Nghị định "), F.col("doc_id"), F.lit("/2021/NĐ-CP."))
     return P.references(t.documents.select("doc_id", made.alias("text")))

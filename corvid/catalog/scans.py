@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ TYPES = {"click": "nhap", "view": "xem", "purchase": "mua"}
 
 
 def scratch(spark) -> str:
-    """A folder for tables that a query writes and reads back: the cluster's shared one where it names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{named.rstrip('/')}/corvid-{os.getpid()}-{os.urandom(6).hex()}"
+    """A folder for tables that a query writes and reads back: the shared one that the cluster names; a temporary one in one process only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/corvid-{os.getpid()}-{os.urandom(6).hex()}"
 
 
 # --- sources
@@ -29,6 +32,14 @@ def s1(t):
     return S.parquet(t.spark, f"{t.sf_dir}/documents.parquet", ["doc_id", "lang", "n_chars"]).where("n_chars >= 2000")
 
 
+@query("s2_cached_source", "SELECT p_partkey, p_brand FROM part")
+def s2(t):
+    """A table read by way of a copy, twice: the second time it is not copied."""
+    base = scratch(t.spark)
+    S.cached(t.spark, f"{t.sf_dir}/part.parquet", f"{base}/part")
+    return S.cached(t.spark, f"{t.sf_dir}/part.parquet", f"{base}/part").select("p_partkey", "p_brand")
+
+
 @query("s3_aliased_source", "SELECT CAST(doc_id AS VARCHAR) AS id, text AS content, source AS title FROM documents")
 def s3(t):
     return S.aliased(t.documents, {"id": ["id", "doc_id"], "title": ["title", "name", "source"], "content": ["content", "text", "body"]})
@@ -289,6 +300,21 @@ def dates(t):
     return t.events.select("event_id", F.year("ts").cast("long").alias("y"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.to_date("ts") == F.lit("2024-01-15").cast("date")).alias("mid"))
 
 
+@query("d2_date_prefix", "SELECT event_id, CAST(CASE WHEN event_id % 4 < 2 THEN CAST(ts AS DATE) END AS VARCHAR) AS day, CAST(CAST(ts AS DATE) AS VARCHAR) AS typed FROM events")
+def d2(t):
+    """Days of texts that begin with a date, of others none; and of typed times."""
+    k = F.col("event_id") % 4
+    made = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd")).when(k == 1, F.concat(F.lit(" "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" x"))).when(k == 2, F.date_format("ts", "dd/MM/yyyy")).otherwise("2024-02-31")
+    return t.events.select("event_id", X.date_prefix(made).cast("string").alias("day"), X.date_prefix(F.col("ts")).cast("string").alias("typed"))
+
+
+@query("d3_iso_or_fallback", "SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN CAST(ts AS DATE) ELSE DATE '1999-12-31' END AS VARCHAR) AS day FROM events")
+def d3(t):
+    k = F.col("event_id") % 3
+    made = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" noon")))
+    return t.events.select("event_id", X.date_or(made, F.lit("1999-12-31").cast("date")).cast("string").alias("day"))
+
+
 @query("c_json_get", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def c_json(t):
     return t.events.select("event_id", etl.parse_json(F.col("props"), "k bigint")["k"].alias("k"))

@@ -7,18 +7,26 @@ import threading
 from pyspark.sql import functions as F
 
 from ..plans import retrieval as R
-from ..sources import tables as S
+from ..plans import review as V
 from ..streaming import ingest as I
 from ..streaming.tasks import Tasks
 from .base import query
 from .scans import scratch
 
 
-@query("r1_progress_events", "SELECT event_id, event_type, value FROM events")
+RISKS = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'medium' WHEN '3' THEN 'low' ELSE 'none' END"
+
+
+@query(
+    "r1_progress_events",
+    f"""WITH f AS (SELECT o_custkey AS review_id, o_orderkey AS clause, {RISKS} AS risk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+       g AS (SELECT review_id, count(*) AS n, 'high:' || count(*) FILTER (risk = 'high') || ' medium:' || count(*) FILTER (risk = 'medium') || ' low:' || count(*) FILTER (risk = 'low') || ' none:' || count(*) FILTER (risk = 'none') AS counts FROM f GROUP BY 1)
+       SELECT review_id, 2 * i - 2 AS seq, 'progress' AS event, i || '/' || n AS payload FROM f UNION ALL SELECT review_id, 2 * i - 1, 'finding', clause || ':' || risk FROM f
+       UNION ALL SELECT review_id, 2 * n, 'summary', counts FROM g UNION ALL SELECT review_id, 2 * n + 1, 'done', CAST(n AS VARCHAR) FROM g""",
+)
 def r1(t):
-    """Rows as a service would send them, one by one in order: collected here into a frame again."""
-    rows = list(S.events(t.events.select("event_id", "event_type", "value"), ["event_id"]))
-    return S.in_memory(t.spark, rows, "event_id bigint, event_type string, value double")
+    """The events of each review in their order; a service sends those of one with ``sources.tables.events``."""
+    return V.review_events(t.orders.select(F.col("o_custkey").alias("review_id"), F.col("o_orderkey").alias("clause"), F.expr(RISKS).alias("risk")))
 
 
 def _ingested(t) -> str:
@@ -26,8 +34,17 @@ def _ingested(t) -> str:
     t.events.withColumn("ts", F.col("ts").cast("timestamp")).repartition(4, "event_id").write.parquet(f"{base}/in")
     schema = t.spark.read.parquet(f"{base}/in").schema.simpleString()[7:-1]
     ddl = ", ".join(f"{x.split(':', 1)[0]} {x.split(':', 1)[1]}" for x in schema.split(","))
+    failed = set()
+
+    def unsteady(batch):
+        """Work that fails the first time it is asked for: the batch is tried again."""
+        if not failed:
+            failed.add(True)
+            raise ConnectionError("once")
+        return batch
+
     for _ in range(2):  # the second run resumes, and finds nothing left
-        q = I.ingest(I.stream(t.spark, f"{base}/in", ddl), f"{base}/out", f"{base}/state", F.col("value") >= 10)
+        q = I.ingest(I.stream(t.spark, f"{base}/in", ddl), f"{base}/out", f"{base}/state", F.col("value") >= 10, unsteady, lambda work: I.retried(work, base=0.01, jitter=lambda: 0.0))
         q.awaitTermination()
     return base
 

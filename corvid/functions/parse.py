@@ -162,7 +162,11 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(src, rel, needle): documents that a text amends, cites or refers to, by number."""
     number = r"\d+/\d{4}/[\p{Lu}\d]+(?:-[\p{Lu}\d]+)*"
     kinds = {"AMENDED_BY": r"(?iu)(?:sửa đổi|bổ sung|thay thế)[^.;\n]{0,80}?", "CITES": r"(?iu)căn cứ[^.;\n]{0,80}?", "REFERENCES": r"(?iu)(?:theo|quy định tại)[^.;\n]{0,80}?"}
-    found = [F.transform(F.regexp_extract_all(text_col, F.lit(f"{lead}({number})"), F.lit(1)), lambda n, r=rel: F.struct(F.lit(r).alias("rel"), n.alias("needle"))) for rel, lead in kinds.items()]
+
+    def told(rel: str, lead: str) -> Column:
+        return F.transform(F.regexp_extract_all(text_col, F.lit(f"{lead}({number})"), F.lit(1)), lambda n: F.struct(F.lit(rel).alias("rel"), n.alias("needle")))
+
+    found = [told(rel, lead) for rel, lead in kinds.items()]
     return docs.select(F.col(id_col).alias("src"), F.explode(F.array_distinct(F.concat(*found))).alias("r")).select("src", "r.rel", "r.needle")
 
 

@@ -139,6 +139,17 @@ def first_date(c: Column, n: int = 1) -> Column:
     return F.when(F.size(found) >= n, F.try_to_date(text))
 
 
+def date_prefix(c: Column) -> Column:
+    """The day of a date, a time or a text that begins with y-m-d; null where it begins with none, or where there is no such day."""
+    return F.try_to_date(F.regexp_extract(F.trim(c.cast("string")), r"^(\d{4}-\d{2}-\d{2})", 1))
+
+
+def date_or(c: Column, fallback: Column) -> Column:
+    """A text that is a whole ISO date (y-m-d, or a time after it) as a day, else the fallback."""
+    whole = c.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$")
+    return F.coalesce(F.when(whole, date_prefix(c)), fallback)
+
+
 def strip_tags(c: Column) -> Column:
     """Markup to text by patterns alone: scripts, styles and comments go, tags become line breaks, common references are decoded."""
     c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")

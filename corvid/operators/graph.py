@@ -138,6 +138,34 @@ def injected(sources: Sequence[tuple[str, DataFrame]], top: int | None = None) -
     return out if top is None else out.where(F.col("place") <= top)
 
 
+SOURCES = ("parent", "sibling", "amendment", "related", "stored")
+
+
+def context(hits: DataFrame, edges: DataFrame, stored: DataFrame, contains: str = "CONTAINS", amended: Sequence[str] = ("AMENDED_BY",), related: Sequence[str] = ("CITES", "REFERENCES", "RELATES_TO"), top_k: int = 5) -> DataFrame:
+    """(query_id, id, source, place): what stands around the first ``top_k`` hits of each query.
+
+    hits (query_id, id, rank), edges (src, dst, rel), stored (src, dst): hit by
+    hit its parent, the other children of that, amendments, related nodes in
+    either direction, and what the stored relationships say; each node once,
+    where it comes first.
+    """
+    h = hits.where(F.col("rank") <= top_k).select("query_id", "id", "rank")
+    typed = lambda rels: edges.where(F.col("rel").isin(*rels)).select("src", "dst").distinct()
+    children = typed([contains])
+    up = h.join(children, F.col("id") == F.col("dst")).select("query_id", "rank", "id", F.col("src").alias("parent"))
+    beside = up.join(children, F.col("parent") == F.col("src")).where(F.col("dst") != F.col("id")).select("query_id", "rank", F.col("dst").alias("id"))
+    out = lambda e: h.join(e, F.col("id") == F.col("src")).select("query_id", "rank", F.col("dst").alias("id"))
+    either = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    parts = [up.select("query_id", "rank", F.col("parent").alias("id")), beside, out(typed(amended)), out(either(typed(related))), out(either(stored.select("src", "dst").distinct()))]
+    every = None
+    for i, p in enumerate(parts):
+        p = p.withColumn("p_", F.lit(i))
+        every = p if every is None else every.unionByName(p)
+    first = every.groupBy("query_id", "id").agg(F.min(F.struct("rank", "p_")).alias("f"))
+    w = Window.partitionBy("query_id").orderBy("f.rank", "f.p_", "id")
+    return first.select("query_id", "id", F.get(F.array(*map(F.lit, SOURCES)), F.col("f.p_")).alias("source"), F.row_number().over(w).alias("place"))
+
+
 def upsert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges and new ones whose ends exist, each (src, dst, rel) once."""
     n = nodes.select(F.col("id").alias("n_")).distinct()

@@ -14,6 +14,7 @@ from ..functions import text as X
 RISK = {"entailed": "none", "contradicted": "high", "partially_supported": "medium", "no_reference": "low"}
 CONFIDENCE = {"entailed": 95.0, "contradicted": 85.0, "partially_supported": 75.0, "no_reference": 45.0}
 RISK_LEVELS = ["high", "medium", "low", "none"]
+SPAN = 10_000  # queries whose references are numbered together
 
 # Words that make a clause or passage negative, wherever they occur in it.
 NEGATIVE = ["không", "cấm", "nghiêm cấm", "không được", "không thể", "không bao giờ", "chưa", "chẳng", "đừng"]
@@ -86,17 +87,38 @@ def risk_summary(found: DataFrame) -> DataFrame:
     return dim.join(n, F.col("risk") == F.col("r_"), "left").select("risk", F.coalesce("c_", F.lit(0)).cast("long").alias("n"))
 
 
+def review_events(found: DataFrame) -> DataFrame:
+    """(review_id, seq, event, payload) of findings (review_id, clause, risk): what a service sends, in order.
+
+    For each clause ``progress`` and its ``finding``, then the ``summary`` of risks, then ``done``.
+    """
+    w = Window.partitionBy("review_id")
+    x = found.select("review_id", "clause", "risk", F.row_number().over(w.orderBy("clause")).alias("i"), F.count("*").over(w).alias("n"))
+    event = lambda seq, name, payload: F.struct(seq.cast("long").alias("seq"), F.lit(name).alias("event"), payload.alias("payload"))
+    each = x.select("review_id", F.inline(F.array(event(2 * F.col("i") - 2, "progress", F.concat_ws("/", "i", "n")), event(2 * F.col("i") - 1, "finding", F.concat_ws(":", F.col("clause").cast("string"), "risk")))))
+    counts = F.concat_ws(" ", *(F.concat_ws(":", F.lit(r), F.count_if(F.col("risk") == r)) for r in RISK_LEVELS))
+    ends = found.groupBy("review_id").agg(F.count("*").alias("n"), counts.alias("counts"))
+    last = ends.select("review_id", F.inline(F.array(event(2 * F.col("n"), "summary", F.col("counts")), event(2 * F.col("n") + 1, "done", F.col("n").cast("string")))))
+    return each.unionByName(last)
+
+
 def by_severity(found: DataFrame, top: int = 10) -> DataFrame:
     order = F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).when(F.col("risk") == "low", 2).otherwise(3)
     return found.withColumn("severity", order).orderBy("severity", "query_id", *(["doc_id"] if "doc_id" in found.columns else [])).limit(top)
 
 
 def unique_references(cited: DataFrame) -> DataFrame:
-    """cited (query_id, place, ref_id): each reference once, where it is first seen, numbered in that order."""
-    first = cited.groupBy("ref_id").agg(F.min(F.struct("query_id", "place")).alias("f"))
-    # number by the order of first sight; the references of a review are few
-    w = Window.orderBy("f.query_id", "f.place", "ref_id")
-    return first.withColumn("n", F.row_number().over(w)).select("ref_id", F.col("f.query_id").alias("query_id"), F.col("f.place").alias("place"), "n")
+    """cited (query_id, place, ref_id): each reference once, where it is first seen, numbered in that order.
+
+    Queries are dealt into ranges of SPAN numbers; a range is numbered from the
+    sum of the counts before it. Only these counts, one a range, are ordered in one task.
+    """
+    first = cited.groupBy("ref_id").agg(F.min(F.struct("query_id", "place")).alias("f")).select("ref_id", F.col("f.query_id").alias("query_id"), F.col("f.place").alias("place"))
+    by = ["query_id", "place", "ref_id"]
+    sums = first.groupBy(F.expr(f"query_id div {SPAN}").alias("bucket")).agg(F.count("*").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "base")
+    within = Window.partitionBy("bucket").orderBy(*by)
+    x = first.withColumn("bucket", F.expr(f"query_id div {SPAN}")).withColumn("i", F.row_number().over(within))
+    return x.join(sums, "bucket").select("ref_id", "query_id", "place", (F.col("base") + F.col("i")).cast("int").alias("n"))
 
 
 def grouped_context(hits: DataFrame, laws: int = 5, each: int = 3) -> DataFrame:
@@ -117,6 +139,21 @@ def citation_map(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.map_from_entries(entries).alias("citations"))
 
 
+def cited_with_related(hits: DataFrame, related: DataFrame, each: int = 2) -> DataFrame:
+    """(query_id, n, doc_id, via): the hits (query_id, doc_id, rank) as citations, each followed by its first related documents.
+
+    related (query_id, doc_id, related, n); ``via`` is the hit that a related one
+    comes with, null for hits. What was cited before is not cited again, and
+    counts among the ``each`` first.
+    """
+    h = hits.select("query_id", "doc_id", "rank")
+    own = h.select("query_id", "doc_id", "rank", F.lit(0).alias("n"), F.lit(None).cast("long").alias("via"))
+    more = related.where(F.col("n") <= each).join(h, ["query_id", "doc_id"]).select("query_id", F.col("related").alias("doc_id"), "rank", "n", F.col("doc_id").cast("long").alias("via"))
+    first = own.unionByName(more).groupBy("query_id", "doc_id").agg(F.min(F.struct("rank", "n", "via")).alias("f"))
+    w = Window.partitionBy("query_id").orderBy("f.rank", "f.n", "doc_id")
+    return first.select("query_id", F.row_number().over(w).alias("n"), "doc_id", "f.via")
+
+
 def parse_reply(c: Column) -> DataFrame | Column:
     """Fields of a model's reply: level, confidence within 0 to 100, rationale."""
     level = F.lower(F.regexp_extract(c, r"(?i)(?:verification|level)\s*[:=]\s*\"?([A-Za-z_]+)", 1))

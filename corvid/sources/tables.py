@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +61,44 @@ def sample(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(n)
 
 
-def web_search(spark: SparkSession) -> DataFrame:
-    """The shape of a web source; without a network it has no rows."""
-    return spark.createDataFrame([], "query string, title string, url string, snippet string")
+# The sites that a web search is kept to.
+SITES = ["thuvienphapluat.vn", "luatvietnam.vn", "phapluat.suckhoedoisong.vn", "baophapluat.vn", "phapluat.tuoitre.vn"]
+WEB = "query string, title string, url string, snippet string"
+
+
+def web_search(spark: SparkSession, queries: Sequence[str] = (), search: Callable[[str], Sequence[Mapping]] | None = None, sites: Sequence[str] = tuple(SITES), cache: dict | None = None, ttl: float = 3600.0, now: Callable[[], float] = time.time) -> DataFrame:
+    """(query, title, url, snippet) of what ``search`` finds for each query on the sites, or a part of them.
+
+    ``search`` gets the query with the sites it is kept to, and gives rows with
+    title, url and snippet; without one (no network) there are no rows.
+    ``cache`` keeps what was found for ``ttl`` seconds.
+    """
+    rows: list[dict] = []
+    held = {} if cache is None else cache
+    for q in queries if search else ():
+        key = (q, tuple(sites))
+        if key not in held or now() - held[key][0] >= ttl:
+            held[key] = (now(), list(search(f"({q}) ({' OR '.join('site:' + s for s in sites)})")))
+        hosts = lambda url: (urlsplit(url).hostname or "").removeprefix("www.")
+        rows += [{"query": q, "title": r["title"], "url": r["url"], "snippet": r["snippet"]} for r in held[key][1] if any(hosts(r["url"]) == s or hosts(r["url"]).endswith("." + s) for s in sites)]
+    return spark.createDataFrame(rows, WEB)
+
+
+def cached(spark: SparkSession, source: str, cache: str) -> DataFrame:
+    """A Parquet table read by way of a copy: files that the cache has in full are not copied again; a broken copy is made anew."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = fs.Path(source), fs.Path(cache)
+    a, b = src.getFileSystem(conf), dst.getFileSystem(conf)
+    b.mkdirs(dst)
+    files = [src] if a.getFileStatus(src).isFile() else [s.getPath() for s in a.listStatus(src) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    for f in files:
+        copy = fs.Path(dst, f.getName())
+        if not (b.exists(copy) and b.getFileStatus(copy).getLen() == a.getFileStatus(f).getLen()):
+            part = fs.Path(dst, "_" + f.getName())  # whole before it has its name
+            fs.FileUtil.copy(a, f, b, part, False, True, conf)
+            b.delete(copy, False)
+            b.rename(part, copy)
+    return spark.read.parquet(cache)
 
 
 # --- sinks

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,18 +16,44 @@ def stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest(rows: DataFrame, out: str, checkpoint: str, valid: Column, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+RETRIED = (ConnectionError, TimeoutError, OSError)
+
+
+def delays(tries: int, base: float = 1.0, most: float = 30.0, jitter: Callable[[], float] = random.random) -> list[float]:
+    """Seconds between tries: doubled each time, and up to one more by chance, ``most`` at most."""
+    return [min(base * 2**i + jitter(), most) for i in range(tries - 1)]
+
+
+def retried(work: Callable[[], None], tries: int = 4, base: float = 1.0, most: float = 30.0, errors: tuple = RETRIED, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> int:
+    """Do ``work``, again after errors that may pass; the number of tries it took. The last error, and any other, is raised."""
+    waits = delays(tries, base, most, jitter)
+    for i in range(tries):
+        try:
+            work()
+            return i + 1
+        except errors:
+            if i == len(waits):
+                raise
+            sleep(waits[i])
+    raise ValueError("no tries")
+
+
+def ingest(rows: DataFrame, out: str, checkpoint: str, valid: Column, transform: Callable[[DataFrame], DataFrame] | None = None, retry: Callable[[Callable[[], None]], int] = retried) -> StreamingQuery:
     """Valid rows to ``out``/good, others to ``out``/quarantine; a restart goes on where the last run stopped.
 
     Each micro-batch writes into a folder of its number, so that a repeated
-    batch replaces what it wrote before.
+    batch replaces what it wrote before. A batch whose ``transform`` still fails
+    after its tries goes to ``out``/failed as it came, and the next ones go on.
     """
 
     def each(batch: DataFrame, n: int) -> None:
         ok = F.coalesce(valid, F.lit(False))
         good, bad = batch.where(ok), batch.where(~ok)
-        (transform(good) if transform else good).write.mode("overwrite").parquet(f"{out}/good/batch={n}")
         bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={n}")
+        try:
+            retry(lambda: (transform(good) if transform else good).write.mode("overwrite").parquet(f"{out}/good/batch={n}"))
+        except RETRIED:
+            good.write.mode("overwrite").parquet(f"{out}/failed/batch={n}")
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

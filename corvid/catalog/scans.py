@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import functions as F
@@ -21,7 +23,10 @@ def scratch(spark) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/corvid-{os.getpid()}-{os.urandom(6).hex()}"
+    path = f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/corvid-{os.getpid()}-{os.urandom(6).hex()}"
+    if path.startswith("file:") and spark.sparkContext.master.startswith("local"):
+        atexit.register(shutil.rmtree, re.sub("^file:(?://)?", "", path), ignore_errors=True)
+    return path
 
 
 # --- sources

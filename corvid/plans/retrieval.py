@@ -34,7 +34,7 @@ def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFra
 def search_index(index: DataFrame, terms: DataFrame, top: int, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
     """bm25 over kept postings; documents without a word are not in them, and so not in the mean length."""
     sizes = index.select("doc_id", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    tf = index.join(terms.select("term").distinct(), "term", "left_semi")
+    tf = index.join(sent(terms.select("term").distinct()), "term", "left_semi")
     return _scored(tf, terms, sizes, top, k1, b, digits)
 
 
@@ -52,30 +52,29 @@ def bm25(queries: DataFrame, docs: DataFrame, q_tokens: Column, d_tokens: Column
     """
     terms = query_terms(queries, q_tokens, q_id)
     sizes = docs.select(F.size(d_tokens).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    wanted = terms.select("term").distinct()
+    wanted = sent(terms.select("term").distinct())
     exploded = docs.select(F.col(d_id).alias("doc_id"), d_tokens.alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
     tf = exploded.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
     return _scored(tf, terms, sizes, top, k1, b, digits)
 
 
-def _scored(tf: DataFrame, terms: DataFrame, sizes: DataFrame, top: int, k1: float, b: float, digits: int) -> DataFrame:
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(sizes))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
-    scored = weighed.select("term", "doc_id", part.alias("s")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), digits).alias("score"))
-    return ranked(scored, top)
+MOST_BROADCAST = 1_000_000  # terms of queries that are sent to all executors, at most
 
 
-def two_fields(title: Column, body: Column, boost: float = 1.5, tie: float = 0.3) -> Column:
-    """The better field's score, and a share of the other's."""
-    t, c = F.coalesce(title, F.lit(0.0)) * boost, F.coalesce(body, F.lit(0.0))
-    return F.greatest(t, c) + tie * F.least(t, c)
+def sent(df: DataFrame) -> DataFrame:
+    """To all executors, if a count shows it small."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def phrase_boost(text: Column, phrase: Column, boost: float) -> Column:
-    """The boost where the phrase occurs in the text, else 0."""
-    return F.when(F.lower(text).contains(F.lower(phrase)) & (F.length(phrase) > 0), F.lit(boost)).otherwise(F.lit(0.0))
+def _scored(tf: DataFrame, terms: DataFrame, sizes: DataFrame, top: int, k1: float, b: float, digits: int) -> DataFrame:
+    """Weights of the queries' terms go to the postings, which stay dealt as they are: no task has all of a common word's."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = terms.join(df, "term").crossJoin(F.broadcast(sizes)).select("query_id", "term", "avglen", idf.alias("idf"))  # sizes: one row
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
+    few = terms.count() <= MOST_BROADCAST
+    scored = tf.join(F.broadcast(weights) if few else weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
+    return ranked(scored, top)
 
 
 def overlap(queries: DataFrame, docs: DataFrame, q_tokens: Column, d_tokens: Column, top: int, q_id: str = "query_id", d_id: str = "doc_id", digits: int = 6) -> DataFrame:
@@ -149,23 +148,64 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, top: int, digits: int = 6, most_broadcast: int = 4096) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, top: int, digits: int = 6, block: int = 4096) -> DataFrame:
     """The ``top`` vectors of each query by cosine. queries (query_id, q), vectors (doc_id, v).
 
-    Exact: every pair of a query and a vector is scored where the vector lies.
-    Queries are sent to all executors if a count shows they are few; else both
-    sides are dealt to blocks, each block of queries meeting each of vectors.
+    Exact. Blocks of ``block`` queries go to all executors, one pass over the
+    vectors each; a task multiplies whole batches and keeps, of each query, what
+    may be among its first ``top``. Nothing else moves. Vectors of another length
+    than a query's do not meet it; one without length has no cosine, and is last.
     """
-    unit = lambda c: F.transform(c.cast("array<double>"), lambda x: x)
-    q, v = queries.select("query_id", unit(F.col("q")).alias("q")), vectors.select("doc_id", unit(F.col("v")).alias("v"))
     n = queries.count()
-    if n <= most_broadcast:
-        pairs = v.crossJoin(F.broadcast(q))
-    else:
-        nb = math.ceil(n / most_broadcast)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(nb))
-        pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).join(q.withColumn("block", block.cast("int")), "block")
-    return ranked(pairs.select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("v")), digits).alias("score")), top)
+    blocks = max(1, math.ceil(n / block))
+    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where("q is not null")
+    v = vectors.select("doc_id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
+    out = None
+    for i in range(blocks):
+        rows = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q).collect()  # about ``block`` of them
+        sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["q"] for r in rows]))
+        part = v.mapInPandas(_best(sent, top, 10.0**-digits), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        out = part if out is None else out.unionByName(part)
+    return ranked(out.withColumn("score", F.round("score", digits)), top)
+
+
+def _best(sent, top: int, slack: float):
+    """The pass of :func:`dense` over one partition."""
+    import numpy as np
+
+    def unit(rows: list) -> np.ndarray:
+        m = np.array(rows, float)
+        size = np.sqrt((m * m).sum(1, keepdims=True))
+        return m / np.where(size > 0, size, np.nan)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, rows = sent.value
+        sizes = {n: [i for i, r in enumerate(rows) if len(r) == n] for n in {len(r) for r in rows}}
+        held: dict[int, tuple[list, list]] = {}
+        units = {n: unit([rows[i] for i in at]) for n, at in sizes.items()}
+        for pdf in frames:
+            lengths = pdf["v"].map(len).to_numpy()
+            for n, at in sizes.items():
+                some = np.flatnonzero(lengths == n)
+                if not len(some):
+                    continue
+                docs = pdf["doc_id"].to_numpy()[some]
+                scores = units[n] @ unit(pdf["v"].iloc[some].tolist()).T
+                order = np.where(np.isnan(scores), -2.0, scores)
+                for j, i in enumerate(at):
+                    old_docs, old = held.get(i, ([], []))
+                    d, x = np.concatenate([np.array(old_docs, docs.dtype), docs]), np.concatenate([old, order[j]])
+                    if len(x) > top:  # all that may be among the first once scores are rounded
+                        keep = np.flatnonzero(x >= np.partition(x, len(x) - top)[len(x) - top] - slack)
+                        if len(keep) > 4 * top:  # many of one score: the smallest ids
+                            keep = np.lexsort((d.astype(str) if d.dtype == object else d, -np.round(x / slack)))[: 4 * top]
+                        d, x = d[keep], x[keep]
+                    held[i] = (d, x)
+        for i, (d, x) in held.items():
+            yield pd.DataFrame({"query_id": [ids[i]] * len(d), "doc_id": d, "score": pd.Series(np.where(x < -1.5, np.nan, x)).astype(object).where(x >= -1.5, None)})
+
+    return run
 
 
 @pandas_udf(DoubleType())

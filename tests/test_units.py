@@ -88,7 +88,7 @@ def test_lists_without_spread(spark, method, value):
 def test_dense_blocks_give_what_one_broadcast_gives(spark):
     v = spark.createDataFrame([(i, [math.sin(i), math.cos(i), 1.0]) for i in range(40)], "doc_id int, v array<double>")
     q = v.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    get = lambda n: sorted(tuple(r) for r in R.dense(q, v, 5, most_broadcast=n).collect())
+    get = lambda n: sorted(tuple(r) for r in R.dense(q, v, 5, block=n).collect())
     assert get(1000) == get(3)
 
 

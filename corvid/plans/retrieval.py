@@ -222,6 +222,34 @@ def max_sim(q: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) if a is not None and b is not None and len(a) and len(b) else 0.0 for a, b in zip(q, d, strict=True)])
 
 
+def late_interaction(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """(a, b, score) of each two matrices a < b: for each row of a its best cosine in b, summed. rows (matrix, row, v), one length of v.
+
+    Rows are dealt into blocks, and each two blocks meet in a task, which keeps
+    the best of each row and matrix: no matrix is whole in one task.
+    """
+    n = max(1, math.ceil(rows.count() / block))
+    x = rows.where("v is not null").select("matrix", "row", F.col("v").cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("matrix", "row"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = x.withColumnRenamed("block", "i").withColumn("j", every), x.withColumnRenamed("block", "j").withColumn("i", every)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        if len(a) and len(b):
+            p, q = (np.array(m["v"].tolist(), float) for m in (a, b))
+            scores = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)) @ (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).T
+            for m in b["matrix"].unique():
+                some = (a["matrix"] < m).to_numpy()
+                out.append(pd.DataFrame({"a": a["matrix"][some], "row": a["row"][some], "b": m, "best": scores[some][:, (b["matrix"] == m).to_numpy()].max(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "row": [], "b": [], "best": []})
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("matrix", "row")}
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"a {kinds['matrix']}, row {kinds['row']}, b {kinds['matrix']}, best double")
+    return found.groupBy("a", "b", "row").agg(F.max("best").alias("best")).groupBy("a", "b").agg(F.sum("best").alias("score"))
+
+
 # --- normalisation
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bytebpe, chat, exactdedup, html, langid, packing, pii, simhash, topk, wordbpe
+from . import bytebpe, chat, exactdedup, fim, html, langid, packing, pii, secretscan, simhash, topk, trie, wordbpe
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +71,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
@@ -114,4 +129,36 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op12_fill_in_middle": r"""
+        WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+                          sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        d AS (SELECT *, len(u) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS d FROM u),
+        c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain'
+                          WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
+    "op13_prefix_trie": f"""
+        WITH RECURSIVE crc AS (SELECT i AS k, i AS v, 0 AS step FROM range(256) t(i)
+                     UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM crc WHERE step < 8),
+        crcs AS (SELECT list(v ORDER BY k) AS c FROM crc WHERE step = 8),
+        own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                     substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS t
+                FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        h AS (SELECT conv_id, t, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+                     lambda a, b: xor(a >> 8, c[xor(a & 255, b) + 1])), 4294967295) % 6 AS h FROM own, crcs),
+        r AS (SELECT h.conv_id, list_concat(coalesce(g.t, [])[1:h.h], h.t[h.h + 1:]) AS t FROM h LEFT JOIN own g ON g.conv_id = h.conv_id - h.conv_id % 100),
+        p AS (SELECT conv_id, d AS depth, t[1:d] AS p, len(t) AS n FROM r, unnest(range(len(t) + 1)) x(d)),
+        nodes AS (SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(length(p[depth].text), 0) AS saved,
+                         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+                  FROM p GROUP BY p, depth),
+        up AS (SELECT p, depth, saved, p[1:a] AS top, a FROM nodes, unnest(range(depth + 1)) x(a)),
+        kids AS (SELECT top, count(*) AS n FROM up WHERE a = depth - 1 GROUP BY 1),
+        sums AS (SELECT up.top, CAST(sum(up.saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves FROM up LEFT JOIN kids ON kids.top = up.p GROUP BY 1)
+        SELECT o.conv_id, o.depth, q.conv_id AS parent_conv_id, o.n_convs, coalesce(kids.n, 0) AS n_children, s.n_leaves, s.saved_tokens, o.ends_sha256
+        FROM nodes o JOIN sums s ON s.top = o.p LEFT JOIN kids ON kids.top = o.p LEFT JOIN nodes q ON o.depth > 0 AND q.p = o.p[1:o.depth - 1]""",
 }

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as X
+from ..plans import postings as K
 from ..plans import retrieval as R
 from ..plans import search as S
 from ..plans import review as V
+from ..sources import tables as T
 from .base import query
 from .joins import COSINE, dense_hits
+from .scans import keeping
 from .windows import HITS, hits
 
 TOKENS = "string_split_regex(lower(text), '[^a-z0-9]+')"
@@ -40,14 +43,23 @@ def fields(c="text"):
     return {"title": X.analyze(F.substring(c, 1, 80)), "content": X.analyze(F.col(c))}
 
 
+def words(t):
+    """The kept index of whole texts by plain words."""
+    return K.kept(t.documents, {"text": X.tokens(F.col("text"))}, keeping(t.spark), "words")
+
+
+def fielded(t):
+    """The kept index of two fields by the analyzer."""
+    return K.kept(t.documents, fields(), keeping(t.spark), "fielded")
+
+
 def lexical(t, top=20):
-    tok = X.tokens(F.col("text"))
-    return R.bm25(t.benchmark, t.documents, tok, tok, top, q_id="item_id")
+    return K.top_k(words(t), R.query_terms(t.benchmark, X.tokens(F.col("text")), "item_id"), top, "text")
 
 
 def overlapping(t, top=20):
-    tok = X.tokens(F.col("text"))
-    return R.overlap(t.benchmark, t.documents, tok, tok, top, q_id="item_id")
+    terms = R.query_terms(t.benchmark, X.tokens(F.col("text")), "item_id").withColumn("list", F.lit(0))
+    return K.search(words(t), terms, top, K.overlap("text"))
 
 
 @query("m1_bm25_top_20", BM25 + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
@@ -87,10 +99,10 @@ def _times(column, between):
 )
 def m2(t):
     """A phrase in titles with one word between at most, and in texts with two; closer words count more."""
-    f, words = fields(), F.array(F.lit("the"), F.lit("erth"))
-    tokens = t.documents.select("doc_id", *(c.alias(name) for name, c in f.items()))
-    n = lambda name, slop: S.phrase_frequency(F.col(name), words, slop)
-    return tokens.select("doc_id", F.round(2.0 * n("title", 1) + 1.5 * n("content", 2), 6).alias("boost"))
+    idx = fielded(t)
+    found = K.phrases(idx, t.spark.range(1).select(F.lit(0).alias("query_id"), F.array(F.lit("the"), F.lit("erth")).alias("words")), {"title": 1, "content": 2})
+    boost = found.groupBy("doc_id").agg(F.sum(F.when(F.col("field") == "title", 2.0).otherwise(1.5) * F.col("f")).alias("b"))
+    return idx.documents("content").join(boost, "doc_id", "left").select("doc_id", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("boost"))
 
 
 @query("m4_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -200,11 +212,16 @@ FIELDED = f"""
     r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits)"""
 
 
+def asked(t):
+    """Plans of the benchmark texts, and the words they search for; worked out once, as plans are long expressions."""
+    plans = T.cut(P.plan(t.benchmark, "item_id", short_forms={"the": "der die"}), keeping(t.spark), "plans")
+    return plans, plans.select("query_id", X.analyze(F.col("original")).alias("words"), F.transform("variants", X.analyze).alias("variants"))
+
+
 def searched(t, top):
     """Plans of the benchmark texts, and their hits over two fields with phrases and variants."""
-    plans = P.plan(t.benchmark, "item_id", short_forms={"the": "der die"})
-    queries = plans.select("query_id", X.analyze(F.col("original")).alias("words"), F.transform("variants", X.analyze).alias("variants"))
-    return plans, S.lexical(S.index(t.documents, fields()), queries, top, t.documents, fields())
+    plans, queries = asked(t)
+    return plans, S.lexical(fielded(t), queries, top)
 
 
 @query("m1_fielded_search", FIELDED + " SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
@@ -216,17 +233,14 @@ def m1c(t):
 @query("m1_two_fields", FIELDED + " SELECT query_id, doc_id, round(s, 6) AS score FROM b")
 def m1b(t):
     """The better field's score and a share of the other's, of all documents that have a word of the query."""
-    terms = R.query_terms(t.benchmark, X.analyze(F.col("text")), "item_id")
-    return S.best_fields(S.matches(S.index(t.documents, fields()), terms), S.FIELDS, S.TIE).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    terms = R.query_terms(t.benchmark, X.analyze(F.col("text")), "item_id").withColumn("list", F.lit(0))
+    return K.search(fielded(t), terms, None, K.by_fields(S.FIELDS, S.TIE)).select("query_id", "doc_id", "score")
 
 
 @query("m3_expansion_boost", FIELDED + " SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM x) GROUP BY 1, 2")
 def m3(t):
     """Hits of the words of a query, raised by those of its variants, which find none of their own."""
-    plans = P.plan(t.benchmark, "item_id", short_forms={"the": "der die"})
-    queries = plans.select("query_id", X.analyze(F.col("original")).alias("words"), F.transform("variants", X.analyze).alias("variants"))
-    n = t.documents.count()
-    return S.lexical(S.index(t.documents, fields()), queries, n).select("query_id", "doc_id", "score")
+    return S.lexical(fielded(t), asked(t)[1], phrased=False).select("query_id", "doc_id", "score")
 
 
 HYBRID = (

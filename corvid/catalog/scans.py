@@ -29,6 +29,14 @@ def scratch(spark) -> str:
     return path
 
 
+_kept: dict[str, str] = {}
+
+
+def keeping(spark) -> str:
+    """The folder of indexes that all queries of an application share."""
+    return _kept.setdefault(spark.sparkContext.applicationId, f"{scratch(spark)}/kept")
+
+
 # --- sources
 
 

@@ -31,33 +31,11 @@ def postings(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFra
     return t.groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "len")
 
 
-def search_index(index: DataFrame, terms: DataFrame, top: int, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
-    """bm25 over kept postings; documents without a word are not in them, and so not in the mean length."""
-    sizes = index.select("doc_id", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    tf = index.join(sent(terms.select("term").distinct()), "term", "left_semi")
-    return _scored(tf, terms, sizes, top, k1, b, digits)
-
-
 def query_terms(queries: DataFrame, tokens: Column, id_col: str = "query_id") -> DataFrame:
     """(query_id, term): distinct terms."""
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens)).alias("term"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, q_tokens: Column, d_tokens: Column, top: int, q_id: str = "query_id", d_id: str = "doc_id", k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
-    """The ``top`` documents of each query by BM25 with the factor k1 + 1.
-
-    Only postings of terms that some query has are kept, before documents and
-    queries meet. Document frequencies and lengths are those of the whole
-    corpus. Scores are rounded before they are ranked.
-    """
-    terms = query_terms(queries, q_tokens, q_id)
-    sizes = docs.select(F.size(d_tokens).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    wanted = sent(terms.select("term").distinct())
-    exploded = docs.select(F.col(d_id).alias("doc_id"), d_tokens.alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    tf = exploded.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count("*").alias("tf"))
-    return _scored(tf, terms, sizes, top, k1, b, digits)
-
-
 MOST_BROADCAST = 1_000_000  # terms of queries that are sent to all executors, at most
 
 
@@ -66,28 +44,6 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def _scored(tf: DataFrame, terms: DataFrame, sizes: DataFrame, top: int, k1: float, b: float, digits: int) -> DataFrame:
-    """Weights of the queries' terms go to the postings, which stay dealt as they are: no task has all of a common word's."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").crossJoin(F.broadcast(sizes)).select("query_id", "term", "avglen", idf.alias("idf"))  # sizes: one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
-    few = terms.count() <= MOST_BROADCAST
-    scored = tf.join(F.broadcast(weights) if few else weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
-    return ranked(scored, top)
-
-
-def overlap(queries: DataFrame, docs: DataFrame, q_tokens: Column, d_tokens: Column, top: int, q_id: str = "query_id", d_id: str = "doc_id", digits: int = 6) -> DataFrame:
-    """The ``top`` documents of each query by Jaccard overlap of their words."""
-    q = queries.select(F.col(q_id).alias("query_id"), F.array_distinct(q_tokens).alias("qt"))
-    terms = q.select("query_id", F.size("qt").alias("qn"), F.explode("qt").alias("term"))
-    d = docs.select(F.col(d_id).alias("doc_id"), F.array_distinct(d_tokens).alias("dt"))
-    post = d.select("doc_id", F.size("dt").alias("dn"), F.explode("dt").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    both = post.join(terms, "term").groupBy("query_id", "doc_id", "qn", "dn").agg(F.count("*").alias("c"))
-    scored = both.select("query_id", "doc_id", F.round(F.col("c") / (F.col("qn") + F.col("dn") - F.col("c")), digits).alias("score"))
-    return ranked(scored, top)
-
-
 # --- ranks
 
 

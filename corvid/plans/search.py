@@ -1,19 +1,19 @@
 """Hybrid search of many queries as one plan: fielded BM25 with phrases and expansions, dense lists, adaptive fusion, laws, reading order.
 
-An index has one row for each field, document and term, and one row with the
-empty term for each field of a document, which tells its length even where it
-has no word. It is made once and can be kept; queries read of it the postings
-of their own terms.
+Lists come from a kept index (:mod:`postings`); queries read of it the postings
+of their own terms, and places for phrases. Texts are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import postings as K
 from . import retrieval as R
+from .postings import Index
 
 # Weights of fields, of phrases (boost, slop) and of expansions.
 FIELDS = {"title": 1.5, "content": 1.0}
@@ -21,99 +21,26 @@ TIE = 0.3
 PHRASES = {"title": (2.0, 1), "content": (1.5, 2)}
 EXPANSION_FIELDS = {"title": 2.0, "content": 0.5}
 EXPANSION_BOOST, EXPANSIONS = 0.7, 2
-MOST_BROADCAST = 1_000_000  # terms of queries that are sent to all executors, at most
 
 
-def index(docs: DataFrame, fields: Mapping[str, Column], id_col: str = "doc_id") -> DataFrame:
-    """(field, doc_id, term, tf, len) from columns of tokens, by field. Null tokens are none."""
-    each = [F.struct(F.lit(name).alias("field"), F.coalesce(t, F.array().cast("array<string>")).alias("t")) for name, t in fields.items()]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*each)).alias("f"))
-    words = rows.select("f.field", "doc_id", F.size("f.t").alias("len"), F.explode(F.concat("f.t", F.array(F.lit("")))).alias("term"))
-    return words.groupBy("field", "doc_id", "len", "term").agg(F.count("*").alias("tf")).select("field", "doc_id", "term", "tf", "len")
+def phrases(idx: Index, queries: DataFrame, boosts: Mapping[str, tuple[float, int]] = PHRASES) -> DataFrame:
+    """(query_id, doc_id, segment, extra): boosts of phrases. queries (query_id, words)."""
+    x = K.phrases(idx, queries, {name: slop for name, (_, slop) in boosts.items()})
+    boost = F.element_at(F.create_map(*(F.lit(v) for name, (b, _) in boosts.items() for v in (name, b))), F.col("field"))
+    s = boost * F.col("idf") * K.share(F.col("f"), F.col("len"), F.col("avglen"))
+    return x.groupBy("query_id", "doc_id", "segment").agg(F.sum(s).alias("extra"))
 
 
-def _send(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def lexical(idx: Index, queries: DataFrame, top: int | None = None, phrased: bool = True, digits: int = 6) -> DataFrame:
+    """Ranked hits of queries (query_id, words, variants: arrays of words): fields, then boosts of phrases and of the first variants.
 
-
-def matches(idx: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, field, doc_id, term, idf, s): each term of a query in each document that has it, with its share of the score.
-
-    Frequencies and mean lengths are those of the whole index. Terms of queries
-    go to where the postings are, with their weights, if a count shows them few:
-    the postings of a common word stay dealt as they are.
-    """
-    sizes = idx.where("term = ''").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    wanted = terms.select("term").distinct()
-    tf = idx.where("term <> ''").join(_send(wanted), "term", "left_semi")
-    df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.join(F.broadcast(sizes), "field").select("field", "term", "avglen", idf.alias("idf")).join(terms, "term")  # sizes: a row for each field
-    part = F.col("idf") * F.col("tf") * (R.K1 + 1) / (F.col("tf") + R.K1 * (1 - R.B + R.B * F.col("len") / F.col("avglen")))
-    return tf.join(_send(weights), ["field", "term"]).select("query_id", "field", "doc_id", "term", "idf", "len", "avglen", part.alias("s"))
-
-
-def best_fields(found: DataFrame, weights: Mapping[str, float], tie: float = 0.0) -> DataFrame:
-    """(query_id, doc_id, score): the weighted score of the best field, and a share of the others'."""
-    by_field = found.groupBy("query_id", "doc_id", "field").agg(F.sum("s").alias("s"))
-    w = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("field")) * F.col("s")
-    return by_field.groupBy("query_id", "doc_id").agg((F.max(w) + tie * (F.sum(w) - F.max(w))).alias("score"))
-
-
-def phrase_frequency(tokens: Column, words: Column, slop: int) -> Column:
-    """How often ``words`` stand in ``tokens`` in their order, with ``slop`` other words between them in all at most; each time counts 1 / (1 + words between)."""
-    end = F.size(tokens) - F.size(words)
-
-    def step(at: Column, word: Column) -> Column:  # the next place of the word, -1 for none
-        ahead = F.array_position(F.slice(tokens, at + 2, slop + 1), word).cast("int")
-        return F.when((at >= 0) & (ahead > 0), at + ahead).otherwise(F.lit(-1))
-
-    def worth(start: Column) -> Column:
-        last = F.aggregate(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), start.cast("int"), step)
-        between = last - start - (F.size(words) - 1)
-        return F.when((last >= 0) & (between <= slop), 1.0 / (1 + between)).otherwise(0.0)
-
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(end, F.lit(0))), lambda i: F.get(tokens, i) == F.get(words, F.lit(0)))
-    return F.when((F.size(words) > 0) & (end >= 0), F.aggregate(F.transform(starts, worth), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
-
-
-def phrases(found: DataFrame, queries: DataFrame, docs: DataFrame, fields: Mapping[str, Column], boosts: Mapping[str, tuple[float, int]] = PHRASES, id_col: str = "doc_id") -> DataFrame:
-    """(query_id, doc_id, score): boosts of phrases. queries (query_id, words). Only documents that have all words of a query in a field are read again."""
-    wanted = queries.select("query_id", "words", F.size(F.array_distinct("words")).alias("k"))
-    full = found.groupBy("query_id", "doc_id", "field").agg(F.count("*").alias("c"), F.sum("idf").alias("idf"), F.first("len").alias("len"), F.first("avglen").alias("avglen"))
-    full = full.join(wanted, "query_id").where("c = k")
-    texts = docs.select(F.col(id_col).alias("doc_id"), *(t.alias(f"t_{name}") for name, t in fields.items()))
-    x = full.join(texts, "doc_id")
-    out = None
-    for name, (boost, slop) in boosts.items():
-        f = x.where(F.col("field") == name).withColumn("f", phrase_frequency(F.col(f"t_{name}"), F.col("words"), slop)).where("f > 0")
-        s = boost * F.col("idf") * F.col("f") * (R.K1 + 1) / (F.col("f") + R.K1 * (1 - R.B + R.B * F.col("len") / F.col("avglen")))
-        part = f.select("query_id", "doc_id", s.alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-
-
-def lexical(idx: DataFrame, queries: DataFrame, top: int, docs: DataFrame | None = None, fields: Mapping[str, Column] | None = None, digits: int = 6) -> DataFrame:
-    """Ranked hits of queries (query_id, words, variants: arrays of words): fields, then boosts of phrases (with ``docs``) and of the first variants.
-
-    Boosts add to hits and find none of their own.
+    Boosts add to hits and find none of their own. Without ``top``, all hits, not ranked.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
-    found = matches(idx, terms)
-    hits = best_fields(found, FIELDS, TIE)
-    more = []
-    if "variants" in queries.columns:
-        v = queries.select("query_id", F.posexplode(F.slice("variants", 1, EXPANSIONS)).alias("i", "words"))
-        v = v.select(F.struct("query_id", "i").alias("query_id"), F.explode(F.array_distinct("words")).alias("term"))
-        x = best_fields(matches(idx, v), EXPANSION_FIELDS)
-        more.append(x.select("query_id.query_id", "doc_id", (EXPANSION_BOOST * F.col("score")).alias("score")))
-    if docs is not None and fields:
-        more.append(phrases(found, queries, docs, fields))
-    scored = hits.withColumn("must", F.lit(True))
-    for m in more:
-        scored = scored.unionByName(m.withColumn("must", F.lit(False)))
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), digits).alias("score"), F.max("must").alias("must")).where("must").drop("must")
-    return R.ranked(total, top)
+    lists = [F.col("words")] + ([F.get("variants", F.lit(i)) for i in range(EXPANSIONS)] if "variants" in queries.columns else [])
+    each = F.explode(F.filter(F.array(*(F.struct(F.lit(i).alias("list"), w.alias("words")) for i, w in enumerate(lists))), lambda x: x["words"].isNotNull())).alias("l")
+    terms = queries.select("query_id", each).select("query_id", "l.list", F.explode(F.array_distinct("l.words")).alias("term"))
+    measure = K.by_fields(FIELDS, TIE, EXPANSION_FIELDS, EXPANSION_BOOST, len(lists) - 1)
+    return K.search(idx, terms, top, measure, phrases(idx, queries) if phrased else None, digits)
 
 
 def fused(lists: Sequence[DataFrame], params: DataFrame, top: int | None = None, digits: int = 9) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from urllib.parse import urlsplit
 
@@ -115,6 +116,13 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def cut(df: DataFrame, folder: str, name: str = "cut") -> DataFrame:
+    """Write ``df`` under a folder that all executors share, and read it back: what is used more than once is worked out once."""
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -18,7 +18,7 @@ from corvid.functions import parse as P
 from corvid.functions import text as X
 from corvid.operators import graph as G
 from corvid.plans import review as V
-from corvid.plans import search
+from corvid.plans import postings
 from corvid.sources import tables as S
 from corvid.streaming import ingest as I
 
@@ -190,9 +190,9 @@ def test_phrases_against_all_places(spark):
                     total += 1 / (1 + at - i - (len(q) - 1))
         return total
 
-    df = spark.createDataFrame(rows, "d array<string>, q array<string>")
+    df = spark.createDataFrame([(d, q, [[i for i, x in enumerate(d) if x == w] for w in q]) for d, q in rows], "d array<string>, q array<string>, p array<array<int>>")
     for slop in (0, 1, 2):
-        for r in df.select("d", "q", search.phrase_frequency(F.col("d"), F.col("q"), slop).alias("f")).collect():
+        for r in df.select("d", "q", postings.phrase_places(F.col("p"), slop).alias("f")).collect():
             assert r["f"] == pytest.approx(plain(r["d"], r["q"], slop))
 
 

@@ -10,9 +10,11 @@ from ..operators import etl
 from ..operators import graph as G
 from ..plans import retrieval as R
 from ..plans import review as V
+from ..sources import tables as T
 from .base import query
 from .graphs import BOTH, EDGES, edges
-from .ranking import BM25, WORDS, lexical
+from .scans import keeping
+from .ranking import BM25, WORDS, fused, fused_list, lexical
 
 ONLY_EDGES = EDGES.split(", s AS")[0]
 NEG = "(' ' || lower({c}) || ' ') LIKE '% not %'"
@@ -61,39 +63,45 @@ def qe(t):
     return V.verified(pairs(t), supported, plain_negation, V.ascii_numbers).select("query_id", "doc_id", "level", "decided_by")
 
 
+CLAUSE = "list_filter(list_transform(string_split_regex(text, '\\n'), lambda c: trim(regexp_replace(c, '\\s+', ' ', 'g'), ' ')), lambda c: length(c) >= 20)"
+CLAUSES = f"SELECT item_id * 1000 + i AS item_id, c[i + 1] AS text FROM (SELECT item_id, {CLAUSE} AS c FROM benchmark), unnest(range(len(c))) x(i)"
 # of ten hits the better half by score and place, as retrieval.position_decay keeps it
-HALF = BM25 + """, h10 AS (SELECT query_id, doc_id, score, rank - 1 AS pos, count(*) OVER (PARTITION BY query_id) AS n FROM r WHERE rank <= 10),
-    h5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * score + 0.5 * CASE WHEN n <= 1 THEN 1 ELSE 1 - pos / (n - 1) END, 9) DESC, doc_id) AS place FROM h10) WHERE place <= greatest(1, n // 2))"""
-REVIEW = HALF + ", p AS (SELECT query_id, h5.doc_id, place, b.text AS clause, d.text AS passage FROM h5 JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = h5.doc_id)," + LEVEL
+REVIEW = fused_list(10, CLAUSES, 1000) + """, h10 AS (SELECT query_id, doc_id, score, rank - 1 AS pos, count(*) OVER (PARTITION BY query_id) AS n FROM fr WHERE rank <= 10),
+    h5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * score + 0.5 * CASE WHEN n <= 1 THEN 1 ELSE 1 - pos / (n - 1) END, 9) DESC, doc_id) AS place FROM h10) WHERE place <= greatest(1, n // 2)),
+    p AS (SELECT query_id, h5.doc_id, place, b.text AS clause, d.text AS passage FROM h5 JOIN asked b ON b.item_id = query_id JOIN documents d ON d.doc_id = h5.doc_id),""" + LEVEL
 
 
 @query(
     "qf_review",
     REVIEW
-    + """, o AS (SELECT query_id, min(CASE level WHEN 'contradicted' THEN 0 WHEN 'no_reference' THEN 2 ELSE 3 END) AS s FROM z GROUP BY 1)
+    + """, o AS (SELECT query_id, min(CASE level WHEN 'contradicted' THEN 0 WHEN 'no_reference' THEN 2 ELSE 3 END) AS s FROM z GROUP BY 1),
+       gl AS (SELECT query_id, source, h5.doc_id, score, max(score) OVER (PARTITION BY query_id, source) AS b FROM h5 JOIN documents USING (doc_id)),
+       gr AS (SELECT query_id, dense_rank() OVER (PARTITION BY query_id ORDER BY b DESC, source) AS lr, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS hr FROM gl)
        SELECT 'risk' AS part, d.risk AS name, count(o.s) AS n FROM (VALUES ('high', 0), ('medium', 1), ('low', 2), ('none', 3)) d(risk, s) LEFT JOIN o USING (s) GROUP BY 1, 2
-       UNION ALL SELECT 'references', 'unique', count(DISTINCT doc_id) FROM z UNION ALL SELECT 'context', source, count(*) FROM (
+       UNION ALL SELECT 'references', 'unique', count(DISTINCT doc_id) FROM z UNION ALL SELECT 'prompt', 'passages', count(*) FROM gr WHERE lr <= 5 AND hr <= 3
+       UNION ALL SELECT 'context', source, count(*) FROM (
          SELECT query_id, id, CASE min(p) WHEN 0 THEN 'amendment' ELSE 'related' END AS source FROM (
            SELECT query_id, CASE WHEN e.src = doc_id THEN e.dst ELSE e.src END AS id, place * 10 + 1 AS k, 1 AS p FROM h5 JOIN (SELECT doc_id AS src, doc_id * 3 % 1000 AS dst, lang AS rel FROM documents) e ON (e.src = doc_id OR e.dst = doc_id) WHERE rel <> 'de' AND place <= 3
          ) GROUP BY 1, 2) GROUP BY 2""",
 )
 def qf(t):
-    """Contracts cut into clauses, planned, searched, reranked, put in context, verified by rules; the worst finding of each clause, the references and the context counted."""
-    clauses = P.clauses(t.benchmark, "item_id")
-    contracts = P.plan(clauses.where("clause_index = 0").select(F.col("doc_id").alias("item_id"), F.col("clause").alias("text")), "item_id")
-    hits = lexical(t, 10).join(contracts.select("query_id"), "query_id", "left_semi")
-    half = R.position_decay(hits.drop("rank")).select("query_id", "doc_id", "rank")
+    """Contracts cut into clauses; each planned, searched, reranked, put in context and in a prompt's groups, verified by rules; the worst finding of each clause, the references, passages and context counted."""
+    lines = t.benchmark.select("item_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    clauses = T.cut(P.clauses(lines, "item_id").select((F.col("doc_id") * 1000 + F.col("clause_index")).alias("item_id"), F.col("clause").alias("text")), keeping(t.spark), "clauses")
+    half = T.cut(R.position_decay(fused(t, 10, clauses, 1000).drop("rank")).select("query_id", "doc_id", "score", "rank"), keeping(t.spark), "half")
     found = V.verified(
-        half.join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("clause")), "query_id").join(t.documents.select("doc_id", F.col("text").alias("passage")), "doc_id").select("query_id", "doc_id", "clause", "passage"),
+        half.join(clauses.select(F.col("item_id").alias("query_id"), F.col("text").alias("clause")), "query_id").join(t.documents.select("doc_id", F.col("text").alias("passage")), "doc_id").select("query_id", "doc_id", "clause", "passage"),
         negated=plain_negation, numbers=V.ascii_numbers,
     )
-    found = V.findings(found)
+    found = T.cut(V.findings(found), keeping(t.spark), "findings")
     worst = found.groupBy("query_id").agg(F.min(F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).when(F.col("risk") == "low", 2).otherwise(3)).alias("s"))
     risks = V.risk_summary(worst.select(F.get(F.array(*map(F.lit, V.RISK_LEVELS)), F.col("s")).alias("risk"))).select(F.lit("risk").alias("part"), F.col("risk").alias("name"), "n")
     refs = V.unique_references(found.select("query_id", F.lit(1).alias("place"), F.col("doc_id").alias("ref_id"))).agg(F.lit("references").alias("part"), F.lit("unique").alias("name"), F.count("*").alias("n"))
+    groups = V.grouped_context(half.join(t.documents.select("doc_id", F.col("source").alias("law_id")), "doc_id").select("query_id", "law_id", "doc_id", "score"))
+    prompt = groups.agg(F.lit("prompt").alias("part"), F.lit("passages").alias("name"), F.coalesce(F.sum(F.size(F.split("context", " "))), F.lit(0)).cast("long").alias("n"))
     e = edges(t).where("rel <> 'de'").select("src", "dst", F.lit("REFERENCES").alias("rel"))
     around = G.context(half.select("query_id", F.col("doc_id").alias("id"), "rank"), e, e.limit(0), top_k=3)
-    return risks.unionByName(refs).unionByName(around.groupBy(F.lit("context").alias("part"), F.col("source").alias("name")).agg(F.count("*").alias("n")))
+    return risks.unionByName(refs).unionByName(prompt).unionByName(around.groupBy(F.lit("context").alias("part"), F.col("source").alias("name")).agg(F.count("*").alias("n")))
 
 
 TREE = "CASE WHEN doc_id % 2 = 0 THEN 'AMENDED_BY' ELSE 'CITES' END"
@@ -121,10 +129,10 @@ def g9(t):
     return around(t, b.select(i.alias("query_id"), i.alias("id"), F.lit(1).alias("rank")).unionByName(b.select(i.alias("query_id"), (i + 5).alias("id"), F.lit(2).alias("rank"))))
 
 
-@query("qg_chat_context", BM25 + f", k0 AS (SELECT query_id, doc_id AS id, rank FROM r WHERE rank <= 5), {AROUND} SELECT query_id, id, 'retrieved' AS source, CAST(rank AS INTEGER) AS place FROM k0 UNION ALL SELECT query_id, id, source, 5 + place FROM around WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM k0)")
+@query("qg_chat_context", fused_list(5) + f", k0 AS (SELECT query_id, doc_id AS id, rank FROM fr WHERE rank <= 5), {AROUND} SELECT query_id, id, 'retrieved' AS source, CAST(rank AS INTEGER) AS place FROM k0 UNION ALL SELECT query_id, id, source, 5 + place FROM around WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM k0)")
 def qg(t):
     """A chat's context: the hits of its text without a plan, then what stands around them."""
-    h = lexical(t, 5).select("query_id", F.col("doc_id").alias("id"), "rank")
+    h = T.cut(fused(t, 5).select("query_id", F.col("doc_id").alias("id"), "rank"), keeping(t.spark), "hits")
     more = around(t, h).join(h.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return h.select("query_id", "id", F.lit("retrieved").alias("source"), F.col("rank").cast("int").alias("place")).unionByName(more.select("query_id", "id", "source", (F.col("place") + 5).cast("int").alias("place")))
 
@@ -147,16 +155,16 @@ def qh(t):
 
 @query(
     "qb_search_with_relationships",
-    BM25
+    fused_list(10)
     + f""", {ONLY_EDGES}, {BOTH.replace("FROM e", "FROM e WHERE rel IN ('en', 'fr')")}, g AS (SELECT DISTINCT item_id AS query_id, dst AS doc_id, TRUE AS related FROM benchmark JOIN u ON item_id = src),
-       o AS (SELECT query_id, doc_id, round(score * CASE WHEN related THEN 1.2 ELSE 1 END, 6) AS score FROM r LEFT JOIN g USING (query_id, doc_id) WHERE rank <= 10),
+       o AS (SELECT query_id, doc_id, round(score * CASE WHEN related THEN 1.2 ELSE 1 END, 6) AS score FROM fr LEFT JOIN g USING (query_id, doc_id) WHERE rank <= 10),
        p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS i FROM o QUALIFY i < 5), w AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS m FROM p)
        SELECT query_id, doc_id, score, CAST(CASE WHEN m <= 2 THEN i WHEN i % 2 = 0 THEN i // 2 ELSE m - 1 - i // 2 END AS INTEGER) AS place FROM w""",
 )
 def qb(t):
     """Twice as many hits as asked for, those raised that a typed edge joins with the query's own document, cut, in reading order."""
     near = G.neighbours(t.benchmark.select(F.col("item_id").alias("id")), edges(t), ["en", "fr"]).select(F.col("seed").alias("query_id"), F.col("id").alias("doc_id"))
-    b = R.boost_related(lexical(t, 10), near).withColumn("score", F.round("score", 6)).drop("rank", "original")
+    b = R.boost_related(fused(t, 10), near).withColumn("score", F.round("score", 6)).drop("rank", "original")
     return R.sandwich(R.ranked(b, 5).drop("rank")).select("query_id", "doc_id", "score", "place")
 
 
@@ -235,7 +243,7 @@ def qk(t):
 
 @query(
     "ql_evaluation",
-    BM25 + """, e AS (SELECT item_id AS query_id, doc_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text)), m AS (SELECT e.query_id, count(*) AS must, count(k.doc_id) AS matched FROM e LEFT JOIN (SELECT * FROM r WHERE rank <= 20) k ON k.query_id = e.query_id AND k.doc_id = e.doc_id GROUP BY 1)
+    fused_list(20) + """, e AS (SELECT item_id AS query_id, doc_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text)), m AS (SELECT e.query_id, count(*) AS must, count(k.doc_id) AS matched FROM e LEFT JOIN (SELECT * FROM fr WHERE rank <= 20) k ON k.query_id = e.query_id AND k.doc_id = e.doc_id GROUP BY 1)
        SELECT query_id, must, matched, round(matched / must, 6) AS recall, CASE WHEN round(matched / must, 6) >= 0.67 THEN 'pass' WHEN round(matched / must, 6) >= 0.33 THEN 'partial' ELSE 'fail' END AS status FROM m""",
 )
 def ql(t):
@@ -249,7 +257,7 @@ def ql(t):
     post = t.documents.select("doc_id", F.explode(F.array_distinct(tok)).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     whole = post.join(terms, "term").groupBy("query_id", "doc_id", "qn").agg(F.count("*").alias("c")).where("c >= qn - 2")  # its first and last word can be part of longer ones
     exp = whole.join(q, "query_id").join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("needle"))).select("query_id", "doc_id")
-    return V.recall(exp, lexical(t, 20))
+    return V.recall(exp, fused(t, 20))
 
 
 @query(

@@ -9,7 +9,9 @@ from ..operators import etl
 from ..operators import graph as G
 from ..plans import retrieval as R
 from ..plans import review as V
+from ..plans import vectors as N
 from .base import query
+from .scans import keeping
 
 
 def order_edges(t):
@@ -99,9 +101,14 @@ COSINE = """
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
+def lists(t):
+    """The vectors in lists, kept."""
+    return N.kept(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), keeping(t.spark), "vectors")
+
+
 def dense_hits(t, top=10):
     q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.dense(q, t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), top)
+    return N.search(lists(t), q, top)
 
 
 @query("j10_dense_top_k", COSINE + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as X
+from ..operators import etl
 from ..plans import postings as K
 from ..plans import retrieval as R
 from ..plans import search as S
 from ..plans import review as V
+from ..plans import vectors as N
 from ..sources import tables as T
 from .base import query
-from .joins import COSINE, dense_hits
+from .joins import COSINE, dense_hits, lists
 from .scans import keeping
 from .windows import HITS, hits
 
@@ -115,25 +117,25 @@ LISTS = f"""WITH {HITS}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTI
     b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 97 DESC, doc_id) AS rank FROM h)"""
 
 
-def lists(t):
+def two_lists(t):
     h = hits(t)
     return R.ranked(h, 50), R.ranked(h.withColumn("score", F.col("doc_id") % 97), 50)
 
 
 @query("a10_weighted_rrf", LISTS + " SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 1.2 / (60 + rank) AS s FROM a WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM b WHERE rank <= 50) GROUP BY 1, 2")
 def a10(t):
-    return R.rrf(lists(t), [1.2, 1.0]).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return R.rrf(two_lists(t), [1.2, 1.0]).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("m5_plain_rrf", LISTS + " SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM a WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM b WHERE rank <= 50) GROUP BY 1, 2")
 def m5(t):
-    return R.rrf(lists(t)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return R.rrf(two_lists(t)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("j6_full_outer_ranks", LISTS + " SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, CAST(a.rank AS INTEGER) AS ra, CAST(b.rank AS INTEGER) AS rb FROM (SELECT * FROM a WHERE rank <= 50) a FULL JOIN (SELECT * FROM b WHERE rank <= 50) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id")
 def j6(t):
     """Rows of the union, grouped: one shuffle where a full outer join takes two."""
-    a, b = lists(t)
+    a, b = two_lists(t)
     none = F.lit(None).cast("int")
     every = a.select("query_id", "doc_id", F.col("rank").alias("ra"), none.alias("rb")).unionByName(b.select("query_id", "doc_id", none.alias("ra"), F.col("rank").alias("rb")))
     return every.groupBy("query_id", "doc_id").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"))
@@ -212,22 +214,32 @@ FIELDED = f"""
     r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits)"""
 
 
-def asked(t):
-    """Plans of the benchmark texts, and the words they search for; worked out once, as plans are long expressions."""
-    plans = T.cut(P.plan(t.benchmark, "item_id", short_forms={"the": "der die"}), keeping(t.spark), "plans")
+def asked(t, texts=None):
+    """Plans of texts (item_id, text), the benchmark's if not given, and the words they search for; worked out once, as plans are long expressions."""
+    plans = T.cut(P.plan(t.benchmark if texts is None else texts, "item_id", short_forms={"the": "der die"}), keeping(t.spark), "plans")
     return plans, plans.select("query_id", X.analyze(F.col("original")).alias("words"), F.transform("variants", X.analyze).alias("variants"))
 
 
-def searched(t, top):
-    """Plans of the benchmark texts, and their hits over two fields with phrases and variants."""
-    plans, queries = asked(t)
-    return plans, S.lexical(fielded(t), queries, top)
+def both_lists(t, top_k=5, texts=None, per=1):
+    """Plans, and the lexical and the dense list of each, over the documents that a filter allows."""
+    plans, queries = asked(t, texts)
+    pool = pooled(top_k)
+    only = t.documents.where(etl.compile_filter(ONLY)).select("doc_id")
+    ids = plans.select("query_id", F.expr(f"query_id div {per}").alias("vec_id"))
+    q = t.embeddings.select("vec_id", F.col("embedding").alias("q")).join(ids, "vec_id").select("query_id", "q")
+    return plans, S.lexical(fielded(t), queries, pool, allowed=only), N.search(lists(t), q, pool, allowed=only)
+
+
+def fused(t, top, texts=None, per=1):
+    """The first of hybrid search: both lists, fused by the kind of query."""
+    plans, lex, dense = both_lists(t, top, texts, per)
+    return S.fused([lex, dense], S.parameters(plans), top)
 
 
 @query("m1_fielded_search", FIELDED + " SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
 def m1c(t):
     """BM25 over two fields with an analyzer for all scripts, phrases with slop, and expansions."""
-    return searched(t, 20)[1].select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+    return S.lexical(fielded(t), asked(t)[1], 20).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 @query("m1_two_fields", FIELDED + " SELECT query_id, doc_id, round(s, 6) AS score FROM b")
@@ -243,14 +255,40 @@ def m3(t):
     return S.lexical(fielded(t), asked(t)[1], phrased=False).select("query_id", "doc_id", "score")
 
 
-HYBRID = (
+ONLY = {"lang": ["en", "es", "fr"], "n_chars": {"gte": 200}}
+FUSED = (
     FIELDED
-    + """, v AS (SELECT item_id AS query_id, doc_id, round(score, 6) AS score FROM (SELECT b.item_id, e.vec_id AS doc_id,
+    + """, ok AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'es', 'fr') AND n_chars >= 200),
+    ro AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits WHERE doc_id IN (FROM ok)),
+    v AS (SELECT item_id AS query_id, doc_id, round(score, 6) AS score FROM (SELECT b.item_id, e.vec_id AS doc_id,
              list_dot_product(CAST(o.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(o.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) AS score
-             FROM benchmark b JOIN embeddings o ON o.vec_id = b.item_id, embeddings e)),
+             FROM benchmark b JOIN embeddings o ON o.vec_id = b.item_id // VECTOR, embeddings e WHERE e.vec_id IN (FROM ok))),
     vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v),
     n AS (SELECT item_id AS query_id, len(string_split_regex(trim(text, ' '), '\\s+')) AS words FROM benchmark),
-    rf AS (SELECT query_id, doc_id, round(sum(w / (CASE WHEN words >= 0 THEN 80 END + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank, 1.2 AS w FROM r WHERE rank <= 100 UNION ALL SELECT query_id, doc_id, rank, 0.8 FROM vr WHERE rank <= 100) JOIN n USING (query_id) GROUP BY 1, 2),
+    rf AS (SELECT query_id, doc_id, round(sum(w / (CASE WHEN words >= 0 THEN 80 END + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank, 1.2 AS w FROM ro WHERE rank <= 100 UNION ALL SELECT query_id, doc_id, rank, 0.8 FROM vr WHERE rank <= 100) JOIN n USING (query_id) GROUP BY 1, 2),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rf)"""
+)
+
+
+def fused_sql(asked="SELECT item_id, text FROM benchmark", per=1):
+    """The fused lists of the texts of ``asked``; the vector of a query is that of its id divided by ``per``."""
+    return FUSED.replace("VECTOR", str(per)).replace("FROM benchmark", "FROM asked").replace("WITH f AS", f"WITH asked AS ({asked}), f AS", 1)
+
+
+def fused_list(top, asked="SELECT item_id, text FROM benchmark", per=1):
+    """The same as one table ``fr``, beside ``asked``, with lists as long as ``top`` results need."""
+    body = FUSED.replace("VECTOR", str(per)).replace("FROM benchmark", "FROM asked").replace("rank <= 100", f"rank <= {pooled(top)}")
+    return f"WITH asked AS ({asked}), fr AS ({body} SELECT * FROM fr)"
+
+
+def pooled(top_k):
+    """As retrieval.pool_size of 100 candidates."""
+    return max(100, min(20 * top_k, 500))
+
+
+HYBRID = (
+    fused_sql()
+    + """,
     tp AS (SELECT * FROM rf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
     nm AS (SELECT query_id, doc_id, round(greatest(0, least(100, 10 + (score - 0.012) * 100 / greatest(0.023, max(score) OVER g - min(score) OVER g))), 6) AS score FROM tp WINDOW g AS (PARTITION BY query_id)),
     h AS (SELECT query_id, doc_id, source AS law_id, doc_id % 4 <> 0 AS is_article, doc_id AS article_no, score FROM nm JOIN documents USING (doc_id)),
@@ -268,23 +306,21 @@ HYBRID = (
 
 
 def planned(t, top_k=5):
-    plans, lex = searched(t, 100)
-    ids = t.benchmark.select(F.col("item_id").alias("vec_id"))
-    asked = t.embeddings.join(F.broadcast(ids) if ids.count() <= 4096 else ids, "vec_id", "left_semi")
-    dense = R.dense(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 100)
     nodes = t.documents.select("doc_id", F.col("doc_id").alias("root_id"), F.col("source").alias("law_id"), (F.col("doc_id") % 4 != 0).alias("is_article"), F.col("doc_id").alias("article_no"))
-    return S.hybrid(plans, lex, dense, nodes, top_k)
+    return S.hybrid(*both_lists(t, top_k), nodes, top_k)
 
 
 @query(
     "qa_hybrid_search",
     HYBRID
-    + """ SELECT sw.query_id, sw.doc_id, sw.score, r.score AS lexical, vr.score AS dense, article_numbers, CAST(CASE WHEN m <= 2 THEN i WHEN i % 2 = 0 THEN i // 2 ELSE m - 1 - i // 2 END AS INTEGER) AS place
-       FROM sw LEFT JOIN (SELECT * FROM r WHERE rank <= 100) r ON r.query_id = sw.query_id AND r.doc_id = sw.doc_id LEFT JOIN (SELECT * FROM vr WHERE rank <= 100) vr ON vr.query_id = sw.query_id AND vr.doc_id = sw.doc_id""",
+    + """ SELECT sw.query_id, sw.doc_id, sw.score, ro.score AS lexical, vr.score AS dense, article_numbers, CAST(CASE WHEN m <= 2 THEN i WHEN i % 2 = 0 THEN i // 2 ELSE m - 1 - i // 2 END AS INTEGER) AS place,
+       CASE WHEN length(text) <= 350 THEN text ELSE regexp_extract(text, '(?s)^(.{0,350})\\s', 1) END AS preview
+       FROM sw JOIN documents USING (doc_id) LEFT JOIN (SELECT * FROM ro WHERE rank <= 100) ro ON ro.query_id = sw.query_id AND ro.doc_id = sw.doc_id LEFT JOIN (SELECT * FROM vr WHERE rank <= 100) vr ON vr.query_id = sw.query_id AND vr.doc_id = sw.doc_id""",
 )
 def qa(t):
-    """Plan, fielded lexical and dense lists, adaptive fusion, normal scores, laws, the first five, reading order."""
-    return planned(t).select("query_id", "doc_id", "score", "lexical", "dense", "article_numbers", "place")
+    """Plan, filter, fielded lexical and dense lists, adaptive fusion, normal scores, laws, the first five, reading order, previews."""
+    shown = planned(t).select("query_id", "doc_id", "score", "lexical", "dense", "article_numbers", "place")
+    return shown.join(t.documents.select("doc_id", "text"), "doc_id").withColumn("preview", X.cut_at_word(F.col("text"), 350)).drop("text")
 
 
 @query(
@@ -296,7 +332,7 @@ def qa(t):
        LEFT JOIN (SELECT * FROM b WHERE rank <= 50) b ON b.query_id = h.query_id AND b.doc_id = h.doc_id LEFT JOIN g ON g.query_id = h.query_id AND g.doc_id = h.doc_id WHERE h.doc_id % 11 = 0""",
 )
 def qm(t):
-    a, b = lists(t)
+    a, b = two_lists(t)
     return V.rank_trace([("first", a), ("second", b), ("fused", R.rrf([a, b]))], hits(t).where("doc_id % 11 = 0").select("query_id", "doc_id"))
 
 
@@ -344,4 +380,4 @@ def t2(t):
 
 @query("t3_fused_top_n", LISTS + " SELECT query_id, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(s), 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM a WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM b WHERE rank <= 50) GROUP BY 1, 2) WHERE rank <= 20")
 def t3(t):
-    return R.rrf(lists(t), top=20).select("query_id", "doc_id")
+    return R.rrf(two_lists(t), top=20).select("query_id", "doc_id")

@@ -146,18 +146,37 @@ def count_of_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return counted(rows, *keys).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("keys"))
 
 
-def index_percentile(rows: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+ACCURACY = 10_000  # of the sketch: a place is off by n / ACCURACY at most
+
+
+def index_percentile(rows: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
     """Percentiles by place, sorted[int(n * p)], with count, mean, least and most of each group.
 
-    Rows are ranked, not collected: only the places asked for are kept.
+    A sketch of each group, which tasks make in parts, gives for each place a
+    range of values that holds it for sure. Rows below a range are only counted;
+    rows inside, some four in ``accuracy``, are ranked. No task has all values
+    of a group. Nulls take no part; a group without values is not there.
     """
-    w = Window.partitionBy(*by)
     x = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    hist = x.groupBy(*by, "v").agg(F.count("*").alias("c"))  # equal values once, partly aggregated before the shuffle
-    upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    h = hist.withColumns({"upto": upto, "n": F.sum("c").over(w)})
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v"))).alias(name) for name, p in shares.items()]
-    return h.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), *picks)
+    ends = [max(0.0, p - 2 / accuracy) for p in shares.values()] + [min(1.0, p + 2 / accuracy) for p in shares.values()]
+    basic = [F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most")]
+    whole = x.groupBy(*by).agg(*basic, *([F.percentile_approx("v", ends, accuracy).alias("ends")] if shares else []))
+    if not shares:
+        return whole
+    lows = whole.select(*by, F.col("n").alias("n_"), "ends")
+    # a group's ranges go to its rows: one row where there are no groups, else a join that splits hot groups
+    met = x.join(lows, list(by)) if by else x.crossJoin(F.broadcast(lows))
+    k = len(shares)
+    lo, hi = (lambda j: F.get("ends", F.lit(j))), (lambda j: F.get("ends", F.lit(k + j)))
+    below = met.groupBy(*by).agg(F.array(*(F.count_if(F.col("v") < lo(j)) for j in range(k))).alias("below"))
+    place = F.array(*(F.least(F.floor(F.col("n_") * p), F.col("n_") - 1) for p in shares.values()))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (F.col("v") >= F.get("ends", j)) & (F.col("v") <= F.get("ends", j + k)))
+    some = met.select(*by, "v", F.explode(inside).alias("j"), place.alias("place")).groupBy(*by, "j", "v", "place").agg(F.count("*").alias("c"))
+    some = some.join(below, list(by)) if by else some.crossJoin(F.broadcast(below))
+    upto = F.sum("c").over(Window.partitionBy(*by, "j").orderBy("v")) + F.get("below", F.col("j"))
+    found = some.withColumn("upto", upto).where(F.col("upto") > F.get("place", F.col("j")))
+    picks = found.groupBy(*by).agg(*(F.min(F.when(F.col("j") == j, F.col("v"))).alias(name) for j, name in enumerate(shares)))
+    return whole.drop("ends").join(picks, list(by)) if by else whole.drop("ends").crossJoin(F.broadcast(picks))
 
 
 def coverage(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:

@@ -179,16 +179,48 @@ def dedup_edges(edges: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return edges.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
 
 
+GRAM = 3  # characters of the pieces by which titles are found
+
+
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """The distinct pieces of ``text`` of each of the sizes."""
+    one = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.filter(F.concat(*map(one, sizes)), lambda g: F.length(g).isin(*sizes)))
+
+
+def titled(refs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(ref_id, doc_id): the smallest document of a reference's kind and year whose title contains its needle, whatever the case.
+
+    A title that contains a needle has all pieces of it; so titles are looked up
+    by the needle's piece that the fewest have, and only these compared. Needles
+    shorter than a piece are looked up as they are; an empty one is in any title.
+    """
+    needle = refs.select("kind", "year", F.lower("needle").alias("needle")).where("kind is not null and year is not null and needle is not null").distinct()
+    sizes = list(range(1, GRAM + 1))
+    parts = needle.where("needle <> ''").select("kind", "year", "needle", F.explode(_grams(F.col("needle"), sizes)).alias("gram"))
+    parts = parts.where(F.length("gram") == F.least(F.length("needle"), F.lit(GRAM)))
+    titles = docs.select("doc_id", "kind", "year", F.lower("title").alias("title")).where("title is not null")
+    wanted = parts.select("kind", "year", "gram").distinct()
+    posted = titles.select("doc_id", "kind", "year", F.explode(_grams(F.col("title"), sizes)).alias("gram")).join(wanted, ["kind", "year", "gram"], "left_semi")
+    often = posted.groupBy("kind", "year", "gram").agg(F.count("*").alias("df"))
+    rarest = parts.join(often, ["kind", "year", "gram"]).groupBy("kind", "year", "needle").agg(F.min(F.struct("df", "gram")).alias("r")).select("kind", "year", "needle", F.col("r.gram").alias("gram"))
+    near = posted.join(rarest, ["kind", "year", "gram"]).select("doc_id", "kind", "year", "needle")
+    sure = near.where(F.length("needle") <= GRAM)
+    compared = near.where(F.length("needle") > GRAM).join(titles.select("doc_id", "title"), "doc_id").where(F.col("title").contains(F.col("needle"))).drop("title")
+    any_title = titles.groupBy("kind", "year").agg(F.min("doc_id").alias("doc_id")).join(needle.where("needle = ''"), ["kind", "year"]).select("doc_id", "kind", "year", "needle")
+    first = sure.unionByName(compared).unionByName(any_title).groupBy("kind", "year", "needle").agg(F.min("doc_id").alias("doc_id"))
+    return refs.withColumn("needle", F.lower("needle")).join(first, ["kind", "year", "needle"]).select("ref_id", "doc_id")
+
+
 def resolve(refs: DataFrame, docs: DataFrame) -> DataFrame:
     """(ref_id, doc_id): the document each reference means, best first.
 
     refs(ref_id, kind, year, needle), docs(doc_id, kind, year, number, title).
-    Equal kind and year bring candidates together; an equal number beats a
-    title that contains the needle, then the smaller id.
+    Among documents of equal kind and year, an equal number beats a title that
+    contains the needle, then the smaller id. Numbers are an equal join; only
+    references without one look at titles.
     """
-    d = docs.select("doc_id", F.col("kind").alias("k_"), F.col("year").alias("y_"), "number", "title")
-    pairs = refs.join(d, (F.col("kind") == F.col("k_")) & (F.col("year") == F.col("y_")))
-    grade = F.when(F.col("number") == F.col("needle"), 0).when(F.lower("title").contains(F.lower("needle")), 1)
-    best = pairs.withColumn("g_", grade).where("g_ is not null")
-    w = Window.partitionBy("ref_id").orderBy("g_", "doc_id")
-    return best.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").select("ref_id", "doc_id")
+    numbers = docs.select("kind", "year", F.col("number").alias("needle"), "doc_id").groupBy("kind", "year", "needle").agg(F.min("doc_id").alias("doc_id"))
+    by_number = refs.join(numbers, ["kind", "year", "needle"]).select("ref_id", "doc_id")
+    rest = refs.join(by_number.select("ref_id"), "ref_id", "left_anti")
+    return by_number.unionByName(titled(rest, docs)).groupBy("ref_id").agg(F.min("doc_id").alias("doc_id"))

@@ -17,19 +17,19 @@ The blocks of the empty term, one for each field and segment, have all documents
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables as T
 from . import retrieval as R
 
 SEGMENT = 1024  # documents inverted together
@@ -133,12 +133,7 @@ def write(docs: DataFrame, fields: Mapping[str, Column], path: str, id_col: str
     done.repartitionByRange(n, "field", "term", "segment").sortWithinPartitions("field", "term", "segment").write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     blocks.where("term <> ''").groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df"), F.max("impact").alias("impact")).write.parquet(f"{path}/terms")
-    delete(spark, f"{path}/segments")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    T.drop(spark, f"{path}/segments")
 
 
 def read(spark: SparkSession, path: str) -> Index:
@@ -146,31 +141,14 @@ def read(spark: SparkSession, path: str) -> Index:
 
 
 def kept(docs: DataFrame, fields: Mapping[str, Column], folder: str, name: str, id_col: str = "doc_id") -> Index:
-    """The index of ``docs`` under ``folder``: made once for the files that ``docs`` reads, and read by all later queries.
-
-    Its name holds a digest of these files with their sizes and times, and of
-    the fields, so that a changed table gets a new index. It is whole before it
-    has its name; of two that are made at once, one stays.
-    """
-    spark = docs.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    files = docs.inputFiles()
-    fs = at(files[0]).getFileSystem(conf) if files else None
-    named = {f.rpartition("/")[2] for f in files}
-    folders = {f.rpartition("/")[0] for f in files}
-    told = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for d in folders for s in fs.listStatus(at(d)) if s.getPath().getName() in named)
+    """The index of ``docs`` under ``folder``, made once for the files and fields (:func:`tables.kept`)."""
     made_of = [re.sub(r"(?<=[a-z])_\d+|#\d+", "", f"{k}={v}") for k, v in fields.items()]  # variables of lambdas have other numbers each time
-    mark = hashlib.sha256("\n".join([*told, *made_of]).encode()).hexdigest()[:32]
-    path = f"{folder.rstrip('/')}/{name}-{mark}"
-    store = at(path).getFileSystem(conf)
-    if not store.exists(at(path)):
-        part = f"{folder.rstrip('/')}/_{name}-{uuid.uuid4().hex}"
-        cores = spark.sparkContext.defaultParallelism
-        write(docs.repartition(cores) if len(files) < cores else docs, fields, part, id_col)  # a few files are dealt to all cores
-        if store.exists(at(path)) or not store.rename(at(part), at(path)):
-            delete(spark, part)
-    return read(spark, path)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+
+    def make(path: str) -> None:
+        write(docs.repartition(cores) if len(docs.inputFiles()) < cores else docs, fields, path, id_col)  # a few files are dealt to all cores
+
+    return read(docs.sparkSession, T.kept(docs, folder, name, "\n".join(made_of), make))
 
 
 # --- the best of each query
@@ -219,12 +197,14 @@ def by_fields(weights: Mapping[str, float], tie: float, more: Mapping[str, float
     return Measure(sums, [*weights.values(), *(boost * (more or {})[f] for _ in range(lists) for f in extra)], combine)
 
 
-def best(blocks: pa.Table, asked: pa.Table, top: int | None, measure: Measure, slack: float = 1e-6) -> tuple[pa.Table, int, int]:
+def best(blocks: pa.Table, asked: pa.Table, top: int | None, measure: Measure, slack: float = 1e-6, restricted: bool = False) -> tuple[pa.Table, int, int]:
     """((query_id, doc_id, score) of what may be among a query's first ``top``, blocks decoded, blocks skipped).
 
     blocks (field, term, segment, docs, tfs, lens, uniqs, impact), asked
     (query_id, list, field, term, idf, avglen, n, doc_id, extra), where a row
-    with a doc_id adds ``extra`` to its score. The terms of a query are added up
+    with a doc_id adds ``extra`` to its score, and one with a doc_id and no
+    ``extra`` allows it to all queries: if there are any, no other document is
+    found. The terms of a query are added up
     by their bounds, greatest first. Once the terms that are left cannot lift a
     document over the ``top``-th score so far, only documents that can still get
     there stay, and blocks of segments that have none are not decoded. Exact:
@@ -256,6 +236,9 @@ def best(blocks: pa.Table, asked: pa.Table, top: int | None, measure: Measure, s
         tf, length = (column(c).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("tfs", "lens"))
         share_of = tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * length / avglen))
     place = {x: i for i, x in enumerate(measure.sums)}
+    only = asked.filter(pc.and_(pc.is_valid(asked["doc_id"]), pc.is_null(asked["extra"])))["doc_id"].to_numpy() if restricted else []
+    open_to = np.isin(ids, only) if restricted else np.ones(len(ids), bool)
+    asked = asked.filter(pc.or_(pc.is_valid(asked["extra"]), pc.is_null(asked["doc_id"]))) if restricted else asked
     queries: dict = {}
     for q, lst, f, t, w, n, d, x in zip(*(asked[c].to_pylist() for c in ("query_id", "list", "field", "term", "idf", "n", "doc_id", "extra")), strict=True):
         mine = queries.setdefault(q, ({}, [], n or 0))
@@ -279,7 +262,7 @@ def best(blocks: pa.Table, asked: pa.Table, top: int | None, measure: Measure, s
 
         def scored(at=slice(None), sums=sums, extra=extra, n=n):
             s = measure.combine(sums[:, at], n, uniq[at])
-            return np.where(s > 0, s + extra[at], 0.0)
+            return np.where((s > 0) & open_to[at], s + extra[at], 0.0)
 
         for i, (_, f, t, w, to) in enumerate(terms):
             a, b = span[f, t]
@@ -299,6 +282,7 @@ def best(blocks: pa.Table, asked: pa.Table, top: int | None, measure: Measure, s
                 if rest[i] + extra.max() < floor - slack:  # what no term has met is out
                     # an extra counts only once a word of the query itself has met the document, so it is left out of what is sure and kept in what may be
                     may = np.where(s > 0, s, extra if alive is None else extra[alive]) + rest[i] >= floor - slack
+                    may &= open_to if alive is None else open_to[alive]
                     alive = np.flatnonzero(may) if alive is None else alive[may]
                     live = np.bincount(seg_of[alive], minlength=segment.max() + 1) > 0
         s = scored() if alive is None else scored(alive)
@@ -317,11 +301,12 @@ def best(blocks: pa.Table, asked: pa.Table, top: int | None, measure: Measure, s
     return table, decoded, skipped
 
 
-def search(idx: Index, terms: DataFrame, top: int | None, measure: Measure, extra: DataFrame | None = None, digits: int = 6, postings: int = POSTINGS, asked: int = TERMS) -> DataFrame:
+def search(idx: Index, terms: DataFrame, top: int | None, measure: Measure, extra: DataFrame | None = None, allowed: DataFrame | None = None, digits: int = 6, postings: int = POSTINGS, asked: int = TERMS) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``top`` documents of each query (all that have a word of it, without a rank, if None).
 
     terms (query_id, list, term), each once; extra (query_id, doc_id, segment,
-    extra) adds to scores. Blocks of the queries' terms are dealt by segment over
+    extra) adds to scores; of ``allowed`` (doc_id), if given, are all hits, while
+    frequencies stay those of the whole index. Blocks of the queries' terms are dealt by segment over
     as many tasks as their postings need, and queries in blocks of about ``asked`` terms;
     each two meet in a task, which keeps what may be among the first ``top`` of
     each query. Only that moves. Scores are rounded before they are ranked.
@@ -342,19 +327,24 @@ def search(idx: Index, terms: DataFrame, top: int | None, measure: Measure, extr
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     own = F.pmod(F.xxhash64("segment"), F.lit(parts)).cast("int").alias("part")
     nothing = F.lit(None)
+    qb = F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("qb")
     w = send(found).join(F.broadcast(idx.sizes), "field").join(qn, "query_id")  # sizes: a row for each field
-    w = w.select("query_id", "list", "field", "term", idf.alias("idf"), "avglen", F.col("words").alias("n"), nothing.cast(kinds[1]).alias("doc_id"), nothing.cast("double").alias("extra"), every(parts).alias("part"))
+    w = w.select("query_id", "list", "field", "term", idf.alias("idf"), "avglen", F.col("words").alias("n"), nothing.cast(kinds[1]).alias("doc_id"), nothing.cast("double").alias("extra"), every(parts).alias("part"), qb)
+    if allowed is not None:  # a row for each allowed document, in the task that has its segment
+        every_doc = idx.blocks.where((F.col("term") == "") & (F.col("field") == names[0])).select("segment", F.explode("docs").alias("doc_id"))
+        a = every_doc.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("qb", every(shares))
+        w = w.unionByName(a.select(nothing.cast(kinds[0]).alias("query_id"), *(nothing.cast(k).alias(c) for c, k in (("list", "int"), ("field", "string"), ("term", "string"), ("idf", "double"), ("avglen", "double"), ("n", "long"))), "doc_id", nothing.cast("double").alias("extra"), own, "qb"))
     if extra is not None:
-        w = w.unionByName(extra.select("query_id", nothing.cast("int").alias("list"), nothing.cast("string").alias("field"), nothing.cast("string").alias("term"), nothing.cast("double").alias("idf"), nothing.cast("double").alias("avglen"), nothing.cast("long").alias("n"), "doc_id", "extra", own))
-    right = w.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int"))
+        w = w.unionByName(extra.select("query_id", nothing.cast("int").alias("list"), nothing.cast("string").alias("field"), nothing.cast("string").alias("term"), nothing.cast("double").alias("idf"), nothing.cast("double").alias("avglen"), nothing.cast("long").alias("n"), "doc_id", "extra", own, qb))
+    right = w
     left = idx.blocks.where(F.col("field").isin(names) & (F.col("term") != "")).join(send(found.select("term").distinct()), "term", "left_semi")
     left = left.select("field", "term", "segment", "docs", "tfs", "lens", *(["uniqs"] if measure.counts else []), "impact", own).withColumn("qb", every(shares))
-    slack = 10.0**-digits
+    slack, restricted = 10.0**-digits, allowed is not None
 
     def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(blocks) or not len(asked):
             return pa.table({"query_id": pa.array([], asked.schema.field("query_id").type), "doc_id": pa.array([], blocks.schema.field("docs").type.value_type), "score": pa.array([], pa.float64())})
-        return best(blocks, asked, top, measure, slack)[0]
+        return best(blocks, asked, top, measure, slack, restricted)[0]
 
     hits = left.groupBy("part", "qb").cogroup(right.groupBy("part", "qb")).applyInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double").withColumn("score", F.round("score", digits))
     return hits if top is None else R.ranked(hits, top)

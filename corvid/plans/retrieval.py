@@ -104,66 +104,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, top: int, digits: int = 6, block: int = 4096) -> DataFrame:
-    """The ``top`` vectors of each query by cosine. queries (query_id, q), vectors (doc_id, v).
-
-    Exact. Blocks of ``block`` queries go to all executors, one pass over the
-    vectors each; a task multiplies whole batches and keeps, of each query, what
-    may be among its first ``top``. Nothing else moves. Vectors of another length
-    than a query's do not meet it; one without length has no cosine, and is last.
-    """
-    n = queries.count()
-    blocks = max(1, math.ceil(n / block))
-    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where("q is not null")
-    v = vectors.select("doc_id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
-    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
-    out = None
-    for i in range(blocks):
-        rows = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q).collect()  # about ``block`` of them
-        sent = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["q"] for r in rows]))
-        part = v.mapInPandas(_best(sent, top, 10.0**-digits), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-        out = part if out is None else out.unionByName(part)
-    return ranked(out.withColumn("score", F.round("score", digits)), top)
-
-
-def _best(sent, top: int, slack: float):
-    """The pass of :func:`dense` over one partition."""
-    import numpy as np
-
-    def unit(rows: list) -> np.ndarray:
-        m = np.array(rows, float)
-        size = np.sqrt((m * m).sum(1, keepdims=True))
-        return m / np.where(size > 0, size, np.nan)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, rows = sent.value
-        sizes = {n: [i for i, r in enumerate(rows) if len(r) == n] for n in {len(r) for r in rows}}
-        held: dict[int, tuple[list, list]] = {}
-        units = {n: unit([rows[i] for i in at]) for n, at in sizes.items()}
-        for pdf in frames:
-            lengths = pdf["v"].map(len).to_numpy()
-            for n, at in sizes.items():
-                some = np.flatnonzero(lengths == n)
-                if not len(some):
-                    continue
-                docs = pdf["doc_id"].to_numpy()[some]
-                scores = units[n] @ unit(pdf["v"].iloc[some].tolist()).T
-                order = np.where(np.isnan(scores), -2.0, scores)
-                for j, i in enumerate(at):
-                    old_docs, old = held.get(i, ([], []))
-                    d, x = np.concatenate([np.array(old_docs, docs.dtype), docs]), np.concatenate([old, order[j]])
-                    if len(x) > top:  # all that may be among the first once scores are rounded
-                        keep = np.flatnonzero(x >= np.partition(x, len(x) - top)[len(x) - top] - slack)
-                        if len(keep) > 4 * top:  # many of one score: the smallest ids
-                            keep = np.lexsort((d.astype(str) if d.dtype == object else d, -np.round(x / slack)))[: 4 * top]
-                        d, x = d[keep], x[keep]
-                    held[i] = (d, x)
-        for i, (d, x) in held.items():
-            yield pd.DataFrame({"query_id": [ids[i]] * len(d), "doc_id": d, "score": pd.Series(np.where(x < -1.5, np.nan, x)).astype(object).where(x >= -1.5, None)})
-
-    return run
-
-
 @pandas_udf(DoubleType())
 def max_sim(q: pd.Series, d: pd.Series) -> pd.Series:
     """Late interaction: for each row of one matrix its best cosine in the other, summed."""
@@ -261,20 +201,22 @@ def aggregate_laws(hits: DataFrame, threshold: float = 1.0) -> DataFrame:
     the first five article numbers, by agg_score or score.
     """
     q = Window.partitionBy("query_id")
-    scores = F.sort_array(F.collect_list("score").over(q), asc=False)
     law = F.coalesce("law_id", F.col("doc_id").cast("string"))
     g = Window.partitionBy("query_id", "law_")
     art = F.col("is_article")
-    x = hits.withColumn("law_", law).withColumn("all_", scores)
+    number = F.when(art, F.col("article_no"))
+    # places in the list by rank and count, and five numbers of a law at most: no row carries a list
+    x = hits.withColumn("law_", law).withColumns({"i_": F.row_number().over(q.orderBy(F.desc("score"))), "n_": F.count("*").over(q), "first_": F.dense_rank().over(g.orderBy(number.asc_nulls_last()))})
+    at = lambda place: F.max(F.when(F.col("i_") == place, F.col("score"))).over(q)
     x = x.withColumns(
         {
-            "floor_": F.element_at("all_", F.greatest(F.lit(1), F.floor(F.size("all_") / 3).cast("int"))),
-            "median_": F.element_at("all_", F.floor(F.size("all_") / 2).cast("int") + 1),
+            "floor_": at(F.greatest(F.lit(1), F.floor(F.col("n_") / 3))),
+            "median_": at(F.floor(F.col("n_") / 2) + 1),
             "sum_": F.sum(F.when(art, F.col("score"))).over(g),
             "n_articles": F.count(F.when(art, 1)).over(g),
             "best_": F.max(F.when(art, F.struct("score", (-F.col("doc_id")).alias("n")))).over(g),
             "root_": F.max(F.when(~art, F.struct(F.lit(1).alias("one"), "doc_id", "score"))).over(g),
-            "numbers_": F.array_sort(F.collect_set(F.when(art, F.col("article_no"))).over(g)),
+            "numbers_": F.array_sort(F.collect_set(F.when(F.col("first_") <= 5, number)).over(g)),
         }
     )
     top_art = art & (F.col("doc_id") == -F.col("best_.n"))

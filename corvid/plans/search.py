@@ -31,16 +31,17 @@ def phrases(idx: Index, queries: DataFrame, boosts: Mapping[str, tuple[float, in
     return x.groupBy("query_id", "doc_id", "segment").agg(F.sum(s).alias("extra"))
 
 
-def lexical(idx: Index, queries: DataFrame, top: int | None = None, phrased: bool = True, digits: int = 6) -> DataFrame:
+def lexical(idx: Index, queries: DataFrame, top: int | None = None, phrased: bool = True, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
     """Ranked hits of queries (query_id, words, variants: arrays of words): fields, then boosts of phrases and of the first variants.
 
-    Boosts add to hits and find none of their own. Without ``top``, all hits, not ranked.
+    Boosts add to hits and find none of their own. Without ``top``, all hits, not
+    ranked. With ``allowed`` (doc_id), only these, filtered before they are ranked.
     """
     lists = [F.col("words")] + ([F.get("variants", F.lit(i)) for i in range(EXPANSIONS)] if "variants" in queries.columns else [])
     each = F.explode(F.filter(F.array(*(F.struct(F.lit(i).alias("list"), w.alias("words")) for i, w in enumerate(lists))), lambda x: x["words"].isNotNull())).alias("l")
     terms = queries.select("query_id", each).select("query_id", "l.list", F.explode(F.array_distinct("l.words")).alias("term"))
     measure = K.by_fields(FIELDS, TIE, EXPANSION_FIELDS, EXPANSION_BOOST, len(lists) - 1)
-    return K.search(idx, terms, top, measure, phrases(idx, queries) if phrased else None, digits)
+    return K.search(idx, terms, top, measure, phrases(idx, queries) if phrased else None, allowed, digits)
 
 
 def fused(lists: Sequence[DataFrame], params: DataFrame, top: int | None = None, digits: int = 9) -> DataFrame:

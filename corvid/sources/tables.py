@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -123,6 +124,29 @@ def cut(df: DataFrame, folder: str, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(source: DataFrame, folder: str, name: str, made_of: str, make: Callable[[str], None]) -> str:
+    """The path of what ``make`` wrote from ``source``: made once for the files that ``source`` reads, and found by all later calls.
+
+    The name holds a digest of these files with their sizes and times, and of
+    ``made_of``, so that a changed table gets a new one. It is whole before it
+    has its name; of two that are made at once, one stays.
+    """
+    spark = source.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = source.inputFiles()
+    named, folders = {f.rpartition("/")[2] for f in files}, {f.rpartition("/")[0] for f in files}
+    told = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for d in folders for s in at(d).getFileSystem(conf).listStatus(at(d)) if s.getPath().getName() in named)
+    path = f"{folder.rstrip('/')}/{name}-{hashlib.sha256(chr(10).join([*told, made_of]).encode()).hexdigest()[:32]}"
+    store = at(path).getFileSystem(conf)
+    if not store.exists(at(path)):
+        part = f"{folder.rstrip('/')}/_{name}-{uuid.uuid4().hex}"
+        make(part)
+        if store.exists(at(path)) or not store.rename(at(part), at(path)):
+            drop(spark, part)
+    return path
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -85,13 +85,6 @@ def test_lists_without_spread(spark, method, value):
     assert {r["norm"] for r in R.normalized(h, method).collect()} == {value}
 
 
-def test_dense_blocks_give_what_one_broadcast_gives(spark):
-    v = spark.createDataFrame([(i, [math.sin(i), math.cos(i), 1.0]) for i in range(40)], "doc_id int, v array<double>")
-    q = v.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    get = lambda n: sorted(tuple(r) for r in R.dense(q, v, 5, block=n).collect())
-    assert get(1000) == get(3)
-
-
 def test_max_sim(spark):
     df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[2.0, 0.0]])], "a array<array<double>>, b array<array<double>>")
     assert df.select(R.max_sim("a", "b").alias("s")).first()["s"] == pytest.approx(1.0)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import etl
 from ..operators import graph as G
+from ..sources.versions import Versioned
 from .base import query
+from .scans import scratch
 
 # documents point to others by arithmetic, and are typed by language
 EDGES = "e AS (SELECT doc_id AS src, doc_id * 3 % 1000 AS dst, lang AS rel, doc_id AS eid FROM documents), s AS (SELECT item_id AS seed FROM benchmark)"
@@ -153,4 +154,6 @@ def k6(t):
     nodes = t.part.select(F.lit("Article").alias("label"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("state"))
     nodes = nodes.unionByName(t.supplier.select(F.lit("Document").alias("label"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("state")))
     changes = t.lineitem.select(F.lit("Article").alias("label"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("state"), F.struct("l_orderkey", "l_linenumber").alias("version"))
-    return etl.upsert(nodes, changes, ["label", "id"], "version")
+    table = Versioned.create(nodes, scratch(t.spark), ["label", "id"], 16)
+    table.merge(changes, "version")
+    return table.read()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import etl
 from ..sources import tables as S
+from ..sources.versions import Versioned
 from .base import query
 
 TYPES = {"click": "nhap", "view": "xem", "purchase": "mua"}
@@ -127,7 +128,9 @@ def s13(t):
 def k1(t):
     target = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("state"))
     changes = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("state"), F.col("o_orderkey").alias("version"))
-    return etl.upsert(target, changes.join(target.select("id"), "id", "left_semi"), ["id"], "version")
+    table = Versioned.create(target, scratch(t.spark), ["id"], 16)
+    table.merge(changes.join(target.select("id"), "id", "left_semi"), "version")
+    return table.read()
 
 
 @query(

@@ -25,7 +25,8 @@ def w1(t):
 
 @query("w2_keep_first", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def w2(t):
-    return etl.keep_first(t.documents.select("doc_id", "source", "text"), ["text"], ["doc_id"]).select("doc_id", "source")
+    """By digest: texts do not move."""
+    return etl.keep_first(t.documents.select("doc_id", "source", F.sha2("text", 256).alias("h")), ["h"], ["doc_id"]).select("doc_id", "source")
 
 
 @query(

@@ -38,13 +38,34 @@ def related_ids(seeds: DataFrame, edges: DataFrame, rels: Sequence[str] | None =
     return neighbours(seeds, edges, rels).select("id").distinct().join(seeds.select("id").distinct(), "id", "left_anti")
 
 
+HUB = 100_000  # edges from which a node is a hub, at least
+MOST_HUBS = 10_000  # hubs there can be: a hub has more than this share of all edges
+
+
+def dealt(step: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """``step`` (src, dst) with ``part``, and the hubs (src, parts): the edges of a hub are dealt over as many parts as they need."""
+    degrees = step.groupBy("src").agg(F.count("*").alias("n"))
+    total = degrees.agg(F.sum("n")).first()[0] or 0
+    often = max(hub, total // MOST_HUBS)
+    hubs = degrees.where(F.col("n") > often).select("src", F.ceil(F.col("n") / often).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
+    return step.join(F.broadcast(hubs), "src", "left").select("src", "dst", part.alias("part")), hubs  # MOST_HUBS rows at most
+
+
+def along(front: DataFrame, step: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``front`` (id, ...) with the edges that leave each id; one that is at a hub goes to all parts of its edges."""
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    at = front.join(F.broadcast(hubs), F.col("id") == F.col("src"), "left").select(*front.columns, every)  # MOST_HUBS rows at most
+    return at.withColumnRenamed("id", "src").join(step, ["src", "part"]).drop("part")
+
+
 def distances(seeds: DataFrame, edges: DataFrame, depth: int = 2, directed: bool = False) -> DataFrame:
     """(seed, id, distance): nodes within ``depth`` steps of each seed, itself left out, at their least distance."""
-    step = (edges if directed else both_ways(edges)).select("src", "dst").distinct()
+    step, hubs = dealt((edges if directed else both_ways(edges)).select("src", "dst").distinct())
     seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance")).distinct()
     front = seen
     for d in range(1, depth_of(depth) + 1):
-        reached = front.join(step, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        reached = along(front.select("seed", "id"), step, hubs).select("seed", F.col("dst").alias("id")).distinct()
         front = reached.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("distance", F.lit(d))
         seen = seen.unionByName(front)
     return seen.where("distance > 0")

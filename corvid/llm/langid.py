@@ -15,16 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut
 
-TRAIN_DOCS = 20_000  # labelled documents that the model is fitted on, at most
-TOP = 20_000  # words, and trigrams, kept of each language, about
-LABELS = 256  # labels that are learned, at most: those of most documents
-CELLS = 50_000_000  # numbers in the tables of a model, about; of many labels, fewer words are kept
+TRAIN_DOCS = 10_000  # labelled documents that the model is fitted on, at most; of these, it keeps all labels, words and trigrams
 STEP_CELLS = 1 << 24  # words times labels that are labelled at once, unless one text has more
 SWITCH = 6.0  # penalty for a change of language, in nats
 WORD_CACHE = 150_000
@@ -51,13 +48,36 @@ def grams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+class Logs:
+    """Log probabilities of entries by language: one value for what a language lacks, and a list of what it has. Grows with what was counted, however many languages there are."""
+
+    def __init__(self, entries: list[str], rows: np.ndarray, langs: np.ndarray, counts: np.ndarray, n: int):
+        """``counts`` of the entries at ``rows`` in the languages at ``langs``, of which there are ``n``."""
+        total = np.bincount(langs, counts, n) + 1
+        self.none = np.log(0.5 / total)
+        order = np.argsort(rows, kind="stable")
+        self.langs = langs[order].astype(np.int32)
+        self.more = (np.log((counts + 0.5) / total[langs]) - self.none[langs])[order].astype(np.float32)
+        self.starts = np.searchsorted(rows[order], np.arange(len(entries) + 1))
+        self.row = {w: i for i, w in enumerate(entries)}
+
+    def sums(self, entries: list[str], at: np.ndarray, n: int) -> np.ndarray:
+        """``n`` rows of sums by language over the entries, each added at its row; entries that training has not seen add nothing."""
+        get = self.row.get
+        rows = np.fromiter((get(w, -1) for w in entries), np.int64, len(entries))
+        rows, at = rows[rows >= 0], at[rows >= 0]
+        size = self.starts[rows + 1] - self.starts[rows]
+        each = np.repeat(self.starts[rows] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(rows) else np.zeros(0, np.int64)
+        cells = np.bincount(np.repeat(at, size) * len(self.none) + self.langs[each], self.more[each], n * len(self.none))
+        return (cells.reshape(n, len(self.none)) + np.bincount(at, minlength=n)[:, None] * self.none).astype(np.float32)
+
+
 class Model:
     """Log probabilities of words and trigrams by language, and the scripts of each."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], tri: dict[str, list[int]], scripts: dict[str, list[int]], docs: list[int]):
+    def __init__(self, langs: list[str], words: "Logs", tri: "Logs", scripts: dict[str, list[int]], docs: list[int]):
         self.langs, self.prior = langs, np.log(np.array(docs, float) + 1)
-        self.word_row, self.word_log = self.logs(words, langs)
-        self.tri_row, self.tri_log = self.logs(tri, langs)
+        self.words, self.tri = words, tri
         names = sorted(scripts)
         fit = np.array([scripts[n] for n in names], float).reshape(len(names), len(langs))
         fit = fit > 0.01 * np.maximum(fit.sum(0), 1)  # scripts of a hundredth of a language's words at least
@@ -66,21 +86,11 @@ class Model:
         self.cache: dict[str, int] = {}
         self.table = np.zeros((1024, len(langs)), np.float32)  # a row for each word of the cache
 
-    @staticmethod
-    def logs(counts: dict[str, list[int]], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-        """The row of each entry, and log probabilities; row 0 is for what is not known."""
-        c = np.array(list(counts.values()), float).reshape(len(counts), len(langs))
-        rows = np.log((c + 0.5) / (c.sum(0) + 1)).astype(np.float32)
-        return {w: i for i, w in enumerate(counts, 1)}, np.concatenate([np.zeros((1, len(langs)), np.float32), rows])
-
     def score(self, words: list[str]) -> np.ndarray:
         """Of each word and language: log odds against the best, -40 for languages without the word's script."""
-        whole = self.word_log[[self.word_row.get(w, 0) for w in words]]
         cuts = [grams(w) for w in words]
-        get = self.tri_row.get
-        rows = np.array([get(g, 0) for c in cuts for g in c], np.int64)
-        starts = np.cumsum([0, *map(len, cuts)])[:-1]
-        by_tri = np.add.reduceat(self.tri_log[rows], starts, axis=0) * 0.5
+        whole = self.words.sums(words, np.arange(len(words)), len(words))
+        by_tri = self.tri.sums([g for c in cuts for g in c], np.repeat(np.arange(len(words)), [len(c) for c in cuts]), len(words)) * 0.5
         if len(self.langs) > 1:
             best = np.sort(whole, axis=1)
             sure = best[:, -1] - best[:, -2] >= 0.7  # the word itself tells; else its trigrams help
@@ -98,7 +108,9 @@ class Model:
             at = len(self.cache)
             while at + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[at : at + len(new)] = self.score(new)
+            step = max(1, STEP_CELLS // (8 * len(self.langs)))
+            for i in range(0, len(new), step):
+                self.table[at + i : at + min(i + step, len(new))] = self.score(new[i : i + step])
             self.cache.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
 
@@ -187,14 +199,12 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most ``most`` labelled rows (those with the smallest hashes of their id), each whole.
 
-    What reaches the driver is bounded: the LABELS labels of most rows (ties by
-    name), and about ``top`` words and trigrams a language, fewer if the labels
-    are so many that the tables would have more than CELLS numbers. The entries
-    of highest counts are kept, and of the count that not all have place of,
-    those with the smallest hashes. Null or empty labels and texts take no part.
+    That number of rows is the only bound: all labels, words and trigrams of
+    these rows are learned. Null or empty labels and texts take no part; without
+    any row, a model without labels.
     """
     rows = docs.where(F.col(text_col).isNotNull() & (F.coalesce(F.trim(F.col(lang_col)), F.lit("")) != "")).select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     # a threshold on the hash, from the count, leaves little to sort
@@ -207,12 +217,6 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str =
         edge = sample.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
         sample = sample.where(F.col("h") <= edge)
 
-    labels = [r["lang"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS + 1).collect()]
-    if len(labels) > LABELS:
-        labels.pop()
-        sample = sample.where(F.col("lang").isin(labels))
-    top = max(1, min(top, CELLS // (2 * max(1, len(labels)) ** 2)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -237,24 +241,31 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, top: int = TOP, id_col: str =
             yield flush()
 
     counts = cut(sample.select("text", "lang").mapInArrow(run, "kind string, lang string, gram string, c long").groupBy("kind", "lang", "gram").agg(F.sum("c").alias("c")), "gram-counts")
-    # how many entries have each count tells which share of them has place, so that no language is sorted in one task
-    so_far = F.sum("n").over(Window.partitionBy("kind", "lang").orderBy(F.desc("c")))
-    levels = counts.groupBy("kind", "lang", "c").agg(F.count("*").alias("n")).withColumn("share", (F.lit(top) - so_far + F.col("n")) / F.col("n")).where("share > 0").drop("n")
-    place_of = F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) / 1_000_000
-    kept = counts.join(F.broadcast(levels), ["kind", "lang", "c"]).where(place_of < F.col("share")).collect()  # the model, of CELLS numbers at most
-    langs = sorted({r["lang"] for r in kept})
-    place = {x: i for i, x in enumerate(langs)}
-    tables: dict[str, dict[str, list[int]]] = {"w": {}, "t": {}, "s": {}, "d": {}}
-    for r in kept:
-        tables[r["kind"]].setdefault(r["gram"], [0] * len(langs))[place[r["lang"]]] += r["c"]
-    return Model(langs, tables["w"], tables["t"], tables["s"], tables["d"].get("", [0] * len(langs)))
+    told = counts.toArrow()  # of at most ``most`` texts
+    names = sorted(set(told["lang"].to_pylist()))
+    place = pa.array(names, pa.string())
+
+    def of_kind(kind: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        t = told.filter(pc.equal(told["kind"], kind)).combine_chunks()
+        grams_of = t["gram"].combine_chunks().dictionary_encode() if len(t) else pa.array([], pa.string()).dictionary_encode()
+        return grams_of.dictionary.to_pylist(), grams_of.indices.to_numpy().astype(np.int64), pc.index_in(t["lang"], place).to_numpy().astype(np.int64), t["c"].to_numpy().astype(float)
+
+    words, tri = (Logs(*of_kind(k), len(names)) for k in ("w", "t"))
+    dense: dict[str, dict[str, list[int]]] = {"s": {}, "d": {}}
+    for kind, table in dense.items():
+        entries, rows_of, langs_of, n_of = of_kind(kind)
+        for r, k, c in zip(rows_of, langs_of, n_of, strict=True):
+            table.setdefault(entries[r], [0] * len(names))[k] += int(c)
+    return Model(names, words, tri, dense["s"], dense["d"].get("", [0] * len(names)))
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score), and the spans of each text if asked for.
 
     ``und`` with score 0 where the text is null or has no letter. One narrow
-    pass over whole texts; the model (bounded by ``train``) is broadcast.
+    pass over whole texts; the model (bounded by ``train``) is broadcast. Repeated
+    rows give repeated results, very long texts are labelled whole, an empty table
+    gives an empty one; further columns are not read.
     """
     sent = spark.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))

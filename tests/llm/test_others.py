@@ -366,30 +366,25 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in out} == {4, 6, 7, 8}
 
 
-def test_kept_words_go_by_counts(spark):
-    df = spark.createDataFrame([(1, "aa aa aa bb bb cc dd", "en"), (2, "ee", "de")], "doc_id long, text string, lang string")
-    words = lambda top: set(langid.train(df, top=top).word_row)
-    assert words(10) == words(4) == {"aa", "bb", "cc", "dd", "ee"}
-    assert {"aa", "bb", "ee"} <= words(3) == words(3)  # cc and dd tie, and share one place
-    assert words(1) == {"aa", "ee"}
-
-
-def test_words_of_one_count_are_not_all_lost(spark):
-    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
-    df = spark.createDataFrame([(k, " ".join(word(3000 * k + i) for i in range(1000)), "xx") for k in range(3)], "doc_id long, text string, lang string")
-    assert 5 <= len(langid.train(df, top=20).word_row) <= 60
-
-
-def test_many_labels(spark, monkeypatch):
-    letters = "abcdefghijklmnop"
-    rows = [(i, " ".join(letters[i // 16] + letters[i % 16] + x for x in "qrst") + " und so", f"l{i:03d}") for i in range(150)]
-    rows += [(1000 + i, *rows[149][1:]) for i in range(3)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+def test_all_words_and_labels_are_learned(spark):
+    """More labels than a byte can number, and far more words of one count; nothing is left out, and each is predicted."""
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    rows = [(i, " ".join(word(100 * i + j) for j in range(60)) + " und so", f"l{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows + [(1000, "ee", None), (1001, None, "l000"), (1002, "x", " ")], "doc_id long, text string, lang string")
     model = langid.train(df)
-    assert len(model.langs) == 150
-    assert [p[0] for p in model.predict([r[1] for r in rows[:150]])] == [r[2] for r in rows[:150]]
-    monkeypatch.setattr(langid, "LABELS", 2)
-    assert langid.train(df).langs == ["l000", "l149"]
+    assert model.langs == [r[2] for r in rows] and len(model.words.row) == 300 * 60 + 2
+    assert [p[0] for p in model.predict([r[1] for r in rows])] == [r[2] for r in rows]
+    few = langid.train(df, most=10)
+    assert 1 <= len(few.langs) <= 10 and len(few.words.row) == 60 * len(few.langs) + 2  # whole rows
+
+
+def test_logs_are_those_of_a_full_table():
+    rnd = np.random.default_rng(1)
+    counts = rnd.integers(0, 4, (50, 7)) * (rnd.random((50, 7)) < 0.3)
+    r, k = np.nonzero(counts)
+    logs = langid.Logs([str(i) for i in range(50)], r, k, counts[r, k].astype(float), 7)
+    full = np.log((counts + 0.5) / (counts.sum(0) + 1))
+    assert logs.sums(["3", "4", "none", "3"], np.array([0, 1, 1, 1]), 3) == pytest.approx(np.array([full[3], full[4] + full[3], np.zeros(7)]), abs=1e-5)
 
 
 def test_texts_are_labelled_in_parts(model, monkeypatch):

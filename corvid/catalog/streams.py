@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..plans import retrieval as R
 from ..plans import review as V
 from ..streaming import ingest as I
+from ..streaming import metrics as M
 from ..streaming.tasks import Tasks
 from .base import query
 from .scans import scratch
@@ -67,6 +68,27 @@ def r7(t):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
+BOUNDS = [10, 25, 50, 100, 150, 250]
+SIX_HOURS = 6 * 3600
+
+
+@query(
+    "r7_histogram_alerts",
+    """WITH b AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, [count(*) FILTER (value <= 10), count(*) FILTER (value <= 25), count(*) FILTER (value <= 50), count(*) FILTER (value <= 100), count(*) FILTER (value <= 150), count(*) FILTER (value <= 250), count(value)] AS c FROM events GROUP BY 1, 2),
+       i AS (SELECT *, 0.95 * c[7] AS rank, len(list_filter(c, lambda x: x < 0.95 * c[7])) AS i FROM b WHERE c[7] > 0),
+       p AS (SELECT start, event_type, CASE WHEN i >= 6 THEN 250.0 ELSE CAST([0, 10, 25, 50, 100, 150, 250][i + 1] AS DOUBLE) + ([10, 25, 50, 100, 150, 250][i + 1] - [0, 10, 25, 50, 100, 150, 250][i + 1]) * coalesce((rank - CASE WHEN i > 0 THEN c[i] ELSE 0 END) / nullif(c[i + 1] - CASE WHEN i > 0 THEN c[i] ELSE 0 END, 0), 0) END AS p95 FROM i),
+       o AS (SELECT *, CASE WHEN start - lag(start) OVER w = INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM p WHERE p95 > 120 WINDOW w AS (PARTITION BY event_type ORDER BY start)),
+       r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY start) AS run FROM o)
+       SELECT start, event_type, round(p95, 6) AS p95, CASE WHEN start - min(start) OVER (PARTITION BY event_type, run) >= INTERVAL '12 hours' THEN 'firing' ELSE 'pending' END AS state FROM r""",
+)
+def r7b(t):
+    """The 95th percentile of each window from its buckets, and alerts where it stays above a limit for twelve hours."""
+    h = M.histogram(t.events, BOUNDS, "6 hours", ["event_type"])
+    p = h.select("start", "event_type", M.quantile(F.col("counts"), BOUNDS, 0.95).alias("p95"))
+    a = M.alerts(p, ["event_type"], 120.0, SIX_HOURS, 2 * SIX_HOURS)
+    return a.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("p95", 6).alias("p95"), "state")
+
+
 @query("r5_task_states", "SELECT * FROM (VALUES (0, 'count', 'completed'), (1, 'broken', 'failed'), (2, 'late', 'cancelled')) AS v (task_id, name, state)")
 def r5(t):
     """One task at a time: one that ends, one that fails, and one that is cancelled before its turn."""

@@ -181,12 +181,15 @@ def a26(t):
 
 @query(
     "a27_keyword_hits",
-    """SELECT lang, count(*) AS n, round(100.0 * count(*) FILTER (contains(lower(substr(text, 1, 200)), 'the') OR contains(lower(substr(text, 1, 200)), 'und') OR contains(lower(source), '1')) / count(*), 4) AS pct FROM documents GROUP BY 1""",
+    """SELECT lang, count(*) AS n, round(100.0 * count(*) FILTER (contains(lower(substr(text, 1, 200)), 'the') OR contains(lower(substr(text, 1, 200)), 'und') OR contains(lower(source), '1')) / count(*), 4) AS pct,
+       CAST(list_sort(list(n_chars))[CAST(floor(count(*) * 0.5) AS INTEGER) + 1] AS DOUBLE) AS p50, CAST(list_sort(list(n_chars))[CAST(floor(count(*) * 0.95) AS INTEGER) + 1] AS DOUBLE) AS p95 FROM documents GROUP BY 1""",
 )
 def a27(t):
     head = F.lower(F.substring("text", 1, 200))
     hit = F.exists(F.array(F.lit("the"), F.lit("und")), lambda k: head.contains(k)) | F.lower("source").contains("1")
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(hit) / F.count("*"), 4).alias("pct"))
+    hits = t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(hit) / F.count("*"), 4).alias("pct"))
+    places = etl.index_percentile(t.documents, "n_chars", {"p50": 0.5, "p95": 0.95}, by=["lang"]).select("lang", "p50", "p95")
+    return hits.join(places, "lang")
 
 
 @query(

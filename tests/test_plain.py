@@ -62,20 +62,51 @@ def test_tables_from_files(tmp_path):
         L.read(str(path))
 
 
+def plain_variants(t):
+    made = set()
+    for w, vs in L.SYNONYMS.items():
+        if re.search(rf"\b{w.replace(' ', r'\s+')}\b", t, re.I):
+            made |= {re.sub(rf"\b{re.escape(w)}\b", v, t, flags=re.I) for v in vs}
+    for table in (L.VERBS, L.CONCEPTS):
+        made |= {t.replace(w, v) for w, vs in table.items() for v in vs if w in t}
+    return [t, *sorted(made - {t})][:10]
+
+
 def test_variants(spark):
     texts = ["hợp đồng lao động và báo cáo", "công ty vi phạm", "đất đai", "nothing", "BHXH của nhân viên"]
 
-    def plain(t):
-        made = set()
-        for w, vs in L.SYNONYMS.items():
-            if re.search(rf"\b{w.replace(' ', r'\s+')}\b", t, re.I):
-                made |= {re.sub(rf"\b{re.escape(w)}\b", v, t, flags=re.I) for v in vs}
-        for table in (L.VERBS, L.CONCEPTS):
-            made |= {t.replace(w, v) for w, vs in table.items() for v in vs if w in t}
-        return [t, *sorted(made - {t})][:10]
-
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.variants(F.col("t")).alias("v")).collect()
-    assert all(r["v"] == plain(r["t"]) for r in rows)
+    assert all(r["v"] == plain_variants(r["t"]) for r in rows)
+
+
+def test_legal_normal_form(spark, sf_dir):
+    words = {"the": "THE", "of": "THE of", "and": "&"}
+
+    def plain(t):
+        t = re.sub(r"[ \t]+", " ", unicodedata.normalize("NFC", t))
+        t = re.sub(r"\n{3,}", "\n\n", re.sub(r"\r\n?", "\n", t))
+        t = "\n".join(x.strip(" ") for x in t.split("\n")).strip(" \t\n\x0b\f\r")
+        return expanded(t, words, longest(words))
+
+    got = {r["doc_id"]: r["digest"] for r in QUERIES["x9_legal_normal"](spark, sf_dir).collect()}
+    assert got == {r["doc_id"]: md5(plain(r["text"])) for r in docs(spark, sf_dir)}
+
+
+def test_plans(spark, sf_dir):
+    """Every step of a plan, over all texts and some that cite or negate."""
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    odd = {-1: "  Theo  Điều 5 Luật Đất đai 2013 ", -2: "không được\tsa thải NLĐ", -3: "BHXH của nhân viên", -4: ""}
+    rows = spark.createDataFrame(list({**texts, **odd}.items()), "item_id long, text string")
+    got = {r["query_id"]: r for r in P.plan(rows, "item_id").collect()}
+    assert set(got) == {*texts, *odd}
+    for i, t in {**texts, **odd}.items():
+        normal = re.sub(r"\s+", " ", unicodedata.normalize("NFC", t)).strip(" ").lower()
+        more = expanded(normal, L.QUERY_ABBREVIATIONS, list(L.QUERY_ABBREVIATIONS))
+        assert (got[i]["original"], got[i]["normalized"], got[i]["expanded"], got[i]["variants"]) == (t, normal, more, plain_variants(more))
+    assert [got[i]["strategy"] for i in odd] == ["citation", "negation", "semantic", "semantic"] and got[-2]["has_negation"] and got[-1]["citations"]
+    asked = {r["query_id"]: (r["normalized"], r["strategy"], r["has_negation"], r["n_variants"]) for r in QUERIES["x22_plan"](spark, sf_dir).collect()}
+    assert asked == {i: (got[i]["normalized"], got[i]["strategy"], got[i]["has_negation"], len(got[i]["variants"])) for i in texts}
+    assert {got[i]["strategy"] for i in texts} == {"semantic"}  # invented words neither cite nor negate
 
 
 def test_missing_marks(spark, sf_dir):

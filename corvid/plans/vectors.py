@@ -56,11 +56,11 @@ def angle(a: Column, b: Column) -> Column:
 
 
 def write(vectors: DataFrame, path: str, lists: int | None = None, seed: int = 1) -> None:
-    """vectors (doc_id, v) of one length to lists under ``path``; those without a direction are left out. By default as many lists as the square root of the rows, 4096 at most."""
+    """vectors (doc_id, v) of one length to lists under ``path``; those without a direction are left out. By default a quarter as many lists as the square root of the rows, 4096 at most."""
     spark = vectors.sparkSession
     x = vectors.select("doc_id", unit(F.col("v")).alias("v")).where("v is not null")
     n = x.count()
-    k = max(1, min(lists or math.isqrt(n), 4096, n))
+    k = max(1, min(lists or math.isqrt(n) // 4, 4096, n))
     if n:
         some = x if n <= SAMPLE else x.sample(SAMPLE / n * 0.95, seed)
         fitted = KMeans(k=k, seed=seed, maxIter=10).fit(some.select(array_to_vector("v").alias("features")))

@@ -66,7 +66,7 @@ def test_probe_recall(spark, sf_dir, tmp_path):
     rnd = np.random.default_rng(2)
     centres = rnd.normal(size=(20, 16))
     c = spark.createDataFrame([(i, (centres[i % 20] + 0.2 * rnd.normal(size=16)).tolist()) for i in range(1000)], FIELDS)
-    V.write(c, f"file://{tmp_path}/c")
+    V.write(c, f"file://{tmp_path}/c", lists=31)
     y = V.read(spark, f"file://{tmp_path}/c")
     q = c.where("doc_id % 20 = 3").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
     exact = found(V.search(y, q, 10))

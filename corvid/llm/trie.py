@@ -302,5 +302,12 @@ def digests(blocks: DataFrame) -> DataFrame:
 
 
 def prefix_trie(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """The trie of all rebuilt conversations of ``turns``; see ``turn_arrays``, ``rebuilt`` and ``trie``."""
+    """The trie of all rebuilt conversations of ``turns``; see ``turn_arrays``, ``rebuilt`` and ``trie``.
+
+    Null turns come first, null roles and texts count as empty, rows of a null id
+    are left out; repeated rows are turns of their own, and ties go by role, then
+    key. A conversation all of whose turns are replaced by none ends in the root.
+    Texts of any length move as a hash and a length. An empty table has no node.
+    Further columns, whatever their names, are not read.
+    """
     return trie(rebuilt(turn_arrays(turns, id_col, turn_col, role_col, text_col)), partitions)

@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,6 @@ GROUP = 32  # pages aligned with one another
 BROADCAST_HOSTS = 100_000  # hosts of more than one group that are sent to all executors, at most
 FEWEST = 3  # different pages from which alignment decides
 CONSTANT = 5  # pages that text must be the same in, at least, to be template
-EXACT = 4096  # product of sizes up to which subtrees are matched node by node; their tags are counted beyond
 
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 MARK = re.compile(r"[>\"']")
@@ -59,13 +60,12 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td",
 class Node:
     """A block element of a page."""
 
-    __slots__ = ("tag", "out", "main", "kids", "texts", "size")
+    __slots__ = ("tag", "out", "main", "kids", "texts")
 
     def __init__(self, tag: str, out: bool, main: bool):
         self.tag, self.out, self.main = tag, out, main  # out: no article by its own element or class; main: inside a marked article
         self.kids: list[Node] = []
         self.texts: list[tuple[int, str]] = []  # (kids before it, text): one block each
-        self.size = 1
 
 
 def tokens(html: str):
@@ -192,8 +192,6 @@ def parse(html: str) -> Node:
             elif tag in DROP or ((names := names_of(attributes)) and OTHER.search(names)):
                 skips.append(tag)
     flush()
-    for node in reversed(list(walk(root))):
-        node.size = 1 + sum(k.size for k in node.kids)
     return root
 
 
@@ -212,12 +210,12 @@ def walk(top):
 class Slot:
     """What is aligned over pages: an element, or a run of neighbours of one tag that have no blocks in them."""
 
-    __slots__ = ("tag", "kids", "leaf", "pages", "counts", "texts", "size", "varying", "constant")
+    __slots__ = ("tag", "kids", "leaf", "pages", "counts", "texts", "varying", "constant")
 
     def __init__(self, tag: str, leaf: bool):
         self.tag, self.leaf = tag, leaf
         self.kids: list[Slot] = []
-        self.pages, self.size = 0, 1
+        self.pages = 0
         self.counts: set[int] = set()  # how many neighbours the run has, page by page
         self.texts: Counter = Counter()  # pages that hold a text in this slot
         self.varying = 0
@@ -227,10 +225,10 @@ class Slot:
 class Unit:
     """The part of a page that one slot takes: one element with blocks in it, or a run of leaves."""
 
-    __slots__ = ("tag", "leaf", "nodes", "size")
+    __slots__ = ("tag", "leaf", "nodes")
 
     def __init__(self, node: Node):
-        self.tag, self.leaf, self.nodes, self.size = node.tag, not node.kids, [node], node.size
+        self.tag, self.leaf, self.nodes = node.tag, not node.kids, [node]
 
 
 def units(node: Node) -> list[Unit]:
@@ -241,7 +239,6 @@ def units(node: Node) -> list[Unit]:
             continue
         if out and not k.kids and out[-1].leaf and out[-1].tag == k.tag:
             out[-1].nodes.append(k)
-            out[-1].size += 1
         else:
             out.append(Unit(k))
     return out
@@ -252,43 +249,113 @@ def parts(x) -> list:
     return x.kids if isinstance(x, Slot) else ([] if x.leaf else units(x.nodes[0]))
 
 
-def weight(a, b) -> int:
-    """Size of the largest order-keeping match of two trees; of large ones, how many tags they have in common."""
-    if a.tag != b.tag:
-        return 0
-    if a.size * b.size > EXACT:
-        count = lambda x: Counter(y.tag for top in ([x] if isinstance(x, Slot) else x.nodes) for y in walk(top))
-        return sum((count(a) & count(b)).values())
-    return 1 + grid(parts(a), parts(b))[0][-1][-1]  # as deep as 64 at most, by EXACT
+class Shapes:
+    """Subtrees by number, those of equal tags under one, and the size of the largest order-keeping match of each two that were asked for.
+
+    Pages repeat few shapes, so that each two are matched once. What is matched
+    does not depend on how large it is: time and memory grow with the product of
+    the numbers of different shapes that stand side by side.
+    """
+
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.tags: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def of(self, x, seen: dict[int, int]) -> int:
+        """The number of a slot's or a unit's tree; ``seen`` keeps those of slots and elements, by id()."""
+        key = lambda y: id(y if isinstance(y, Slot) else y.nodes[0])
+        stack = [(x, iter(parts(x)), [])]
+        while True:
+            top, rest, got = stack[-1]
+            for k in rest:
+                if key(k) in seen:
+                    got.append(seen[key(k)])
+                    continue
+                stack.append((k, iter(parts(k)), []))
+                break
+            else:
+                stack.pop()
+                made = (top.tag, tuple(got))
+                n = self.ids.setdefault(made, len(self.ids))
+                if n == len(self.tags):
+                    self.tags.append(top.tag)
+                    self.kids.append(made[1])
+                    self.size.append(1 + sum(self.size[k] for k in got))
+                seen[key(top)] = n
+                if not stack:
+                    return n
+                stack[-1][2].append(n)
+
+    def get(self, a: int, b: int) -> int | None:
+        """The weight of two shapes, if it shows or is known."""
+        if self.tags[a] != self.tags[b]:
+            return 0
+        if a == b:
+            return self.size[a]
+        if not self.kids[a] or not self.kids[b]:
+            return 1
+        return self.known.get((a, b))
+
+    def weigh(self, x, y) -> None:
+        """Weights of all pairs of shapes of two lists, those below first."""
+        stack = [(a, b) for a in set(x) for b in set(y) if self.get(a, b) is None]
+        while stack:
+            a, b = stack[-1]
+            if self.get(a, b) is None:
+                below = [(p, q) for p in set(self.kids[a]) for q in set(self.kids[b]) if self.get(p, q) is None]
+                if below:
+                    stack.extend(below)
+                    continue
+                self.known[a, b] = 1 + self.best(self.kids[a], self.kids[b])
+            stack.pop()
+
+    def rows(self, x, y) -> Iterator[np.ndarray]:
+        """Row after row of the best matches of the first shapes of ``x`` with the first of ``y``, whose weights are known."""
+        different, where = np.unique(np.array(y, np.int64), return_inverse=True)
+        m = np.zeros(len(y) + 1, np.int64)
+        for a in x:
+            weights = np.array([self.get(a, int(b)) for b in different], np.int64)[where]
+            m = np.maximum.accumulate(np.maximum(m, np.append(0, m[:-1] + weights)))
+            yield m
+
+    def best(self, x, y) -> int:
+        last = 0
+        for m in self.rows(x, y):
+            last = int(m[-1])
+        return last
 
 
-def grid(x: list, y: list) -> tuple[list[list[int]], list[list[int]]]:
-    sub = [[weight(p, q) for q in y] for p in x]
-    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + sub[i][j])
-    return m, sub
+def weight(a, b) -> int:
+    """Size of the largest order-keeping match of two trees."""
+    shapes, seen = Shapes(), {}
+    x, y = shapes.of(a, seen), shapes.of(b, seen)
+    shapes.weigh([x], [y])
+    return shapes.get(x, y)
 
 
-def match(x: list, y: list) -> list[tuple[int, int]]:
+def match(x: list, y: list, shapes: Shapes | None = None, seen: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """Pairs of places of two lists of children, order kept, by simple tree matching."""
     if len(x) == len(y) and all(p.tag == q.tag and p.leaf == q.leaf for p, q in zip(x, y, strict=True)):  # the largest match by sight
         return [(i, i) for i in range(len(x))]
-    if len(x) * len(y) > EXACT:  # from both ends; what is between is left apart
-        a = 0
-        while a < min(len(x), len(y)) and x[a].tag == y[a].tag:
-            a += 1
-        b = 0
-        while b < min(len(x), len(y)) - a and x[-1 - b].tag == y[-1 - b].tag:
-            b += 1
-        return [(i, i) for i in range(a)] + [(len(x) - b + i, len(y) - b + i) for i in range(b)]
-    m, sub = grid(x, y)
+    if not x or not y:
+        return []
+    shapes, seen = shapes or Shapes(), {} if seen is None else seen
+    a, b = [shapes.of(p, seen) for p in x], [shapes.of(q, seen) for q in y]
+    shapes.weigh(a, b)
+    above, up, left = np.zeros(len(y) + 1, np.int64), [], []  # of each place, whether it is as good without its row, and without its column
+    for m in shapes.rows(a, b):
+        up.append(np.packbits(m[1:] == above[1:]))
+        left.append(np.packbits(m[1:] == m[:-1]))
+        above = m
+    told = lambda bits, j: bits[j >> 3] >> (7 - (j & 7)) & 1
     pairs, i, j = [], len(x), len(y)
     while i and j:
-        if m[i][j] == m[i - 1][j]:
+        if told(up[i - 1], j - 1):
             i -= 1
-        elif m[i][j] == m[i][j - 1]:
+        elif told(left[i - 1], j - 1):
             j -= 1
         else:
             i, j = i - 1, j - 1
@@ -296,9 +363,10 @@ def match(x: list, y: list) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
-def merge(root: Slot, page: Node) -> dict[int, Slot]:
+def merge(root: Slot, page: Node, shapes: Shapes | None = None) -> dict[int, Slot]:
     """Align a page with the slots; nodes that have none get new ones. The slot of each node, by its id()."""
     place: dict[int, Slot] = {}
+    shapes, seen = shapes or Shapes(), {}  # slots under one that is not aligned yet are as they were
     top = Unit(page)
     top.leaf = False
     stack = [(root, top)]
@@ -313,7 +381,7 @@ def merge(root: Slot, page: Node) -> dict[int, Slot]:
         slot.varying += sum(len(t) for node in unit.nodes for _, t in node.texts)
         slot.leaf &= unit.leaf
         mine = [] if unit.leaf else units(unit.nodes[0])
-        found = dict((j, i) for i, j in match(slot.kids, mine)) if slot.kids else {}
+        found = dict((j, i) for i, j in match(slot.kids, mine, shapes, seen)) if slot.kids else {}
         kids: list[Slot] = []
         done = 0
         for j, u in enumerate(mine):
@@ -329,12 +397,10 @@ def merge(root: Slot, page: Node) -> dict[int, Slot]:
 
 def induce(trees: list[Node]) -> tuple[Slot, list[dict[int, Slot]]]:
     """The slots of pages of one wrapper, with their constant texts and how much varies in each, and where each page's nodes went."""
-    root = Slot("", False)
+    root, shapes = Slot("", False), Shapes()
     places = []
     for t in trees:
-        places.append(merge(root, t))
-        for s in reversed(list(walk(root))):
-            s.size = 1 + sum(k.size for k in s.kids)
+        places.append(merge(root, t, shapes))
     for s in reversed(list(walk(root))):
         s.constant = {t for t, c in s.texts.items() if c == s.pages == len(trees) and c >= CONSTANT}
         s.varying += sum(k.varying for k in s.kids) - sum(len(t) * s.pages for t in s.constant)

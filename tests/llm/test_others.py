@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
 
@@ -217,6 +218,25 @@ def test_simple_tree_matching():
     assert html.match(html.units(a), html.units(b)) == [(1, 0), (2, 1)]
 
 
+def test_html_matches_do_not_depend_on_size():
+    """A long list whose middle changed, and two large subtrees, are matched as small ones are."""
+    def tree(tags):
+        return html.parse("".join(f"<{t}><p>x</p></{t}>" for t in tags))
+
+    rnd = random.Random(5)
+    x, y = ([rnd.choice(["div", "section", "ul"]) for _ in range(n)] for n in (90, 110))
+    a, b = tree(x), tree(y)
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + 2 * (p == q))
+    found = html.match(html.units(a), html.units(b))
+    assert all(x[i] == y[j] for i, j in found) and found == sorted(found) and 2 * len(found) == m[-1][-1]
+    assert html.weight(html.Unit(a), html.Unit(b)) == 1 + m[-1][-1]
+    deep = [html.parse("<div>" * n + "<p>x</p>" + "</div>" * n) for n in (3000, 2000)]
+    assert html.weight(html.Unit(deep[0]), html.Unit(deep[1])) == 2001
+
+
 def scrambled(h):
     """A page without marks: no article or main, and classes that say nothing."""
     return re.sub('class="[^"]*"', 'class="zq"', re.sub("<(/?)(?:article|main)>", r"<\1div>", h))

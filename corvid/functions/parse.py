@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from . import text as X
 
+SLICE = 64  # texts whose parts are held as Python objects at once
 WORDS_PER_CHUNK = int(400 / 1.3)  # 400 tokens at 1.3 a word
 OVERLAP = 0.5
 LEAST_TOKENS = 100
@@ -77,10 +78,27 @@ def chunk(text: str, words: int = WORDS_PER_CHUNK, overlap: float = OVERLAP, lea
     return out
 
 
-@pandas_udf(CHUNKS)
-def chunks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: chunk(t or ""))
+def in_slices(texts: pa.Array, f: Callable[[str], list[dict]], kind: pa.DataType) -> pa.Array:
+    """What ``f`` makes of each text, null as empty; the parts of a few texts at a time become Arrow memory."""
+    made = [pa.array([f(t or "") for t in texts.slice(at, SLICE).to_pylist()], kind) for at in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
+def arrow_rows(**fields: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct(list(fields.items())))
+
+
+CHUNKS_ARROW = arrow_rows(chunk_index=pa.int32(), start_char=pa.int32(), end_char=pa.int32(), content=pa.string())
+LETTERED_ARROW = arrow_rows(letter=pa.string(), text=pa.string())
+ARTICLES_ARROW = arrow_rows(
+    number=pa.string(), title=pa.string(), content=pa.string(), subsections=arrow_rows(number=pa.string(), text=pa.string(), content=pa.string(), clauses=LETTERED_ARROW), clauses=LETTERED_ARROW
+)
+
+
+@arrow_udf(CHUNKS)
+def chunks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in texts:
+        yield in_slices(a, chunk, CHUNKS_ARROW)
 
 
 def articles_of(text: str) -> list[dict]:
@@ -101,10 +119,10 @@ def articles_of(text: str) -> list[dict]:
     return out
 
 
-@pandas_udf(ARTICLES)
-def articles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: articles_of(t or ""))
+@arrow_udf(ARTICLES)
+def articles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in texts:
+        yield in_slices(a, articles_of, ARTICLES_ARROW)
 
 
 def exploded_articles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

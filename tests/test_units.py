@@ -345,3 +345,24 @@ def test_vectors_come_in_batches(spark):
     got = {r["doc_id"]: r["vector"] for r in R.vectors(df, model, batch=4).collect()}
     assert got == {i: [0.0 if i == 3 else float(i)] for i in range(10)}
     assert R.vectors(df.limit(0), model).count() == 0
+
+
+def test_parts_of_texts_are_held_a_few_texts_at_a_time():
+    """Parts go to Arrow memory slice by slice: Python holds those of few texts, and the rows are what each text gives alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    made = ["".join(f"Article {i}. T{i} {k}\nbody {k}\n" for i in range(20)) for k in range(2000)] + [None, ""]
+    tracemalloc.start()
+    held = [P.articles_of(t or "") for t in made]
+    whole = tracemalloc.get_traced_memory()[0]
+    assert P.in_slices(pa.array(made), P.articles_of, P.ARTICLES_ARROW).to_pylist() == held
+    del held
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    P.in_slices(pa.array(made), P.articles_of, P.ARTICLES_ARROW)
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < whole / 8
+    assert P.in_slices(pa.array([], pa.string()), P.chunk, P.CHUNKS_ARROW).to_pylist() == []

@@ -159,3 +159,10 @@ def test_late_interaction_in_blocks_and_tiles(spark, monkeypatch):
     cut = R.late_interaction(rows)
     assert {(r["a"], r["b"]): r["score"] for r in cut.collect()} == pytest.approx(whole) and len(whole) == 6
     assert "sequence(0, 2" in cut._jdf.queryExecution().analyzed().toString() or "array(0, 1, 2)" in cut._jdf.queryExecution().optimizedPlan().toString() or "[0,1,2]" in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_documents_move_once(spark, sf_dir):
+    from corvid.catalog import QUERIES
+
+    plan = QUERIES["j11_terms_postings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Exchange hashpartitioning(query_id" not in plan.split("BroadcastExchange")[0]

@@ -23,6 +23,8 @@ from .common import cut
 
 TRAIN_DOCS = 10_000  # labelled documents that the model is fitted on, at most; of these, it keeps all labels, words and trigrams
 STEP_CELLS = 1 << 24  # words times labels that are labelled at once, unless one text has more
+SEEN = 50_000  # counts that a task of the training holds before it gives them away
+SCORE_CELLS = 1 << 15  # new words times labels that are scored at once: each word has about eight trigrams with as many cells
 SWITCH = 6.0  # penalty for a change of language, in nats
 WORD_CACHE = 150_000
 UND = "und"
@@ -108,7 +110,7 @@ class Model:
             at = len(self.cache)
             while at + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            step = max(1, STEP_CELLS // (8 * len(self.langs)))
+            step = max(1, SCORE_CELLS // len(self.langs))
             for i in range(0, len(new), step):
                 self.table[at + i : at + min(i + step, len(new))] = self.score(new[i : i + step])
             self.cache.update(zip(new, range(at, at + len(new)), strict=True))
@@ -235,7 +237,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_
                     for g in grams(w):
                         seen["t", lang, g] += c
                 seen["d", lang, ""] += 1
-                if len(seen) > 200_000:
+                if len(seen) > SEEN:
                     yield flush()
         if seen:
             yield flush()

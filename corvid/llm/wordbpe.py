@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE = 600_000  # pre-tokens remembered by a worker
+CACHE = 200_000  # pre-tokens remembered by a worker, about 200 bytes each
 ROUND = 400_000  # symbols held at once, or one pre-token
 NONE = np.int64(1 << 40)
 

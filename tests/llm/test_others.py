@@ -412,3 +412,15 @@ def test_texts_are_labelled_in_parts(model, monkeypatch):
     whole = model.predict(texts)
     monkeypatch.setattr(langid, "STEP_CELLS", 60)
     assert model.predict(texts) == whole
+
+
+def test_new_words_are_scored_in_bounded_steps(monkeypatch):
+    """One very long text of new words: as many of them at once as SCORE_CELLS has room for."""
+    langs = ["a", "b"]
+    logs = lambda: langid.Logs(["aa", "bb"], np.array([0, 1]), np.array([0, 1]), np.array([3.0, 2.0]), 2)
+    m = langid.Model(langs, logs(), logs(), {"Latin": [1, 1]}, [1, 1])
+    seen = []
+    monkeypatch.setattr(langid.Model, "score", lambda self, words, real=langid.Model.score: seen.append(len(words)) or real(self, words))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    m.predict([" ".join(a + b + c + d for a in letters for b in letters for c in letters for d in "abc")])
+    assert sum(seen) == 26**3 * 3 and max(seen) * len(langs) <= langid.SCORE_CELLS

@@ -198,7 +198,7 @@ def parsed_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def tokens(c: Column) -> Column:
     """Lower-case ASCII words; no empty ones."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
 
 
 MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđäëïöüßçñ"
@@ -212,7 +212,7 @@ def fold(c: Column) -> Column:
 
 def analyze(c: Column) -> Column:
     """Words of letters and digits of any script, folded."""
-    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(fold(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def word_count(c: Column) -> Column:

@@ -110,10 +110,15 @@ def lacks_marks(c: Column, share: float = 0.5, words: Sequence[str] = tuple(MARK
 
     A word listed twice counts twice.
     """
-    head = F.substring(F.lower(c), 1, 2000)
-    listed = F.array(*(F.struct(head.rlike(rf"(?U)(?<!\w){unmarked(w)}(?!\w)").alias("plain"), head.contains(w).alias("marked")) for w in words))
-    found = F.filter(listed, lambda w: w["plain"])
-    return F.coalesce((F.size(found) > 0) & (F.size(F.filter(found, lambda w: ~w["marked"])) > share * F.size(found)), F.lit(False))
+    head = F.substring(F.lower(F.substring(c, 1, 2000)), 1, 2000)  # lower case is never shorter
+    plain = F.array(*map(F.lit, sorted({unmarked(w) for w in words})))
+    listed = F.array(*(F.struct(F.lit(unmarked(w)).alias("plain"), F.lit(w).alias("marked")) for w in words))
+
+    # one pass finds the listed words that are whole words of the head; what a row has once is bound before the list is gone through
+    seen = F.transform(F.array(head), lambda h: F.struct(h.alias("head"), F.array_intersect(F.split(h, r"(?U)\W+"), plain).alias("seen")))
+    found = F.transform(seen, lambda x: F.struct(x["head"].alias("head"), F.when(F.size(x["seen"]) > 0, F.filter(listed, lambda w: F.array_contains(x["seen"], w["plain"]))).alias("found")))
+    lacks = F.transform(found, lambda x: F.size(F.filter(x["found"], lambda w: ~F.contains(x["head"], w["marked"]))) > share * F.size(x["found"]))
+    return F.coalesce(F.get(lacks, F.lit(0)), F.lit(False))
 
 
 def iso_dates(c: Column) -> Column:

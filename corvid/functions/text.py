@@ -83,12 +83,52 @@ def normalize_query(c: Column) -> Column:
 
 
 def expand(c: Column, words: Mapping[str, str] | None = None, longest_first: bool = True) -> Column:
-    """Whole-word replacement of short forms; what one writes, the next may expand. Those of one length, or all, in the order of the table."""
+    """Whole-word replacement of short forms; what one writes, the next may expand. Those of one length, or all, in the order of the table.
+
+    One pass finds which forms a text has; only these, and those that their replacements may lead to, are then replaced one by one.
+    """
     words = ABBREVIATIONS if words is None else words
-    for short in sorted(words, key=len, reverse=True) if longest_first else words:
-        quoted = "".join("\\" + ch if not ch.isalnum() else ch for ch in short)
-        c = F.regexp_replace(c, rf"(?iuU)(?<!\w){quoted}(?!\w)", words[short].replace("$", r"\$"))
-    return c
+    order = [w for w in (sorted(words, key=len, reverse=True) if longest_first else words) if w]
+    if not order:
+        return c
+    quoted = lambda w: "".join("\\" + ch if not ch.isalnum() else ch for ch in w)
+    # zero-width, so that forms inside one another are all met; of those that begin at one place, the longest
+    longest = "|".join(quoted(w) for w in sorted(order, key=len, reverse=True))
+    first = "".join(sorted({quoted(w[0]) for w in order}))
+    met = F.regexp_extract_all(c, F.lit(rf"(?iuU)(?=[{first}])(?<!\w)(?=({longest})(?!\w))"), F.lit(1))
+    names = F.array(*(F.lit(x) for x in sorted({w.lower() for w in order})))
+    leads = _led_to(words, order)
+    forms = F.array(*(F.struct(F.lit(rf"(?iuU)(?={quoted(w[0])})(?<!\w){quoted(w)}(?!\w)").alias("pattern"), F.lit(words[w].replace("$", r"\$")).alias("value"), F.array(*map(F.lit, sorted(leads[w]))).alias("by")) for w in order))
+
+    def run(x: Column) -> Column:
+        return F.aggregate(F.filter(forms, lambda w: x["odd"] | F.arrays_overlap(w["by"], x["met"])), x["c"], lambda text, w: F.regexp_replace(text, w["pattern"], w["value"]))
+
+    # what a row has once is bound before the forms are gone through
+    known = F.array(F.struct(c.alias("c"), F.array_distinct(F.transform(met, lambda m: F.lower(m))).alias("met")))
+    odd = lambda x: F.size(F.array_except(x["met"], names)) > 0  # noqa: E731 - met by a letter that only folding equates: all are looked for
+    known = F.transform(known, lambda x: F.struct(x["c"].alias("c"), x["met"].alias("met"), odd(x).alias("odd")))
+    return F.get(F.transform(known, run), F.lit(0))
+
+
+def _led_to(words: Mapping[str, str], order: Sequence[str]) -> dict[str, set[str]]:
+    """For each short form, the forms (in lower case) of which one must be in a text for it to be there, before or after the others are replaced.
+
+    Those that begin with it, itself included, and those whose replacements have one of its words, or end in a sign; and so on.
+    """
+    fold = lambda w: w.upper().lower()
+    parts = {w: [x for x in re.split(r"[^\w\u0080-\U0010ffff]+", fold(w)) if x] for w in order}
+    plain = lambda w: bool(w) and all(ch.isalpha() or ch.isdecimal() for ch in (w[0], w[-1]))
+    written = {w: words[w].replace("\\", "") for w in order}
+    out = {w: {x.lower() for x in order if fold(x).startswith(fold(w))} for w in order}
+    grown = True
+    while grown:
+        grown = False
+        for w in order:
+            for by in order:
+                if not out[by] <= out[w] and (not plain(written[by]) or not parts[w] or any(x in fold(written[by]) for x in parts[w])):
+                    out[w] |= out[by]
+                    grown = True
+    return out
 
 
 def expand_query(c: Column, words: Mapping[str, str] | None = None) -> Column:

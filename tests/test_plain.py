@@ -304,3 +304,25 @@ def test_cached_copies(spark, tmp_path):
     assert S.cached(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b").count() == 10 and copy.stat().st_mtime_ns == at
     copy.write_bytes(copy.read_bytes()[:50])  # broken off
     assert S.cached(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b").count() == 10
+
+
+@pytest.mark.parametrize("longest_first", [True, False])
+def test_short_forms_of_any_kind(spark, longest_first):
+    """Forms in, beside and made by one another, letters that only folding equates, signs and empty replacements: as one replacement after the other."""
+    rnd = random.Random(11)
+    words = {"ab": "cd-x", "cd": "e k", "e k": "ab", "a-b": "", "x": "-", "kx": "$1 q", "b-cd": "zz", "tt-btc": "t", "tt": "btc", "btc": "tt", "đk": "Đ"}
+    made = ["ab", "AB", "cd", "x", "X", "k", "K", "e", "a", "b", "tt", "TT", "btc", "đk", "ĐK", "-", "-", " ", " ", " ", "\n", "_", "ß", "́", "İ"]
+    texts = ["", None, *("".join(rnd.choice(made) for _ in range(rnd.randint(1, 12))) for _ in range(1000))]
+    c = F.col("t")
+    for short in longest(words) if longest_first else words:
+        c = F.regexp_replace(c, rf"(?iuU)(?<!\w){re.escape(short)}(?!\w)", words[short].replace("$", r"\$"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.expand(F.col("t"), words, longest_first).alias("x"), c.alias("exp")).collect()
+    assert [r["x"] for r in rows] == [r["exp"] for r in rows]
+    assert sum(r["x"] != r["t"] for r in rows) > 150
+
+
+def test_short_forms_are_looked_for_once(spark):
+    """A text without any is scanned once; so is a head for words without marks, whatever the number of words."""
+    plan = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    text = F.concat(F.lit("a "), F.col("id").cast("string"))
+    assert plan(X.expand(text)).count("regexp_replace") == 1 and plan(X.lacks_marks(text)).lower().count("rlike") == 0

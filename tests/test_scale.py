@@ -166,3 +166,18 @@ def test_terms_of_documents_move_once(spark, sf_dir):
 
     plan = QUERIES["j11_terms_postings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Exchange hashpartitioning(query_id" not in plan.split("BroadcastExchange")[0]
+
+
+def test_lists_give_back_only_what_betters_the_first(spark, tmp_path, monkeypatch):
+    """Of the lists after the first, what moves is above a query's floor, not so many rows of each list; what both need is worked out once."""
+    rnd = np.random.default_rng(4)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(900)]
+    V.write(spark.createDataFrame(rows, FIELDS), f"file://{tmp_path}/v", lists=20)
+    x = V.read(spark, f"file://{tmp_path}/v")
+    queries = rows[::30]
+    met, seen = V.met, []
+    monkeypatch.setattr(V, "met", lambda *a: seen.append(met(*a)) or seen[-1])
+    got = V.search(x, spark.createDataFrame(queries, "query_id long, q array<double>"), 5)
+    assert found(got) == nearest(rows, queries, 5)
+    assert seen[1].count() < len(queries) * 5 * 4  # of up to 18 lists, five each before
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1

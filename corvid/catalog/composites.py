@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import text as X
 from ..operators import etl
 from ..operators import graph as G
+from ..plans import postings as K
 from ..plans import retrieval as R
 from ..plans import review as V
 from ..sources import tables as T
 from .base import query
 from .graphs import BOTH, EDGES, edges
-from .ranking import BM25, WORDS, fused, fused_list, lexical
+from .ranking import BM25, WORDS, fielded, fused, fused_list, lexical, with_documents
 from .scans import keeping
 
 ONLY_EDGES = EDGES.split(", s AS")[0]
@@ -36,12 +38,8 @@ LEVEL = f"""
 
 
 def pairs(t):
-    h = lexical(t, 3)
-    return (
-        h.join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("clause")), "query_id")
-        .join(t.documents.select("doc_id", F.col("text").alias("passage")), "doc_id")
-        .select("query_id", "doc_id", "clause", "passage")
-    )
+    h = with_documents(t, lexical(t, 3), F.col("text").alias("passage"))
+    return h.join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("clause")), "query_id").select("query_id", "doc_id", "clause", "passage")
 
 
 @query("m13_rule_verifier", PAIRS + "," + LEVEL + " SELECT query_id, doc_id, level FROM z")

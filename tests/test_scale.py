@@ -181,3 +181,11 @@ def test_lists_give_back_only_what_betters_the_first(spark, tmp_path, monkeypatc
     assert found(got) == nearest(rows, queries, 5)
     assert seen[1].count() < len(queries) * 5 * 4  # of up to 18 lists, five each before
     assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_documents_of_few_hits_stay(spark, sf_dir):
+    """Texts are joined where they are to hits that a count shows few."""
+    from corvid.catalog import QUERIES
+
+    plan = QUERIES["m13_rule_verifier"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "FlatMapCoGroupsInArrow" not in plan

@@ -88,14 +88,14 @@ def qf(t):
     clauses = T.cut(P.clauses(lines, "item_id").select((F.col("doc_id") * 1000 + F.col("clause_index")).alias("item_id"), F.col("clause").alias("text")), keeping(t.spark), "clauses")
     half = T.cut(R.position_decay(fused(t, 10, clauses, 1000).drop("rank")).select("query_id", "doc_id", "score", "rank"), keeping(t.spark), "half")
     found = V.verified(
-        half.join(clauses.select(F.col("item_id").alias("query_id"), F.col("text").alias("clause")), "query_id").join(t.documents.select("doc_id", F.col("text").alias("passage")), "doc_id").select("query_id", "doc_id", "clause", "passage"),
+        with_documents(t, half, F.col("text").alias("passage")).join(clauses.select(F.col("item_id").alias("query_id"), F.col("text").alias("clause")), "query_id").select("query_id", "doc_id", "clause", "passage"),
         negated=plain_negation, numbers=V.ascii_numbers,
     )
     found = T.cut(V.findings(found), keeping(t.spark), "findings")
     worst = found.groupBy("query_id").agg(F.min(F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).when(F.col("risk") == "low", 2).otherwise(3)).alias("s"))
     risks = V.risk_summary(worst.select(F.get(F.array(*map(F.lit, V.RISK_LEVELS)), F.col("s")).alias("risk"))).select(F.lit("risk").alias("part"), F.col("risk").alias("name"), "n")
     refs = V.unique_references(found.select("query_id", F.lit(1).alias("place"), F.col("doc_id").alias("ref_id"))).agg(F.lit("references").alias("part"), F.lit("unique").alias("name"), F.count("*").alias("n"))
-    groups = V.grouped_context(half.join(t.documents.select("doc_id", F.col("source").alias("law_id")), "doc_id").select("query_id", "law_id", "doc_id", "score"))
+    groups = V.grouped_context(with_documents(t, half, F.col("source").alias("law_id")).select("query_id", "law_id", "doc_id", "score"))
     prompt = groups.agg(F.lit("prompt").alias("part"), F.lit("passages").alias("name"), F.coalesce(F.sum(F.size(F.split("context", " "))), F.lit(0)).cast("long").alias("n"))
     e = edges(t).where("rel <> 'de'").select("src", "dst", F.lit("REFERENCES").alias("rel"))
     around = G.context(half.select("query_id", F.col("doc_id").alias("id"), "rank"), e, e.limit(0), top_k=3)

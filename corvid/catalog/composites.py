@@ -247,15 +247,21 @@ def qk(t):
 def ql(t):
     """Documents that hold a benchmark text word for word are what search must find.
 
-    Candidates share the benchmark's rarest words with the document, by way of postings, before texts are compared.
+    Candidates have all words of the text but its first and last, which can be parts of longer ones, by the
+    index that search reads; only their texts are compared. Texts of two words or less are looked for everywhere.
     """
-    tok = X.tokens(F.col("text"))
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"), F.array_distinct(tok).alias("qt"))
-    terms = q.select("query_id", F.size("qt").alias("qn"), F.explode("qt").alias("term"))
-    post = t.documents.select("doc_id", F.explode(F.array_distinct(tok)).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    whole = post.join(terms, "term").groupBy("query_id", "doc_id", "qn").agg(F.count("*").alias("c")).where("c >= qn - 2")  # its first and last word can be part of longer ones
-    exp = whole.join(q, "query_id").join(t.documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("needle"))).select("query_id", "doc_id")
-    return V.recall(exp, fused(t, 20))
+    return V.recall(holders(t, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))), fused(t, 20))
+
+
+def holders(t, q):
+    """(query_id, doc_id): documents with a text that holds the needle. q (query_id, needle)."""
+    w = X.analyze(F.col("needle"))
+    q = T.cut(q.where("needle is not null").select("query_id", "needle", F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))).alias("inner")), keeping(t.spark), "needles")
+    terms = q.select("query_id", F.lit(0).alias("list"), F.explode("inner").alias("term"))
+    every = K.Measure([(0, "content")], [1.0], lambda s, n, uniq: np.where(s[0] >= n, 1.0, 0.0), counts=True)
+    found = with_documents(t, K.search(fielded(t), terms, None, every).select("query_id", "doc_id"), "text").join(q.select("query_id", "needle"), "query_id")
+    short = t.documents.select("doc_id", "text").join(R.sent(q.where(F.size("inner") == 0).select("query_id", "needle")), F.col("text").contains(F.col("needle")))
+    return found.where(F.col("text").contains(F.col("needle"))).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
 
 
 @query(

@@ -189,3 +189,17 @@ def test_documents_of_few_hits_stay(spark, sf_dir):
 
     plan = QUERIES["m13_rule_verifier"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan and "FlatMapCoGroupsInArrow" not in plan
+
+
+def test_holders_against_every_text(spark, tmp_path):
+    """Documents that hold a text: parts of words at its ends, repeated words, one or two words, none."""
+    from corvid.catalog import composites as C
+    from corvid.catalog.base import Tables
+
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["ab", "Ab", "a", "b-a", "ä", "ba."]) for _ in range(rnd.randint(0, 9))) for _ in range(300)]
+    spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    needles = ["ab a b", "b a b-a ä", "ä ba. a", "a", "ab b", ". ", "zz a b zz", "b b b", "a Ab ab b-a"]
+    q = spark.createDataFrame(list(enumerate(needles)), "query_id long, needle string")
+    got = {(r["query_id"], r["doc_id"]) for r in C.holders(Tables(spark, f"file://{tmp_path}"), q).collect()}
+    assert got == {(i, d) for i, n in enumerate(needles) for d, t in enumerate(texts) if t and n in t} and len(got) > 100

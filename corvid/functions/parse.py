@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, Stru
 
 from . import text as X
 
-SLICE = 64  # texts whose parts are held as Python objects at once
+SLICE = 64  # texts whose parts are held as Python objects, and leave a worker, at once
 WORDS_PER_CHUNK = int(400 / 1.3)  # 400 tokens at 1.3 a word
 OVERLAP = 0.5
 LEAST_TOKENS = 100
@@ -98,7 +98,7 @@ ARTICLES_ARROW = arrow_rows(
 @arrow_udf(CHUNKS)
 def chunks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for a in texts:
-        yield in_slices(a, chunk, CHUNKS_ARROW)
+        yield from (in_slices(some, chunk, CHUNKS_ARROW) for some in X.few(a, SLICE))
 
 
 def articles_of(text: str) -> list[dict]:
@@ -122,7 +122,7 @@ def articles_of(text: str) -> list[dict]:
 @arrow_udf(ARTICLES)
 def articles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for a in texts:
-        yield in_slices(a, articles_of, ARTICLES_ARROW)
+        yield from (in_slices(some, articles_of, ARTICLES_ARROW) for some in X.few(a, SLICE))
 
 
 def exploded_articles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,16 +176,20 @@ def documents(docs: DataFrame, overrides: Mapping[str, Column] | None = None, id
     return m.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"), *fields, articles(F.col(text_col)).alias("articles"), amendment_refs(F.col(text_col)).alias("amendment_refs"), citation_refs(F.col(text_col)).alias("citation_refs"))
 
 
-def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(src, rel, needle): documents that a text amends, cites or refers to, by number."""
+def reference_numbers(c: Column) -> Column:
+    """(rel, needle) of each document that a text amends, cites or refers to, by number."""
     number = r"\d+/\d{4}/[\p{Lu}\d]+(?:-[\p{Lu}\d]+)*"
     kinds = {"AMENDED_BY": r"(?iu)(?:sửa đổi|bổ sung|thay thế)[^.;\n]{0,80}?", "CITES": r"(?iu)căn cứ[^.;\n]{0,80}?", "REFERENCES": r"(?iu)(?:theo|quy định tại)[^.;\n]{0,80}?"}
 
     def told(rel: str, lead: str) -> Column:
-        return F.transform(F.regexp_extract_all(text_col, F.lit(f"{lead}({number})"), F.lit(1)), lambda n: F.struct(F.lit(rel).alias("rel"), n.alias("needle")))
+        return F.transform(F.regexp_extract_all(c, F.lit(f"{lead}({number})"), F.lit(1)), lambda n: F.struct(F.lit(rel).alias("rel"), n.alias("needle")))
+
+    return F.array_distinct(F.concat(*(told(rel, lead) for rel, lead in kinds.items())))
 
-    found = [told(rel, lead) for rel, lead in kinds.items()]
-    return docs.select(F.col(id_col).alias("src"), F.explode(F.array_distinct(F.concat(*found))).alias("r")).select("src", "r.rel", "r.needle")
+
+def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(src, rel, needle): documents that a text amends, cites or refers to, by number."""
+    return docs.select(F.col(id_col).alias("src"), F.explode(reference_numbers(F.col(text_col))).alias("r")).select("src", "r.rel", "r.needle")
 
 
 def plan(queries: DataFrame, id_col: str = "query_id", text_col: str = "text", short_forms: Mapping[str, str] | None = None, synonyms: Mapping[str, list[str]] | None = None, forms: Mapping[str, list[str]] | None = None) -> DataFrame:

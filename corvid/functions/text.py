@@ -13,9 +13,10 @@ from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
 from .lexicons import ABBREVIATIONS, CONCEPTS, QUERY_ABBREVIATIONS, SYNONYMS, VERBS
@@ -57,11 +58,17 @@ MARKED_WORDS: list[str] = [
 ]
 
 
-@pandas_udf(StringType())
-def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def few(texts: pa.Array, n: int = 64) -> Iterator[pa.Array]:
+    """A batch in parts of ``n`` texts. What a function makes of a part leaves the worker before the next."""
+    return (texts.slice(at, n) for at in range(0, len(texts), n))
+
+
+@arrow_udf(StringType())
+def nfc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unicode normal form C. Null stays null."""
-    for s in texts:
-        yield s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
+    for a in texts:
+        for some in few(a):
+            yield pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in some.to_pylist()], pa.string())
 
 
 def or_default(c: Column, default: str) -> Column:

@@ -16,6 +16,7 @@ from corvid.catalog import QUERIES
 from corvid.functions import lexicons as L
 from corvid.functions import parse as P
 from corvid.functions import text as X
+from corvid.operators import etl
 from corvid.operators import graph as G
 from corvid.plans import review as V
 from corvid.plans import postings
@@ -326,3 +327,66 @@ def test_short_forms_are_looked_for_once(spark):
     plan = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     text = F.concat(F.lit("a "), F.col("id").cast("string"))
     assert plan(X.expand(text)).count("regexp_replace") == 1 and plan(X.lacks_marks(text)).lower().count("rlike") == 0
+
+
+def stores(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+    return {r["store"]: r["n"] for r in QUERIES["qi_ingest_batch"](spark, f"file://{tmp_path}").collect()}
+
+
+def batch():
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n)) + "."
+    rows = [
+        (1, words("a", 60) + " Căn cứ 3/2020/QH14.\n" + words("b", 60)),  # cites one by its number
+        (2, words("c", 20) + "\nĐiều 7. Tên\n" + words("d", 20)),  # an article of its own
+        (3, unicodedata.normalize("NFD", words("é", 400))),  # several chunks
+        (4, words("f", 20)), (4, words("g", 20)),  # one id twice
+        (6, unicodedata.normalize("NFD", "é" * 40)), (7, None), (8, "short"),
+    ]
+    return rows, {1: 120 + 5, 2: 40 + 1, 3: 400, 4: 20}  # words of each that is stored
+
+
+def test_a_batch_goes_from_stage_to_stage(spark, tmp_path):
+    """What texts themselves hold counts in each store, and a repeated id is stored, parsed, cut and indexed once."""
+    rows, words = batch()
+    got = stores(spark, tmp_path, rows)
+    edges = {(1, 2), (2, 3), (3, 4), (1, 3)}  # by the number of the next id, and the one told in the text
+    assert got == {"rejected": 3, "documents": 4, "articles": 2 * 4 + 1, "edges": len(edges), "chunked": 2, "postings": sum(words.values())}
+
+
+@pytest.mark.parametrize(
+    ("stage", "changed"),
+    [
+        ("nfc", {"rejected": 2, "documents": 5, "edges": 4, "articles": 11}),
+        ("upsert", {"documents": 5, "articles": 0, "edges": 0, "chunked": 0, "postings": 0}),
+        ("articles", {"articles": 4, "chunked": 0, "postings": 2 * 4}),
+        ("chunks", {"chunked": 4, "postings": 3 * 4}),
+    ],
+)
+def test_each_stage_of_a_batch_tells_on_the_next(spark, tmp_path, monkeypatch, stage, changed):
+    made = {
+        "nfc": (X, F.col),
+        "upsert": (etl, lambda target, *_: target),  # the earlier edition stays
+        "articles": (P, lambda c: F.array(F.struct(F.lit("one").alias("title"), F.lit("two").alias("content")))),
+        "chunks": (P, lambda c: F.array(F.struct(F.lit("one two three").alias("content")))),
+    }
+    monkeypatch.setattr(made[stage][0], stage, made[stage][1])
+    got = stores(spark, tmp_path, batch()[0])
+    assert {k: got[k] for k in changed} == changed
+
+
+def test_chunks_of_articles_lose_no_word(spark, sf_dir):
+    """The index of a batch's chunks has the words of the texts, each once for a document."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(trim(text)) >= 50")
+    want = d.agg(F.sum(F.size(F.array_distinct(X.analyze(F.col("text"))))).alias("n")).first()["n"]
+    assert {r["store"]: r["n"] for r in QUERIES["qi_ingest_batch"](spark, sf_dir).collect()}["postings"] == want
+
+
+def test_what_is_made_of_texts_leaves_a_worker_in_parts():
+    """An Arrow batch goes out as parts of a few texts, with the rows that each text gives alone."""
+    import pyarrow as pa
+
+    texts = [unicodedata.normalize("NFD", f"é {k}. ") * 40 for k in range(1000)] + [None, ""]
+    for f, alone in ((X.nfc, lambda t: t and unicodedata.normalize("NFC", t)), (P.chunks, lambda t: P.chunk(t or "")), (P.articles, lambda t: P.articles_of(t or ""))):
+        parts = list(f.func(iter([pa.array(texts), pa.array(texts[:3])])))
+        assert max(map(len, parts)) <= 64 and [x for p in parts for x in p.to_pylist()] == [alone(t) for t in [*texts, *texts[:3]]]
